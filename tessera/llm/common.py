@@ -15,6 +15,14 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def made_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh folder below the shared one that exists, as a URI with its scheme."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_path(spark, tag))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    return fs.makeQualified(path).toString()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
     path = work_path(df.sparkSession, tag)

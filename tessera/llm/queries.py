@@ -29,7 +29,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = common.work_path(spark, "tokens")
+    folder = common.made_folder(spark, "tokens")
     manifest = tokenbin.write_token_files(docs, folder, public_tokenizers.path("byte_bpe_50k.json")).collect()
     if not manifest:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")

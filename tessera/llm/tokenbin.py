@@ -22,6 +22,7 @@ table gives no file.  Only the two named columns are read.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -240,7 +241,8 @@ def write_token_files(
         from pyarrow.fs import FileSystem
 
         part, own = TaskContext.get().partitionId(), library_encoder(tokenizer)
-        fs, base = FileSystem.from_uri(folder)
+        # the file:/path of Hadoop is file:///path to Arrow
+        fs, base = FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder))
         final, temp = f"{base}/part-{part:06d}.s8b", f"{base}/.part-{part:06d}-{uuid.uuid4().hex}"
         writer = sink = None
         for batch in batches:
