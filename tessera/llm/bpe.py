@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +32,9 @@ from pyspark.sql.functions import arrow_udf
 
 LEAF = 8
 #: Entries after which a worker's table of encoded strings starts anew.
-CACHE = 1_200_000
+CACHE = 500_000
+#: Bits that tell whether a run was met before; runs are remembered from their second time on.
+MET = 1 << 23
 #: A blank that the pattern would put into one piece with the white space before it.
 _GLUED = re.compile(r"\s (?:\s|\Z)")
 
@@ -51,6 +54,7 @@ class TreeCodec:
         self._stable: dict[tuple[int, int], bool] = {}
         self._tree: dict[bytes, tuple[int, ...]] = {}
         self._chunk: dict[str, bytes] = {}
+        self._met = bytearray(MET // 8)
 
     # -- leaves ---------------------------------------------------------
     def merge(self, data: bytes) -> tuple[int, ...]:
@@ -133,7 +137,7 @@ class TreeCodec:
             else:
                 mid = len(data) // 2
                 got = self.join(self.tree(data[:mid]), self.tree(data[mid:]))
-            if len(data) <= 3 * LEAF:
+            if len(data) <= LEAF or len(data) <= 2 * LEAF and self._again(data):
                 if len(self._tree) > CACHE:
                     self._tree.clear()
                 self._tree[data] = got
@@ -165,13 +169,20 @@ class TreeCodec:
         if None in parts:
             for at, run in enumerate(runs):
                 if parts[at] is None:
-                    parts[at] = got = np.array(self.encode_pieces(run), np.int32).tobytes()
-                    if len(run) <= 48:
+                    parts[at] = got = array("i", self.encode_pieces(run)).tobytes()
+                    if len(run) <= 48 and self._again(run):
                         if len(known) > CACHE:
                             known.clear()
                         known[run] = got
         return np.frombuffer(b"".join(parts), np.int32)
 
+    def _again(self, run: str | bytes) -> bool:
+        slot = hash(run) % MET
+        at, bit = slot >> 3, 1 << (slot & 7)
+        met = self._met[at] & bit
+        self._met[at] |= bit
+        return bool(met)
+
     def decode(self, ids, block: int = 4096) -> bytes:
         """Bytes of ids: blocks are looked up, then concatenated up the tree."""
         if len(ids) <= block:
@@ -201,7 +212,7 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
     @arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
         own = codec(path, pattern)
-        return pa.array([None if x is None else own.decode(x) for x in lists.to_pylist()], pa.binary())
+        return pa.array([own.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists], pa.binary())
 
     return decode(ids)
 
