@@ -54,6 +54,7 @@ class TreeCodec:
         self._stable: dict[tuple[int, int], bool] = {}
         self._tree: dict[bytes, tuple[int, ...]] = {}
         self._chunk: dict[str, bytes] = {}
+        self._missed: dict[int, int] = {}
         self._met = bytearray(MET // 8)
 
     # -- leaves ---------------------------------------------------------
@@ -138,11 +139,19 @@ class TreeCodec:
                 mid = len(data) // 2
                 got = self.join(self.tree(data[:mid]), self.tree(data[mid:]))
             if len(data) <= LEAF or len(data) <= 2 * LEAF and self._again(data):
-                if len(self._tree) > CACHE:
-                    self._tree.clear()
-                self._tree[data] = got
+                self._keep(self._tree, data, got)
         return got
 
+    def _keep(self, known: dict, key, got) -> None:
+        """Remember up to ``CACHE`` entries; a full table starts anew after as many misses again."""
+        if len(known) < CACHE:
+            known[key] = got
+            return
+        self._missed[id(known)] = missed = self._missed.get(id(known), 0) + 1
+        if missed > CACHE:
+            known.clear()
+            self._missed[id(known)] = 0
+
     # -- texts ----------------------------------------------------------
     def encode_pieces(self, text: str) -> list[int]:
         out: list[int] = []
@@ -171,9 +180,7 @@ class TreeCodec:
                 if parts[at] is None:
                     parts[at] = got = array("i", self.encode_pieces(run)).tobytes()
                     if len(run) <= 48 and self._again(run):
-                        if len(known) > CACHE:
-                            known.clear()
-                        known[run] = got
+                        self._keep(known, run, got)
         return np.frombuffer(b"".join(parts), np.int32)
 
     def _again(self, run: str | bytes) -> bool:
