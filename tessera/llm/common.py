@@ -23,6 +23,15 @@ def made_folder(spark: SparkSession, tag: str) -> str:
     return fs.makeQualified(path).toString()
 
 
+def shared_file(spark: SparkSession, local: str, tag: str) -> str:
+    """Copy a file of the driver into the shared folder; returns its URI."""
+    folder = made_folder(spark, tag)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{local.rpartition('/')[2]}")
+    source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(source, path)
+    return path.toString()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
     path = work_path(df.sparkSession, tag)
