@@ -17,10 +17,14 @@ Steps, each of them distributed:
    greatest node of each of its keys, so a group of n copies gives O(n) pairs;
 3. pairs that sizes and signature distance don't exclude are confirmed on the
    full sets, and components found;
-4. keys whose nodes still lie in different components give the pairs across
-   these components; they are confirmed in the same way, so no link that
-   would join two components is missed;
-5. components of all links.
+4. nodes of keys that still hold different components are paired with a few
+   other nodes of their keys, and confirmed pairs join components;
+5. of keys that hold different components even then, all pairs across them are
+   confirmed, so no link that would join two components is missed.  Small keys
+   form these pairs themselves; the nodes of large ones are paired by the rare
+   shingles of their full sets, which finds every pair that can link without
+   forming those that only share a common passage;
+6. components of all links.
 
 No bucket is capped.  Joins are plain equi-joins, which adaptive execution can
 split where a key is hot.  Intermediate tables are written to the shared folder.
@@ -36,7 +40,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -49,6 +53,11 @@ LANES = SYMBOLS // 4
 #: Symbols in which two signatures may differ for the pair to be confirmed on full
 #: sets.  At a similarity of 0.8 the mean is 12 and the standard deviation 3.1.
 MAX_DISTANCE = 33
+#: Further nodes of its keys that each node of an unsettled key is paired with in the second round.
+LEADERS = 4
+#: Nodes up to which all pairs of a key across components are formed; beyond, the
+#: prefixes of the full sets give the pairs.
+SMALL_KEY = 32
 #: Ids up to which the table of candidates is sent to all executors instead of shuffling all texts.
 BROADCAST_IDS = 1_000_000
 
@@ -181,6 +190,36 @@ def linked(a: Column, b: Column, words: int, percent: int) -> Column:
     return compute(a, b)
 
 
+def hashes(text: Column, words: int) -> Column:
+    """The full set as ``array<long>``."""
+
+    @arrow_udf("array<long>")
+    def compute(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(x.as_py(), words).view(np.int64) for x in texts]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+
+    return compute(text)
+
+
+def prefix_pairs(sets: DataFrame, fits: Column, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ``sets (id, c, n, s)`` that may reach the similarity; none that does is missing.
+
+    With every set ordered by how few sets hold a shingle, two sets that reach
+    it share one of their first ``n - ceil(percent n / 100) + 1``; and at the
+    first one that they share enough shingles must be left in both.
+    """
+    each = sets.select("id", "c", "n", F.explode("s").alias("s"))
+    held = each.groupBy("s").count().where("count > 1")
+    order = Window.partitionBy("id").orderBy("count", "s")
+    several = Window.partitionBy("id")
+    ranked = each.join(held, "s").withColumn("at", F.col("n") - F.count("*").over(several) + F.row_number().over(order))
+    ranked = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1)
+    sides = [ranked.select("s", F.col("id").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}")) for x in "ab"]
+    enough = (100 + percent) * (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))) >= percent * (F.col("n_a") + F.col("n_b"))
+    return sides[0].join(sides[1], "s").where(fits & enough).select("a", "b").distinct()
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``df``: ``(id, n_shingles, component_id)``.
 
@@ -223,22 +262,46 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
         right = texts.select(F.col("id").alias("b"), F.col("text").alias("t_b"))
         return pairs.join(left, "a").join(right, "b").where(linked(F.col("t_a"), F.col("t_b"), words, percent)).select("a", "b")
 
-    first = written(confirmed(stars), "links")
-    found = written(components(first), "first")
-    placed = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    placed = written(placed, "placed")
-    split = placed.groupBy("key").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("c_low <> c_high").select("key")
-    across = placed.join(split, "key").join(lanes, "id")
-    left = across.select("key", F.col("id").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"), F.col("lanes").alias("l_a"))
-    right = across.select("key", F.col("id").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("lanes").alias("l_b"))
-    fits = (
-        (F.col("c_a") < F.col("c_b"))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & (distance("l_a", "l_b") <= MAX_DISTANCE)
+    links = written(confirmed(stars), "links")
+    tried = stars
+    found = components(links)
+
+    def unsettled(found: DataFrame) -> DataFrame:
+        """``(key, id, c, m)``: the nodes, and their number, of keys whose nodes lie in different components."""
+        placed = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        placed = written(placed, "placed")
+        split = placed.groupBy("key").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high"), F.count("*").alias("m"))
+        return placed.join(split.where("c_low <> c_high").select("key", "m"), "key")
+
+    # some other node of each of a few keys, so that groups whose ends don't link come together
+    open_keys = written(unsettled(found), "open")
+    leaders = open_keys.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", "key")).alias("top"))
+    few = Window.partitionBy("id").orderBy(F.xxhash64("key"))
+    more = (
+        open_keys.join(leaders, "key")
+        .where("c <> top.c")
+        .withColumn("k", F.row_number().over(few))
+        .where(F.col("k") <= LEADERS)
+        .select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b"))
+        .distinct()
     )
-    rest = left.join(right, "key").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")  # confirmed or refused before
-    links = written(first.unionByName(confirmed(rest)), "links")
+    more = written(close(more.join(tried, ["a", "b"], "left_anti")), "more")
+    tried = tried.unionByName(more)
+    links = written(links.unionByName(confirmed(more)), "links")
+    open_keys = written(unsettled(components(links)), "open")
+
+    # all pairs across components that can still link
+    fits = (F.col("c_a") < F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    small = open_keys.where(F.col("m") <= SMALL_KEY).join(lanes, "id")
+    left = small.select("key", F.col("id").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"), F.col("lanes").alias("l_a"))
+    right = small.select("key", F.col("id").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("lanes").alias("l_b"))
+    rest = left.join(right, "key").where(fits & (distance("l_a", "l_b") <= MAX_DISTANCE)).select("a", "b")
+    large = open_keys.where(F.col("m") > SMALL_KEY).select("id", "c").distinct()
+    sets = texts.join(large, "id").select("id", "c", hashes(F.col("text"), words).alias("s")).withColumn("n", F.size("s"))
+    rest = rest.unionByName(prefix_pairs(written(sets, "sets"), fits, percent))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    links = written(links.unionByName(confirmed(rest)), "links")
     joined = components(links)
     return (
         sig.select("id", "n", "high", "low")
