@@ -32,7 +32,7 @@ from pyspark.sql.functions import arrow_udf
 
 LEAF = 8
 #: Entries after which a worker's table of encoded strings starts anew.
-CACHE = 500_000
+CACHE = 700_000
 #: Bits that tell whether a run was met before; runs are remembered from their second time on.
 MET = 1 << 23
 #: A blank that the pattern would put into one piece with the white space before it.
@@ -155,7 +155,14 @@ class TreeCodec:
     # -- texts ----------------------------------------------------------
     def encode_pieces(self, text: str) -> list[int]:
         out: list[int] = []
-        for piece in self.pieces(text):
+        # a blank and letters are one match, and so is one mark after them
+        if text[:1] == " " and text[1:].isalpha():
+            pieces = (text,)
+        elif text[:1] == " " and text[1:-1].isalpha() and text[-1] in ".,;:!?)":
+            pieces = (text[:-1], text[-1])
+        else:
+            pieces = self.pieces(text)
+        for piece in pieces:
             data = piece.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(data)
             out.extend((whole,) if whole is not None else self.tree(data))
