@@ -38,6 +38,8 @@ MET = 1 << 23
 #: A blank that the pattern would put into one piece with the white space before it.
 _GLUED = re.compile(r"\s (?:\s|\Z)")
 
+_PLAIN = [(" ab é", [" ab", " é"]), (" ab, c", [" ab", ",", " c"]), ("a\n b\tc", ["a", "\n", " b", "\t", "c"]), (" é! 1a", [" é", "!", " 1", "a"])]
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -50,6 +52,8 @@ class TreeCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pieces = regex.compile(pattern).findall
+        #: whether the pattern cuts before blanks and after letters, as the shortcuts below assume
+        self.plain = all(self.pieces(x) == y for x, y in _PLAIN)
         self.bytes_of = {v: k for k, v in ranks.items()}
         self._stable: dict[tuple[int, int], bool] = {}
         self._tree: dict[bytes, tuple[int, ...]] = {}
@@ -156,7 +160,9 @@ class TreeCodec:
     def encode_pieces(self, text: str) -> list[int]:
         out: list[int] = []
         # a blank and letters are one match, and so is one mark after them
-        if text[:1] == " " and text[1:].isalpha():
+        if not self.plain:
+            pieces = self.pieces(text)
+        elif text[:1] == " " and text[1:].isalpha():
             pieces = (text,)
         elif text[:1] == " " and text[1:-1].isalpha() and text[-1] in ".,;:!?)":
             pieces = (text[:-1], text[-1])
@@ -177,7 +183,7 @@ class TreeCodec:
         """
         if not text:
             return np.empty(0, np.int32)
-        if "\0" in text or _GLUED.search(text):
+        if not self.plain or "\0" in text or _GLUED.search(text):
             return np.array(self.encode_pieces(text), np.int32)
         known = self._chunk
         runs = text.replace(" ", "\0 ").split("\0")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, decontam, langid, neardup, sharding, tokenbin, urlfilter
+from tessera.llm import bpe, common, decontam, langid, neardup, quality, sharding, spotsigs, tokenbin, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,29 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model).select("doc_id", "content_score", "metadata_score", "score", "accepted")
+
+
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    marked = spotsigs.with_next(spotsigs.add_fingerprint(docs), ["text", "sketch"])
+    n, cut = F.length("text"), F.floor(F.length("text") / 3).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.substring(F.coalesce("next_text", "text"), F.lit(1), cut))
+    both = spotsigs.add_fingerprint(marked.withColumn("edited", edited), "edited", "edited_sketch")
+    return both.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("sketch")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        spotsigs.likeness(F.col("sketch"), F.coalesce("next_sketch", "sketch")).alias("near_next"),
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -99,6 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op5_token_files": op5_token_files,
     "op6_decontaminate": op6_decontaminate,
+    "op7_quality": op7_quality,
+    "op9_spotsigs": op9_spotsigs,
     "op10_sharding": op10_sharding,
 }
 
