@@ -39,28 +39,35 @@ ANCHORS = (
 _SPLIT = "(?: (?:" + "|".join(sorted(set(ANCHORS), key=lambda w: (w[0], -len(w), w))) + ")(?= ))+"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spot_hashes(text: Column) -> Column:
     """Distinct signatures of a text as a sorted ``array<long>`` of 40-bit hashes."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    runs = F.split(F.concat(F.lit(" "), plain, F.lit(" ")), _SPLIT, -1)
+    text = F.coalesce(text, F.lit(""))
     hashed = lambda s: F.shiftrightunsigned(F.xxhash64(s), 24)
 
-    def chains(r: Column) -> Column:
+    def chains(runs: Column) -> Column:
         def of(run: Column, i: Column) -> Column:
-            both = F.concat(run, F.coalesce(F.get(r, i + 1), F.lit("")))
-            return F.when(i > 0, hashed(F.substring_index(both, " ", CHAIN + 1)))
-
-        return F.filter(F.transform(r, of), lambda h: h.isNotNull())
-
-    words = F.split(plain, " ")
-    runs_of_words = F.transform(words, lambda w, i: hashed(F.concat_ws(" ", w, F.get(words, i + 1))))
-    found = (
-        F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<bigint>"))
-        .when(plain == "", F.array(hashed(text)))
-        .when(F.size(runs) > 1, chains(runs))
-        .otherwise(runs_of_words)
-    )
-    return F.array_sort(F.array_distinct(found))
+            return hashed(F.substring_index(F.concat(run, F.coalesce(F.get(runs, i + 1), F.lit(""))), " ", CHAIN + 1))
+
+        return F.slice(F.transform(runs, of), F.lit(2), F.size(runs) - 1)
+
+    def runs_of_words(words: Column) -> Column:
+        return F.transform(words, lambda w, i: hashed(F.concat_ws(" ", w, F.get(words, i + 1))))
+
+    def of_plain(plain: Column) -> Column:
+        def of_runs(runs: Column) -> Column:
+            return F.when(F.size(runs) > 1, chains(runs)).otherwise(_bound(F.split(plain, " "), runs_of_words))
+
+        spaced = F.concat(F.lit(" "), plain, F.lit(" "))
+        return F.when(plain == "", F.array(hashed(text))).otherwise(_bound(F.split(spaced, _SPLIT, -1), of_runs))
+
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    found = F.when(text == "", F.array().cast("array<bigint>")).otherwise(_bound(plain, of_plain))
+    return F.sort_array(F.array_distinct(found))
 
 
 def sketch(hashes: Column) -> Column:
@@ -74,7 +81,7 @@ def fingerprint(kept: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sketches, from 0 to 1; exact when both sets are kept whole."""
-    least = F.slice(F.array_sort(F.array_union(a, b)), 1, KEPT)
+    least = F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT)
     both = F.size(F.array_intersect(least, F.array_intersect(a, b)))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.size(least), F.lit(1)))
 
