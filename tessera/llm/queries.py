@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, decontam, langid, neardup, quality, sharding, spotsigs, tokenbin, urlfilter
+from tessera.llm import bpe, common, decontam, langid, neardup, quality, sharding, spotsigs, tokenbin, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,23 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", "content_score", "metadata_score", "score", "accepted")
 
 
+#: Categories of the chain, in order.  The labels tell toxic texts from others and good texts from poor
+#: ones, so the first two links are toxic noise and toxic prose, and the last is any toxicity.
+TOXIC_CATEGORIES = ["toxic_noise", "toxic_prose", "toxic"]
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where("toxic is not null").select(
+        "doc_id",
+        ((F.col("toxic") == 1) & (F.col("quality") == 0)).alias("toxic_noise"),
+        ((F.col("toxic") == 1) & (F.col("quality") == 1)).alias("toxic_prose"),
+        (F.col("toxic") == 1).alias("toxic"),
+    )
+    chain = toxicity.train_toxicity(docs, labels, TOXIC_CATEGORIES)
+    return toxicity.score_toxicity(docs, chain).select("doc_id", *[f"{c}_score" for c in TOXIC_CATEGORIES], "flagged")
+
+
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marked = spotsigs.with_next(spotsigs.add_fingerprint(docs), ["text", "sketch"])
@@ -123,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_spotsigs": op9_spotsigs,
     "op10_sharding": op10_sharding,
 }
