@@ -36,7 +36,8 @@ ANCHORS = (
     "de la le et les des en un une du que est pour qui dans par plus pas au sur ne se ce il sont avec "
     "el los y del se las por con no una su para es al lo como más o pero sus"
 ).split()
-_SPLIT = "(?: (?:" + "|".join(sorted(set(ANCHORS), key=lambda w: (w[0], -len(w), w))) + ")(?= ))+"
+#: Possessive, which the regex engine runs as a loop: rows of thousands of anchors would overflow its stack otherwise.
+_SPLIT = "(?: (?:" + "|".join(sorted(set(ANCHORS), key=lambda w: (w[0], -len(w), w))) + ")(?= ))++"
 
 
 def _bound(value: Column, use) -> Column:
