@@ -1,0 +1,18 @@
+"""Dense vectors as arrays; sums are taken in double."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Null where a vector is null or the lengths differ."""
+    pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.when(F.size(a) == F.size(b), F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x))
+
+
+def unit(a: Column) -> Column:
+    """Divided by the L2 norm; a zero vector stays."""
+    norm = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(a, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
