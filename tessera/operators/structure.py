@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 ENTRY = "array<struct<path:string,key:string,value:string,kind:string,status:string,line:int,end_line:int>>"
-_LEX = re.compile(r'\s+|//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*"|[{};]|(?:[^\s{};"(/]|/(?![/*]))+|[(]|/', re.S)
+_LEX = re.compile(r'\s+|//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*"|[{};]|[^\s{};"(/]+\((?:[^\s{};"()]|\([^\s{};"()]*\))*\)|(?:[^\s{};"(/]|/(?![/*]))+|[(]|/', re.S)
 
 
 def parse_dictionary(text: str) -> list[dict]:
@@ -41,7 +41,7 @@ def parse_dictionary(text: str) -> list[dict]:
     def flush(end: int, status: str) -> None:
         if not held:
             return
-        (key, at), value = held[0], text[held[1][1] : end].strip() if len(held) > 1 else ""
+        (key, at), value = held[0], text[held[1][1] : held[-1][1] + len(held[-1][0])] if len(held) > 1 else ""
         start = line_at(at)
         if key.startswith("#"):
             out.append(dict(path=stack[-1][0], key=key, value=text[at:end].strip(), kind="directive", status="ok", line=start, end_line=line))

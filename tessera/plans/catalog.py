@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.plans import retrieval
+
 FLAGSHIP = "q13_bm25"
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+QUERIES: dict = {**retrieval.QUERIES}
+ORACLE: dict[str, str] = {**retrieval.ORACLE}
