@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Words that carry no evidence.  Fixed values.
 STOP = ("a", "an", "the", "of", "to", "and", "in", "for", "is", "on", "with", "as", "from")
+_STOPS = r"(?<![^ ])(?:" + "|".join(STOP) + r")(?![^ ])"
 REDACTED = "<REDACTED>"
 #: Patterns of keys and values that may be secrets.  Fixed values.
 SENSITIVE_KEY = r"(?i)(?:api[_-]?key|secret|token|password|passwd|private[_-]?key|access[_-]?key|auth)"
@@ -23,6 +24,11 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once for a row, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lines(text: Column) -> Column:
     """Lines as an array; a final line break ends the last line and begins none."""
     return F.split(F.regexp_replace(_text(text), r"\n\z", ""), "\n", -1)
@@ -33,13 +39,23 @@ def tokens(text: Column) -> Column:
 
     Repeats stay.  In a run of capitals that is not last in the text the final letter belongs to what follows.
     """
-    words = F.regexp_extract_all(_text(text), F.lit(r"[A-Za-z_][A-Za-z_0-9]*"), F.lit(0))
-    pieces = F.regexp_extract_all(F.array_join(words, " "), F.lit(r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|\z)|[0-9]+"), F.lit(0))
-    runs = F.regexp_extract_all(_text(text), F.lit(r"[\x{4e00}-\x{9fff}]+"), F.lit(0))
-    pairs = F.flatten(
-        F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - 1)), lambda i: F.substring(r, i, F.lit(2))))
-    )
-    return F.filter(F.transform(F.concat(words, pieces, pairs), F.lower), lambda t: ~t.isin(*STOP))
+    cjk = r"[\x{4e00}-\x{9fff}]"
+
+    def latin(joined: Column) -> Column:
+        pieces = F.regexp_extract_all(joined, F.lit(r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|\z)|[0-9]+"), F.lit(0))
+        # one string lower-cased and freed of stop words at once costs far less than a lambda for each token
+        held = F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", joined, F.array_join(pieces, " "))), _STOPS, ""))
+        return bound(held, lambda h: F.when(h == "", F.array().cast("array<string>")).otherwise(F.split(h, " +")))
+
+    def of(x: Column) -> Column:
+        own = bound(F.array_join(F.regexp_extract_all(x, F.lit(r"[A-Za-z_][A-Za-z_0-9]*"), F.lit(0)), " "), latin)
+        runs = F.regexp_extract_all(x, F.lit(cjk + "+"), F.lit(0))
+        pairs = F.flatten(
+            F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(r) - 1)), lambda i: F.substring(r, i, F.lit(2))))
+        )
+        return F.when(x.rlike(cjk), F.concat(own, pairs)).otherwise(own)
+
+    return bound(_text(text), of)
 
 
 def terms(text: Column) -> Column:

@@ -11,8 +11,9 @@ from tessera.session import shared_dir
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """``edges (source, target, relation, weight)`` with each one reversed as well."""
-    return edges.unionByName(edges.withColumnsRenamed({"source": "target", "target": "source"}))
+    """``edges (source, target, ...)`` with each one reversed as well."""
+    others = [c for c in edges.columns if c not in ("source", "target")]
+    return edges.unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), *others))
 
 
 def expand(seeds: DataFrame, edges: DataFrame, decay: DataFrame, query: str, depth: int = 3, beam: int = 32) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import lines, tokens
-from tessera.functions.vectors import dot
+from tessera.functions.text import bound, lines, tokens
 
 
 def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 1500, overlap: int = 4, inclusive: bool = False) -> DataFrame:
@@ -34,38 +38,46 @@ def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int
         .select(F.col(id), lines(F.col(text)).alias("l"))
         .withColumn("ends", F.aggregate("l", start, step, lambda s: F.concat(s["ends"], F.array(s["n"]))))
     )
-    each = packed.select(id, "l", "ends", F.posexplode("ends").alias("k", "end"))
-    first = F.when(F.col("k") == 0, F.lit(1)).otherwise(F.get("ends", F.col("k") - 1) + 1)
-    return each.withColumn("start", F.greatest(F.lit(1), first - overlap)).select(
-        id,
-        "start",
-        "end",
-        F.substring(F.sha2(F.concat_ws(":", F.col(id).cast("string"), "start", "end"), 256), 1, 24).alias("passage_id"),
-        F.array_join(F.slice("l", F.col("start"), F.col("end") - F.col("start") + 1), "\n").alias("text"),
-    )
 
+    def unit(end: Column, k: Column) -> Column:
+        first = F.when(k == 0, F.lit(1)).otherwise(F.get("ends", k - 1) + 1)
+        return bound(
+            F.greatest(F.lit(1), first - overlap),
+            lambda start: F.struct(start.alias("start"), end.alias("end"), F.array_join(F.slice("l", start, end - start + 1), "\n").alias("text")),
+        )
+
+    # the lines stay out of the exploded rows, which hold one passage each
+    each = packed.select(id, F.explode(F.transform("ends", unit)).alias("p"))
+    named = F.substring(F.sha2(F.concat_ws(":", F.col(id).cast("string"), "p.start", "p.end"), 256), 1, 24)
+    return each.select(id, "p.start", "p.end", named.alias("passage_id"), "p.text")
 
-def bm25(units: DataFrame, queries: DataFrame, key: str, query: str, limit: int = 64, text: str = "text", query_text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``(query, key, score, rank)``: the ``limit`` best units of each query.
 
-    A query term counts twice at most; ties go to the least ``key``.  Only
+def bm25(
+    units: DataFrame, queries: DataFrame, key: str, query: str, limit: int = 64, text: str = "text", query_text: str = "text", k1: float = 1.2, b: float = 0.75, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``(query, key, *keep, score, rank)``: the ``limit`` best units of each query.
+
+    A query term counts twice at most; ties go to the least ``key``; ``keep``
+    names columns that ``key`` determines.  Each text is tokenised once.  Only
     terms of some query leave the scan, so the shuffle follows their postings
-    and not the corpus; frequencies are summed before it.
+    and not the corpus; frequencies are summed before it.  An empty term, once
+    for each unit, carries the units' number and lengths.
     """
     asked = (
         queries.select(query, F.explode(tokens(F.col(query_text))).alias("term"))
         .groupBy(query, "term")
         .agg(F.least(F.count("*"), F.lit(2)).alias("qf"))
     )
-    wanted = asked.select("term").distinct()
-    coded = units.select(key, tokens(F.col(text)).alias("t"))
-    totals = coded.agg(F.count("*").alias("n_units"), F.greatest(F.lit(1.0), F.avg(F.size("t"))).alias("mean_length"))
+    wanted = asked.select("term").unionByName(units.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    coded = units.select(key, *keep, tokens(F.col(text)).alias("t"))
     counted = (
-        coded.select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
+        coded.select(key, *keep, F.size("t").alias("length"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
         .join(wanted, "term", "left_semi")
-        .groupBy(key, "length", "term")
+        .groupBy(key, *keep, "length", "term")
         .agg(F.count("*").alias("tf"))
     )
+    unit = F.col("term") == ""
+    totals = counted.agg(F.count_if(unit).alias("n_units"), F.greatest(F.lit(1.0), F.avg(F.when(unit, F.col("length")))).alias("mean_length"))
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length"))) * F.col("qf")
@@ -73,7 +85,7 @@ def bm25(units: DataFrame, queries: DataFrame, key: str, query: str, limit: int
         counted.join(df, "term")
         .join(asked, "term")
         .join(F.broadcast(totals))  # one row
-        .groupBy(query, key)
+        .groupBy(query, key, *keep)
         .agg(F.round(F.sum(weight), 6).alias("score"))
         .where("score > 0")
     )
@@ -88,20 +100,33 @@ def top(df: DataFrame, by: list[str], order: list[Column], limit: int, out: str
 def dense(vectors: DataFrame, queries: DataFrame, key: str, query: str, limit: int = 64, vector: str = "embedding", max_queries: int = 10_000) -> DataFrame:
     """``(query, key, score, rank)`` by dot product, brute force: a stated set of queries against all rows.
 
-    The queries are gathered into one array row, checked against ``max_queries``, and sent to all tasks.
+    The queries' matrix, checked against ``max_queries``, is sent to all tasks;
+    each batch of rows is one product of matrices and keeps its best ``limit``
+    rows of each query, of which the best of all follow.  Null vectors and
+    those of another length than the queries' match nothing.
     """
-    held = queries.select(F.col(query).alias("q"), F.col(vector).alias("v"))
-    n = held.count()
-    if n > max_queries:
-        raise ValueError(f"{n} queries; at most {max_queries} are sent to all tasks")
-    packed = F.broadcast(held.agg(F.collect_list(F.struct("q", "v")).alias("qs")))
-    scored = (
-        vectors.select(key, F.col(vector).alias("_v"))
-        .join(packed)
-        .select(key, "_v", F.explode("qs").alias("_q"))
-        .select(F.col("_q.q").alias(query), key, F.round(dot(F.col("_v"), F.col("_q.v")), 6).alias("score"))
-        .where("score is not null")
-    )
+    held = queries.select(query, vector).where(F.col(vector).isNotNull() & F.col(query).isNotNull()).limit(max_queries + 1).collect()
+    if len(held) > max_queries:
+        raise ValueError(f"more than {max_queries} queries")
+    spark, kinds = vectors.sparkSession, dict(vectors.dtypes) | {"_q": dict(queries.dtypes)[query]}
+    width = max((len(r[vector]) for r in held), default=0)
+    held = sorted((r for r in held if len(r[vector]) == width), key=lambda r: r[query])
+    shared = spark.sparkContext.broadcast((np.array([r[query] for r in held]), np.array([r[vector] for r in held], float).reshape(len(held), width)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = shared.value
+        for batch in batches:
+            batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), width), False))
+            if not len(names) or not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, width)
+            found = np.round(matrix @ rows.T, 6)
+            order = np.argsort(keys, kind="stable")
+            best = order[np.argsort(-found[:, order], axis=1, kind="stable")[:, :limit]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(keys[best.ravel()]), pa.array(np.take_along_axis(found, best, 1).ravel())], [query, key, "score"])
+
+    scored = vectors.select(key, vector).mapInArrow(score, f"`{query}` {kinds['_q']}, `{key}` {kinds[key]}, score double").where("score is not null")
     return top(scored, [query], [F.desc("score"), F.asc(key)], limit)
 
 

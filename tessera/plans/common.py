@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents``; where the files give fewer splits than there are cores, rows are dealt out evenly first."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, size)``: a listing made of the customers' and orders' keys, with markers, logs, times and probes."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -65,9 +71,8 @@ cases AS (SELECT c AS "case" FROM held a WHERE NOT EXISTS (SELECT 1 FROM held b
 
 def item_hits(spark: SparkSession, sf_dir: str, limit: int = 64) -> DataFrame:
     """``(item_id, passage_id, score, rank, doc_id, start, end)``: the best passages of each benchmark item."""
-    units = ranking.passages(table(spark, sf_dir, "documents"))
-    found = ranking.bm25(units, table(spark, sf_dir, "benchmark"), "passage_id", "item_id", limit)
-    return found.join(units.select("passage_id", "doc_id", "start", "end"), "passage_id")
+    units = ranking.passages(texts(spark, sf_dir))
+    return ranking.bm25(units, table(spark, sf_dir, "benchmark"), "passage_id", "item_id", limit, keep=("doc_id", "start", "end"))
 
 
 #: Passages, and tokens as `tokens()` gives them for texts without CJK.  RE2 has no lookahead: a bar is set before each

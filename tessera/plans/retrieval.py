@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import ranges, ranking
-from tessera.plans.common import CASE_FILES_SQL, CASES_SQL, HITS_SQL, PASSAGES_SQL, case_dirs, case_files, item_hits, table, tokens_sql
+from tessera.plans.common import CASE_FILES_SQL, CASES_SQL, HITS_SQL, PASSAGES_SQL, case_dirs, case_files, item_hits, table, texts, tokens_sql
 from tessera.sources import corpus
 
 QUERIES: dict = {}
@@ -29,7 +29,7 @@ _LINES = "string_split(CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE te
 
 @query("q01_inventory", f"SELECT doc_id, sha256(coalesce(text, '')) AS sha256, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes, CAST(CASE WHEN length(text) > 0 THEN len({_LINES}) ELSE 0 END AS BIGINT) AS n_lines FROM documents")
 def q01(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = texts(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = F.when(F.length("text") > 0, F.size(T.lines(F.col("text")))).otherwise(0)
     return docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"), n.cast("long").alias("n_lines"))
 
@@ -40,7 +40,7 @@ l AS (SELECT doc_id, {_LINES} AS l FROM documents)
 SELECT doc_id, "start", "end", suffix, CASE WHEN ok THEN 'mapped' ELSE 'unmappable' END AS mapping_status, CASE WHEN ok THEN sha256(array_to_string(l["start":"end"], chr(10))) END AS excerpt_sha256
 FROM (SELECT r.*, l, coalesce(suffix <> 'png' AND "end" <= len(l), false) AS ok FROM r LEFT JOIN l ON r.doc_id = l.doc_id)""")
 def q02(spark: SparkSession, d: str) -> DataFrame:
-    i, docs = F.col("doc_id"), table(spark, d, "documents")
+    i, docs = F.col("doc_id"), texts(spark, d)
     moved = i + i % 3 * 1_000_000 * F.floor((i % 5) / 4)
     asked = docs.select(moved.alias("doc_id"), (i % 7 + 1).cast("int").alias("start"), (i % 7 + 1 + i % 5).cast("int").alias("end"), F.when(i % 11 == 0, "png").otherwise("txt").alias("suffix"))
     found = corpus.map_ranges(asked, docs.select("doc_id", "text"))
@@ -85,7 +85,7 @@ NAMES = ("the", "ander", "TION", "keit")
 
 @query("q08_identifier_search", " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_docs, sum(doc_id) AS sum_ids FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_]){n}([^A-Za-z0-9_]|$)')" for n in NAMES))
 def q08(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     found = docs.select("doc_id", F.explode(F.array(*[F.when(T.present(F.col("text"), n), F.lit(n)) for n in NAMES])).alias("name"))
     some = found.where("name is not null").groupBy("name").agg(F.count("*").alias("n_docs"), F.sum("doc_id").alias("sum_ids"))
     return spark.createDataFrame([(n,) for n in NAMES], "name string").join(some, "name", "left").select("name", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "sum_ids")
@@ -116,7 +116,7 @@ GREP = r"(?i)(licen[sc]e|token|password|@[a-z]+)"
 
 @query("q10_grep", f"SELECT doc_id, CAST(i AS INTEGER) AS line, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {_LINES} AS l FROM documents WHERE length(text) > 0)) WHERE regexp_matches(l[i], '{GREP}')")
 def q10(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.numbered_lines(table(spark, d, "documents")).where(F.col("text").rlike(GREP))
+    return corpus.numbered_lines(texts(spark, d)).where(F.col("text").rlike(GREP))
 
 
 def _sql(s: str) -> str:
@@ -131,14 +131,14 @@ for _p, _r in ((T.BEARER, r"\1<REDACTED>"), (T.JSON_KEY + r'"[^"\r\n]*"', r'\1"<
 
 @query("q11_redaction", f"SELECT doc_id, sha256(r) AS redacted_sha256, CAST((length(r) - length(replace(r, '<REDACTED>', ''))) // 10 AS BIGINT) AS n_redacted FROM (SELECT doc_id, {_REDACT} AS r FROM documents)")
 def q11(spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("r"))
+    done = texts(spark, d).select("doc_id", T.redact(F.col("text")).alias("r"))
     n = F.floor((F.length("r") - F.length(F.replace("r", F.lit("<REDACTED>"), F.lit("")))) / 10)
     return done.select("doc_id", F.sha2(F.col("r").cast("binary"), 256).alias("redacted_sha256"), n.alias("n_redacted"))
 
 
 @query("q12_passages", f"WITH RECURSIVE {PASSAGES_SQL} SELECT doc_id, \"start\", \"end\", passage_id, sha256(text) AS text_sha256 FROM passages")
 def q12(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.passages(table(spark, d, "documents")).select("doc_id", "start", "end", "passage_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return ranking.passages(texts(spark, d)).select("doc_id", "start", "end", "passage_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 @query("q13_bm25", f"WITH RECURSIVE {PASSAGES_SQL}, {HITS_SQL} SELECT item_id, passage_id, doc_id, \"start\", \"end\", score, rank FROM hits WHERE rank <= 10")
@@ -218,7 +218,7 @@ def q19(spark: SparkSession, d: str) -> DataFrame:
 @query("q23_range_overlap", f"""WITH RECURSIVE {PASSAGES_SQL}, a AS (SELECT doc_id, doc_id % 13 + 1 AS a_start, doc_id % 13 + 1 + doc_id % 29 AS a_end FROM documents)
 SELECT doc_id, a_start, a_end, CAST("start" AS BIGINT) AS b_start, CAST("end" AS BIGINT) AS b_end FROM a JOIN passages USING (doc_id) WHERE greatest(a_start, "start") <= least(a_end, "end")""")
 def q23(spark: SparkSession, d: str) -> DataFrame:
-    docs, i = table(spark, d, "documents"), F.col("doc_id")
+    docs, i = texts(spark, d), F.col("doc_id")
     a = docs.select("doc_id", (i % 13 + 1).alias("a_start"), (i % 13 + 1 + i % 29).alias("a_end"))
     b = ranking.passages(docs).select("doc_id", F.col("start").cast("long").alias("b_start"), F.col("end").cast("long").alias("b_end"))
     return ranges.overlap_join(a, b, ["doc_id"]).select("doc_id", "a_start", "a_end", "b_start", "b_end")
@@ -228,7 +228,7 @@ def q23(spark: SparkSession, d: str) -> DataFrame:
 WITH h AS (SELECT doc_id, CAST(i AS INTEGER) AS line, 1 + length(l[i]) % 3 AS level, len(l) AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {_LINES} AS l FROM documents WHERE length(text) > 0)) WHERE length(l[i]) < 60)
 SELECT a.doc_id, a.line, CAST(a.level AS INTEGER) AS level, CAST(coalesce(min(b.line) - 1, any_value(a.n)) AS INTEGER) AS section_end FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.line > a.line AND b.level <= a.level GROUP BY a.doc_id, a.line, a.level""")
 def q28(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     n = docs.where(F.length("text") > 0).select("doc_id", F.size(T.lines(F.col("text"))).alias("n"))
     heads = corpus.numbered_lines(docs).where(F.length("text") < 60).select("doc_id", "line", (F.length("text") % 3 + 1).alias("level")).join(n, "doc_id")
     return ranges.section_ends(heads, "doc_id", F.col("n")).select("doc_id", "line", "level", "section_end")
@@ -236,7 +236,7 @@ def q28(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q29_terms", "SELECT doc_id, sha256(array_to_string(list_sort(list_distinct(regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[a-z_][a-z_0-9]*|[0-9]+'))), ' ')) AS terms_sha256, CAST(len(" + tokens_sql("text") + ") AS BIGINT) AS n_tokens FROM documents")
 def q29(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     return docs.select("doc_id", F.sha2(F.array_join(T.terms(F.col("text")), " ").cast("binary"), 256).alias("terms_sha256"), F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
@@ -244,7 +244,7 @@ def q29(spark: SparkSession, d: str) -> DataFrame:
 def q27(spark: SparkSession, d: str) -> DataFrame:
     """Passages chosen for score, new query terms and other documents: sequential, so it has no SQL."""
     hits = item_hits(spark, d)
-    units = ranking.passages(table(spark, d, "documents")).select("passage_id", T.terms(F.col("text")).alias("facets"))
+    units = ranking.passages(texts(spark, d)).select("passage_id", T.terms(F.col("text")).alias("facets"))
     asked = table(spark, d, "benchmark").select("item_id", T.terms(F.col("text")).alias("asked"))
     pool = hits.join(units, "passage_id").join(asked, "item_id").withColumn("facets", F.array_intersect("facets", "asked")).select("item_id", "passage_id", "doc_id", "score", "facets")
     return ranking.facet_greedy(pool, "item_id", "passage_id", "doc_id").select("item_id", "passage_id", "doc_id", "score", "place")
