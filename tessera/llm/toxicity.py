@@ -26,6 +26,7 @@ columns pass through; those named like an output are replaced.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tessera.llm.common import written
 from tessera.llm.linear import SparseLogistic, folds
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -108,15 +110,37 @@ def train_toxicity(
     sample_rows: int = 8_000,
     words_per_category: int = 2_000,
 ) -> ToxicityChain:
-    @arrow_udf("array<string>")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array([sorted(features(x.as_py())) for x in texts], pa.list_(pa.string()))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents of each feature, in all and of each category, summed over what a task has read since it last gave rows."""
+        names = ["w", "n", *categories]
+        held: dict[str, list[int]] = {}
+
+        def given() -> pa.RecordBatch:
+            rows = list(held.values())
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names) - 1)]], names)
+
+        for batch in batches:
+            labels_of = list(zip(*[batch.column(1 + k).to_pylist() for k in range(len(categories))]))
+            for x, y in zip(batch.column(0), labels_of):
+                for w in features(x.as_py()):
+                    row = held.get(w)
+                    if row is None:
+                        row = held[w] = [0] * (len(names) - 1)
+                    row[0] += 1
+                    if any(y):
+                        for k, v in enumerate(y):
+                            row[1 + k] += v
+                if len(held) > 200_000:
+                    yield given()
+                    held.clear()
+        yield given()
 
     known = labels.where(F.col(id).isNotNull()).groupBy(id).agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(c) for c in categories])
     sample = known.orderBy(F.xxhash64(F.col(id).cast("string")), id).limit(sample_rows)
-    rows = docs.select(id, F.col(text).alias("_t")).join(F.broadcast(sample), id).withColumn("_f", of("_t")).drop("_t")
+    rows = docs.select(id, F.col(text).alias("_t")).join(F.broadcast(sample), id).select("_t", *categories)
     totals = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
-    each = rows.select(F.explode("_f").alias("w"), *categories).groupBy("w").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).where("n >= 3")
+    parts = rows.mapInArrow(counted, ", ".join(["w string", "n long", *[f"`{c}` long" for c in categories]]))
+    each = written(parts.groupBy("w").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in categories]).where("n >= 3"), "toxic-words")
     best = None
     for c in categories:
         n, all_c = totals["n"], totals[c] or 0
