@@ -19,11 +19,14 @@ def read_frozen(spark: SparkSession, root: str, manifest: DataFrame) -> DataFram
     ``status`` is ``ok``, ``missing``, ``changed`` (another digest), ``binary``
     (a NUL byte or no valid UTF-8) or ``outside`` (a path that is absolute or
     climbs).  Text is null unless ``ok``.  ``root`` is any URI that Spark reads.
+    Spark's reader doesn't show files of no bytes, so these count as missing.
     """
     inside = ~(F.col("path").rlike(r"(^/|^[A-Za-z]:|\\|(^|/)\.\.(/|$))"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    # the listing gives qualified paths: what follows the root is the corpus path
-    tail = F.expr(f"substring(path, instr(path, '{root.rstrip('/').rpartition(':')[2].replace(chr(39), '')}') + {len(root.rstrip('/').rpartition(':')[2]) + 1})")
+    # the listing gives qualified paths: what follows the qualified root is the corpus path
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    top = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/")
+    tail = F.substring(F.col("path"), len(top) + 2, 2**31 - 1)
     found = files.select(tail.alias("path"), "content")
     joined = manifest.join(found, "path", "left")
     valid = F.expr("is_valid_utf8(cast(content as string))")
