@@ -120,6 +120,10 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_spot_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.spot_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=80)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -142,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_spotsigs": op9_spotsigs,
+    "op9_spot_classes": op9_spot_classes,
     "op10_sharding": op10_sharding,
 }
 

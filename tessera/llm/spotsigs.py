@@ -6,11 +6,10 @@ anchors; anchors in a row start one chain.  The distinct chains, hashed, are
 the text's signatures.  A text without any anchor takes all runs of ``CHAIN``
 words, one without letters or digits itself as its only chain.
 
-``fingerprint`` keeps the ``KEPT`` least hashes, which are a uniform sample of
-the set and all of it for most texts, so it is bounded for texts of any
-length.  ``likeness`` estimates the Jaccard similarity of two sets from it;
-sets of which one has under ``PRUNE`` times the other's signatures can't be alike and aren't compared
-where only pairs above a threshold count (``spot_classes``).
+``fingerprint`` holds the whole set, so it grows with the text, and ``likeness``
+is the Jaccard similarity of two whole sets.  Sets whose sizes differ too much
+to be alike are not compared where only pairs above a threshold count
+(``spot_classes``).
 
 Everything is a DataFrame expression; no Python runs on the executors.
 
@@ -28,7 +27,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import components, written
 
 CHAIN = 2
-KEPT = 96
 #: Anchors: common words of English, German, French and Spanish.  Fixed values.
 ANCHORS = (
     "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their "
@@ -71,24 +69,20 @@ def spot_hashes(text: Column) -> Column:
     return F.sort_array(F.array_distinct(found))
 
 
-def sketch(hashes: Column) -> Column:
-    return F.slice(hashes, 1, KEPT)
-
-
-def fingerprint(kept: Column) -> Column:
-    """The kept hashes as a string, ten hexadecimal digits each."""
-    return F.array_join(F.transform(kept, lambda h: F.lpad(F.hex(h), 10, "0")), "")
+def fingerprint(hashes: Column) -> Column:
+    """All hashes of a set as a string, ten hexadecimal digits each."""
+    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 10, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sketches, from 0 to 1; exact when both sets are kept whole."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT)
-    both = F.size(F.array_intersect(least, F.array_intersect(a, b)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.size(least), F.lit(1)))
+    """Jaccard similarity of two whole sets, from 0 to 1."""
+    found = _bound(F.size(F.array_intersect(a, b)), lambda both: both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(found)
 
 
 def add_fingerprint(df: DataFrame, text: str = "text", out: str = "sketch") -> DataFrame:
-    return df.withColumn(out, sketch(spot_hashes(F.col(text))))
+    """``df`` with the whole signature set of ``text``."""
+    return df.withColumn(out, spot_hashes(F.col(text)))
 
 
 def with_next(df: DataFrame, columns: list[str], id: str = "doc_id", tie: str = "text", rows_per_bucket: int = 500, segments: int = 64) -> DataFrame:
@@ -129,12 +123,15 @@ def spot_classes(df: DataFrame, percent: int = 80, id: str = "doc_id", text: str
 
     Sets are partitioned by length so that similar sets lie in the same or the
     next partition; within these, sets are paired by their rarest signatures
-    and pairs pruned by length and by place before the Jaccard similarity is taken.  ``class_id``
-    is the least id that links reach.
+    and pairs pruned by length and by place before the Jaccard similarity is taken.  The
+    nodes are the distinct sets, so rows of equal or null id are compared like any other.
+    ``class_id`` is the least id that links reach.
     """
-    every = written(df.select(F.col(id).alias("id"), spot_hashes(F.col(text)).alias("s")).withColumn("n", F.size("s")), "spots")
-    alike = every.where("n > 0").groupBy("s", "n").agg(F.min("id").alias("node"))
-    nodes = written(alike.withColumn("p", F.floor(F.log(F.col("n") * 1.0) / math.log(100 / percent)).cast("int")), "spot-nodes")
+    sets = df.select(F.col(id).alias("id"), spot_hashes(F.col(text)).alias("s"))
+    every = written(sets.select("id", "s", F.size("s").alias("n"), F.sha2(fingerprint(F.col("s")).cast("binary"), 256).alias("key")), "spots")
+    alike = every.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("least"), F.first("s").alias("s"))
+    numbered = alike.withColumn("node", F.monotonically_increasing_id())
+    nodes = written(numbered.withColumn("p", F.floor(F.log(F.col("n") * 1.0) / math.log(100 / percent)).cast("int")), "spot-nodes")
     each = nodes.select("node", "n", "p", F.explode("s").alias("spot"))
     held = each.groupBy("spot").count().where("count > 1")
     order = Window.partitionBy("node").orderBy("count", "spot")
@@ -148,9 +145,9 @@ def spot_classes(df: DataFrame, percent: int = 80, id: str = "doc_id", text: str
     left, right = nodes.select(F.col("node").alias("a"), F.col("s").alias("s_a")), nodes.select(F.col("node").alias("b"), F.col("s").alias("s_b"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     links = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
-    found = components(links)
-    return (
-        every.join(alike, ["s", "n"], "left")
-        .join(found.select(F.col("id").alias("node"), "component"), "node", "left")
-        .select(F.col("id").alias(id), F.col("n").cast("long").alias("n_spots"), F.coalesce("component", "node", "id").alias("class_id"))
+    found = components(links).select(F.col("id").alias("node"), "component")
+    known = nodes.select("key", "node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = known.select("key", F.min("least").over(Window.partitionBy("component")).alias("class_id"))
+    return every.select("id", "n", "key").join(classes, "key", "left").select(
+        F.col("id").alias(id), F.col("n").cast("long").alias("n_spots"), F.coalesce("class_id", "id").alias("class_id")
     )

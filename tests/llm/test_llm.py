@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontam, langid, neardup, queries, sharding, spotsigs, tokenbin, toxicity, urlfilter
 
@@ -160,6 +162,66 @@ def test_spotsigs(spark):
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and 0 <= r.near_edited <= 1
 
 
+def spots(text):
+    """The signatures of a text as tuples of words."""
+    plain = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
+    if not plain:
+        return {("text", text)} if text else set()
+    anchors = [w in spotsigs.ANCHORS for w in plain]
+    if not any(anchors):
+        return {("plain", *plain[i : i + 2]) for i in range(len(plain))}
+    content = [[w for w, a in zip(plain[i:], anchors[i:]) if not a][:2] for i in range(len(plain) + 1) if i and anchors[i - 1] and (i == len(plain) or not anchors[i])]
+    return {tuple(c) for c in content}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def long_texts():
+    rng = random.Random(8)
+    base = [" ".join(rng.choice(["the", "of", "and", "x%d" % rng.randrange(900)]) for _ in range(3000)) for _ in range(3)]
+    return [*base, *[b + " the last%d word" % i for i, b in enumerate(base)], base[0][: len(base[0]) * 19 // 20], base[0][: len(base[0]) // 2]]
+
+
+def test_spotsigs_of_long_texts_are_whole(spark):
+    texts = long_texts()
+    sets = [spots(t) for t in texts]
+    assert min(map(len, sets)) > 200
+    marked = spotsigs.add_fingerprint(documents(spark, texts)).select("*", spotsigs.fingerprint(F.col("sketch")).alias("print"))
+    prints = {r.doc_id: r["print"] for r in marked.collect()}
+    assert all(len(prints[i]) == 10 * len(s) for i, s in enumerate(sets)) and len(set(prints.values())) == len({frozenset(s) for s in sets})
+    pairs = marked.alias("a").join(marked.alias("b")).selectExpr("a.doc_id as i", "b.doc_id as j", "a.sketch as s", "b.sketch as t")
+    for r in pairs.select("i", "j", spotsigs.likeness(F.col("s"), F.col("t")).alias("got")).collect():
+        assert r.got == pytest.approx(jaccard(sets[r.i], sets[r.j]), abs=1e-12)
+
+
+def test_spotsigs_query_equals_brute_force(spark):
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    order = sorted(text, reverse=True)
+    following = dict(zip(order, [*order[1:], order[0]]))
+    for r in queries.op9_spotsigs(spark, SF).collect():
+        t, after = text[r.doc_id], text[following[r.doc_id]]
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        assert len(r.fingerprint) == 10 * len(spots(t)) and len(r.edited_fingerprint) == 10 * len(spots(edited))
+        assert (r.near_edited, r.near_next) == pytest.approx((jaccard(spots(t), spots(edited)), jaccard(spots(t), spots(after))), abs=1e-12)
+
+
+def test_spot_classes_equal_brute_force(spark):
+    got = {r.doc_id: (r.n_spots, r.class_id) for r in queries.QUERIES["op9_spot_classes"](spark, SF).collect()}
+    sets = {r.doc_id: spots(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    classes = brute_components(sets)
+    assert got == {i: (len(s), classes[i]) for i, s in sets.items()} and len(set(classes.values())) < len(classes)
+    texts = long_texts()
+    # one id for several texts, and none at all
+    rows = [(7, texts[0]), (7, texts[1]), (3, texts[3]), (None, texts[6]), (None, texts[2]), (9, texts[2])]
+    odd = spotsigs.spot_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = brute_components({i: spots(t) for i, (_, t) in enumerate(rows)})
+    least = {c: min(rows[i][0] for i in expected if expected[i] == c and rows[i][0] is not None) for c in set(expected.values())}
+    key = lambda r: (str(r[0]), *r[1:])
+    assert sorted(((r.doc_id, r.n_spots, r.class_id) for r in odd), key=key) == sorted(((rows[i][0], len(spots(rows[i][1])), least[c]) for i, c in expected.items()), key=key)
+
+
 def test_sharding(spark):
     rows = queries.op10_sharding(spark, SF).collect()
     by = {}
