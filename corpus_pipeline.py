@@ -45,7 +45,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of any benchmark item go."""
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return decontam.find_contamination(docs, items, size=10).where(F.size("hit_spans") == 0).select(COLUMNS)
+    return decontam.find_contamination(docs, items, size=10, unnamed=True).where(F.size("hit_spans") == 0).select(COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ of patterns, and a document is searched for each part in turn, so memory stays
 bounded whatever the benchmark's size.
 
 Null texts have no words; items without words are ignored; repeated items count
-once for each distinct id.  Empty documents give an empty table, an empty
+once for each distinct id.  Items whose id is null are searched too where
+``unnamed`` is set, and are one null id, last in the list; otherwise they are
+ignored.  Empty documents give an empty table, an empty
 benchmark no hits.  Other columns of the documents pass through; those named
 like an output are replaced.
 """
@@ -54,7 +56,7 @@ class WuManber:
         self.base = len(number) + 1
         self.groups = []
         for m in sorted({len(p) for p in owners}):
-            mine = {p: sorted(set(v)) for p, v in owners.items() if len(p) == m}
+            mine = {p: in_order(v) for p, v in owners.items() if len(p) == m}
             block = min(2, m)
             shift: dict[int, int] = {}
             buckets: dict[int, list[tuple[tuple[int, ...], list]]] = {}
@@ -112,6 +114,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def in_order(items: Iterable[str | None]) -> list[str | None]:
+    """Distinct ids as sorted strings, null last."""
+    return sorted(set(items), key=lambda x: (x is None, x or ""))
+
+
 _HELD: dict[str, WuManber] = {}
 
 
@@ -123,17 +130,19 @@ def find_contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     part_words: int = 2_000_000,
+    unnamed: bool = False,
 ) -> DataFrame:
     """``docs`` with ``n_words long, hit_spans array<struct<start,end>>, items array<string>``.
 
     Spans count words, from 0, end exclusive, and are merged; ``items`` are
-    sorted as strings.
+    sorted as strings, null last.
     """
     spark = docs.sparkSession
     out = docs.drop("n_words", "hit_spans", "items").withColumns(
         {"n_words": F.lit(None).cast("long"), "hit_spans": F.lit(None).cast("array<struct<start:int,end:int>>"), "items": F.array().cast("array<string>")}
     )
-    rows = benchmark.select(F.col(item_id).cast("string"), F.col(item_text)).where(f"{item_id} is not null").toLocalIterator()
+    named = benchmark if unnamed else benchmark.where(F.col(item_id).isNotNull())
+    rows = named.select(F.col(item_id).cast("string"), F.col(item_text)).toLocalIterator()
 
     def parts() -> Iterator[list]:
         held, n = [], 0
@@ -170,7 +179,7 @@ def _search_part(docs: DataFrame, shared, text: str) -> DataFrame:
             before = [(s["start"], s["end"]) for s in old.as_py() or ()]
             n.append(len(words))
             all_spans.append([{"start": a, "end": b} for a, b in merged(got + before)])
-            all_items.append(sorted(found.union(who.as_py())))
+            all_items.append(in_order(found.union(who.as_py())))
         struct = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         return pa.StructArray.from_arrays(
             [pa.array(n, pa.int64()), pa.array(all_spans, pa.list_(struct)), pa.array(all_items, pa.list_(pa.string()))],

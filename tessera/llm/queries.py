@@ -68,7 +68,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), size=10)
+    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), size=10, unnamed=True)
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
     return found.select(
         "doc_id",

@@ -103,6 +103,30 @@ def test_decontamination_equals_brute_force(spark):
     assert got[0][0] == got[1][0] == 0
 
 
+def test_items_without_id_are_searched(spark, tmp_path):
+    import duckdb
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    ten = "one two three four five six seven eight nine ten"
+    docs = documents(spark, [*ODD, f"x {ten} eleven", "a short item here", "nobody knows", f"{ten} and the short item"])
+    docs = docs.selectExpr("*", "'en' as lang", "'web' as source", "length(text) as n_chars")
+    items = spark.createDataFrame([(None, ten), (None, "nobody"), (2, "short item"), (10, "short item"), (None, None), (5, "elsewhere")], "item_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    items.coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    expected = con.execute(queries.ORACLE["op6_decontaminate"])
+    columns = [c[0] for c in expected.description]
+    got = [tuple(r[c] for c in columns) for r in queries.op6_decontaminate(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(expected.fetchall())
+    n = len(ODD)
+    assert {r.doc_id for r in pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()} == set(range(n))
+    # the same when each item is a part of its own
+    found = decontam.find_contamination(docs, items, 10, part_words=1, unnamed=True).collect()
+    assert {r.doc_id: list(r["items"]) for r in found if r.doc_id >= n} == {n: [None], n + 1: ["10", "2"], n + 2: [None], n + 3: ["10", "2", None]}
+
+
 def test_url_rules(spark):
     pages = spark.createDataFrame([(1, "http://A.Example.com/en/x?q#f"), (2, "https://www.example.com/en/"), (3, "http://x.net/es/1"), (4, "http://x.net/de/1"), (5, None), (6, "nothing"), (7, "http://example.com.evil.org/en/")], "page_id long, url string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(pages, queries.URL_RULES).collect()}
