@@ -145,7 +145,8 @@ def spot_classes(df: DataFrame, percent: int = 80, id: str = "doc_id", text: str
     left, right = nodes.select(F.col("node").alias("a"), F.col("s").alias("s_a")), nodes.select(F.col("node").alias("b"), F.col("s").alias("s_b"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     links = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
-    found = components(links).select(F.col("id").alias("node"), "component")
+    # written, as components reads them twice
+    found = components(written(links, "spot-links")).select(F.col("id").alias("node"), "component")
     known = nodes.select("key", "node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = known.select("key", F.min("least").over(Window.partitionBy("component")).alias("class_id"))
     return every.select("id", "n", "key").join(classes, "key", "left").select(
