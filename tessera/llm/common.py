@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,32 @@ from pyspark.sql import functions as F
 from tessera.session import shared_dir
 
 
+_HELD: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], object]):
+    """What a Python worker keeps under ``key`` between batches and tasks.
+
+    Workers outlive the steps of a job, so a worker keeps one thing only: when
+    another step begins, the tables of the one before are freed.
+    """
+    if key not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            give_back()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def work_path(spark: SparkSession, tag: str) -> str:
     """A fresh folder below the shared one."""
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"

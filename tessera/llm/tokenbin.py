@@ -13,11 +13,12 @@ hold.  Selector 15 is the escape: the whole next word is one id, for ids of
 more than 60 bits.  A block has at most ``BLOCK`` ids and can be decoded
 alone, by its offsets in words and ids.
 
-Files are written by tasks that each hold one range of ``doc_id``, under a name
+Files are written by tasks that each hold one range of the order, under a name
 of the attempt, and moved to their final name when whole, so a task that is run
-again leaves the same file.  Null text counts as empty and still gets its end
-id.  Rows that repeat a ``doc_id`` are each kept, ordered by text.  An empty
-table gives no file.  Only the two named columns are read.
+again leaves the same files.  Null text counts as empty and still gets its end
+id.  Rows that repeat a ``doc_id`` are each kept, ordered by a hash of the text.
+Null ids come first; a file holds the least long for them.  An empty table gives
+no file.  Only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -25,17 +26,17 @@ from __future__ import annotations
 import re
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import _GLUED
+from tessera.llm.common import held
 
 #: Ids in a word and bits of each, by selector 0 to 14; fixed values of the format.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -43,8 +44,21 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 BLOCK = 65_536
 MAGIC, END, VERSION = b"S8BT", b"S8BE", 1
-CACHE = 1_000_000
-SCHEMA = "part int, path string, n_docs long, n_ids long"
+#: Runs that a worker's table holds, and bits that tell whether a run was met before.
+CACHE, MET = 400_000, 1 << 24
+SCHEMA = "part int, file int, n_docs long, n_ids long"
+#: The id that stands for null in a file.
+NO_ID = -(2**63)
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id, as int8."""
+    if not len(ids) or int(ids.max()) < 1 << 53:
+        return np.frexp(ids.astype(np.float64))[1].astype(np.int8)
+    # above 53 bits a float would round
+    high = np.frexp((ids >> np.uint64(32)).astype(np.float64))[1]
+    low = np.frexp((ids & np.uint64(2**32 - 1)).astype(np.float64))[1]
+    return np.where(high > 0, high + 32, low).astype(np.int8)
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -53,23 +67,18 @@ def pack(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64)
-    # bits of each id
-    width = np.zeros(n, np.int8)
-    rest = ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >> np.uint64(step) > 0
-        width[big] += step
-        rest[big] >>= np.uint64(step)
-    width += rest > 0
-    # the first selector whose whole run fits, at each place
-    pick = np.full(n, ESCAPE, np.int8)
+    # the first selector whose whole run fits, at each place: the widest id of
+    # runs of c ids is the wider one of two shorter runs that cover them
+    most, wide, pick = 1, _widths(ids), np.full(n, ESCAPE, np.int8)
     for s in range(len(COUNTS) - 1, -1, -1):
         c = COUNTS[s]
         if c > n:
-            continue
-        over = np.concatenate([[0], np.cumsum(width > WIDTHS[s], dtype=np.int32)])
-        fits = over[c:] == over[: n + 1 - c]
-        pick[: n + 1 - c][fits] = s
+            break
+        while most < c:
+            step = min(most, c - most)
+            wide = np.maximum(wide[:-step], wide[step:])
+            most += step
+        pick[: n + 1 - c][wide <= WIDTHS[s]] = s
     step = np.array([*COUNTS, 1, 1], np.int64)[pick].tolist()
     starts, i = [], 0
     while i < n:
@@ -132,6 +141,7 @@ class FileWriter:
         self.sizes.append(np.asarray(sizes, np.uint64))
         self.held.append(ids)
         self.n_held += len(ids)
+        self.n_ids += len(ids)
         if self.n_held >= BLOCK:
             ids = np.concatenate(self.held)
             whole = len(ids) // BLOCK * BLOCK
@@ -156,145 +166,224 @@ class FileWriter:
         return len(docs), self.ids_at[-1]
 
 
-def read_documents(data: bytes | memoryview) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of (doc_ids, starts in the file, ids of each as one list of arrays) of a file, block after block."""
-    data = memoryview(data)
-    if bytes(data[:4]) != MAGIC or bytes(data[-8:-4]) != END:
+def read_documents(source) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Runs of (doc_ids, starts in the file, ids of each) of an open file, block after block.
+
+    One block is held at a time, and the ids of a document that goes on in the next.
+    """
+    size = source.size()
+    if size < 32 or source.read_at(4, 0) != MAGIC or source.read_at(4, size - 8) != END:
         raise ValueError("not a token-id file")
-    n_docs, n_blocks = struct.unpack("<QQ", data[-24:-8])
-    at = len(data) - 24 - 16 * n_docs - 16 * (n_blocks + 1)
-    docs = np.frombuffer(data, "<i8", n_docs, at)
-    sizes = np.frombuffer(data, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
-    words_at = np.frombuffer(data, "<u8", n_blocks + 1, at + 16 * n_docs).astype(np.int64)
-    ids_at = np.frombuffer(data, "<u8", n_blocks + 1, at + 16 * n_docs + 8 * (n_blocks + 1)).astype(np.int64)
-    words = np.frombuffer(data, "<u8", int(words_at[-1]), 8)
+    n_docs, n_blocks = struct.unpack("<QQ", source.read_at(16, size - 24))
+    at = size - 24 - 16 * n_docs - 16 * (n_blocks + 1)
+    footer = source.read_at(size - 24 - at, at)
+    docs = np.frombuffer(footer, "<i8", n_docs)
+    sizes = np.frombuffer(footer, "<u8", n_docs, 8 * n_docs).astype(np.int64)
+    words_at, ids_at = np.frombuffer(footer, "<u8", 2 * (n_blocks + 1), 16 * n_docs).astype(np.int64).reshape(2, -1)
     ends = np.cumsum(sizes)
-    held, held_at, d = np.empty(0, np.uint32), 0, 0
+    held: list[np.ndarray] = []
+    held_at, d = 0, 0
     for b in range(n_blocks):
-        ids = unpack(words[words_at[b] : words_at[b + 1]]).astype(np.uint32)
-        held = np.concatenate([held, ids])
+        first = int(words_at[b])
+        words = np.frombuffer(source.read_at(8 * (int(words_at[b + 1]) - first), 8 + 8 * first), "<u8")
+        held.append(unpack(words).astype(np.uint32))
         upto = int(np.searchsorted(ends, ids_at[b + 1], "right"))
         if upto > d:
+            ids = np.concatenate(held)
             starts = ends[d:upto] - sizes[d:upto]
-            yield docs[d:upto], starts, [held[s - held_at : e - held_at] for s, e in zip(starts, ends[d:upto])]
-            held = held[int(ends[upto - 1]) - held_at :]
+            yield docs[d:upto], starts, [ids[s - held_at : e - held_at] for s, e in zip(starts, ends[d:upto])]
+            held = [ids[int(ends[upto - 1]) - held_at :].copy()]
             held_at, d = int(ends[upto - 1]), upto
 
 
 class LibraryEncoder:
-    """Whole texts to ids by the tokenizers library, each distinct run of characters once.
+    """Whole texts to ids by the tokenizers library, frequent runs of characters once.
 
     Runs are cut before blanks that don't stand inside white space; the
-    pattern of a byte-level tokenizer never joins across such a cut.  Texts
-    with other white space go to the library whole.
+    pattern of a byte-level tokenizer never joins across such a cut.  Runs that
+    are not in the table go to the library joined, many at once, and their ids
+    are told apart by the bytes that each id stands for.  Texts with other
+    white space, and those that hold an added token of the tokenizer, go to the
+    library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        names = self.tok.get_vocab(with_added_tokens=False)
+        # a byte-level entry has a character for each byte
+        self.bytes_of = np.zeros(max([*names.values(), 0]) + 1, np.int64)
+        self.bytes_of[list(names.values())] = list(map(len, names))
         self.known: dict[str, bytes] = {}
+        self.met = bytearray(MET // 8)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs; those that start with one blank are encoded as one text."""
+        blank = [r[:1] == " " for r in runs]
+        out: list[bytes] = [b""] * len(runs)
+        for at in (k for k, b in enumerate(blank) if not b):
+            out[at] = self._library([runs[at]])[0].tobytes()
+        at = [k for k, b in enumerate(blank) if b]
+        if at:
+            joined = [runs[k] for k in at]
+            ids = self._library(["".join(joined)])[0]
+            ends = np.cumsum([len(r) if r.isascii() else len(r.encode()) for r in joined])
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends).tolist()
+            data, before = ids.tobytes(), 0
+            for k, cut in zip(at, cuts):
+                out[k] = data[before : 4 * cut + 4]
+                before = 4 * cut + 4
+        return out
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, np.uint32).tobytes() for x in got]
+    def _remember(self, runs: list[str], coded: list[bytes]) -> None:
+        """From the second time on that a run is met; a full table keeps what it has."""
+        known, met = self.known, self.met
+        for run, ids in zip(runs, coded):
+            slot = hash(run) % MET
+            if met[slot >> 3] & 1 << (slot & 7):
+                if len(known) < CACHE and len(run) <= 48:
+                    known[run] = ids
+            else:
+                met[slot >> 3] |= 1 << (slot & 7)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        split = [t.replace(" ", "\0 ").split("\0") if t and "\0" not in t and not _GLUED.search(t) else None for t in texts]
-        found = [list(map(self.known.get, runs)) if runs else None for runs in split]
-        new: dict[str, bytes] = {}
-        for runs, parts in zip(split, found):
-            if runs and None in parts:
-                new.update((r, b"") for r, p in zip(runs, parts) if p is None)
-        keys = list(new)
-        new = dict(zip(keys, self._library(keys)))
-        self.known.update((k, v) for k, v in new.items() if len(k) <= 48)
-        out = []
-        for text, runs, parts in zip(texts, split, found):
-            if runs:
-                out.append(b"".join(p if p is not None else new[r] for r, p in zip(runs, parts)) if None in parts else b"".join(parts))
+        """Ids of each text, as little-endian unsigned 32-bit."""
+        get = self.known.get
+        out: list[bytes] = []
+        open_texts, missed = [], {}
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif "\0" in text or _GLUED.search(text) or any(x in text for x in self.added):
+                out.append(self._library([text])[0].tobytes())
             else:
-                out.append(self._library([text])[0] if text else b"")
+                runs = text.replace(" ", "\0 ").split("\0")
+                parts = list(map(get, runs))
+                if None in parts:
+                    holes = [k for k, p in enumerate(parts) if p is None]
+                    missed.update((runs[k], b"") for k in holes)
+                    open_texts.append((len(out), runs, parts, holes))
+                    out.append(b"")
+                else:
+                    out.append(b"".join(parts))
+        if missed:
+            keys = [k for k in missed if k]
+            coded = self._runs(keys)
+            missed.update(zip(keys, coded))
+            self._remember(keys, coded)
+            for at, runs, parts, holes in open_texts:
+                for k in holes:
+                    parts[k] = missed[runs[k]]
+                out[at] = b"".join(parts)
         return out
 
 
-@lru_cache(maxsize=2)
-def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+def _place(folder: str):
+    """The file system and path of a folder's URI."""
+    from pyarrow.fs import FileSystem
+
+    # the file:/path of Hadoop is file:///path to Arrow
+    return FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder))
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most 512 rows and about 4 MB of text, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    lo, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > lo and (held + n > 4_000_000 or k - lo == 512):
+            yield batch.slice(lo, k - lo)
+            lo, held = k, 0
+        held += n
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
 
 
 def write_token_files(
-    df: DataFrame, folder: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text"
+    df: DataFrame, folder: str, tokenizer: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", file_ids: int = 64_000_000
 ) -> DataFrame:
     """Write the ids of ``df`` to ``folder`` in ascending ``doc_id``; returns one row for each file.
 
     Runs when the result does.  ``folder`` is a URI that all executors reach.
+    A file is closed after the document with which it reaches ``file_ids`` ids.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from pyarrow.fs import FileSystem
+        part = TaskContext.get().partitionId()
+        own = held(("tokens", tokenizer), lambda: LibraryEncoder(tokenizer))
+        fs, base = _place(folder)
+        end = np.array([end_id], "<u4").tobytes()
+        writer = sink = temp = None
+        made = 0
+
+        def closed() -> pa.RecordBatch:
+            n_docs, n_ids = writer.close()
+            sink.close()
+            final = f"{base}/part-{part:06d}-{made:06d}.s8b"
+            if fs.get_file_info(final).type:  # another attempt of this task has written the same
+                fs.delete_file(temp)
+            else:
+                fs.move(temp, final)
+            row = [part, made, n_docs, n_ids]
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if k < 2 else pa.int64()) for k, x in enumerate(row)], ["part", "file", "n_docs", "n_ids"])
 
-        part, own = TaskContext.get().partitionId(), library_encoder(tokenizer)
-        # the file:/path of Hadoop is file:///path to Arrow
-        fs, base = FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder))
-        final, temp = f"{base}/part-{part:06d}.s8b", f"{base}/.part-{part:06d}-{uuid.uuid4().hex}"
-        writer = sink = None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                rows = batch.slice(lo, 512)
+            for rows in _parts(batch):
+                docs = pc.fill_null(rows.column(0), NO_ID).to_numpy(zero_copy_only=False)
                 coded = own.encode(rows.column(1).to_pylist())
-                end = np.array([end_id], np.uint32).tobytes()
-                if writer is None:
-                    sink = fs.open_output_stream(temp)
-                    writer = FileWriter(sink)
                 sizes = np.array([len(x) // 4 + 1 for x in coded])
-                writer.add(rows.column(0).to_numpy(zero_copy_only=False), sizes, np.frombuffer(b"".join(y for x in coded for y in (x, end)), np.uint32))
+                lo = 0
+                while lo < len(coded):
+                    if writer is None:
+                        temp = f"{base}/.part-{part:06d}-{uuid.uuid4().hex}"
+                        sink = fs.open_output_stream(temp)
+                        writer = FileWriter(sink)
+                    hi = lo + int(np.searchsorted(np.cumsum(sizes[lo:]), file_ids - writer.n_ids)) + 1
+                    writer.add(docs[lo:hi], sizes[lo:hi], np.frombuffer(b"".join(y for x in coded[lo:hi] for y in (x, end)), "<u4"))
+                    lo = hi
+                    if writer.n_ids >= file_ids:
+                        yield closed()
+                        writer, made = None, made + 1
         if writer is not None:
-            n_docs, n_ids = writer.close()
-            sink.close()
-            fs.move(temp, final)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([final]), pa.array([n_docs]), pa.array([n_ids])], ["part", "path", "n_docs", "n_ids"])
+            yield closed()
 
-    rows = df.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).repartitionByRange("d").sortWithinPartitions("d", "t")
-    return rows.mapInArrow(write, SCHEMA)
+    rows = df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
+    # rows of one id may lie in several ranges; rows that are wholly alike can change places
+    placed = rows.withColumns({"h": F.xxhash64("t"), "m": F.monotonically_increasing_id()})
+    order = [F.asc_nulls_first("d"), F.col("h"), F.col("m")]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("d", "t").mapInArrow(write, SCHEMA)
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
     """``(doc_id long, start long, ids binary)`` of the files in ``folder``.
 
     ``ids`` are little-endian unsigned 32-bit; ``start`` counts the ids of all
-    documents before.  ``manifest`` has a row for each file, not for each document.
+    documents before.  ``manifest`` has a row for each file, not for each
+    document.  A task reads a file block by block.
     """
     before, rows = 0, []
-    for m in sorted(manifest, key=lambda r: r["part"]):
-        rows.append((m["part"], before))
+    for m in sorted(manifest, key=lambda r: (r["part"], r["file"])):
+        rows.append((f"part-{m['part']:06d}-{m['file']:06d}.s8b", before))
         before += m["n_ids"]
-    offsets = spark.createDataFrame(rows, "part int, before long")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _place(folder)
         for batch in batches:
-            for content, before in zip(batch.column(0), batch.column(1).to_pylist()):
-                for docs, starts, lists in read_documents(content.as_buffer()):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs), pa.array(starts + before), pa.array([x.astype("<u4").tobytes() for x in lists], pa.binary())],
-                        ["doc_id", "start", "ids"],
-                    )
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.s8b").load(folder)
-    part = F.regexp_extract("path", r"part-(\d+)\.s8b$", 1).cast("int")
-    return (
-        files.select(part.alias("part"), "content")
-        .join(F.broadcast(offsets), "part")
-        .select("content", "before")
-        .mapInArrow(read, "doc_id long, start long, ids binary")
-    )
-
-
-def crc32_of(ids: np.ndarray) -> int:
-    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+            for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with fs.open_input_file(f"{base}/{name}") as source:
+                    for docs, starts, lists in read_documents(source):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(docs, mask=docs == NO_ID), pa.array(starts + before), pa.array([x.astype("<u4").tobytes() for x in lists], pa.binary())],
+                            ["doc_id", "start", "ids"],
+                        )
+
+    files = spark.createDataFrame(rows, "name string, before long").repartition(max(1, len(rows)))
+    return files.mapInArrow(read, "doc_id long, start long, ids binary")
