@@ -30,9 +30,11 @@ No bucket is capped.  Joins are plain equi-joins, which adaptive execution can
 split where a key is hot.  Intermediate tables are written to the shared folder.
 
 Null or empty texts, and texts without words, have an empty set and no links;
-a text of fewer words than a shingle is one shingle.  A null id is returned
-with a null component.  Rows that repeat an id count as one node.  An
-empty table gives an empty table.
+a text of fewer words than a shingle is one shingle.  Long texts are taken whole.
+Nodes are distinct sets, so each text of an id that has several is compared,
+and rows of one id are linked.  A row without an id gets the component of its
+set, null if no row of that has one.  An empty table gives an empty table.  Only the two named
+columns are read, so others may have any name; they are not returned.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tessera.llm.common import components, written
+from tessera.llm.common import components, held, written
 
 CHUNKS, WIDTH = 12, 5
 SYMBOLS = CHUNKS * WIDTH
@@ -58,6 +60,8 @@ LEADERS = 4
 #: Nodes up to which all pairs of a key across components are formed; beyond, the
 #: prefixes of the full sets give the pairs.
 SMALL_KEY = 32
+#: Sets that may count as large, of which rows are not shuffled in the end.
+LARGE_SETS = 4_096
 #: Ids up to which the table of candidates is sent to all executors instead of shuffling all texts.
 BROADCAST_IDS = 1_000_000
 
@@ -130,6 +134,7 @@ def signature(text: Column, words: int) -> Column:
 
     @arrow_udf("struct<n:long,high:long,low:long,lanes:array<long>,keys:array<long>>")
     def compute(texts: pa.Array) -> pa.Array:
+        held("minhash", object)  # frees what an earlier step has left
         n, high, low, sigs = [], [], [], []
         for x in texts:
             s = shingle_set(x.as_py(), words)
@@ -163,18 +168,18 @@ def linked(a: Column, b: Column, words: int, percent: int) -> Column:
     @arrow_udf("boolean")
     def compute(left: pa.Array, right: pa.Array) -> pa.Array:
         sets: dict[str, np.ndarray] = {}
-        held = 0
+        size = 0
 
         def of(text: str) -> np.ndarray:
-            nonlocal held
+            nonlocal size
             got = sets.get(text)
             if got is None:
                 got = shingle_set(text, words)
-                if held > 4_000_000:
+                if size > 4_000_000:
                     sets.clear()
-                    held = 0
+                    size = 0
                 sets[text] = got
-                held += len(got)
+                size += len(got)
             return got
 
         out = []
@@ -231,14 +236,16 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
 
     ``component_id`` is the least id that can be reached by links.
     """
-    docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    sig = written(docs.select("id", signature(F.col("text"), words).alias("s")).select("id", "s.*"), "signatures")
-    nodes = sig.where("n > 0 and id is not null").groupBy("high", "low").agg(F.min("id").alias("node"))
+    # t tells the texts of one id apart
+    docs = df.select(F.col(id).alias("id"), F.col(text).alias("text")).withColumn("t", F.xxhash64("text"))
+    sig = written(docs.select("id", "t", signature(F.col("text"), words).alias("s")).select("id", "t", "s.*"), "signatures")
+    some = sig.where("n > 0")
+    sets = some.groupBy("high", "low").agg(
+        F.min(F.when(F.col("id").isNotNull(), F.struct("id", "t"))).alias("top"), F.count("*").alias("rows"), F.first(F.struct("n", "lanes", "keys")).alias("s")
+    )
+    # a set is known by its number, and by the least of its ids once links are found
     reps = written(
-        sig.where("n > 0")
-        .join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-        .dropDuplicates(["id"]),
-        "nodes",
+        sets.where("top is not null").select(F.monotonically_increasing_id().alias("id"), F.col("top.id").alias("doc"), "top.t", "high", "low", "rows", "s.*"), "nodes"
     )
     keyed = reps.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
@@ -258,10 +265,11 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
     )
     stars = written(close(stars.select("e.*").where("a <> b").distinct()), "stars")
 
-    needed = members.select("id").distinct()
-    if needed.count() <= BROADCAST_IDS:
+    needed = members.select("id").distinct().join(reps.select("id", "doc", "t"), "id")
+    if members.select("id").distinct().count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
-    texts = written(docs.join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    found_texts = docs.withColumnRenamed("id", "doc").join(needed, ["doc", "t"]).select("id", "text")
+    texts = written(found_texts.groupBy("id").agg(F.first("text").alias("text")), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("id").alias("a"), F.col("text").alias("t_a"))
@@ -308,14 +316,19 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     links = written(links.unionByName(confirmed(rest)), "links")
-    joined = components(links)
-    return (
-        sig.select("id", "n", "high", "low")
-        .join(nodes, ["high", "low"], "left")
-        .join(joined.select(F.col("id").alias("node"), "component"), "node", "left")
-        .select(
-            F.col("id").alias(id),
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("n") > 0, F.coalesce("component", "node", "id")).otherwise(F.col("id")).alias("component_id"),
-        )
-    )
+    # from sets to documents: rows of one id are linked too
+    rows = some.where("id is not null").select("id", "high", "low")
+    several = rows.groupBy("id").agg(F.min(F.struct("high", "low")).alias("x"), F.max(F.struct("high", "low")).alias("y")).where("x <> y").select("id")
+    docs_of = reps.select("id", "doc")
+    edges = links.join(docs_of.withColumnRenamed("id", "a").withColumnRenamed("doc", "d_a"), "a").join(docs_of.withColumnRenamed("id", "b").withColumnRenamed("doc", "d_b"), "b")
+    same = rows.join(several, "id").join(reps.select("high", "low", "doc"), ["high", "low"]).select(F.col("id").alias("a"), F.col("doc").alias("b"))
+    joined = components(written(edges.select(F.col("d_a").alias("a"), F.col("d_b").alias("b")).unionByName(same.where("a <> b")), "doc-links"))
+    known = reps.select("high", "low", "rows", "doc").join(joined.select(F.col("id").alias("doc"), "component"), "doc", "left")
+    known = written(known.select("high", "low", "rows", F.coalesce("component", "doc").alias("component")), "classes")
+    # sets of over a 4,096th of the rows: at most 4,096, so they are sent to all tasks and their rows stay where they are
+    large = F.broadcast(known.where(F.col("rows") > F.lit(sig.count() / LARGE_SETS)).select("high", "low", "component"))
+    marked = some.select("id", "n", "high", "low").join(large, ["high", "low"], "left")
+    hot = marked.where("component is not null").select("id", "n", "component")
+    rest = marked.where("component is null").drop("component").join(known.select("high", "low", "component"), ["high", "low"], "left")
+    every = hot.unionByName(rest.select("id", "n", "component")).unionByName(sig.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    return every.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
