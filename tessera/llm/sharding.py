@@ -13,9 +13,10 @@ Slots number the rows of a shard from 0 without gaps: rows of a shard are
 dealt to ``lanes`` by a hash of all their columns, lanes are counted, and a row's
 slot is its lane's offset plus its place in the lane.
 
-Null keys form one group.  Rows that are wholly alike get different slots.
-An empty table gives an empty table.  Input columns named like an output are
-replaced.
+Null keys form one group; a null size counts as 0.  Rows that are wholly alike
+get different slots.  An empty table gives an empty table.  Input columns named
+like an output are replaced, so ``key``, ``size`` and ``order`` may not be; any
+other name is kept.
 """
 
 from __future__ import annotations
@@ -44,36 +45,33 @@ def shard_groups(df: DataFrame, key: str, size: str, shards: int, order: str, gr
     by which a lane's rows are numbered.
     """
     spark = df.sparkSession
-    groups = df.groupBy(F.coalesce(F.col(key), F.lit("")).alias("g"), F.col(key).isNull().alias("none")).agg(F.sum(size).alias("bytes"))
-    total = df.agg(F.sum(size)).first()[0] or 0
+    kept = [F.col(f"r.`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")]
+    # the input's row is one column, so that no name of it meets one of the names below
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")])
+    rows = df.select(row.alias("r"), F.col(key).alias("k"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("b"), F.col(order).alias("o"))
+    rows = rows.withColumns({"g": F.coalesce(F.col("k").cast("string"), F.lit("")), "none": F.col("k").isNull()})
+    groups = rows.groupBy("g", "none").agg(F.sum("b").alias("bytes"))
+    total = rows.agg(F.sum("b")).first()[0] or 0
     bound = total / (grain * shards)
     bundle = F.pmod(F.xxhash64("g", "none"), F.lit(grain * shards)).cast("int")
     item = F.when(F.col("bytes") > bound, F.concat_ws(":", F.col("g"), F.col("none").cast("string")))
     # the same rule on both sides: a large group is known by its name, the others by their bundle
     sized = groups.select(F.coalesce(item, bundle.cast("string")).alias("item"), item.isNotNull().alias("large"), "bytes")
     loads = sized.groupBy("item", "large").agg(F.sum("bytes").alias("bytes")).collect()  # at most 2 * grain * shards rows
-    placed = schedule([(r["bytes"], (r["item"], r["large"])) for r in loads], shards)
-    rows = [(i, large, s) for (i, large), s in placed.items()]
-    table = spark.createDataFrame(rows, "item string, large boolean, shard int")
+    placed = schedule([(x["bytes"], (x["item"], x["large"])) for x in loads], shards)
+    table = spark.createDataFrame([(i, large, s) for (i, large), s in placed.items()], "item string, large boolean, shard int")
     big = table.where("large").select(F.col("item").alias("big_item"), F.col("shard").alias("big_shard"))
     small = table.where("not large").select(F.col("item").cast("int").alias("small_item"), F.col("shard").alias("small_shard"))
-    named = df.drop("shard", "slot").withColumns({"g": F.coalesce(F.col(key), F.lit("")), "none": F.col(key).isNull()})
     dealt = (
-        named.withColumn("big_item", F.concat_ws(":", F.col("g"), F.col("none").cast("string")))
+        rows.withColumn("big_item", F.concat_ws(":", F.col("g"), F.col("none").cast("string")))
         .withColumn("small_item", bundle)
         .join(F.broadcast(big), "big_item", "left")
         .join(F.broadcast(small), "small_item", "left")
-        .withColumn("shard", F.coalesce("big_shard", "small_shard"))
-        .drop("big_item", "small_item", "big_shard", "small_shard", "g", "none")
+        .select("r", "o", F.coalesce("big_shard", "small_shard").alias("shard"), F.pmod(F.xxhash64("r"), F.lit(lanes)).cast("int").alias("lane"))
     )
-    laned = dealt.withColumn("lane", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(lanes)).cast("int"))
-    counts = laned.groupBy("shard", "lane").agg(F.count("*").alias("n"))
+    counts = dealt.groupBy("shard", "lane").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("shard", "lane").orderBy(order))
-    return (
-        laned.withColumn("place", place)
-        .join(F.broadcast(offsets), ["shard", "lane"])
-        .withColumn("slot", F.col("before") + F.col("place") - 1)
-        .drop("lane", "place", "before")
-    )
+    place = F.row_number().over(Window.partitionBy("shard", "lane").orderBy("o"))
+    slots = dealt.withColumn("place", place).join(F.broadcast(offsets), ["shard", "lane"])
+    return slots.select(*kept, "shard", (F.col("before") + F.col("place") - 1).alias("slot"))
