@@ -11,7 +11,8 @@ collision of keys changes nothing.
 
 The longest rule that fits wins; of rules of one length the one with the longer
 host.  Two rules with the same host and path, or an unknown verdict, are an
-error.  A null URL, and one without ``://``, has an empty host and path and
+error.  Domains longer than the longest rule's host need no probe, so a URL of any
+length has few candidates.  Repeated rows are judged each.  A null URL, and one without ``://``, has an empty host and path and
 fits no rule.  URLs that fit none get the ``default`` verdict.  Other columns
 pass through; those named like an output are replaced; an empty table gives an
 empty table.
@@ -73,16 +74,19 @@ class DigestRules:
             self.verdicts = np.memmap(path, "u1", "r", at + 20 * n + 8, (n,))
             self.strings = np.memmap(path, "u1", "r", at + 21 * n + 8)
             sizes = np.diff(self.ends.astype(np.int64)) - self.hosts
-            self.lengths = np.unique(sizes).tolist()
+            self.lengths, self.longest = np.unique(sizes).tolist(), int(self.hosts.max())
         else:
-            self.keys, self.lengths = np.empty(0, "<u8"), []
+            self.keys, self.lengths, self.longest = np.empty(0, "<u8"), [], 0
 
     def name(self, i: int) -> bytes:
         return self.strings[int(self.ends[i]) : int(self.ends[i + 1])].tobytes()
 
     def candidates(self, host: bytes, path: bytes) -> list[tuple[bytes, int]]:
         """Names that rules which fit may have, longest first."""
+        # no rule's host is longer; the first part of a longer domain may be cut off
         out, domain = [], host
+        if len(host) > self.longest:
+            domain = host[-self.longest - 1 :].partition(b".")[2] if self.longest else b""
         while domain:
             out += [(domain + path[:k], len(domain)) for k in self.lengths if k <= len(path)]
             domain = domain.partition(b".")[2]
