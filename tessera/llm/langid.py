@@ -10,19 +10,20 @@ higher level; texts whose margin is still below ``min_margin`` are rejected.
 
 The dictionaries are the only thing learned.  They come from a bounded sample:
 of each language the ``sample_docs`` labelled texts with the least hash of
-their id, up to ``dictionary_bytes`` bytes in that order, and at most
-``max_languages`` languages, those with most labelled texts.
+their id, up to ``dictionary_bytes`` bytes in that order.  More than
+``max_languages`` languages are an error.
 
 Null texts and texts without a letter are ``und``, with score 0 and not
 accepted; so is every text when nothing was learned.  The score is
 ``margin / (margin + 0.02)``, from 0 to 1.  Ties go to the language with most
-labelled texts.  Other columns pass through; those named like an output are
-replaced.
+labelled texts.  Long texts are compressed block by block.  Repeated rows are
+judged each; labelled rows that repeat an id and language count once, with the
+least text.  An empty table gives an empty table.  Other columns pass through;
+those named like an output are replaced.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import pyarrow as pa
@@ -31,13 +32,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tessera.llm.common import held
+
 BLOCK_BYTES = 2_000
 #: Compression level; and that of the second try, below that margin.
 LEVEL, LEVEL_AGAIN, NARROW = 6, 12, 0.01
 #: ASCII other than letters to blanks.
 _TABLE = bytes(c if c >= 128 or 97 <= c <= 122 or 65 <= c <= 90 else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
-_HELD: dict[str, list] = {}
 
 
 def learn_languages(
@@ -53,15 +54,18 @@ def learn_languages(
     rows = labelled.select(F.col(id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(
         "lang is not null and text is not null"
     )
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).collect()
+    if len(most) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
     # ids are ranked first (each task keeps its own best), then their texts are fetched
-    best = rows.select("id", "lang").join(F.broadcast(most.select("lang")), "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_docs)
-    found = rows.join(F.broadcast(best.select("id", "lang", "place")), ["id", "lang"]).select("lang", "place", F.substring("text", 1, dictionary_bytes).alias("text"))
+    best = rows.select("id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_docs)
+    best = best.groupBy("id", "lang").agg(F.min("place").alias("place"))
+    found = rows.join(F.broadcast(best), ["id", "lang"]).groupBy("lang", "place").agg(F.min(F.substring("text", 1, dictionary_bytes)).alias("text"))
     texts: dict[str, list] = {}
     for r in found.collect():  # at most sample_docs * max_languages rows
         texts.setdefault(r["lang"], []).append((r["place"], r["text"]))
-    counts = {r["lang"]: r["count"] for r in most.collect()}
+    counts = {r["lang"]: r["count"] for r in most}
     return {
         k: normal("\n".join(t for _, t in sorted(v)))[:dictionary_bytes]
         for k, v in sorted(texts.items(), key=lambda x: (-counts[x[0]], x[0]))
@@ -87,7 +91,7 @@ class CompressionClassifier:
 
     def classify(self, text: str | None) -> tuple[str | None, float]:
         """The language and the margin; none for texts without a letter."""
-        if not text or not self.names or not _LETTER.search(text):
+        if not text or not self.names or not any(map(str.isalpha, text)):
             return None, 0.0
         data = normal(text)
         if len(self.names) == 1:
@@ -110,10 +114,7 @@ def identify_language(df: DataFrame, dictionaries: dict[str, bytes], text: str =
 
     @arrow_udf("struct<lang_pred:string,score:double,accepted:boolean>")
     def classify(texts: pa.Array) -> pa.Array:
-        own = _HELD.get(name)
-        if own is None:
-            _HELD.clear()
-            own = _HELD[name] = CompressionClassifier(shared.value)
+        own = held(("languages", name), lambda: CompressionClassifier(shared.value))
         found = [own.classify(x.as_py()) for x in texts]
         return pa.StructArray.from_arrays(
             [
