@@ -6,14 +6,16 @@ of the categories before it.  In training these log-odds are out-of-fold: a row'
 earlier categories are predicted by models that have not seen the row.  The last
 category decides.
 
-Features of a text are its distinct words (lower-cased runs of letters) and the
+Features of a text are its distinct words (lower-cased runs of letters and of
+numerals other than decimal digits) and the
 first four, five and six letters of longer words, marked as beginnings.  The
 vocabulary holds, for each category, the features whose share among its rows
 differs most from the rest (smoothed log-odds over their standard error); it is
-counted by Spark.  Words of over 32 letters count by their beginnings only.
+counted by Spark over all labelled documents.  Words of over 32 letters count by
+their beginnings only.
 
-What is fitted is fitted on a bounded sample: the ``sample_rows`` labelled
-documents with the least hash of their id.  Scoring covers every document and its
+The links are fitted on a bounded sample: the ``sample_rows`` labelled documents
+with the least hash of their id, one text of each.  Scoring covers every document and its
 whole text.
 
 Null and empty texts, and texts without letters, have no features and score what
@@ -26,6 +28,7 @@ columns pass through; those named like an output are replaced.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tessera.llm.common import written
+from tessera.llm.common import held, written
 from tessera.llm.linear import SparseLogistic, folds
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -137,8 +140,8 @@ def train_toxicity(
 
     known = labels.where(F.col(id).isNotNull()).groupBy(id).agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(c) for c in categories])
     sample = known.orderBy(F.xxhash64(F.col(id).cast("string")), id).limit(sample_rows)
-    rows = docs.select(id, F.col(text).alias("_t")).join(F.broadcast(sample), id).select("_t", *categories)
-    totals = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
+    rows = docs.select(id, F.col(text).alias("_t")).join(known, id).select("_t", *categories)
+    totals = docs.select(id).join(known, id).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     parts = rows.mapInArrow(counted, ", ".join(["w string", "n long", *[f"`{c}` long" for c in categories]]))
     each = written(parts.groupBy("w").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in categories]).where("n >= 3"), "toxic-words")
     best = None
@@ -155,19 +158,21 @@ def train_toxicity(
     def numbered(texts: pa.Array) -> pa.Array:
         return pa.array([np.sort(chain.numbers(x.as_py())).tolist() for x in texts], pa.list_(pa.int32()))
 
-    taken = docs.select(id, F.col(text).alias("_t")).join(F.broadcast(sample), id).select(id, *categories, numbered("_t").alias("_f")).collect()
-    taken.sort(key=lambda r: (r[id], r["_f"]))  # sample_rows ids
+    taken = docs.select(id, F.col(text).alias("_t")).join(F.broadcast(sample), id).select(id, *categories, numbered("_t").alias("_f"))
+    taken = taken.groupBy(id, *categories).agg(F.min("_f").alias("_f")).collect()  # at most sample_rows
+    taken.sort(key=lambda r: r[id])
     return chain.fit([np.array(r["_f"], np.int64) for r in taken], np.array([[r[c] for c in categories] for r in taken], float).reshape(len(taken), len(categories)))
 
 
 def score_toxicity(docs: DataFrame, chain: ToxicityChain, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``<category>_score double`` for each category and ``flagged boolean``, by the last category."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
+    name = uuid.uuid4().hex
     names = [f"{c}_score" for c in chain.categories]
 
     @arrow_udf(f"struct<{','.join(f'{n}:double' for n in names)}>")
     def score(texts: pa.Array) -> pa.Array:
-        own = shared.value
+        own = held(("toxicity", name), lambda: shared.value)
         got = own.predict([own.numbers(x.as_py()) for x in texts])
         return pa.StructArray.from_arrays([pa.array(got[:, j], pa.float64()) for j in range(len(names))], names)
 
