@@ -1,18 +1,25 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-The encodings of byte strings form a monoid under ``join``: a string is halved
-until the leaves are short, leaves are merged by rank, and neighbours are
-joined up the tree.  ``join`` re-encodes a window around the boundary and lets
-it grow until both its outer edges are *stable*.  An edge between tokens a and
-b is stable when the bytes of a and b together encode to exactly (a, b).  A
-token sequence of which every neighbouring pair is stable is the encoding of
-its bytes, so once both edges are stable no token outside the window can
-change.  Pretokens (matches of the pattern) never interact, so above them the
-tree only concatenates; decoding concatenates at every level.
+The encodings of byte strings form a monoid under ``join``.  A text is halved
+at run boundaries until at most ``FAN`` runs are left, a match of the pattern
+is halved at bytes until at most ``LEAF`` are left; leaves are merged by rank
+or looked up, and neighbours are joined up the tree.  Inside a match ``join``
+re-encodes a window around the boundary and lets it grow until both its outer
+edges are *stable*.  An edge between tokens a and b is stable when the bytes of
+a and b together encode to exactly (a, b).  A token sequence of which every
+neighbouring pair is stable is the encoding of its bytes, so once both edges are
+stable no token outside the window can change.  Between matches every edge is
+stable, as they never interact, so there joining is concatenation and needs no
+window.  Runs are cut at blanks at which the pattern always cuts; a leaf's runs,
+and matches that are vocabulary entries, are looked up in tables.
+
+Decoding halves the ids until at most ``FAN`` are left, looks these up, and
+concatenates up the tree.
 
 Null text counts as empty and yields no ids.  Empty tables give empty tables.
 Repeated rows are encoded each on its own.  Other columns pass through; an
-input column with the output's name is replaced.
+input column with the output's name is replaced.  A worker holds the tables of
+one codec, each of a bounded size, besides the batch of rows.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ import base64
 import heapq
 import re
 from array import array
-from functools import lru_cache
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-LEAF = 8
-#: Entries after which a worker's table of encoded strings starts anew.
-CACHE = 700_000
+from tessera.llm.common import held
+
+#: Bytes of a match, and runs or ids of a text, that make a leaf of the tree.
+LEAF, FAN = 8, 64
+#: Entries after which one of a worker's tables of encoded strings starts anew.
+CACHE = 400_000
 #: Bits that tell whether a run was met before; runs are remembered from their second time on.
 MET = 1 << 23
 #: A blank that the pattern would put into one piece with the white space before it.
@@ -147,54 +157,56 @@ class TreeCodec:
         return got
 
     def _keep(self, known: dict, key, got) -> None:
-        """Remember up to ``CACHE`` entries; a full table starts anew after as many misses again."""
+        """Remember up to ``CACHE`` entries; a full table starts anew after eight times as many misses."""
         if len(known) < CACHE:
             known[key] = got
             return
         self._missed[id(known)] = missed = self._missed.get(id(known), 0) + 1
-        if missed > CACHE:
+        if missed > 8 * CACHE:
             known.clear()
             self._missed[id(known)] = 0
 
     # -- texts ----------------------------------------------------------
-    def encode_pieces(self, text: str) -> list[int]:
-        out: list[int] = []
+    def _match(self, piece: str) -> bytes:
+        """Ids of one match of the pattern."""
+        data = piece.encode("utf-8", "surrogatepass")
+        whole = self.ranks.get(data)
+        return array("i", (whole,) if whole is not None else self.tree(data)).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        """Ids of a run of whole matches."""
         # a blank and letters are one match, and so is one mark after them
         if not self.plain:
-            pieces = self.pieces(text)
-        elif text[:1] == " " and text[1:].isalpha():
-            pieces = (text,)
-        elif text[:1] == " " and text[1:-1].isalpha() and text[-1] in ".,;:!?)":
-            pieces = (text[:-1], text[-1])
+            pieces = self.pieces(run)
+        elif run[:1] == " " and run[1:].isalpha():
+            pieces = (run,)
+        elif run[:1] == " " and run[1:-1].isalpha() and run[-1] in ".,;:!?)":
+            pieces = (run[:-1], run[-1])
         else:
-            pieces = self.pieces(text)
-        for piece in pieces:
-            data = piece.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(data)
-            out.extend((whole,) if whole is not None else self.tree(data))
-        return out
+            pieces = self.pieces(run)
+        return concatenated(list(map(self._match, pieces)), 0, len(pieces))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text.
 
         Runs that start at a blank hold whole matches of the pattern, unless
         the blank stands inside white space, so they are encoded once and
-        remembered; other texts go through the pattern as a whole.
+        remembered; texts with such blanks are one run.
         """
         if not text:
             return np.empty(0, np.int32)
         if not self.plain or "\0" in text or _GLUED.search(text):
-            return np.array(self.encode_pieces(text), np.int32)
+            return np.frombuffer(self._run(text), np.int32)
         known = self._chunk
         runs = text.replace(" ", "\0 ").split("\0")
         parts = list(map(known.get, runs))
         if None in parts:
             for at, run in enumerate(runs):
                 if parts[at] is None:
-                    parts[at] = got = array("i", self.encode_pieces(run)).tobytes()
+                    parts[at] = got = self._run(run)
                     if len(run) <= 48 and self._again(run):
                         self._keep(known, run, got)
-        return np.frombuffer(b"".join(parts), np.int32)
+        return np.frombuffer(concatenated(parts, 0, len(parts)), np.int32)
 
     def _again(self, run: str | bytes) -> bool:
         slot = hash(run) % MET
@@ -203,18 +215,22 @@ class TreeCodec:
         self._met[at] |= bit
         return bool(met)
 
-    def decode(self, ids, block: int = 4096) -> bytes:
-        """Bytes of ids: blocks are looked up, then concatenated up the tree."""
-        if len(ids) <= block:
-            return b"".join(map(self.bytes_of.__getitem__, ids))
-        mid = len(ids) // 2
-        return self.decode(ids[:mid], block) + self.decode(ids[mid:], block)
+    def decode(self, ids: list[int]) -> bytes:
+        """Bytes of ids."""
+        return concatenated(ids, 0, len(ids), self.bytes_of.__getitem__)
+
+
+def concatenated(parts: list, lo: int, hi: int, of: Callable | None = None) -> bytes:
+    """The bytes of ``parts[lo:hi]``, or of what ``of`` gives for each, concatenated up a tree."""
+    if hi - lo <= FAN:
+        return b"".join(map(of, parts[lo:hi]) if of else parts[lo:hi])
+    mid = (lo + hi) // 2
+    return concatenated(parts, lo, mid, of) + concatenated(parts, mid, hi, of)
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> TreeCodec:
-    """One codec for each worker process."""
-    return TreeCodec(read_ranks(path), pattern)
+    """The codec that this worker holds."""
+    return held(("bpe", path, pattern), lambda: TreeCodec(read_ranks(path), pattern))
 
 
 def encode_column(text: Column, path: str, pattern: str) -> Column:

@@ -10,14 +10,15 @@ that end in this block stand in a bucket by the hash of their suffix, and each o
 compared with the text word by word.
 
 The benchmark's tables are broadcast in parts of at most ``part_words`` words
-of patterns, and a document is searched for each part in turn, so memory stays
-bounded whatever the benchmark's size.
+of patterns (or one item).  Documents are searched for one part after the
+other; between parts they are written to the shared folder, so a worker holds
+one part's tables whatever the benchmark's size.
 
 Null texts have no words; items without words are ignored; repeated items count
 once for each distinct id.  Items whose id is null are searched too where
 ``unnamed`` is set, and are one null id, last in the list; otherwise they are
-ignored.  Empty documents give an empty table, an empty
-benchmark no hits.  Other columns of the documents pass through; those named
+ignored.  Ties don't arise; repeated documents are searched each, long ones
+whole.  An empty table gives an empty table, an empty benchmark no hits.  Other columns of the documents pass through; those named
 like an output are replaced.
 """
 
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tessera.llm.common import held, written
+
 #: A-Z to a-z; ASCII other than letters and digits to blanks; the rest stays.
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -119,9 +122,6 @@ def in_order(items: Iterable[str | None]) -> list[str | None]:
     return sorted(set(items), key=lambda x: (x is None, x or ""))
 
 
-_HELD: dict[str, WuManber] = {}
-
-
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -145,19 +145,19 @@ def find_contamination(
     rows = named.select(F.col(item_id).cast("string"), F.col(item_text)).toLocalIterator()
 
     def parts() -> Iterator[list]:
-        held, n = [], 0
+        part, n = [], 0
         for item, body in rows:
             words = words_of(body)
+            if n >= part_words and words:
+                yield part
+                part, n = [], 0
             if words:
-                held.append((item, words))
+                part.append((item, words))
                 n += size * max(1, len(words) - size + 1)
-            if n >= part_words:
-                yield held
-                held, n = [], 0
-        yield held
+        yield part
 
-    for held in parts():
-        out = _search_part(out, spark.sparkContext.broadcast((held, size)), text)
+    for k, part in enumerate(parts()):
+        out = _search_part(written(out, "searched") if k else out, spark.sparkContext.broadcast((part, size)), text)
     return out
 
 
@@ -167,11 +167,7 @@ def _search_part(docs: DataFrame, shared, text: str) -> DataFrame:
 
     @arrow_udf(kind)
     def search(texts: pa.Array, spans: pa.Array, items: pa.Array) -> pa.Array:
-        table = _HELD.get(name)
-        if table is None:
-            if len(_HELD) > 3:
-                _HELD.clear()
-            table = _HELD[name] = WuManber(*shared.value)
+        table = held(("benchmark", name), lambda: WuManber(*shared.value))
         n, all_spans, all_items = [], [], []
         for x, old, who in zip(texts, spans, items):
             words = words_of(x.as_py())

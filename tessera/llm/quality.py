@@ -15,12 +15,15 @@ covers every document and its whole text.
 Documents are accepted from a score of ``threshold`` on.  Null text counts as
 empty, null metadata as a value of its own.  Where labels are missing or of one
 kind only, every document gets their mean (or 1) as its score.  Labels that
-repeat an id are averaged.  Other columns pass through; those named like an
-output are replaced.
+repeat an id are averaged, repeated documents of a sampled id are one row of the
+fit (the one with the least features) and scored each, whole however long.  An
+empty table gives an empty table.  Other columns pass through; those named like
+an output are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from operator import eq
 
@@ -30,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tessera.llm.common import held
 from tessera.llm.linear import Logistic, folds, sigmoid
 
 SOURCE_SLOTS, LANG_SLOTS = 48, 12
@@ -155,9 +159,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", label:
     known = labels.where(f"{id} is not null and {label} is not null").groupBy(id).agg((F.avg(label) >= 0.5).cast("double").alias("_y"))
     by_hash = F.xxhash64(F.col(id).cast("string"))
     sample = known.orderBy(by_hash, id).limit(sample_rows)
-    pool = docs.select(id).where(f"{id} is not null").orderBy(by_hash, id).limit(pool_rows).distinct().join(F.broadcast(sample.select(id)), id, "left_anti")
+    others = docs.select(id).where(f"{id} is not null").join(F.broadcast(sample.select(id)), id, "left_anti")
+    # four times as many rows, as ids may repeat
+    pool = others.orderBy(by_hash, id).limit(4 * pool_rows).distinct().orderBy(by_hash, id).limit(pool_rows)
     wanted = sample.unionByName(pool.withColumn("_y", F.lit(None).cast("double")))  # at most sample_rows + pool_rows ids
-    rows = docs.select(F.col(id), *columns).join(F.broadcast(wanted), id).select(id, "_y", features(*_inputs(columns)).alias("f")).select(id, "_y", "f.*").collect()
+    taken = docs.select(F.col(id), *columns).join(F.broadcast(wanted), id).select(id, "_y", features(*_inputs(columns)).alias("f"))
+    rows = taken.groupBy(id).agg(F.first("_y").alias("_y"), F.min("f").alias("f")).select(id, "_y", "f.*").collect()
     rows.sort(key=lambda r: (r[id], r["content"]))
     lab, free = [r for r in rows if r["_y"] is not None], [r for r in rows if r["_y"] is None]
     width = (len(content_features("")), SOURCE_SLOTS + LANG_SLOTS + 3)
@@ -168,10 +175,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", label:
 def score_quality(docs: DataFrame, model: CoTrained, columns=COLUMNS, threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``content_score, metadata_score, score double, accepted boolean``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
 
     @arrow_udf("struct<content_score:double,metadata_score:double,score:double>")
     def score(*given: pa.Array) -> pa.Array:
-        got = shared.value.predict(*_views(given)) if len(given[0]) else [np.empty(0)] * 3
+        model = held(("quality", name), lambda: shared.value)
+        got = model.predict(*_views(given)) if len(given[0]) else [np.empty(0)] * 3
         return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in got], ["content_score", "metadata_score", "score"])
 
     return (
