@@ -1,7 +1,8 @@
 """A training corpus from `documents`, stage by stage.
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all that the one before has
-kept and calls one operator.  Between stages the rows are written as Parquet to
+kept, whole texts however long, and calls one operator.  Columns of ``docs``
+other than the five named here are dropped; an empty table gives an empty table.  Between stages the rows are written as Parquet to
 the folder that driver and executors share, and read again.
 """
 
@@ -22,34 +23,42 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
+    """Documents that the co-trained classifier rejects go; rows that repeat are judged each, null texts as empty."""
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, model).where("accepted").select(COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no language's dictionary compresses clearly best go."""
+    """Documents that no language's dictionary compresses clearly best go, so do null texts and those without a letter."""
     learned = langid.learn_languages(docs)
     return langid.identify_language(docs, learned).where("accepted").select(COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the least id stays; rows of one id are one document."""
-    found = neardup.near_duplicates(docs, words=5, percent=80)
+    """Of each group the document with the least id stays.
+
+    Rows of one id are one document: the row with the least text stays, of rows
+    with the same text too.  Rows without an id are no documents that another could stand for, and stay.
+    """
+    found = written(neardup.near_duplicates(docs, words=5, percent=80), "near-duplicates")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    known = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionByName(left.where("doc_id is null")).select(COLUMNS)
+    left = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    rest = [F.min_by(F.struct(*COLUMNS), F.struct("text", "lang", "source", "n_chars")).alias("r")]
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(*rest).select("r.*")
+    return left.join(again, "doc_id", "left_anti").unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of any benchmark item go."""
+    """Documents with a window of any benchmark item go; null and empty texts have none and stay."""
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
     return decontam.find_contamination(docs, items, size=10, unnamed=True).where(F.size("hit_spans") == 0).select(COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each whole text, and digests of the ids and of what they decode to."""
+    """Token ids of each whole text, and digests of the ids and of what they decode to; null counts as empty."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe.bpe_encode(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids")
     return bpe.bpe_decode(coded, path, pattern).select(
