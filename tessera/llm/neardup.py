@@ -13,12 +13,12 @@ Pairs beyond it are found as well when they share a key; at a similarity of
 Steps, each of them distributed:
 
 1. signatures; sets that are wholly alike are one node from here on;
-2. keys with more than one node; each node is paired with the least and the
-   greatest node of each of its keys, so a group of n copies gives O(n) pairs;
+2. keys with more than one node; each node is paired with the least node of each
+   of its keys, so a group of n copies gives O(n) pairs;
 3. pairs that sizes and signature distance don't exclude are confirmed on the
    full sets, and components found;
-4. nodes of keys that still hold different components are paired with a few
-   other nodes of their keys, and confirmed pairs join components;
+4. nodes of keys that still hold different components are paired with one more
+   node of each of up to ``LEADERS`` of their keys, and confirmed pairs join components;
 5. of keys that hold different components even then, all pairs across them are
    confirmed, so no link that would join two components is missed.  Small keys
    form these pairs themselves; the nodes of large ones are paired by the rare
@@ -55,14 +55,14 @@ LANES = SYMBOLS // 4
 #: Symbols in which two signatures may differ for the pair to be confirmed on full
 #: sets.  At a similarity of 0.8 the mean is 12 and the standard deviation 3.1.
 MAX_DISTANCE = 33
-#: Further nodes of its keys that each node of an unsettled key is paired with in the second round.
-LEADERS = 4
+#: Keys by which a node of unsettled keys is paired with one more node in the second round.
+LEADERS = 24
 #: Nodes up to which all pairs of a key across components are formed; beyond, the
 #: prefixes of the full sets give the pairs.
 SMALL_KEY = 32
 #: Sets that may count as large, of which rows are not shuffled in the end.
 LARGE_SETS = 4_096
-#: Ids up to which the table of candidates is sent to all executors instead of shuffling all texts.
+#: Rows of a few numbers up to which a table of ids is sent to all executors instead of shuffling all texts.
 BROADCAST_IDS = 1_000_000
 
 _ONE = (1 << BITS) - 1
@@ -231,6 +231,11 @@ def prefix_pairs(sets: DataFrame, lanes: DataFrame, fits: Column, percent: int)
     return sides[0].join(sides[1], "s").where(fits & enough & near).select("a", "b").distinct()
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """``ids``, a written table, to be sent to all tasks if it has at most ``BROADCAST_IDS`` rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``df``: ``(id, n_shingles, component_id)``.
 
@@ -248,7 +253,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
         sets.where("top is not null").select(F.monotonically_increasing_id().alias("id"), F.col("top.id").alias("doc"), "top.t", "high", "low", "rows", "s.*"), "nodes"
     )
     keyed = reps.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key", "low")
     members = written(keyed.join(shared, "key"), "members")
 
     lanes = reps.select("id", "n", "lanes")
@@ -260,14 +265,10 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
         sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
         return pairs.join(a, "a").join(b, "b").where(sizes & (distance("l_a", "l_b") <= MAX_DISTANCE)).select("a", "b")
 
-    stars = members.select(
-        F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("e")
-    )
-    stars = written(close(stars.select("e.*").where("a <> b").distinct()), "stars")
+    stars = members.where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    stars = written(close(stars), "stars")
 
-    needed = members.select("id").distinct().join(reps.select("id", "doc", "t"), "id")
-    if members.select("id").distinct().count() <= BROADCAST_IDS:
-        needed = F.broadcast(needed)
+    needed = few(written(members.select("id").distinct().join(reps.select("id", "doc", "t"), "id"), "needed"))
     found_texts = docs.withColumnRenamed("id", "doc").join(needed, ["doc", "t"]).select("id", "text")
     texts = written(found_texts.groupBy("id").agg(F.first("text").alias("text")), "texts")
 
@@ -290,11 +291,11 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
     # some other node of each of a few keys, so that groups whose ends don't link come together
     open_keys = written(unsettled(found), "open")
     leaders = open_keys.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", "key")).alias("top"))
-    few = Window.partitionBy("id").orderBy(F.xxhash64("key"))
+    some_keys = Window.partitionBy("id").orderBy(F.xxhash64("key"))
     more = (
         open_keys.join(leaders, "key")
         .where("c <> top.c")
-        .withColumn("k", F.row_number().over(few))
+        .withColumn("k", F.row_number().over(some_keys))
         .where(F.col("k") <= LEADERS)
         .select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b"))
         .distinct()
