@@ -42,7 +42,7 @@ from tessera.llm.common import held
 #: Bytes of a match, and runs or ids of a text, that make a leaf of the tree.
 LEAF, FAN = 8, 64
 #: Entries after which one of a worker's tables of encoded strings starts anew.
-CACHE = 400_000
+CACHE = 300_000
 #: Bits that tell whether a run was met before; runs are remembered from their second time on.
 MET = 1 << 23
 #: A blank that the pattern would put into one piece with the white space before it.

@@ -153,6 +153,7 @@ COLUMNS = ("text", "source", "lang", "n_chars")
 def train_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "quality", columns=COLUMNS, sample_rows: int = 12_000, pool_rows: int = 8_000) -> CoTrained:
     @arrow_udf("struct<content:array<double>,metadata:array<double>>")
     def features(*given: pa.Array) -> pa.Array:
+        held("quality", object)  # frees what an earlier step has left
         content, meta = _views(given)
         return pa.StructArray.from_arrays([pa.array(list(content), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64()))], ["content", "metadata"])
 

@@ -85,17 +85,20 @@ def add_fingerprint(df: DataFrame, text: str = "text", out: str = "sketch") -> D
     return df.withColumn(out, spot_hashes(F.col(text)))
 
 
-def with_next(df: DataFrame, columns: list[str], id: str = "doc_id", tie: str = "text", rows_per_bucket: int = 500, segments: int = 64) -> DataFrame:
+def with_next(df: DataFrame, columns: list[str], id: str = "doc_id", tie: str = "text", rows_per_bucket: int = 500, segments: int = 64, max_buckets: int = 16_384) -> DataFrame:
     """``df`` with ``next_<column>`` of the next row by descending ``id``; after the last row comes the first.
 
     Rows are dealt into ranges of ``id``, evenly between quantiles of it; the
     first row of each range is also given to the range before.  Rows of equal
-    id are ordered by ``tie``, null ids come last.
+    id are ordered by ``tie``, null ids come last.  There are at most about
+    ``max_buckets`` ranges, so what is sent to the driver and to all tasks is bounded.
+    Columns named like an output, or ``_bucket``, ``_top``, ``_to``, ``_guest`` or
+    ``_before``, are replaced or lost.
     """
     spark = df.sparkSession
     stats = df.agg(F.count("*").alias("n"), F.percentile_approx(id, [k / segments for k in range(segments + 1)], 10_000).alias("q")).first()
     cuts = sorted(set(stats["q"] or [0]))
-    each = max(1, math.ceil(stats["n"] / rows_per_bucket / segments))
+    each = max(1, min(math.ceil(stats["n"] / rows_per_bucket), max_buckets) // segments)
     low, high = F.array(*[F.lit(int(c)) for c in cuts]), F.array(*[F.lit(int(c)) for c in [*cuts[1:], cuts[-1] + 1]])
     value = F.least(F.greatest(F.col(id).cast("long"), F.lit(int(cuts[0]))), F.lit(int(cuts[-1])))
     seg = F.size(F.filter(low, lambda c: c <= value))
