@@ -41,7 +41,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     with the same text too.  Rows without an id are no documents that another could stand for, and stay.
     """
     found = written(neardup.near_duplicates(docs, words=5, percent=80), "near-duplicates")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = neardup.few(written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone"))
     left = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
