@@ -76,17 +76,27 @@ def normalized(text: Column) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """An anchored regex: ``*`` within one component, ``**`` any number of them; without a slash, the last component.
+    """An anchored regex: ``*`` and ``?`` within one component, ``[seq]`` and ``[!seq]`` one character of it, ``**`` any
+    number of components; without a slash, the last component.
 
-    Absolute patterns, backslashes, colons and ``..`` are errors.
+    An open bracket that is not closed stands for itself.  Absolute patterns, backslashes, colons and ``..`` are errors.
     """
     if not pattern or pattern.startswith("/") or "\\" in pattern or ":" in pattern or ".." in pattern.split("/"):
         raise ValueError("a relative pattern is needed")
 
     def part(p: str) -> str:
-        out = ""
-        for c in p:
-            out += {"*": "[^/]*", "?": "[^/]"}.get(c) or re.escape(c)
+        out, k = "", 0
+        while k < len(p):
+            # a bracket right after the opening belongs to the sequence
+            close = p.find("]", k + 2 + (p[k + 1 : k + 2] == "!")) if p[k] == "[" else -1
+            if close > 0:
+                negated = p[k + 1] == "!"
+                inside = re.sub(r"([\\\[\]^&~])", r"\\\1", p[k + 1 + negated : close])
+                out += f"(?!/)[{'^' if negated else ''}{inside}]"
+                k = close + 1
+                continue
+            out += {"*": "[^/]*", "?": "[^/]"}.get(p[k]) or re.escape(p[k])
+            k += 1
         return out
 
     if "/" not in pattern:
@@ -159,7 +169,7 @@ def safe_name(text: Column) -> Column:
 def anomaly(line: Column) -> Column:
     """``nonfinite_or_fatal``, ``nonpositive_temperature`` or null, by one line of a log."""
     low = F.regexp_extract(line, r"min\(T\):\s*([-+0-9.eE]+)", 1).try_cast("double")
-    return F.when(line.rlike(r"(?i)\b(?:nan|[+-]?inf(?:inity)?)\b|FATAL ERROR|segmentation fault"), F.lit("nonfinite_or_fatal")).when(
+    return F.when(line.rlike(r"(?i)\b(?:nan|[+-]?inf(?:inity)?)\b|FOAM FATAL|segmentation fault"), F.lit("nonfinite_or_fatal")).when(
         low <= 0, F.lit("nonpositive_temperature")
     )
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Outcomes that say nothing about the answer.  Fixed values.
 NOT_RUN = ("not_run", "started", "in_flight", "outcome_unknown", "http_result_unknown", "usage_unknown", "runner_error", "deployment_halted", "not_dispatched_model_halted")
@@ -145,30 +147,46 @@ def stratified(df: DataFrame, stratum: str, id: str, per_stratum: int, seed: str
     return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_stratum)
 
 
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Compatibility forms of characters to their plain ones."""
+    return texts.str.normalize("NFKC")
+
+
 def grade(df: DataFrame, kind: str = "kind", answer: str = "answer", status: str = "status", gold: str = "gold") -> DataFrame:
-    """Grades of answers with one ``FINAL:`` marker in their last line.
+    """Grades of answers with one ``FINAL:`` marker, in their last line.
 
     ``single`` is one of A to D, ``judge`` true or false in some spelling,
-    ``numeric`` equal within 1e-6, ``fill`` the text itself.  Outcomes that are
-    not known give a null score with bounds 0 and 1.  Adds ``value,
-    format_valid, score, score_low, score_high, reason``.
+    ``numeric`` within the greater of ``absolute_tolerance`` and
+    ``relative_tolerance`` times the gold value (columns of ``df``; 0 where
+    absent or null), ``fill`` the text itself or one of ``aliases`` (an array, or
+    absent).  Values are compared in their NFKC form without back quotes around them.
+    Outcomes that are not known give a null score with bounds 0 and 1.  Adds
+    ``value, format_valid, score, score_low, score_high, reason``.
     """
+    column = lambda name, other: F.coalesce(F.col(name), other) if name in df.columns else other
+    plain = lambda c: F.trim(F.btrim(F.trim(nfkc(c)), F.lit("`")))
     held = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), r"\r?\n", -1), F.trim), lambda x: x != "")
     marked = F.filter(held, lambda x: x.startswith("FINAL:"))
     one = (F.size(marked) == 1) & F.coalesce(F.element_at(F.reverse(held), 1).startswith("FINAL:"), F.lit(False))
-    value = F.when(one, F.trim(F.btrim(F.trim(F.substring(F.get(marked, F.lit(0)), 7, 1_000_000)), F.lit("`"))))
+    value = F.when(one, plain(F.substring(F.get(marked, F.lit(0)), 7, 1_000_000)))
     truth = lambda c: F.when(c.isin("true", "正确", "是", "对"), True).when(c.isin("false", "错误", "否", "错"), False)
     v, g = F.col("value"), F.col(gold)
     valid = (
         F.when(F.col(kind) == "single", v.rlike("^[ABCD]$"))
         .when(F.col(kind) == "judge", truth(v).isNotNull())
         .when(F.col(kind) == "numeric", v.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"))
-        .otherwise(v.rlike(r"^[-A-Za-z0-9_.<>]+$"))
+        .otherwise(v.rlike(r"^[-\p{L}\p{N}_.<>]+$"))
     )
+    target = g.try_cast("double")
+    within = F.greatest(column("absolute_tolerance", F.lit(0.0)), F.abs(target) * column("relative_tolerance", F.lit(0.0)))
+    # aliases are joined for one call: a line break can be in no valid value
+    named = F.split(plain(F.array_join(F.concat(F.array(g), column("aliases", F.array().cast("array<string>"))), "\n")), "\n")
     right = (
         F.when(F.col(kind) == "judge", truth(v) == truth(g))
-        .when(F.col(kind) == "numeric", F.abs(v.try_cast("double") - g.try_cast("double")) <= 1e-6)
-        .otherwise(v == g)
+        .when(F.col(kind) == "numeric", F.abs(v.try_cast("double") - target) <= within)
+        .when(F.col(kind) == "single", v == g)
+        .otherwise(F.array_contains(F.transform(named, lambda x: F.trim(F.btrim(F.trim(x), F.lit("`")))), v))
     )
     unknown = F.col(status).isNull() | F.col(status).isin(*NOT_RUN)
     answered = F.coalesce(F.col(status) == "answered", F.lit(False))

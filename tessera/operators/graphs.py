@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,13 @@ from pyspark.sql import functions as F
 from tessera.session import shared_dir
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so a loop's plan doesn't grow."""
+    path = f"{shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """``edges (source, target, ...)`` with each one reversed as well."""
     others = [c for c in edges.columns if c not in ("source", "target")]
@@ -23,7 +31,7 @@ def expand(seeds: DataFrame, edges: DataFrame, decay: DataFrame, query: str, dep
     relation.  At each hop the ``beam`` best nodes of a query (score, then
     node) go on; a node counts again only with a strictly greater score.
     """
-    typed = edges.join(F.broadcast(decay), "relation").select(F.col("source").alias("node"), "target", "factor")  # one row a relation
+    typed = cut(edges.join(F.broadcast(decay), "relation").select(F.col("source").alias("node"), "target", "factor"))  # one row a relation
     best = seeds.select(query, "node", "score", F.lit(0).alias("hop"))
     frontier = best
     for hop in range(1, depth + 1):
@@ -36,28 +44,46 @@ def expand(seeds: DataFrame, edges: DataFrame, decay: DataFrame, query: str, dep
             .agg(F.max("score").alias("score"))
         )
         known = best.select(query, "node", F.col("score").alias("old"))
-        frontier = met.join(known, [query, "node"], "left").where("old is null or score > old").select(query, "node", "score", F.lit(hop).alias("hop"))
+        frontier = cut(met.join(known, [query, "node"], "left").where("old is null or score > old").select(query, "node", "score", F.lit(hop).alias("hop")))
         both = best.unionByName(frontier)
-        best = both.groupBy(query, "node").agg(F.max_by("hop", F.struct("score", -F.col("hop"))).alias("hop"), F.max("score").alias("score")).select(query, "node", "score", "hop")
+        best = cut(both.groupBy(query, "node").agg(F.max_by("hop", F.struct("score", -F.col("hop"))).alias("hop"), F.max("score").alias("score")).select(query, "node", "score", "hop"))
     return best
 
 
-def restart_walk(seeds: DataFrame, edges: DataFrame, query: str, rounds: int = 3, keep: float = 0.65) -> DataFrame:
-    """``(query, node, mass)``: visits of a walk that goes on with ``keep`` and restarts else, averaged over the rounds."""
-    degree = edges.groupBy("source").agg(F.count("*").alias("degree"))
-    steps = edges.join(degree, "source").select(F.col("source").alias("node"), "target", (1.0 / F.col("degree")).alias("share"))
-    total = Window.partitionBy(query)
-    start = seeds.select(query, "node", (F.col("score") / F.sum("score").over(total)).alias("mass"))
+def restart_walk(seeds: DataFrame, edges: DataFrame, decay: DataFrame, query: str, rounds: int = 3, keep: float = 0.65, forward: tuple[str, ...] = (), allowed: DataFrame | None = None) -> DataFrame:
+    """``(query, node, mass)``: visits of a walk that goes on with ``keep`` and restarts else, averaged over the rounds.
+
+    A step is taken along edges both ways (those of relations in ``forward``
+    one way) in proportion to the relation's factor in ``decay``; other
+    relations, and targets that are not in ``allowed (node)``, are no steps.
+    Where a node has no step its mass ends.  Negative scores count as 0; a query
+    whose scores sum to 0 has no rows.
+    """
+    typed = edges.join(F.broadcast(decay), "relation")  # one row a relation
+    back = typed.where(~F.col("relation").isin(*forward)) if forward else typed
+    ways = typed.select("source", "target", "factor").unionByName(back.select(F.col("target").alias("source"), F.col("source").alias("target"), "factor"))
+    if allowed is not None:
+        ways = ways.join(allowed.select(F.col("node").alias("target")), "target", "left_semi")
+    steps = ways.groupBy("source", "target").agg(F.sum("factor").alias("factor"))
+    sums = steps.groupBy("source").agg(F.sum("factor").alias("all"))
+    steps = cut(steps.join(sums, "source").select(F.col("source").alias("node"), "target", (F.col("factor") / F.col("all")).alias("share")))
+    score = F.greatest(F.col("score"), F.lit(0.0))
+    start = cut(seeds.withColumn("_t", F.sum(score).over(Window.partitionBy(query))).where("_t > 0").select(query, "node", (score / F.col("_t")).alias("mass")))
     mass, visits = start, []
     for _ in range(rounds):
         moved = mass.join(steps, "node").select(query, F.col("target").alias("node"), (F.col("mass") * F.col("share") * keep).alias("mass"))
-        back = start.select(query, "node", (F.col("mass") * (1 - keep)).alias("mass"))
-        mass = moved.unionByName(back).groupBy(query, "node").agg(F.sum("mass").alias("mass"))
+        again = start.select(query, "node", (F.col("mass") * (1 - keep)).alias("mass"))
+        mass = cut(moved.unionByName(again).groupBy(query, "node").agg(F.sum("mass").alias("mass")))
         visits.append(mass)
     every = reduce(DataFrame.unionByName, visits)
     return every.groupBy(query, "node").agg((F.sum("mass") / rounds).alias("mass"))
 
 
+def unit_mass(mass: DataFrame, units: DataFrame, query: str) -> DataFrame:
+    """``(query, unit, mass)``: the mass of the nodes of each unit; ``units`` is ``(node, unit)``."""
+    return mass.join(units, "node").groupBy(query, "unit").agg(F.sum("mass").alias("mass"))
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``(node, component)``: the least node reachable, edges taken both ways.
 
@@ -81,7 +107,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 
 def closure(roots: DataFrame, includes: DataFrame, max_depth: int = 30) -> DataFrame:
-    """``(root, node, depth)``: what each root includes, directly or not; cycles end by themselves."""
+    """``(root, node, depth)``: what each root includes, directly or not; cycles end by themselves, chains of over ``max_depth`` steps are an error."""
     shared_dir(roots.sparkSession)
     seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     front = seen
@@ -96,4 +122,4 @@ def closure(roots: DataFrame, includes: DataFrame, max_depth: int = 30) -> DataF
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
-    return seen
+    raise RuntimeError(f"what is included goes deeper than {max_depth} steps")

@@ -1,77 +1,87 @@
-"""Solver logs: windows of context, ordered classification and statuses."""
+"""Solver logs: windows of context, classification by a table of rules, statuses and series."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FATAL, WARNING = r"(?i)fatal (?:io )?error", r"(?i)warning"
-#: (phrase or phrases in the message, category), tried in order.  Fixed values.
-FATAL_RULES = [
-    (("internal patch should be added",), "parallel_internal_patch_missing"),
-    (("expected a '('",), "field_dictionary_type_mismatch"),
-    (("keyword gamma is undefined",), "boundary_condition_missing_entry"),
-    (('was not found in "postprocessing/pressureprobes"',), "postprocessing_missing_pressure_field"),
-]
-#: (phrases that must all be there, severity, category).  Fixed values.
-WARNING_RULES = [
-    (("undefined faces", "default patch"), "nonblocking_warning", "mesh_default_patch"),
-    (("probes were not found",), "nonblocking_warning", "probe_location_adjusted"),
-    (("boundary changed, proceed with care",), "nonblocking_warning", "mesh_boundary_update"),
-    (("requested mass is", "set mass is"), "warning", "charge_mass_discretization"),
-    (("functionobject.so", "could not load"), "warning", "function_library_unavailable"),
-    (("only cell interpolation can be applied",), "nonblocking_warning", "probe_interpolation_downgraded"),
-]
-
-
-def diagnose(log: DataFrame, source: str, line: str = "line", text: str = "text", fatal_width: int = 5, warning_width: int = 8, cut: int = 1200) -> DataFrame:
-    """One row for each fatal or warning line: ``(source, line, severity, category, blocking, message)``.
-
-    The message is the line before, the line and the next few, stripped,
-    without blank ones.  Fatal is tried first, and a fatal line is no warning.
-    """
-    near = Window.partitionBy(source).orderBy(line)
 
-    def message(width: int) -> Column:
-        held = F.collect_list(F.trim(F.coalesce(F.col(text), F.lit("")))).over(near.rowsBetween(-1, width))
-        return F.substring(F.array_join(F.filter(held, lambda x: x != ""), "\n"), 1, cut)
-
-    marked = log.withColumns({"_fatal": F.col(text).rlike(FATAL), "_f": message(fatal_width), "_w": message(warning_width)})
-    marked = marked.where(F.col("_fatal") | F.col(text).rlike(WARNING)).withColumn("message", F.when(F.col("_fatal"), F.col("_f")).otherwise(F.col("_w")))
-    low = F.lower("message")
-    holds = lambda phrases: F.expr("true") if not phrases else _all([F.contains(low, F.lit(p)) for p in phrases])
-    fatal = F.lit("fatal_error")
-    for phrases, category in reversed(FATAL_RULES):
-        fatal = F.when(holds(phrases), category).otherwise(fatal)
-    severity, category = F.lit("warning"), F.lit("other_warning")
-    for phrases, level, kind in reversed(WARNING_RULES):
-        severity, category = F.when(holds(phrases), level).otherwise(severity), F.when(holds(phrases), kind).otherwise(category)
-    return marked.select(
-        source,
-        line,
-        F.when(F.col("_fatal"), "fatal").otherwise(severity).alias("severity"),
-        F.when(F.col("_fatal"), fatal).otherwise(category).alias("category"),
-        F.col("_fatal").alias("blocking"),
-        "message",
-    )
+@dataclass(frozen=True)
+class Rule:
+    """Holds where all ``phrases`` stand in the lower-cased message and the subject is one of ``subjects`` (any, if that is empty)."""
+
+    category: str
+    severity: str
+    phrases: tuple[str, ...] = ()
+    subject: bool = False
+    subjects: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class Kind:
+    """Lines that match ``trigger``: ``width`` lines after them belong to the message; the first of ``rules`` that holds counts."""
+
+    trigger: str
+    width: int
+    rules: tuple[Rule, ...]
+    blocking: bool = False
+    cut_first: bool = False
+    subject: str | None = field(default=None)
 
 
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
+def diagnose(log: DataFrame, kinds: list[Kind], source: str, line: str = "line", text: str = "text", cut: int = 1200) -> DataFrame:
+    """One row for each line of a kind: ``(source, line, severity, category, blocking, message)``.
+
+    The first kind whose trigger matches counts.  The message is the line
+    before, the line and the kind's number of lines after it, stripped, without
+    blank ones.  Rules see the whole message (of a ``cut_first`` kind, what is
+    returned: ``cut`` characters).  Null text is a blank line.  A kind whose
+    rules all fail gives no row.
+    """
+    near = Window.partitionBy(source).orderBy(line)
+    stripped = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", "")
+    number = F.coalesce(*[F.when(F.col(text).rlike(k.trigger), F.lit(i)) for i, k in enumerate(kinds)])
+    held = log.select(source, line, number.alias("_k"), stripped.alias("_s")).withColumns(
+        {
+            "_near": F.collect_list("_s").over(near.rowsBetween(-1, max(k.width for k in kinds))),
+            "_ahead": F.lag(F.lit(1), 1, 0).over(near),
+        }
+    )
+    width = F.element_at(F.array(*[F.lit(k.width) for k in kinds]), F.col("_k") + 1)
+    cut_first = F.element_at(F.array(*[F.lit(k.cut_first) for k in kinds]), F.col("_k") + 1)
+    whole = F.array_join(F.filter(F.slice("_near", F.lit(1), F.col("_ahead") + width + 1), lambda x: x != ""), "\n")
+    marked = held.where("_k is not null").withColumn("_whole", whole)
+    marked = marked.withColumn("message", F.substring("_whole", 1, cut)).withColumn("_seen", F.lower(F.when(cut_first, F.col("message")).otherwise(F.col("_whole"))))
+    verdict = F.coalesce(*[F.when((F.col("_k") == i) & _holds(k, r), F.struct(F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(k.blocking).alias("blocking"))) for i, k in enumerate(kinds) for r in k.rules])
+    return marked.withColumn("_v", verdict).where("_v is not null").select(source, line, "_v.*", "message")
+
+
+def _holds(kind: Kind, rule: Rule) -> Column:
+    out = F.lit(True)
+    for p in rule.phrases:
+        out = out & F.contains("_seen", F.lit(p))
+    if rule.subject or rule.subjects:
+        name = F.regexp_extract("_seen", kind.subject, 1)
+        out = out & (name.isin(*rule.subjects) if rule.subjects else name != "")
     return out
 
 
-def severity_counts(found: DataFrame, by: str, severities: tuple[str, ...] = ("fatal", "warning", "nonblocking_warning")) -> DataFrame:
-    """Of each source the number of rows of each severity, zeros included, and of blocking ones."""
-    return found.groupBy(by).agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in severities], F.count_if("blocking").alias("n_blocking"))
+def severity_counts(found: DataFrame, by: str, severities: tuple[str, ...] = ("fatal", "error", "warning", "nonblocking_warning")) -> DataFrame:
+    """Of each source the rows of each severity, zeros included, the blocking ones, and a map of the rows of each category."""
+    each = found.groupBy(by, "category").agg(F.count("*").alias("n"), F.count_if("blocking").alias("b"), *[F.count_if(F.col("severity") == s).alias(s) for s in severities])
+    return each.groupBy(by).agg(
+        *[F.sum(s).alias(f"n_{s}") for s in severities],
+        F.sum("b").alias("n_blocking"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce("category", F.lit("unknown")), "n")))).alias("categories"),
+    )
 
 
-def run_status(log: DataFrame, by: str, text: str = "text", line: str = "line") -> DataFrame:
-    """``completed``, ``failed`` (a fatal line), ``incomplete`` or ``empty`` for each log."""
+def run_status(log: DataFrame, by: str, fatal: str, text: str = "text", line: str = "line") -> DataFrame:
+    """``completed``, ``failed`` (a line that matches ``fatal``), ``incomplete`` or ``empty`` for each log."""
     last = F.max_by(text, F.when(F.trim(text) != "", F.col(line)))
-    return log.groupBy(by).agg(F.count_if(F.col(text).rlike(FATAL)).alias("n_fatal"), last.alias("last")).select(
+    return log.groupBy(by).agg(F.count_if(F.col(text).rlike(fatal)).alias("n_fatal"), last.alias("last")).select(
         by,
         "n_fatal",
         F.when(F.col("n_fatal") > 0, "failed").when(F.col("last").isNull(), "empty").when(F.rtrim("last").endswith("End"), "completed").otherwise("incomplete").alias("status"),
@@ -85,3 +95,10 @@ def impulse(series: DataFrame, by: str, t: str = "t", p: str = "p") -> DataFrame
     area = (plus + F.lag(plus).over(w)) / 2 * (F.col(t) - F.lag(t).over(w))
     parts = series.withColumn("area", area)
     return parts.groupBy(by).agg(F.max(p).alias("peak"), F.max_by(t, F.struct(F.col(p), -F.col(t))).alias("t_peak"), F.round(F.coalesce(F.sum("area"), F.lit(0.0)), 6).alias("impulse"))
+
+
+def health(values: DataFrame, by: list[str], value: str, share: tuple[str, ...] = (), name: str = "field") -> DataFrame:
+    """``(by, least, greatest, nonpositive, outside)`` of each field; ``outside`` is for fields named in ``share`` that leave 0 to 1."""
+    found = values.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("greatest"))
+    bounded = F.col(name).isin(*share) if share else F.lit(False)
+    return found.withColumns({"nonpositive": F.col("least") <= 0, "outside": bounded & ((F.col("least") < 0) | (F.col("greatest") > 1))})

@@ -52,38 +52,45 @@ def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int
     return each.select(id, "p.start", "p.end", named.alias("passage_id"), "p.text")
 
 
+#: Terms of queries that are sent to all tasks.
+BROADCAST_TERMS = 1_000_000
+
+
 def bm25(
     units: DataFrame, queries: DataFrame, key: str, query: str, limit: int = 64, text: str = "text", query_text: str = "text", k1: float = 1.2, b: float = 0.75, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """``(query, key, *keep, score, rank)``: the ``limit`` best units of each query.
 
     A query term counts twice at most; ties go to the least ``key``; ``keep``
-    names columns that ``key`` determines.  Each text is tokenised once.  Only
-    terms of some query leave the scan, so the shuffle follows their postings
-    and not the corpus; frequencies are summed before it.  An empty term, once
-    for each unit, carries the units' number and lengths.
+    names columns that ``key`` determines.  Each text is tokenised once.  The
+    queries' terms, if they are at most ``BROADCAST_TERMS``, are sent to all
+    tasks, so only their postings leave the scan, summed before the shuffle;
+    beyond that many they are shuffled.  An empty term, once for each unit,
+    carries the units' number and lengths; it takes part in no join.
     """
     asked = (
         queries.select(query, F.explode(tokens(F.col(query_text))).alias("term"))
         .groupBy(query, "term")
         .agg(F.least(F.count("*"), F.lit(2)).alias("qf"))
     )
+    sent = F.broadcast if asked.count() <= BROADCAST_TERMS else (lambda x: x)
     wanted = asked.select("term").unionByName(units.sparkSession.createDataFrame([("",)], "term string")).distinct()
     coded = units.select(key, *keep, tokens(F.col(text)).alias("t"))
     counted = (
         coded.select(key, *keep, F.size("t").alias("length"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
-        .join(wanted, "term", "left_semi")
+        .join(sent(wanted), "term", "left_semi")
         .groupBy(key, *keep, "length", "term")
         .agg(F.count("*").alias("tf"))
     )
     unit = F.col("term") == ""
     totals = counted.agg(F.count_if(unit).alias("n_units"), F.greatest(F.lit(1.0), F.avg(F.when(unit, F.col("length")))).alias("mean_length"))
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
+    df = counted.where(~unit).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length"))) * F.col("qf")
     scored = (
-        counted.join(df, "term")
-        .join(asked, "term")
+        counted.where(~unit)
+        .join(sent(df), "term")
+        .join(sent(asked), "term")
         .join(F.broadcast(totals))  # one row
         .groupBy(query, key, *keep)
         .agg(F.round(F.sum(weight), 6).alias("score"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import evaluation, logs
+from tessera.plans import log_rules
 from tessera.plans.common import table
 from tessera.streaming import streams
 
@@ -24,34 +25,63 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-#: Log lines made of events: what each type of event says.  Fixed values.
-SAID = {"error": "--> FATAL ERROR in solver", "signup": "Warning: undefined faces put into the default patch", "purchase": "Warning: Requested mass is 1 and set mass is 2", "click": "Time step done", "view": ""}
+#: Log lines made of events: what each type of event says.
+SAID = {
+    "error": "--> FOAM FATAL ERROR: keyword gamma is undefined",
+    "signup": "--> FOAM Warning : undefined faces put into the default patch",
+    "purchase": "--> FOAM Warning : cannot find required object overPressure",
+    "click": "\tTime step done ",
+    "view": "",
+}
 _SAID_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SAID.items()) + " ELSE 'min(T): ' || CAST(CAST(value - 50 AS INTEGER) AS VARCHAR) END"
 
 
+def said() -> Column:
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in SAID.items() for x in kv]), F.col("event_type"))
+    return F.coalesce(known, F.concat(F.lit("min(T): "), F.rint(F.col("value") - 50).cast("int").cast("string")))
+
+
 def log_lines(spark: SparkSession, d: str) -> DataFrame:
-    said = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SAID.items() for x in kv]), F.col("event_type")), F.concat(F.lit("min(T): "), F.rint(F.col("value") - 50).cast("int").cast("string")))
-    return table(spark, d, "events").select("user_id", F.col("event_id").alias("line"), said.alias("text"))
+    return table(spark, d, "events").select("user_id", F.col("event_id").alias("line"), said().alias("text"))
 
 
 _LOG_SQL = f"""lg AS (SELECT user_id, event_id AS line, {_SAID_SQL} AS text FROM events),
-ctx AS (SELECT *, list(trim(text)) OVER (PARTITION BY user_id ORDER BY line ROWS BETWEEN 1 PRECEDING AND 5 FOLLOWING) AS f, list(trim(text)) OVER (PARTITION BY user_id ORDER BY line ROWS BETWEEN 1 PRECEDING AND 8 FOLLOWING) AS w FROM lg),
-msg AS (SELECT user_id, line, regexp_matches(text, '(?i)fatal (?:io )?error') AS fatal, array_to_string(list_filter(CASE WHEN regexp_matches(text, '(?i)fatal (?:io )?error') THEN f ELSE w END, lambda x: x <> ''), chr(10))[:1200] AS message
-  FROM ctx WHERE regexp_matches(text, '(?i)fatal (?:io )?error') OR regexp_matches(text, '(?i)warning')),
-found AS (SELECT user_id, line, fatal AS blocking, message,
-  CASE WHEN fatal THEN 'fatal' WHEN contains(lower(message), 'undefined faces') AND contains(lower(message), 'default patch') THEN 'nonblocking_warning' WHEN contains(lower(message), 'requested mass is') THEN 'warning' ELSE 'warning' END AS severity,
-  CASE WHEN fatal THEN 'fatal_error' WHEN contains(lower(message), 'undefined faces') AND contains(lower(message), 'default patch') THEN 'mesh_default_patch' WHEN contains(lower(message), 'requested mass is') AND contains(lower(message), 'set mass is') THEN 'charge_mass_discretization' ELSE 'other_warning' END AS category FROM msg)"""
+ctx AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS st FROM lg),
+near AS (SELECT *, list(st) OVER (PARTITION BY user_id ORDER BY line ROWS BETWEEN 1 PRECEDING AND 5 FOLLOWING) AS f, list(st) OVER (PARTITION BY user_id ORDER BY line ROWS BETWEEN 1 PRECEDING AND 8 FOLLOWING) AS w,
+  CASE WHEN regexp_matches(text, '{log_rules.FATAL}') THEN 0 WHEN regexp_matches(text, '{log_rules.WARNING}') THEN 1 END AS kind FROM ctx),
+msg AS (SELECT user_id, line, kind, array_to_string(list_filter(CASE kind WHEN 0 THEN f ELSE w END, lambda x: x <> ''), chr(10)) AS whole FROM near WHERE kind IS NOT NULL),
+judged AS (SELECT user_id, line, whole[:1200] AS message, {log_rules.verdict_sql("whole", ["lower(whole[:1200])", "lower(whole)"])} AS v FROM msg),
+found AS (SELECT user_id, line, v.severity AS severity, v.category AS category, v.blocking AS blocking, message FROM judged)"""
 
 
 @query("q47_diagnostics", f"WITH {_LOG_SQL} SELECT user_id, line, severity, category, blocking, sha256(message) AS message_sha256 FROM found")
 def q47(spark: SparkSession, d: str) -> DataFrame:
-    found = logs.diagnose(log_lines(spark, d), "user_id")
+    found = logs.diagnose(log_lines(spark, d), log_rules.KINDS, "user_id")
     return found.select("user_id", "line", "severity", "category", "blocking", F.sha2(F.col("message").cast("binary"), 256).alias("message_sha256"))
 
 
-@query("q48_severities", f"WITH {_LOG_SQL} SELECT user_id, count(*) FILTER (severity = 'fatal') AS n_fatal, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'nonblocking_warning') AS n_nonblocking_warning, count(*) FILTER (blocking) AS n_blocking FROM found GROUP BY user_id")
+_SEVERITIES = ", ".join(f"count(*) FILTER (severity = '{k}') AS n_{k}" for k in ("fatal", "error", "warning", "nonblocking_warning"))
+
+
+@query("q48_severities", f"""WITH {_LOG_SQL}, c AS (SELECT user_id, string_agg(category || '=' || n, ',' ORDER BY category) AS categories FROM (SELECT user_id, category, count(*) AS n FROM found GROUP BY ALL) GROUP BY user_id)
+SELECT * FROM (SELECT user_id, {_SEVERITIES}, count(*) FILTER (blocking) AS n_blocking FROM found GROUP BY user_id) JOIN c USING (user_id)""")
 def q48(spark: SparkSession, d: str) -> DataFrame:
-    return logs.severity_counts(logs.diagnose(log_lines(spark, d), "user_id"), "user_id")
+    counts = logs.severity_counts(logs.diagnose(log_lines(spark, d), log_rules.KINDS, "user_id"), "user_id")
+    named = F.transform(F.sort_array(F.map_entries("categories")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return counts.withColumn("categories", F.array_join(named, ","))
+
+
+@query("q54_run_status", f"""WITH lg AS (SELECT user_id, event_id AS line, {_SAID_SQL} AS text FROM events),
+s AS (SELECT user_id, count(*) FILTER (regexp_matches(text, '{log_rules.FATAL}')) AS n_fatal, arg_max(text, line) FILTER (trim(text) <> '') AS last FROM lg GROUP BY user_id)
+SELECT user_id, n_fatal, CASE WHEN n_fatal > 0 THEN 'failed' WHEN last IS NULL THEN 'empty' WHEN ends_with(rtrim(last), 'End') THEN 'completed' ELSE 'incomplete' END AS status FROM s""")
+def q54(spark: SparkSession, d: str) -> DataFrame:
+    return logs.run_status(log_lines(spark, d), "user_id", log_rules.FATAL)
+
+
+@query("q55_health", """SELECT user_id, event_type AS field, min(value) AS least, max(value) AS greatest, min(value) <= 0 AS nonpositive, event_type IN ('view', 'click') AND (min(value) < 0 OR max(value) > 1) AS outside FROM events GROUP BY user_id, event_type""")
+def q55(spark: SparkSession, d: str) -> DataFrame:
+    values = table(spark, d, "events").select("user_id", F.col("event_type").alias("field"), "value")
+    return logs.health(values, ["user_id", "field"], "value", ("view", "click"))
 
 
 @query("q49_impulse", """WITH s AS (SELECT user_id, epoch_us(ts) // 1000000 AS t, max(value - 100) AS p FROM events GROUP BY ALL),
@@ -191,13 +221,19 @@ s AS (SELECT tier, count(*) AS n, count(*) FILTER (ok) AS successful, round(sum(
 SELECT *, tier = (SELECT arg_max(tier, (rate, -tier)) FROM s) AS chosen FROM s""")
 def q53(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select(F.hour("ts").cast("long").alias("tier"), "value", (F.col("event_type") != "error").alias("ok"))
-    tiers = rows.groupBy("tier").agg(
-        F.count("*").alias("n"),
-        F.count_if("ok").alias("successful"),
-        F.round(F.sum("value") / 3600, 6).alias("rate"),
-        F.percentile("value", 0.5).alias("median_value"),
+    # values are counted first, so a tier's window has one row for each distinct value
+    each = rows.groupBy("tier", "value").agg(F.count("*").alias("m"), F.count_if("ok").alias("good"))
+    order = Window.partitionBy("tier").orderBy("value")
+    placed = each.withColumns({"upto": F.sum("m").over(order), "n": F.sum("m").over(Window.partitionBy("tier"))})
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("value")))
+    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
+    tiers = placed.groupBy("tier").agg(
+        F.sum("m").alias("n"),
+        F.sum("good").alias("successful"),
+        F.round(F.sum(F.col("value") * F.col("m")) / 3600, 6).alias("rate"),
+        middle.alias("median_value"),
         # nearest rank: the value at floor(0.95 n) in order
-        F.expr("get(sort_array(collect_list(value)), cast(least(count(*) - 1, floor(count(*) * 0.95d)) as int))").alias("p95"),
+        at(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))).alias("p95"),
     )
     best = tiers.agg(F.max_by("tier", F.struct("rate", -F.col("tier"))).alias("best"))
     return tiers.join(F.broadcast(best)).withColumn("chosen", F.col("tier") == F.col("best")).drop("best")  # one row
@@ -219,7 +255,7 @@ def q51(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STOP_SQL = f"""WITH lg AS (SELECT user_id, event_id AS seq, value AS seconds, {_SAID_SQL} AS text FROM events),
-m AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)FATAL ERROR') THEN 'nonfinite_or_fatal' WHEN TRY_CAST(regexp_extract(text, 'min\\(T\\): *([-+0-9.eE]+)', 1) AS DOUBLE) <= 0 THEN 'nonpositive_temperature'
+m AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)\\b(?:nan|[+-]?inf(?:inity)?)\\b|FOAM FATAL|segmentation fault') THEN 'nonfinite_or_fatal' WHEN TRY_CAST(regexp_extract(text, 'min\\(T\\): *([-+0-9.eE]+)', 1) AS DOUBLE) <= 0 THEN 'nonpositive_temperature'
   WHEN sum(seconds) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) > 500 THEN 'budget_exceeded' END AS kind FROM lg)
 SELECT user_id, min(seq) AS seq, arg_min(kind, seq) AS kind FROM m WHERE kind IS NOT NULL GROUP BY user_id"""
 
@@ -229,8 +265,7 @@ def q52(spark: SparkSession, d: str) -> DataFrame:
     """Where each user's log stops, by a stream with state."""
 
     def follow(e: DataFrame) -> DataFrame:
-        said = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SAID.items() for x in kv]), F.col("event_type")), F.concat(F.lit("min(T): "), F.rint(F.col("value") - 50).cast("int").cast("string")))
-        return streams.guarded(e.select("user_id", F.col("event_id").alias("seq"), F.col("value").alias("seconds"), said.alias("text")), "user_id", 500.0)
+        return streams.guarded(e.select("user_id", F.col("event_id").alias("seq"), F.col("value").alias("seconds"), said().alias("text")), "user_id", 500.0)
 
     return _stream(spark, d, follow, "append")
 

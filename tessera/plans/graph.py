@@ -91,12 +91,25 @@ def _walk(k: int) -> str:
     return f"mass{k} AS (SELECT q, node, sum(mass) AS mass FROM (SELECT q, target AS node, mass * share * 0.65 AS mass FROM mass{k - 1} JOIN steps ON source = node UNION ALL SELECT q, node, mass * (1 - 0.65::DOUBLE) FROM mass0) GROUP BY ALL)"
 
 
-@query("q25_restart_walk", f"""WITH {EDGES_SQL}, {SEEDS_SQL}, deg AS (SELECT source, count(*) AS degree FROM edges GROUP BY source), steps AS (SELECT source, target, 1.0::DOUBLE / degree AS share FROM edges JOIN deg USING (source)),
-mass0 AS (SELECT q, node, score / sum(score) OVER (PARTITION BY q) AS mass FROM seeds), {', '.join(map(_walk, (1, 2, 3)))}
-SELECT q, node, round(sum(mass) / 3, 8) AS mass FROM (SELECT * FROM mass1 UNION ALL SELECT * FROM mass2 UNION ALL SELECT * FROM mass3) GROUP BY q, node""")
+_WALK_SQL = f"""{EDGES_SQL}, {SEEDS_SQL}, ways AS (SELECT source, target, sum(factor) AS factor FROM (SELECT source, target, factor FROM one JOIN decay USING (relation) UNION ALL SELECT target, source, factor FROM one JOIN decay USING (relation) WHERE relation <> 'PART_OF') GROUP BY ALL),
+steps AS (SELECT source, target, factor / sum(factor) OVER (PARTITION BY source) AS share FROM ways),
+mass0 AS (SELECT q, node, score / sum(score) OVER (PARTITION BY q) AS mass FROM seeds), {', '.join(map(_walk, (1, 2, 3)))},
+walked AS (SELECT q, node, sum(mass) / 3 AS mass FROM (SELECT * FROM mass1 UNION ALL SELECT * FROM mass2 UNION ALL SELECT * FROM mass3) GROUP BY q, node)"""
+
+
+def walked(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.restart_walk(seeds(spark, d), edges(spark, d), spark.createDataFrame(DECAY, "relation string, factor double"), "q", forward=("PART_OF",))
+
+
+@query("q25_restart_walk", f"WITH {_WALK_SQL} SELECT q, node, round(mass, 8) AS mass FROM walked")
 def q25(spark: SparkSession, d: str) -> DataFrame:
-    both = graphs.both_ways(edges(spark, d))
-    return graphs.restart_walk(seeds(spark, d), both, "q").select("q", "node", F.round("mass", 8).alias("mass"))
+    return walked(spark, d).select("q", "node", F.round("mass", 8).alias("mass"))
+
+
+@query("q56_unit_mass", f"WITH {_WALK_SQL} SELECT q, p_brand AS unit, round(sum(mass), 8) AS mass FROM walked JOIN part ON node = 'p' || p_partkey GROUP BY ALL")
+def q56(spark: SparkSession, d: str) -> DataFrame:
+    units = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_brand").alias("unit"))
+    return graphs.unit_mass(walked(spark, d), units, "q").select("q", "unit", F.round("mass", 8).alias("mass"))
 
 
 @query("q26_components", """WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),

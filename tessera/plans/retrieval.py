@@ -146,9 +146,6 @@ def q13(spark: SparkSession, d: str) -> DataFrame:
     return item_hits(spark, d, 10).select("item_id", "passage_id", "doc_id", "start", "end", "score", F.col("rank").cast("long").alias("rank"))
 
 
-_QUERY_VECTORS = 40
-
-
 def _dense(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     queries = table(spark, d, "benchmark").select("item_id").distinct().join(vectors.select(F.col("doc_id").alias("item_id"), "embedding"), "item_id")
@@ -260,5 +257,5 @@ def q39(spark: SparkSession, d: str) -> DataFrame:
     """Entries of the style blocks of pages by the parser of nested blocks; no SQL has its stack."""
     from tessera.operators.structure import dictionary_entries
 
-    styles = table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?s)<style>(.*?)</style>", 1).alias("text"))
+    styles = table(spark, d, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<style>(.*?)</style>"), F.lit(1)), "\n").alias("text"))
     return dictionary_entries(styles, keep=("page_id",))

@@ -14,7 +14,10 @@ def create(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 
 def replace(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Write beside ``path`` and rename: readers see the old files or the new ones."""
+    """Write beside ``path`` and rename: readers see the old files, for a moment none, or the new ones.
+
+    Where the new files can't be put in place the old ones are put back.
+    """
     spark = df.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     new, old = hadoop(f"{path}.new-{uuid.uuid4().hex}"), hadoop(f"{path}.old-{uuid.uuid4().hex}")
@@ -24,6 +27,8 @@ def replace(df: DataFrame, path: str, kind: str = "parquet") -> None:
     if fs.exists(target):
         fs.rename(target, old)
     if not fs.rename(new, target):
+        if fs.exists(old):
+            fs.rename(old, target)
         raise OSError(f"could not put {path} in place")
     if fs.exists(old):
         fs.delete(old, True)

@@ -1,5 +1,6 @@
 """Hand-made cases of functions and operators."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -77,10 +78,73 @@ def test_grades(spark):
     assert got == [(1, "correct"), (0, "missing_or_multiple_final_marker"), (1, "correct"), (None, "not_run_or_outcome_unknown")]
 
 
-def test_diagnosis_takes_fatal_first(spark):
-    log = spark.createDataFrame([("s", 1, "before"), ("s", 2, "FATAL ERROR warning"), ("s", 3, ""), ("s", 4, "keyword gamma is undefined")], "source string, line long, text string")
-    r = logs.diagnose(log, "source").collect()
-    assert [(x.line, x.severity, x.category, x.message) for x in r] == [(2, "fatal", "boundary_condition_missing_entry", "before\nFATAL ERROR warning\nkeyword gamma is undefined")]
+def test_diagnosis_by_rules(spark):
+    from tessera.plans import log_rules
+
+    rows = ["before", "--> FOAM FATAL IO ERROR warning", "", "\tkeyword gamma is undefined ", "x", "x", "x", "x", "a warning of no kind", "FOAM exiting", *["y"] * 9, "--> foam warning", "Cannot find required object dynamicP in", *["z"] * 9, "FOAM Warning", "cannot find required object rho", *["z"] * 9, "FOAM Warning " + "w" * 1300, "only cell interpolation can be applied", *["z"] * 9, "sigsegv"]
+    log = spark.createDataFrame([("s", i, t) for i, t in enumerate(rows, 1)], "source string, line long, text string")
+    got = {r.line: (r.severity, r.category, r.blocking) for r in logs.diagnose(log, log_rules.KINDS, "source").collect()}
+    at = lambda t: next(i for i, x in enumerate(rows, 1) if x.startswith(t))
+    assert got == {
+        2: ("fatal", "boundary_condition_missing_entry", True),
+        10: ("fatal", "openfoam_fatal", True),
+        at("--> foam"): ("nonblocking_warning", "derived_field_unavailable", False),
+        at("FOAM Warning"): ("warning", "missing_runtime_object", False),
+        at("FOAM Warning w"): ("nonblocking_warning", "probe_interpolation_downgraded", False),
+        len(rows): ("fatal", "openfoam_fatal", True),
+    }
+    message = {r.line: r.message for r in logs.diagnose(log, log_rules.KINDS, "source").collect()}
+    assert message[2] == "before\n--> FOAM FATAL IO ERROR warning\nkeyword gamma is undefined\nx\nx\nx" and len(message[at("FOAM Warning w")]) == 1200
+
+
+def test_glob_sequences(spark):
+    import fnmatch
+
+    from tessera.functions import text as T
+
+    names = ["a.c", "b.c", "].c", "-.c", "!.c", "^.c", "[.c", "ab.c", "x/a.c", "\\.c"]
+    for pattern in ("[ab].c", "[!ab].c", "[]a].c", "[a-c].c", "[^a].c", "[a.c", "[!]].c", "?.c"):
+        rows = spark.createDataFrame([(n,) for n in names], "n string").where(f"n rlike r'{T.glob_regex(pattern)}'").collect()
+        assert {r.n for r in rows} == {n for n in names if fnmatch.fnmatchcase(n.rpartition("/")[2], pattern)}, pattern
+
+
+def test_bm25_shuffles_postings_of_asked_terms_only(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta{i} gamma") for i in range(50)], "key long, text string")
+    asked = spark.createDataFrame([(1, "alpha beta3")], "item long, text string")
+    plan = ranking.bm25(docs, asked, "key", "item")._jdf.queryExecution().optimizedPlan().toString()
+    semi = next(x for x in plan.splitlines() if "LeftSemi" in x)
+    assert "broadcast" in semi
+
+
+def test_walk_goes_by_decay(spark):
+    edges = spark.createDataFrame([("a", "b", "x"), ("a", "c", "y"), ("d", "a", "one"), ("a", "e", "no")], "source string, target string, relation string")
+    decay = spark.createDataFrame([("x", 0.6), ("y", 0.2), ("one", 0.5)], "relation string, factor double")
+    seeds = spark.createDataFrame([(1, "a", 2.0), (1, "z", -1.0), (2, "a", 0.0)], "q long, node string, score double")
+    got = {(r.q, r.node): r.mass for r in graphs.restart_walk(seeds, edges, decay, "q", rounds=1, forward=("one",)).collect() if r.mass}
+    assert got == {(1, "a"): pytest.approx(0.35), (1, "b"): pytest.approx(0.65 * 0.75), (1, "c"): pytest.approx(0.65 * 0.25)}
+
+
+def test_closure_ends_or_fails(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)], "source long, target long")
+    roots = spark.createDataFrame([(0,)], "root long")
+    assert graphs.closure(roots, chain, 10).count() == 10
+    with pytest.raises(RuntimeError):
+        graphs.closure(roots, chain, 3)
+
+
+def test_numeric_grades_and_aliases(spark):
+    rows = [
+        ("numeric", "FINAL: 1.05", "answered", "1", 0.1, 0.0, None),
+        ("numeric", "FINAL: 105", "answered", "100", 0.0, 0.05, None),
+        ("numeric", "FINAL: 1.05", "answered", "1", None, None, None),
+        ("numeric", "FINAL: １００", "answered", "100", None, None, None),
+        ("numeric", "FINAL: 1e5 m", "answered", "100000", None, None, None),
+        ("fill", "FINAL: `ﬁeld`", "answered", "x", None, None, ["field"]),
+        ("fill", "FINAL: é漢", "answered", "é漢", None, None, []),
+        ("fill", "FINAL: two words", "answered", "two words", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "kind string, answer string, status string, gold string, absolute_tolerance double, relative_tolerance double, aliases array<string>")
+    assert [r.reason for r in evaluation.grade(df).collect()] == ["correct", "correct", "wrong_answer", "correct", "invalid_final_format", "correct", "correct", "invalid_final_format"]
 
 
 def test_parsers(spark):
