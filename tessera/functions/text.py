@@ -177,3 +177,70 @@ def anomaly(line: Column) -> Column:
 def canonical_hash(*columns: Column) -> Column:
     """SHA-256 of compact JSON of the columns, nulls included."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+def literals(text: Column) -> Column:
+    """Distinct names with the signs that paths and types have in them, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(_text(text), F.lit(r"[A-Za-z_][A-Za-z0-9_./<>+-]*"), F.lit(0))))
+
+
+def identifiers(text: Column, without: list[str]) -> Column:
+    """Distinct lower-cased identifiers, sorted, but for the words of ``without``."""
+    found = F.transform(F.regexp_extract_all(_text(text), F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), F.lower)
+    return F.array_sort(F.array_except(found, F.array(*map(F.lit, without)).cast("array<string>")))
+
+
+def alternation(question: Column) -> Column:
+    """A pattern for any of a question's literal terms; the question itself, escaped, where it has none."""
+    escaped = lambda c: F.regexp_replace(c, r"[^A-Za-z0-9_\x{4e00}-\x{9fff}]", r"\\$0")
+    terms = F.regexp_extract_all(_text(question), F.lit(r"[A-Za-z_][A-Za-z0-9_.-]*|[\x{4e00}-\x{9fff}]{2,}"), F.lit(0))
+    return F.when(F.size(terms) > 0, F.array_join(F.transform(terms, escaped), "|")).otherwise(escaped(_text(question)))
+
+
+def case_directory(path: Column, root: str, folders: list[str], files: list[str], depth: int = 3) -> Column:
+    """The case that a path below ``root`` belongs to; null without one.
+
+    It ends before the first component of ``folders`` that has at least ``depth``
+    components before it, or is the folder of a file named in ``files``.
+    """
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    marks = F.filter(F.transform(parts, lambda p, i: F.when(p.isin(*folders) & (i >= depth), i)), lambda i: i.isNotNull())
+    upto = F.when(F.size(marks) > 0, F.get(marks, F.lit(0))).when(F.element_at(parts, -1).isin(*files), F.size(parts) - 1)
+    return F.when(F.get(parts, F.lit(0)) == root, F.array_join(F.slice(parts, F.lit(1), upto), "/"))
+
+
+#: What a report must not hold, and the reason that is given.
+REPORT_ERRORS = [
+    (r"(?i)(error executing agent|connection error|api connection error|agent timeout|no output generated)", False, "report contains an agent/tool connection error"),
+    (
+        r"(?i)^\s*(?:sorry[,\s]*)?(?:i\s+)?(?:need|require|would need)\s+(?:more|additional)\s+(?:steps|time|information|context)\b"
+        r"|^\s*(?:sorry[,\s]*)?(?:i\s+)?(?:cannot|can't|can not)\s+(?:complete|process|finish)\s+this\s+request\b|^\s*(?:please\s+)?(?:continue|provide more context)\b",
+        True,
+        "report is a placeholder continuation response",
+    ),
+    (r"(?i)^\s*(?:---\s*)?Retrieved Documentation Information(?:\s*---)?|^\s*Observation:\s*|^\s*Tool output:\s*", True, "report appears to be raw tool/retrieval output instead of an analysis report"),
+]
+REPORT_EMPTY, REPORT_SHORT = "report is empty", "is shorter than the minimum content contract"
+
+
+def report_reasons(text: Column, name: str, least: int = 80) -> Column:
+    """Reasons for which a report is not valid, in a fixed order; none for a valid one."""
+    bare = F.regexp_replace(_text(text), r"\A\s+|\s+\z", "")
+    checks = [F.when(bare == "", F.lit(REPORT_EMPTY)), *[F.when((bare if stripped else _text(text)).rlike(p), F.lit(why)) for p, stripped, why in REPORT_ERRORS], F.when(F.length(bare) < least, F.lit(f"{name} {REPORT_SHORT}"))]
+    return F.filter(F.array(*checks), lambda r: r.isNotNull())
+
+
+def short_id(*parts: Column) -> Column:
+    """Sixteen hexadecimal digits of the SHA-1 of parts joined by line breaks."""
+    return F.substring(F.sha1(F.concat_ws("\n", *parts).cast("binary")), 1, 16)
+
+
+def balanced(text: Column) -> Column:
+    """Whether round, square and curly brackets each close as often as they open and never before."""
+    signs = F.regexp_extract_all(_text(text), F.lit(r"[()\[\]{}]"), F.lit(0))
+    step = lambda open, close: lambda s, c: F.struct(
+        (s["n"] + F.when(c == open, 1).when(c == close, -1).otherwise(0)).alias("n"), (s["ok"] & ((c != close) | (s["n"] > 0))).alias("ok")
+    )
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("ok"))
+    done = [F.aggregate(signs, start, step(a, b), lambda s: s["ok"] & (s["n"] == 0)) for a, b in ("()", "[]", "{}")]
+    return done[0] & done[1] & done[2]

@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import shared_dir
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, so a loop's plan doesn't grow."""
-    path = f"{shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tessera.session import cut, shared_dir
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 
 def expand(start: str, end: str, by: int, low: Column, high: Column) -> tuple[Column, Column]:
     """A range widened by ``by`` lines on both sides, within ``low`` and ``high``."""
@@ -73,3 +75,23 @@ def undelivered(refs: DataFrame, delivered: DataFrame, by: list[str]) -> DataFra
     """Lines of ``refs (by, start, end)`` that no range of ``delivered`` has; none means that all references hold."""
     lines_of = lambda d: d.select(*by, F.explode(F.sequence("start", "end")).alias("line")).distinct()
     return lines_of(refs).join(lines_of(delivered), [*by, "line"], "left_anti")
+
+
+def numbered(rows: DataFrame, order: list[str], by: list[str] | None = None, out: str = "place") -> DataFrame:
+    """``rows`` with their place from 1 in the order of all, or of each group ``by``; no task holds more than a range.
+
+    Rows are sorted by ranges and written, ranges are counted (one row each), and
+    each range's offset is added to the places within it.  A hot group lies in
+    several ranges.
+    """
+    keys = [*(by or []), *order]
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = cut(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    found = ranged.join(F.broadcast(before), "_part").withColumn(out, place).drop("_part", "_at", "_before")
+    if not by:
+        return found
+    first = cut(found.groupBy(*by).agg((F.min(out) - 1).alias("_first")), "numbered")
+    return found.join(first, by).withColumn(out, F.col(out) - F.col("_first")).drop("_first")

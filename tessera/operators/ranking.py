@@ -99,6 +99,31 @@ def bm25(
     return top(scored, [query], [F.desc("score"), F.asc(key)], limit)
 
 
+def literal_hits(units: DataFrame, queries: DataFrame, key: str, query: str, limit: int = 64, text: str = "text", query_text: str = "text", path: str | None = None) -> DataFrame:
+    """``(query, key, score, rank)``: 4 for each literal of a query that the unit's ``path`` holds, 1 for each other that its text does.
+
+    Literals are names with the dots, slashes and hyphens in them, counted as
+    often as the query has them; in a text they stand between characters of
+    no word.  A literal's first word is a whole word of such a text, so texts
+    and literals are joined by it; paths are compared once each, with the
+    literals of all queries, which are a stated set.
+    """
+    found = F.regexp_extract_all(F.coalesce(F.col(query_text), F.lit("")), F.lit(r"[A-Za-z_][A-Za-z_0-9./-]*"), F.lit(0))
+    asked = queries.select(query, F.explode(found).alias("literal")).groupBy(query, "literal").agg(F.count("*").alias("n"))
+    sent = F.broadcast if asked.count() <= BROADCAST_TERMS else (lambda x: x)
+    wanted = asked.select("literal", F.regexp_extract("literal", r"^[A-Za-z_0-9]+", 0).alias("word")).distinct()
+    words = units.select(key, F.col(text).alias("_t"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
+    near = words.join(sent(wanted), "word").where((F.col("literal") == F.col("word")) | F.rlike("_t", F.concat(F.lit(r"(?U)(?<!\w)\Q"), "literal", F.lit(r"\E(?!\w)"))))
+    hits = near.select(key, "literal", F.lit(1).alias("w"))
+    if path is not None:
+        every = wanted.select("literal").distinct()
+        held = units.select(path).distinct().join(sent(every), F.contains(F.col(path), F.col("literal"))).select(path, "literal")
+        hits = hits.unionByName(units.select(key, path).join(held, path).select(key, "literal", F.lit(4).alias("w")))
+    best = hits.groupBy(key, "literal").agg(F.max("w").alias("w"))
+    scored = best.join(sent(asked), "literal").groupBy(query, key).agg(F.sum(F.col("w") * F.col("n")).alias("score"))
+    return top(scored, [query], [F.desc("score"), F.asc(key)], limit)
+
+
 def top(df: DataFrame, by: list[str], order: list[Column], limit: int, out: str = "rank") -> DataFrame:
     """The first ``limit`` rows of each group with their rank from 1; tasks keep only their own best before the shuffle."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(out) <= limit)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import evaluate, graph, retrieval
+from tessera.plans import checks, evaluate, graph, retrieval
 
 FLAGSHIP = "q13_bm25"
-QUERIES: dict = {**retrieval.QUERIES, **graph.QUERIES, **evaluate.QUERIES}
-ORACLE: dict[str, str] = {**retrieval.ORACLE, **graph.ORACLE, **evaluate.ORACLE}
+QUERIES: dict = {**retrieval.QUERIES, **graph.QUERIES, **evaluate.QUERIES, **checks.QUERIES}
+ORACLE: dict[str, str] = {**retrieval.ORACLE, **graph.ORACLE, **evaluate.ORACLE, **checks.ORACLE}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import evaluation, logs
+from tessera.operators import evaluation, logs, ranges
 from tessera.plans import log_rules
 from tessera.plans.common import table
 from tessera.streaming import streams
@@ -206,8 +206,8 @@ def q44(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q45_panels", "SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY sha256('slot:' || doc_id), doc_id) - 1) % 3 AS panel FROM documents")
 def q45(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("lang").orderBy(evaluation.hash_order("slot", F.col("doc_id")), "doc_id")
-    return table(spark, d, "documents").select("doc_id", "lang", F.pmod(F.row_number().over(order) - 1, F.lit(3)).cast("long").alias("panel"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", evaluation.hash_order("slot", F.col("doc_id")).alias("h"))
+    return ranges.numbered(docs, ["h", "doc_id"], ["lang"]).select("doc_id", "lang", F.pmod(F.col("place") - 1, F.lit(3)).cast("long").alias("panel"))
 
 
 @query("q46_status_counts", "SELECT user_id, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'signup') AS signup, count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY user_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import ranges, ranking
+from tessera.operators import ranges, ranking, selection
 from tessera.plans.common import CASE_FILES_SQL, CASES_SQL, HITS_SQL, PASSAGES_SQL, case_dirs, case_files, item_hits, table, texts, tokens_sql
 from tessera.sources import corpus
 
@@ -100,13 +100,10 @@ g(pattern, re) AS (VALUES {', '.join(f"('{g}', '{T.glob_regex(g)}')" for g in GL
 m AS (SELECT pattern, path, page_id, row_number() OVER (PARTITION BY pattern ORDER BY path, page_id) - 1 AS k, count(*) OVER (PARTITION BY pattern) AS n FROM u JOIN g ON regexp_matches(path, re))
 SELECT pattern, path, page_id, k // 20 AS page, CASE WHEN (k // 20 + 1) * 20 < n THEN (k // 20 + 1) * 20 END AS next_offset FROM m""")
 def q09(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     paths = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"://[^/?#]*/([^?#]*)", 1).alias("path"))
     hits = paths.select("page_id", "path", F.explode(F.array(*[F.when(F.col("path").rlike(T.glob_regex(g)), F.lit(g)) for g in GLOBS])).alias("pattern")).where("pattern is not null")
-    k = (F.row_number().over(Window.partitionBy("pattern").orderBy("path", "page_id")) - 1).cast("long")
     n = hits.groupBy("pattern").agg(F.count("*").alias("n"))
-    paged = hits.withColumn("k", k).join(n, "pattern").withColumn("page", F.floor(F.col("k") / 20))
+    paged = ranges.numbered(hits, ["path", "page_id"], ["pattern"]).join(F.broadcast(n), "pattern").withColumn("page", F.floor((F.col("place") - 1) / 20))  # a row a pattern
     nxt = (F.col("page") + 1) * 20
     return paged.select("pattern", "path", "page_id", "page", F.when(nxt < F.col("n"), nxt).alias("next_offset"))
 
@@ -174,10 +171,31 @@ def q16(spark: SparkSession, d: str) -> DataFrame:
     return fused.select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def hybrid_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of each item by BM25, by vectors of their documents, and by literals, fused; those seen or out of scope are left out.
+
+    A document's vector stands for its first passage.  The three best BM25
+    passages of items with even ids count as seen; items with an id divisible
+    by 3 are confined to two sources.
+    """
+    units = ranking.passages(texts(spark, d)).join(texts(spark, d).select("doc_id", "source"), "doc_id").withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    items = table(spark, d, "benchmark").select("item_id", "text")
+    lexical = item_hits(spark, d).select("item_id", "passage_id", "rank")
+    firsts = units.where("start = 1").groupBy("doc_id").agg(F.min("passage_id").alias("passage_id"))
+    dense = _dense(spark, d).join(firsts, "doc_id").select("item_id", "passage_id", "rank")
+    literal = ranking.literal_hits(units.select("passage_id", "source", "text"), items, "passage_id", "item_id", path="source").select("item_id", "passage_id", "rank")
+    fused = ranking.fuse([lexical, dense, literal], "passage_id", "item_id", pool=192).drop("rank")
+    seen = lexical.where("item_id % 2 = 0 and rank <= 3")
+    fresh = selection.unseen(fused, seen, ["item_id", "passage_id"]).join(units.select("passage_id", "doc_id", "start", "end", "path"), "passage_id")
+    scopes = F.when(F.col("item_id") % 3 == 0, F.array(F.lit("src1"), F.lit("src2/"))).otherwise(F.array().cast("array<string>"))
+    kept = fresh.where(selection.in_scope(F.col("path"), scopes))
+    return ranking.top(kept, ["item_id"], [F.desc("score"), F.asc("passage_id")], 192).drop("path")
+
+
 @query("q15_hybrid")
 def q15(spark: SparkSession, d: str) -> DataFrame:
-    """Passages of each item after suppression of overlaps: sequential, so it has no SQL."""
-    return ranking.suppress_overlaps(item_hits(spark, d), "item_id").select("item_id", "passage_id", "doc_id", "start", "end", "rank")
+    """The fused passages of each item after suppression of overlaps: sequential, so it has no SQL."""
+    return ranking.suppress_overlaps(hybrid_lists(spark, d), "item_id", keep=32, pool=192).select("item_id", "passage_id", "doc_id", "start", "end", "score", "rank")
 
 
 @query("q17_diversity", f"""WITH RECURSIVE {PASSAGES_SQL}, {HITS_SQL},

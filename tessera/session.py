@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: int = 8, partitions: int | None = None, app: str = "tessera") -> SparkSession:
@@ -23,12 +25,21 @@ def build_session(cores: int = 8, partitions: int | None = None, app: str = "tes
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset
-    (tests on one machine) a folder of this session is used and set.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset,
+    a local master uses a folder of its own, any other is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = f"file:///tmp/tessera-shared/{spark.sparkContext.applicationId}"
     spark.sparkContext.setCheckpointDir(own)
     return own
+
+
+def cut(df: DataFrame, tag: str = "table") -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage and plan end here."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
