@@ -244,3 +244,15 @@ def balanced(text: Column) -> Column:
     start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("ok"))
     done = [F.aggregate(signs, start, step(a, b), lambda s: s["ok"] & (s["n"] == 0)) for a, b in ("()", "[]", "{}")]
     return done[0] & done[1] & done[2]
+
+
+def important_lines(text: Column, pattern: str, cap: int = 1600, marker: str = "\n... [excerpt truncated]") -> Column:
+    """Distinct lines that match, up to ``cap`` characters; the text's beginning where none does."""
+    found = F.array_distinct(F.filter(F.transform(F.filter(lines(_text(text)), lambda x: x.rlike(pattern)), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != ""))
+
+    def excerpt(joined: Column) -> Column:
+        whole = F.when(joined != "", joined).otherwise(F.regexp_replace(F.substring(_text(text), 1, cap), r"\A\s+|\s+\z", ""))
+        ends = F.substring(joined, cap + 1, 1).isin("", "\n")
+        return F.when((F.length(joined) > cap) & ~ends, F.concat(F.regexp_replace(F.substring(joined, 1, cap), r"\s+$", ""), F.lit(marker))).otherwise(F.substring(whole, 1, cap))
+
+    return bound(F.regexp_replace(F.array_join(found, "\n"), r"\A\s+|\s+\z", ""), excerpt)

@@ -61,3 +61,51 @@ def higher(a: DataFrame, b: DataFrame, keys: list[str], score: str = "score") ->
 def placed(rows: DataFrame, by: list[str], order: list[Column], out: str = "place") -> DataFrame:
     """``rows`` with their place from 1 in each group, by several keys."""
     return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def checked(df: DataFrame, checks: dict[str, Column], required: list[str] | None = None) -> DataFrame:
+    """``df`` with ``checks map<string,boolean>``, ``issues`` (names of those that don't hold, in order) and ``passed``.
+
+    A check that is null doesn't hold.  ``required`` names the checks that decide; all by default.
+    """
+    held = {n: F.coalesce(c, F.lit(False)) for n, c in checks.items()}
+    issues = F.filter(F.array(*[F.when(~c, F.lit(n)) for n, c in held.items()]), lambda x: x.isNotNull())
+    deciding = F.array(*map(F.lit, required if required is not None else held)).cast("array<string>")
+    out = df.withColumns({"checks": F.create_map(*[x for n, c in held.items() for x in (F.lit(n), c)]), "issues": issues})
+    return out.withColumn("passed", ~F.arrays_overlap("issues", deciding))
+
+
+def conditions(df: DataFrame, wanted: str, context: str) -> DataFrame:
+    """``df`` with ``truth`` and ``missing``: conditions ``array<struct<field,value>>`` against a map of what is known.
+
+    False as soon as a known field has another value, else null (unknown) while
+    fields are missing, which ``missing`` names, else true.
+    """
+    missing = F.transform(F.filter(wanted, lambda c: F.get(F.array(F.element_at(context, c["field"])), F.lit(0)).isNull()), lambda c: c["field"])
+    wrong = F.exists(wanted, lambda c: F.coalesce(F.element_at(context, c["field"]) != c["value"], F.lit(False)))
+    return df.withColumn("missing", missing).withColumn("truth", F.when(wrong, F.lit(False)).when(F.size("missing") == 0, F.lit(True)))
+
+
+def inventory(files: DataFrame, by: str, path: str = "path", cap: int = 80) -> DataFrame:
+    """The first ``cap`` files of each case by path, and whether that many were found."""
+    n = F.count("*").over(Window.partitionBy(by))
+    return placed(files.withColumn("truncated", n >= cap), [by], [F.asc(path)]).where(F.col("place") <= cap)
+
+
+def tier_stop(tiers: DataFrame, order: str, rate: str, gain: float = 0.03, misses: int = 2) -> DataFrame:
+    """Tiers up to where probing stops: after ``misses`` in a row that don't exceed the best before by ``gain``.  Few rows: one a tier."""
+    w = Window.orderBy(order)
+    before = F.max(rate).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    missed = tiers.withColumn("better", before.isNull() | (F.col(rate) > before * (1 + gain)))
+    late = F.sum((~F.col("better")).cast("int")).over(w.rowsBetween(1 - misses, 0)) == misses
+    stops = missed.withColumn("_s", late).withColumn("stopped", F.coalesce(F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    return stops.where(~F.col("stopped")).drop("_s", "stopped")
+
+
+def without_sensitive_files(lines: DataFrame, by: str, sensitive, line: str = "line", text: str = "text") -> DataFrame:
+    """Lines of diffs but for those of files whose header names a path that ``sensitive`` (a function of a column) holds of."""
+    parts = F.split(F.trim(text), r"\s+")
+    header = F.startswith(F.col(text), F.lit("diff --git ")) & (F.size(parts) >= 4)
+    hidden = F.when(F.startswith(F.col(text), F.lit("diff --git ")), header & (sensitive(F.get(parts, F.lit(2))) | sensitive(F.get(parts, F.lit(3)))))
+    last = F.last(hidden, ignorenulls=True).over(Window.partitionBy(by).orderBy(line))
+    return lines.withColumn("_h", F.coalesce(last, F.lit(False))).where(~F.col("_h")).drop("_h")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import ledgers, ranges, ranking, selection
+from tessera.operators import evaluation, ledgers, ranges, ranking, selection
 from tessera.plans.common import CASE_FILES_SQL, HITS_SQL, PASSAGES_SQL, case_files, item_hits, table, texts
 from tessera.plans.retrieval import _DENSE_SQL, _dense
 
@@ -182,10 +182,11 @@ def q74(spark: SparkSession, d: str) -> DataFrame:
     return ledgers.session_budget(calls, "user_id", "event_id", max_call=120, max_total=600).select("user_id", "event_id", *long("call", "delivered"))
 
 
-@query("q75_two_judges", "SELECT user_id, avg(v) AS mean FROM (SELECT user_id, event_type, max(value) AS v FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL) GROUP BY user_id HAVING count(*) = 2")
+@query("q75_two_judges", "WITH s AS (SELECT user_id, event_type, CASE WHEN max(event_id) % 9 <> 0 THEN max(value) END AS v FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL) SELECT user_id, CASE WHEN count(v) = 2 THEN round(avg(v), 6) END AS mean FROM s GROUP BY user_id HAVING count(*) = 2")
 def q75(spark: SparkSession, d: str) -> DataFrame:
-    judged = table(spark, d, "events").where(F.col("event_type").isin("click", "view")).groupBy("user_id", "event_type").agg(F.max("value").alias("v"))
-    return judged.groupBy("user_id").agg(F.avg("v").alias("mean"), F.count("*").alias("n")).where("n = 2").drop("n")
+    value = F.when(F.max("event_id") % 9 != 0, F.max("value"))
+    judged = table(spark, d, "events").where(F.col("event_type").isin("click", "view")).groupBy("user_id", "event_type").agg(value.alias("v"))
+    return evaluation.two_judges(judged, "user_id", "event_type", "v")
 
 
 @query("q76_text_rules", r"""SELECT doc_id, substring(sha1(doc_id || chr(10) || source), 1, 16) AS short_id, ends_with(rtrim(coalesce(text, '')), 'End') OR contains(coalesce(text, ''), chr(10) || 'End' || chr(10)) AS clean,
@@ -199,3 +200,78 @@ def q76(spark: SparkSession, d: str) -> DataFrame:
 def q77(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("html")
     return table(spark, d, "pages").select("page_id", F.sha2(T.without_comments(h).cast("binary"), 256).alias("bare_sha256"), T.entry(h, "font").alias("font"))
+
+
+@query("q78_smallest_parent", f"""WITH RECURSIVE {PASSAGES_SQL}, a AS (SELECT doc_id, doc_id % 13 + 1 AS "start", doc_id % 13 + 1 + doc_id % 5 AS "end" FROM documents),
+j AS (SELECT a.doc_id, p."start" AS s, p."end" AS e, p."end" - p."start" AS n FROM a JOIN passages p ON a.doc_id = p.doc_id AND p."start" <= a."start" AND a."end" <= p."end" AND length(p.text) <= 1200)
+SELECT doc_id, "start", "end", CAST(p_start AS BIGINT) AS p_start, CAST(p_end AS BIGINT) AS p_end FROM a LEFT JOIN (SELECT doc_id, arg_min(s, (n, s, e)) AS p_start, arg_min(e, (n, s, e)) AS p_end FROM j GROUP BY doc_id) USING (doc_id)""")
+def q78(spark: SparkSession, d: str) -> DataFrame:
+    docs, i = texts(spark, d), F.col("doc_id")
+    inner = docs.select("doc_id", (i % 13 + 1).alias("start"), (i % 13 + 1 + i % 5).alias("end"))
+    outer = ranking.passages(docs).select("doc_id", *[F.col(a).cast("long").alias(f"p_{a}") for a in ("start", "end")], F.length("text").alias("p_chars"))
+    return ranges.smallest_parent(inner.withColumn("key", i), outer, "key", "doc_id").drop("key")
+
+
+@query("q79_undelivered", f"""WITH RECURSIVE {PASSAGES_SQL}, {HITS_SQL},
+wanted AS (SELECT DISTINCT item_id, doc_id, unnest(range("start", "end" + 1)) AS line FROM hits WHERE rank <= 5), had AS (SELECT DISTINCT item_id, doc_id, unnest(range("start", "end" + 1)) AS line FROM hits WHERE rank <= 3)
+SELECT item_id, doc_id, CAST(line AS BIGINT) AS line FROM wanted ANTI JOIN had USING (item_id, doc_id, line)""")
+def q79(spark: SparkSession, d: str) -> DataFrame:
+    hits = item_hits(spark, d, 5)
+    return ranges.undelivered(hits, hits.where("rank <= 3"), ["item_id", "doc_id"]).select("item_id", "doc_id", *long("line"))
+
+
+@query("q80_inventory", f"""WITH {CASE_FILES_SQL}, f AS (SELECT regexp_extract(path, '^[^/]+/[^/]+', 0) AS "case", path, size FROM files WHERE contains(path, '/postProcessing/'))
+SELECT "case", path, size, truncated, place FROM (SELECT *, count(*) OVER (PARTITION BY "case") >= 80 AS truncated, row_number() OVER (PARTITION BY "case" ORDER BY path) AS place FROM f) WHERE place <= 80""")
+def q80(spark: SparkSession, d: str) -> DataFrame:
+    files = case_files(spark, d).where(F.contains("path", F.lit("/postProcessing/"))).select(F.regexp_extract("path", "^[^/]+/[^/]+", 0).alias("case"), "path", "size")
+    return selection.inventory(files, "case").select("case", "path", "size", "truncated", *long("place"))
+
+
+@query("q81_tier_stop", """WITH t AS (SELECT hour(ts) AS tier, round(sum(value) / 3600, 6) AS rate FROM events GROUP BY ALL),
+b AS (SELECT *, coalesce(rate > max(rate) OVER (ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) * 1.03, true) AS better FROM t),
+l AS (SELECT *, sum(CASE WHEN better THEN 0 ELSE 1 END) OVER (ORDER BY tier ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) = 2 AS late FROM b)
+SELECT tier, rate, better FROM (SELECT *, coalesce(bool_or(late) OVER (ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM l) WHERE NOT stopped""")
+def q81(spark: SparkSession, d: str) -> DataFrame:
+    tiers = table(spark, d, "events").groupBy(F.hour("ts").cast("long").alias("tier")).agg(F.round(F.sum("value") / 3600, 6).alias("rate"))
+    return selection.tier_stop(tiers, "tier", "rate")
+
+
+@query("q82_checks", """WITH c AS (SELECT o_orderkey, [CASE WHEN NOT o_totalprice > 50000 THEN 'priced' END, CASE WHEN NOT o_orderstatus = 'F' THEN 'finished' END, CASE WHEN NOT starts_with(o_orderpriority, '1') THEN 'urgent' END] AS x FROM orders),
+i AS (SELECT o_orderkey, list_filter(x, lambda v: v IS NOT NULL) AS issues FROM c)
+SELECT o_orderkey, array_to_string(issues, ',') AS issues, NOT list_has_any(issues, ['priced', 'finished']) AS passed FROM i""")
+def q82(spark: SparkSession, d: str) -> DataFrame:
+    rules = {"priced": F.col("o_totalprice") > 50000, "finished": F.col("o_orderstatus") == "F", "urgent": F.startswith(F.col("o_orderpriority"), F.lit("1"))}
+    return selection.checked(table(spark, d, "orders"), rules, ["priced", "finished"]).select("o_orderkey", F.array_join("issues", ",").alias("issues"), "passed")
+
+
+@query("q83_conditions", """WITH c AS (SELECT p_partkey, p_size = 10 + p_partkey % 5 AS size_is, CASE WHEN p_partkey % 3 <> 0 THEN p_brand = 'Brand#13' END AS brand_is FROM part)
+SELECT p_partkey, CASE WHEN NOT size_is OR NOT brand_is THEN false WHEN brand_is IS NULL THEN NULL ELSE true END AS truth, CASE WHEN brand_is IS NULL THEN 'brand' ELSE '' END AS missing FROM c""")
+def q83(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    one = lambda f, v: F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"))
+    rows = table(spark, d, "part").select(
+        "p_partkey",
+        F.array(one("size", 10 + k % 5), one("brand", F.lit("Brand#13"))).alias("wanted"),
+        F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.when(k % 3 != 0, F.col("p_brand"))).alias("context"),
+    )
+    return selection.conditions(rows, "wanted", "context").select("p_partkey", "truth", F.array_join("missing", ",").alias("missing"))
+
+
+@query("q84_diff_files", """WITH l AS (SELECT user_id, event_id AS line, CASE event_type WHEN 'error' THEN 'diff --git a/.env b/.env' WHEN 'signup' THEN 'diff --git a/x.txt b/x.txt' ELSE '+' || event_type END AS text FROM events),
+h AS (SELECT *, last_value(CASE WHEN starts_with(text, 'diff --git ') THEN contains(text, '.env') END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY line) AS hidden FROM l)
+SELECT user_id, line, text FROM h WHERE NOT coalesce(hidden, false)""")
+def q84(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("event_type")
+    said = F.when(t == "error", "diff --git a/.env b/.env").when(t == "signup", "diff --git a/x.txt b/x.txt").otherwise(F.concat(F.lit("+"), t))
+    return selection.without_sensitive_files(table(spark, d, "events").select("user_id", F.col("event_id").alias("line"), said.alias("text")), "user_id", T.sensitive_path)
+
+
+IMPORTANT = r"\b(type|font|div|license|token)\b"
+
+
+@query("q85_important_lines", rf"""WITH l AS (SELECT page_id, coalesce(html, '') AS t, string_split(CASE WHEN ends_with(html, chr(10)) THEN html[:-2] ELSE coalesce(html, '') END, chr(10)) AS x FROM pages),
+f AS (SELECT page_id, t, list_filter(list_transform(list_filter(x, lambda v: regexp_matches(v, '{IMPORTANT}')), lambda v: regexp_replace(v, '\s+$', '')), lambda v: v <> '') AS y FROM l),
+j AS (SELECT page_id, t, regexp_replace(array_to_string(list_filter(y, lambda v, i: list_position(y, v) = i), chr(10)), '^\s+|\s+$', '', 'g') AS j FROM f)
+SELECT page_id, sha256(CASE WHEN length(j) > 200 AND j[201] <> chr(10) THEN regexp_replace(j[:200], '\s+$', '') || chr(10) || '... [excerpt truncated]' WHEN j <> '' THEN j[:200] ELSE regexp_replace(t[:200], '^\s+|\s+$', '', 'g') END) AS excerpt_sha256 FROM j""")
+def q85(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.sha2(T.important_lines(F.col("html"), IMPORTANT, 200).cast("binary"), 256).alias("excerpt_sha256"))
