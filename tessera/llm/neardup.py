@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tessera.llm.common import components, held, written
+from tessera.llm.common import components, few, held, written
 
 CHUNKS, WIDTH = 12, 5
 SYMBOLS = CHUNKS * WIDTH
@@ -62,8 +62,6 @@ LEADERS = 24
 SMALL_KEY = 32
 #: Sets that may count as large, of which rows are not shuffled in the end.
 LARGE_SETS = 4_096
-#: Rows of a few numbers up to which a table of ids is sent to all executors instead of shuffling all texts.
-BROADCAST_IDS = 1_000_000
 
 _ONE = (1 << BITS) - 1
 _FILL = sum(_ONE << (16 * k) for k in range(4))
@@ -231,11 +229,6 @@ def prefix_pairs(sets: DataFrame, lanes: DataFrame, fits: Column, percent: int)
     return sides[0].join(sides[1], "s").where(fits & enough & near).select("a", "b").distinct()
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """``ids``, a written table, to be sent to all tasks if it has at most ``BROADCAST_IDS`` rows."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``df``: ``(id, n_shingles, component_id)``.
 

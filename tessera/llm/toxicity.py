@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tessera.llm.common import held, written
+from tessera.llm.common import few, held, written
 from tessera.llm.linear import SparseLogistic, folds
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -139,9 +139,10 @@ def train_toxicity(
         yield given()
 
     known = labels.where(F.col(id).isNotNull()).groupBy(id).agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(c) for c in categories])
+    known = written(known, "toxic-labels")
     sample = known.orderBy(F.xxhash64(F.col(id).cast("string")), id).limit(sample_rows)
-    rows = docs.select(id, F.col(text).alias("_t")).join(known, id).select("_t", *categories)
-    totals = docs.select(id).join(known, id).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
+    rows = docs.select(id, F.col(text).alias("_t")).join(few(known), id).select("_t", *categories)
+    totals = docs.select(id).join(few(known), id).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     parts = rows.mapInArrow(counted, ", ".join(["w string", "n long", *[f"`{c}` long" for c in categories]]))
     each = written(parts.groupBy("w").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in categories]).where("n >= 3"), "toxic-words")
     best = None
