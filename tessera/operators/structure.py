@@ -112,16 +112,20 @@ def dictionary_entries(df: DataFrame, text: str = "text", keep: tuple[str, ...]
 def fenced(text: Column) -> Column:
     """Lines as ``struct(line, text, code)``: ``code`` tells lines within fences, the fences included."""
     lines_ = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    start = F.struct(F.lit("").alias("fence"), F.array().cast("array<boolean>").alias("code"))
 
-    def step(s: Column, x: Column) -> Column:
-        mark = F.regexp_extract(x, r"^\s{0,3}(```|~~~)", 1)
-        opens, closes = (s["fence"] == "") & (mark != ""), (s["fence"] != "") & (mark == s["fence"])
-        return F.struct(
-            F.when(opens, mark).when(closes, "").otherwise(s["fence"]).alias("fence"), F.concat(s["code"], F.array((s["fence"] != "") | opens)).alias("code")
-        )
-
-    return F.zip_with(F.transform(lines_, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), F.aggregate(lines_, start, step)["code"], lambda a, c: F.struct(a["line"].alias("line"), a["text"].alias("text"), c.alias("code")))
+    @arrow_udf("array<boolean>")
+    def inside(marks: pa.Array) -> pa.Array:
+        out = []
+        for row in marks.to_pylist():
+            fence, code = "", []
+            for mark in row:
+                code.append(bool(fence or mark))
+                fence = mark if not fence else "" if mark == fence else fence
+            out.append(code)
+        return pa.array(out, pa.list_(pa.bool_()))
+
+    code = inside(F.transform(lines_, lambda x: F.regexp_extract(x, r"^\s{0,3}(```|~~~)", 1)))
+    return F.zip_with(F.transform(lines_, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), code, lambda a, c: F.struct(a["line"].alias("line"), a["text"].alias("text"), c.alias("code")))
 
 
 def markdown_headings(df: DataFrame, id: str, text: str = "text") -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import checks, evaluate, graph, records, retrieval, routing
+from tessera.plans import cases, checks, evaluate, graph, records, retrieval, routing
 
 FLAGSHIP = "q13_bm25"
-QUERIES: dict = {**retrieval.QUERIES, **graph.QUERIES, **evaluate.QUERIES, **checks.QUERIES, **routing.QUERIES, **records.QUERIES}
-ORACLE: dict[str, str] = {**retrieval.ORACLE, **graph.ORACLE, **evaluate.ORACLE, **checks.ORACLE, **routing.ORACLE, **records.ORACLE}
+QUERIES: dict = {**retrieval.QUERIES, **graph.QUERIES, **evaluate.QUERIES, **checks.QUERIES, **routing.QUERIES, **records.QUERIES, **cases.QUERIES}
+ORACLE: dict[str, str] = {**retrieval.ORACLE, **graph.ORACLE, **evaluate.ORACLE, **checks.ORACLE, **routing.ORACLE, **records.ORACLE, **cases.ORACLE}

@@ -247,11 +247,11 @@ def q50(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q51_paired", "SELECT a.user_id * 1000000 + a.k AS task, (a.value + b.value) / 2 AS mean FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value, event_id FROM events WHERE event_type = 'click') a JOIN (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value FROM events WHERE event_type = 'view') b ON a.user_id = b.user_id AND a.k = b.k")
 def q51(spark: SparkSession, d: str) -> DataFrame:
-    """The batch form of the pairing of two judges' results."""
+    """The pairing of two judges' results over what has come so far."""
     order = Window.partitionBy("user_id").orderBy("event_id")
     e = table(spark, d, "events").select("user_id", "event_id", "value", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    side = lambda k: e.where(F.col("event_type") == k).select((F.col("user_id") * 1_000_000 + F.row_number().over(order)).alias("task"), "value")
-    return side("click").join(side("view").withColumnRenamed("value", "other"), "task").select("task", ((F.col("value") + F.col("other")) / 2).alias("mean"))
+    side = lambda k: e.where(F.col("event_type") == k).select((F.col("user_id") * 1_000_000 + F.row_number().over(order)).alias("task"), "ts", "value")
+    return streams.paired(side("click"), side("view"), "task", within="400 days")
 
 
 _STOP_SQL = f"""WITH lg AS (SELECT user_id, event_id AS seq, value AS seconds, {_SAID_SQL} AS text FROM events),
