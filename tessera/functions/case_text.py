@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import bound, lines, tokens, without_comments
+from tessera.functions.text import bound, lines, report_reasons, tokens, without_comments
 
 #: Programs of a script that are no solvers.
 UTILITIES = (
@@ -17,6 +17,20 @@ UTILITIES = (
 #: Fixed value: the line that closes a case file.
 CLOSING = "// ************************************************************************* //"
 
+#: What a failed impulse step says, and the reason that is given.
+IMPULSE_ERROR = r"(?i)(could not dete?rmine a pressure field|valid probe fields are|was not found in .*postProcessing)"
+IMPULSE_REASON = "calculateImpulse reported an invalid or missing pressure field"
+
+
+def impulse_issues(output: Column, fields: Column, name: str = "report", least: int = 0, probes: str = "pressureProbes", field: str = "p") -> Column:
+    """Reasons for which the output of post-processing isn't valid, given the probe ``fields`` of its case; none for a valid one."""
+    text, held = F.coalesce(output, F.lit("")), F.array_sort(F.coalesce(fields, F.array().cast("array<string>")))
+    said = F.contains(text, F.lit("calculateImpulse"))
+    listed = F.when(F.size(held) > 0, F.array_join(held, ", ")).otherwise("none")
+    missing = F.concat(F.lit(f"calculateImpulse requires {probes}/{field}, but available probe fields are: "), listed)
+    more = F.array(F.when(said & text.rlike(IMPULSE_ERROR), F.lit(IMPULSE_REASON)), F.when(said & ~F.array_contains(held, field), missing))
+    return F.concat(report_reasons(output, name, least), F.filter(more, lambda r: r.isNotNull()))
+
 
 def ten_digits(value: Column) -> Column:
     """A number with at most ten significant digits, as ``%.10g`` writes it; a last digit that is tied goes up."""

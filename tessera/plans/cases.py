@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import case_text as C
+from tessera.functions import json_text as J
 from tessera.operators import cases
 from tessera.plans.common import table
 
@@ -183,3 +184,22 @@ def q124(spark: SparkSession, d: str) -> DataFrame:
     asked, alias = F.expr(_CJK.format("100000 + p_partkey * 7919")), F.expr(_CJK.format("1000 + p_partkey * 31 % 9000"))
     rows = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 == 0, F.concat(alias, asked)).otherwise(asked).alias("q"), F.array(alias, F.lit("no")).alias("aliases"))
     return rows.select("p_partkey", F.round(C.alias_relevance(F.col("q"), F.col("aliases")), 6).alias("score"))
+
+
+_WROTE = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{"k": 1, "k": 2}' WHEN 2 THEN '{"a": [NaN]}' WHEN 3 THEN '{"k": 1' WHEN 4 THEN concat(' ', props, ' and more') ELSE concat('{"type": "json_object", "content": ', props, '}') END"""
+
+
+@query("q125_json_faults", """SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'duplicate_key' WHEN 2 THEN 'not_finite' WHEN 3 THEN 'not_json' WHEN 4 THEN 'not_json' END AS fault, CASE event_id % 6 WHEN 1 THEN '{"k":2}' WHEN 2 THEN '{"a":[NaN]}' WHEN 3 THEN NULL ELSE replace(props, ' ', '') END AS object FROM events""")
+def q125(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("event_id", F.expr(_WROTE).alias("text"))
+    return rows.select("event_id", J.json_fault(F.col("text")).alias("fault"), J.json_prefix(F.col("text")).alias("object"))
+
+
+@query("q126_impulse_issues", """WITH c AS (SELECT o_custkey, list_sort(list(DISTINCT CASE o_orderkey % 5 WHEN 0 THEN 'p' WHEN 1 THEN 'U' ELSE 'T' END)) AS f FROM orders WHERE o_custkey % 7 <> 0 GROUP BY o_custkey)
+SELECT c_custkey, concat(CASE WHEN c_custkey % 3 = 1 THEN 'calculateImpulse reported an invalid or missing pressure field;' END, CASE WHEN c_custkey % 3 <> 2 AND NOT coalesce(list_contains(f, 'p'), false) THEN 'calculateImpulse requires pressureProbes/p, but available probe fields are: ' || coalesce(array_to_string(f, ', '), 'none') || ';' END) AS issues FROM customer LEFT JOIN c ON c_custkey = o_custkey""")
+def q126(spark: SparkSession, d: str) -> DataFrame:
+    k, o = F.col("c_custkey"), F.col("o_orderkey") % 5
+    fields = table(spark, d, "orders").where("o_custkey % 7 <> 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_set(F.when(o == 0, "p").when(o == 1, "U").otherwise("T")).alias("fields"))
+    said = F.when(k % 3 == 0, "calculateImpulse done").when(k % 3 == 1, "calculateImpulse: Could not determine a pressure field").otherwise("valid probe fields are many")
+    issues = C.impulse_issues(said, F.col("fields"))
+    return table(spark, d, "customer").join(fields, "c_custkey", "left").select("c_custkey", F.array_join(F.transform(issues, lambda x: F.concat(x, F.lit(";"))), "").alias("issues"))

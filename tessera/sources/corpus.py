@@ -148,6 +148,23 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return cases.withColumn("id", F.when(again == 1, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("case id repeats: "), F.col("id")))))
 
 
+def read_records(spark: SparkSession, path: str, schema: str, id: str) -> DataFrame:
+    """Rows of JSON files that hold one array of objects each: questions, annotations, evidence.  An ``id`` that is null or repeats is an error."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
+    once = (F.count("*").over(Window.partitionBy(id)) == 1) & F.col(id).isNotNull()
+    return rows.withColumn(id, F.when(once, F.col(id)).otherwise(F.raise_error(F.concat(F.lit("id is missing or repeats: "), F.coalesce(F.col(id).cast("string"), F.lit("null"))))))
+
+
+def read_vectors(spark: SparkSession, path: str, manifest: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """A vector index whose ``manifest`` (one row ``rows, dim``) must hold of it: another count of rows or distinct keys, or a vector of another size or with a null or NaN, is an error."""
+    vectors, said = spark.read.parquet(path), manifest.select("rows", "dim").first()
+    wrong = F.col(vector).isNull() | (F.size(vector) != said["dim"]) | F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    found = vectors.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), F.count_if(wrong).alias("wrong")).first()
+    if found["wrong"] or found["rows"] != said["rows"] or found["keys"] != said["rows"]:
+        raise ValueError(f"the index has {found['rows']} rows, {found['keys']} keys and {found['wrong']} vectors that don't fit; its manifest says {said['rows']} of {said['dim']}")
+    return vectors
+
+
 def manifest_of(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """``(path, sha256, bytes)`` of each row."""
     return df.select(F.col(path).alias("path"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"), F.octet_length(content).cast("long").alias("bytes"))

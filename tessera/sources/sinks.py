@@ -34,6 +34,45 @@ def replace(df: DataFrame, path: str, kind: str = "parquet") -> None:
         fs.delete(old, True)
 
 
+def publish(tables: dict[str, DataFrame], kind: str = "parquet", most: int = 64) -> None:
+    """Write several tables and put all of them in place, or none.
+
+    All are written beside their paths first.  Where one can't be put in place, those
+    already there go and the old ones come back.  Each path may be there before or not.
+    """
+    if len(tables) > most:
+        raise ValueError(f"{len(tables)} tables at once; at most {most}")
+    if not tables:
+        return
+    spark, tag = next(iter(tables.values())).sparkSession, uuid.uuid4().hex
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    plan = [(hadoop(path), hadoop(f"{path}.new-{tag}"), hadoop(f"{path}.old-{tag}")) for path in tables]
+    done = []
+    try:
+        for df, (_, new, _) in zip(tables.values(), plan):
+            df.write.format(kind).save(new.toString())
+        for target, new, old in plan:
+            fs = target.getFileSystem(conf)
+            done.append((fs, target, new, old))
+            if fs.exists(target) and not fs.rename(target, old):
+                raise OSError(f"could not move {target.toString()} away")
+            if not fs.rename(new, target):
+                raise OSError(f"could not put {target.toString()} in place")
+    except Exception:
+        for fs, target, new, old in reversed(done):
+            if not fs.exists(new) and fs.exists(target):
+                fs.delete(target, True)
+            if fs.exists(old):
+                fs.rename(old, target)
+        raise
+    finally:
+        for target, new, old in plan:
+            fs = target.getFileSystem(conf)
+            for rest in (new, old) if fs.exists(target) else (new,):
+                if fs.exists(rest):
+                    fs.delete(rest, True)
+
+
 def append_events(df: DataFrame, path: str) -> None:
     """Append rows as JSON lines."""
     df.write.mode("append").json(path)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import case_text as C
+from tessera.functions import json_text as J
 from tessera.operators import cases, structure
 from tessera.streaming import streams
 
@@ -89,3 +90,10 @@ def test_pairs_of_a_stream_come_once_both_have(spark, tmp_path):
     assert run() == [(1, 2.0)]
     write("b", [(2, "2024-01-03 00:00:00", 0.0)])
     assert run() == [(1, 2.0), (2, 2.0)]
+
+
+def test_json_of_models(spark):
+    wrapped = '{"type": "json_object", "content": "{\\"action\\": \\"search\\"}"}'
+    rows = [('{"a": 1}', None, '{"a":1}'), ('{"a": 1}\n{"b": 2}', "not_json", '{"a":1}'), ('{"a": "x\ny"}', "not_json", '{"a":"x\\ny"}'), (wrapped, None, '{"action":"search"}'), ("[1]", None, None), ("", "empty", None), (None, "empty", None), ('{"a": {"b": 1, "b": 1}}', "duplicate_key", '{"a":{"b":1}}'), ("x {}", "not_json", None), ('{"type": "json_object", "content": {"a": 1}, "z": 1}', None, '{"content":{"a":1},"type":"json_object","z":1}')]
+    got = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(rows)], "k int, t string").select("k", J.json_fault(F.col("t")).alias("f"), J.json_prefix(F.col("t")).alias("p")).collect()
+    assert [(r.f, r.p) for r in sorted(got)] == [(f, p) for _, f, p in rows]

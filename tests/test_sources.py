@@ -53,3 +53,35 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/e").count() == 2
     assert sinks.report(one, "T", "k", ["v"]).first().report == "# T\n\n| v |\n|---|\n| a\\|b |"
     assert sinks.manifest(spark, path).where("length(sha256) = 64").count() >= 1
+
+
+def test_records_and_vectors(spark, tmp_path):
+    (tmp_path / "q.json").write_text(json.dumps([{"id": "a", "q": "x"}, {"id": "b"}]))
+    read = lambda f: sorted(map(tuple, corpus.read_records(spark, f"file://{tmp_path}/{f}", "id string, q string", "id").collect()), key=str)
+    assert read("q.json") == [("a", "x"), ("b", None)]
+    for bad in ([{"id": "a"}, {"id": "a"}], [{"q": "x"}]):
+        (tmp_path / "bad.json").write_text(json.dumps(bad))
+        with pytest.raises(Exception, match="missing or repeats"):
+            read("bad.json")
+    path = f"file://{tmp_path}/v"
+    spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "k long, embedding array<float>").write.parquet(path)
+    said = lambda rows, dim: spark.createDataFrame([(rows, dim)], "rows long, dim int")
+    assert corpus.read_vectors(spark, path, said(2, 2), "k").count() == 2
+    for rows, dim in ((3, 2), (2, 3)):
+        with pytest.raises(ValueError, match="manifest"):
+            corpus.read_vectors(spark, path, said(rows, dim), "k")
+
+
+def test_tables_are_published_together(spark, tmp_path):
+    one = lambda v: spark.createDataFrame([(v,)], "v int")
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    sinks.publish({a: one(1), b: one(2)})
+    with pytest.raises(Exception):
+        sinks.publish({a: one(3), b: one(4).select("v", one(4).v.alias("v"))})  # two columns of one name can't be written
+    (tmp_path / "held").write_text("a file, no folder")
+    with pytest.raises(Exception):
+        sinks.publish({a: one(5), f"file://{tmp_path}/held/c": one(6)})
+    assert [spark.read.parquet(p).first().v for p in (a, b)] == [1, 2]
+    sinks.publish({a: one(7), b: one(8)})
+    assert [spark.read.parquet(p).first().v for p in (a, b)] == [7, 8]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b", "held"]
