@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, decontam, langid, neardup, quality, sharding, spotsigs, tokenbin, toxicity, urlfilter
+from tessera.llm import bpe, common, decontam, langid, merkle, neardup, quality, sharding, spotsigs, tokenbin, toxicity, triebpe, urlfilter, vectorcodes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,6 +136,45 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vectorcodes.learn_codebooks(vectors, "vec_id", "embedding")
+    coded = common.written(vectorcodes.assign_codes(vectors, books, "embedding").select("vec_id", "label", "code", "error"), "codes")
+    digest = F.sha2(F.lit(books.text()).cast("binary"), 256)  # of entries x dimension numbers
+    totals = vectorcodes.with_key_total(coded, "label", "error", "label_error")
+    return totals.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    of = lambda n: merkle.leaf_digest([F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text")])
+    altered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    tampered = F.unhex(F.when(altered, of(F.col("n_chars") + 1)))
+    found = merkle.merkle_manifest(docs, of(F.col("n_chars")), "lang", "doc_id", tampered)
+    hexed = lambda c: F.lower(F.hex(c))
+    again = merkle.folded(F.coalesce("row", "leaf"), *[F.col(c) for c in ("at", "n", "group_at", "groups", "path")])
+    return found.withColumn("folded", again).select(
+        F.col("key").alias("doc_id"),
+        hexed("leaf").alias("leaf"),
+        hexed("subroot").alias("subroot"),
+        hexed("root").alias("root"),
+        F.sha2(hexed("path").cast("binary"), 256).alias("proof_sha256"),
+        hexed("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = triebpe.trie_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    return triebpe.trie_decode(coded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
@@ -148,6 +187,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_spotsigs": op9_spotsigs,
     "op9_spot_classes": op9_spot_classes,
     "op10_sharding": op10_sharding,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_merkle": op12_merkle,
+    "op13_trie_bpe": op13_trie_bpe,
 }
 
 ORACLE: dict[str, str] = {
