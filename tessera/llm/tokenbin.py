@@ -47,6 +47,8 @@ MAGIC, END, VERSION = b"S8BT", b"S8BE", 1
 #: Runs that a worker's table holds, and bits that tell whether a run was met before.
 CACHE, MET = 400_000, 1 << 24
 SCHEMA = "part int, file int, n_docs long, n_ids long"
+#: A run that starts with one blank and has no white space at the places where others would join it.
+_APART = re.compile(r" \S(?:.*\S)?", re.DOTALL)
 #: The id that stands for null in a file.
 NO_ID = -(2**63)
 
@@ -202,7 +204,8 @@ class LibraryEncoder:
     Runs are cut before blanks that don't stand inside white space; the
     pattern of a byte-level tokenizer never joins across such a cut.  Runs that
     are not in the table go to the library joined, many at once, and their ids
-    are told apart by the bytes that each id stands for.  Texts with other
+    are told apart by the bytes that each id stands for; runs with white space
+    at their ends go there each on its own.  Texts with other
     white space, and those that hold an added token of the tokenizer, go to the
     library whole.
     """
@@ -216,6 +219,8 @@ class LibraryEncoder:
         # a byte-level entry has a character for each byte
         self.bytes_of = np.zeros(max([*names.values(), 0]) + 1, np.int64)
         self.bytes_of[list(names.values())] = list(map(len, names))
+        # an added token with a blank could arise where runs meet
+        self.joins = not any(" " in x for x in self.added)
         self.known: dict[str, bytes] = {}
         self.met = bytearray(MET // 8)
 
@@ -223,21 +228,25 @@ class LibraryEncoder:
         return [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _runs(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs; those that start with one blank are encoded as one text."""
-        blank = [r[:1] == " " for r in runs]
+        """Ids of runs; those that no white space can join to a neighbour are encoded as one text."""
         out: list[bytes] = [b""] * len(runs)
-        for at in (k for k, b in enumerate(blank) if not b):
-            out[at] = self._library([runs[at]])[0].tobytes()
-        at = [k for k, b in enumerate(blank) if b]
+        at = [k for k, r in enumerate(runs) if _APART.fullmatch(r)] if self.joins else []
+        alone = sorted({*range(len(runs))}.difference(at))
         if at:
             joined = [runs[k] for k in at]
             ids = self._library(["".join(joined)])[0]
             ends = np.cumsum([len(r) if r.isascii() else len(r.encode()) for r in joined])
-            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends).tolist()
-            data, before = ids.tobytes(), 0
-            for k, cut in zip(at, cuts):
-                out[k] = data[before : 4 * cut + 4]
-                before = 4 * cut + 4
+            upto = np.cumsum(self.bytes_of[ids])
+            cuts = np.searchsorted(upto, ends)
+            if len(ids) and upto[-1] == ends[-1] and (upto[cuts] == ends).all():
+                data, before = ids.tobytes(), 0
+                for k, cut in zip(at, cuts.tolist()):
+                    out[k] = data[before : 4 * cut + 4]
+                    before = 4 * cut + 4
+            else:  # some token reaches over a run's end
+                alone = range(len(runs))
+        for k, ids in zip(alone, self._library([runs[k] for k in alone])):
+            out[k] = ids.tobytes()
         return out
 
     def _remember(self, runs: list[str], coded: list[bytes]) -> None:
