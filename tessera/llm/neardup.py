@@ -32,8 +32,8 @@ split where a key is hot.  Intermediate tables are written to the shared folder.
 Null or empty texts, and texts without words, have an empty set and no links;
 a text of fewer words than a shingle is one shingle.  Long texts are taken whole.
 Nodes are distinct sets, so each text of an id that has several is compared,
-and rows of one id are linked.  A row without an id gets the component of its
-set, null if no row of that has one.  An empty table gives an empty table.  Only the two named
+and rows of one id are linked.  Rows without an id are nodes as all others; their
+component is the least id that their set reaches, null if it reaches none.  An empty table gives an empty table.  Only the two named
 columns are read, so others may have any name; they are not returned.
 """
 
@@ -205,13 +205,12 @@ def hashes(text: Column, words: int) -> Column:
     return compute(text)
 
 
-def prefix_pairs(sets: DataFrame, lanes: DataFrame, fits: Column, percent: int) -> DataFrame:
+def prefix_pairs(sets: DataFrame, fits: Column, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` of ``sets (id, c, n, s)`` that may reach the similarity; none that does is missing.
 
     With every set ordered by how few sets hold a shingle, two sets that reach
     it share one of their first ``n - ceil(percent n / 100) + 1``; and at the
-    first one that they share enough shingles must be left in both.  Pairs that
-    the signatures' distance excludes go as in the other steps.
+    first one that they share enough shingles must be left in both.
     """
     each = sets.select("id", "c", "n", F.explode("s").alias("s"))
     held = each.groupBy("s").count().where("count > 1")
@@ -219,31 +218,28 @@ def prefix_pairs(sets: DataFrame, lanes: DataFrame, fits: Column, percent: int)
     several = Window.partitionBy("id")
     ranked = each.join(held, "s").withColumn("at", F.col("n") - F.count("*").over(several) + F.row_number().over(order))
     ranked = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1)
-    ranked = ranked.join(lanes.select("id", "lanes"), "id")
-    sides = [
-        ranked.select("s", F.col("id").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}"), F.col("lanes").alias(f"l_{x}"))
-        for x in "ab"
-    ]
-    near = distance("l_a", "l_b") <= MAX_DISTANCE
+    sides = [ranked.select("s", F.col("id").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}")) for x in "ab"]
     enough = (100 + percent) * (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))) >= percent * (F.col("n_a") + F.col("n_b"))
-    return sides[0].join(sides[1], "s").where(fits & enough & near).select("a", "b").distinct()
+    return sides[0].join(sides[1], "s").where(fits & enough).select("a", "b").distinct()
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """One row for each row of ``df``: ``(id, n_shingles, component_id)``.
 
-    ``component_id`` is the least id that can be reached by links.
+    ``component_id`` is the least id that can be reached by links.  Pairs whose
+    signatures differ in more than ``max_distance`` symbols are not confirmed;
+    at 60 every pair that shares a key is.
     """
     # t tells the texts of one id apart
     docs = df.select(F.col(id).alias("id"), F.col(text).alias("text")).withColumn("t", F.xxhash64("text"))
     sig = written(docs.select("id", "t", signature(F.col("text"), words).alias("s")).select("id", "t", "s.*"), "signatures")
     some = sig.where("n > 0")
     sets = some.groupBy("high", "low").agg(
-        F.min(F.when(F.col("id").isNotNull(), F.struct("id", "t"))).alias("top"), F.count("*").alias("rows"), F.first(F.struct("n", "lanes", "keys")).alias("s")
+        F.coalesce(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "t"))), F.min(F.struct("id", "t"))).alias("top"), F.count("*").alias("rows"), F.first(F.struct("n", "lanes", "keys")).alias("s")
     )
-    # a set is known by its number, and by the least of its ids once links are found
+    # a set is known by its number; its least id, if any row has one, names it once links are found
     reps = written(
-        sets.where("top is not null").select(F.monotonically_increasing_id().alias("id"), F.col("top.id").alias("doc"), "top.t", "high", "low", "rows", "s.*"), "nodes"
+        sets.select(F.monotonically_increasing_id().alias("id"), F.col("top.id").alias("doc"), "top.t", "high", "low", "rows", "s.*"), "nodes"
     )
     keyed = reps.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key", "low")
@@ -256,13 +252,13 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
         a = lanes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("lanes").alias("l_a"))
         b = lanes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("lanes").alias("l_b"))
         sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        return pairs.join(a, "a").join(b, "b").where(sizes & (distance("l_a", "l_b") <= MAX_DISTANCE)).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(sizes & (distance("l_a", "l_b") <= max_distance)).select("a", "b")
 
     stars = members.where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     stars = written(close(stars), "stars")
 
     needed = few(written(members.select("id").distinct().join(reps.select("id", "doc", "t"), "id"), "needed"))
-    found_texts = docs.withColumnRenamed("id", "doc").join(needed, ["doc", "t"]).select("id", "text")
+    found_texts = docs.select(F.col("id").alias("own"), F.col("t").alias("own_t"), "text").join(needed, F.col("own").eqNullSafe(F.col("doc")) & (F.col("own_t") == F.col("t"))).select("id", "text")
     texts = written(found_texts.groupBy("id").agg(F.first("text").alias("text")), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -303,26 +299,27 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
     small = open_keys.where(F.col("m") <= SMALL_KEY).join(lanes, "id")
     left = small.select("key", F.col("id").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"), F.col("lanes").alias("l_a"))
     right = small.select("key", F.col("id").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("lanes").alias("l_b"))
-    rest = left.join(right, "key").where(fits & (distance("l_a", "l_b") <= MAX_DISTANCE)).select("a", "b")
+    rest = left.join(right, "key").where(fits & (distance("l_a", "l_b") <= max_distance)).select("a", "b")
     large = open_keys.where(F.col("m") > SMALL_KEY).select("id", "c").distinct()
     sets = texts.join(large, "id").select("id", "c", hashes(F.col("text"), words).alias("s")).withColumn("n", F.size("s"))
-    rest = rest.unionByName(prefix_pairs(written(sets, "sets"), lanes, fits, percent))
+    rest = rest.unionByName(close(prefix_pairs(written(sets, "sets"), fits, percent)))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     links = written(links.unionByName(confirmed(rest)), "links")
-    # from sets to documents: rows of one id are linked too
-    rows = some.where("id is not null").select("id", "high", "low")
-    several = rows.groupBy("id").agg(F.min(F.struct("high", "low")).alias("x"), F.max(F.struct("high", "low")).alias("y")).where("x <> y").select("id")
-    docs_of = reps.select("id", "doc")
-    edges = links.join(docs_of.withColumnRenamed("id", "a").withColumnRenamed("doc", "d_a"), "a").join(docs_of.withColumnRenamed("id", "b").withColumnRenamed("doc", "d_b"), "b")
-    same = rows.join(several, "id").join(reps.select("high", "low", "doc"), ["high", "low"]).select(F.col("id").alias("a"), F.col("doc").alias("b"))
-    joined = components(written(edges.select(F.col("d_a").alias("a"), F.col("d_b").alias("b")).unionByName(same.where("a <> b")), "doc-links"))
-    known = reps.select("high", "low", "rows", "doc").join(joined.select(F.col("id").alias("doc"), "component"), "doc", "left")
-    known = written(known.select("high", "low", "rows", F.coalesce("component", "doc").alias("component")), "classes")
+    # the sets of one id are linked too
+    rows = some.where("id is not null").select(F.col("id").alias("doc"), "high", "low")
+    several = rows.groupBy("doc").agg(F.min(F.struct("high", "low")).alias("x"), F.max(F.struct("high", "low")).alias("y")).where("x <> y").select("doc")
+    of = written(rows.join(several, "doc").distinct().join(reps.select("id", "high", "low"), ["high", "low"]).select("doc", "id"), "sets-of-id")
+    same = of.join(of.groupBy("doc").agg(F.min("id").alias("a")), "doc").where("a <> id").select("a", F.col("id").alias("b"))
+    joined = written(components(written(links.unionByName(same), "set-links")).join(reps.select("id", "doc"), "id"), "joined")
+    least = joined.groupBy("component").agg(F.min("doc").alias("least"))
+    named = joined.join(least, "component").select("id", "least", F.lit(True).alias("linked"))
+    known = reps.select("id", "high", "low", "rows", "doc").join(named, "id", "left")
+    known = written(known.select("high", "low", "rows", F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc")).alias("component")), "classes")
     # sets of over a 4,096th of the rows: at most 4,096, so they are sent to all tasks and their rows stay where they are
-    large = F.broadcast(known.where(F.col("rows") > F.lit(sig.count() / LARGE_SETS)).select("high", "low", "component"))
+    large = F.broadcast(known.where(F.col("rows") > F.lit(sig.count() / LARGE_SETS)).select("high", "low", "component", F.lit(True).alias("sent")))
     marked = some.select("id", "n", "high", "low").join(large, ["high", "low"], "left")
-    hot = marked.where("component is not null").select("id", "n", "component")
-    rest = marked.where("component is null").drop("component").join(known.select("high", "low", "component"), ["high", "low"], "left")
+    hot = marked.where("sent").select("id", "n", "component")
+    rest = marked.where("sent is null").drop("component").join(known.select("high", "low", "component"), ["high", "low"], "left")
     every = hot.unionByName(rest.select("id", "n", "component")).unionByName(sig.where("n = 0").select("id", "n", F.col("id").alias("component")))
     return every.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

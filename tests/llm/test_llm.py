@@ -53,6 +53,19 @@ def test_token_files_equal_library(spark):
         start += len(ids)
 
 
+def test_token_runs_equal_library():
+    """White space of all kinds at the ends of runs, over batches that share the table."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, own, rng = Tokenizer.from_file(path), tokenbin.LibraryEncoder(path), random.Random(8)
+    parts = [" ", " ", "\xa0", "\u3000", "\t", "\n", "\x85", "y", "z", "foo", "é", ",", "'s", "1", "\x1c"]
+    for _ in range(60):
+        texts = ["a \xa0 y \xa0\t z", "foo \xa0", "w \xa0\tq", *("".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(80))]
+        for t, ids in zip(texts, own.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def shingles(text, k):
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
@@ -93,6 +106,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(shingles(t, 4)) for i, t in enumerate(texts)}
 
 
+def test_near_duplicates_link_rows_without_id(spark):
+    """A text without an id has links, and may be the only bridge of two others."""
+    words = [f"w{k}" for k in range(60)]
+    left, bridge, right = words, words[:56] + ["q"] + words[57:], words[:2] + ["p"] + words[3:56] + ["q"] + words[57:]
+    texts = {9: left, None: bridge, 4: right}
+    one = lambda a, b: 100 * len(shingles(a, 4) & shingles(b, 4)) >= 80 * len(shingles(a, 4) | shingles(b, 4))
+    joined = {k: " ".join(v) for k, v in texts.items()}
+    assert one(joined[9], joined[None]) and one(joined[None], joined[4]) and not one(joined[9], joined[4])
+    rows = [*joined.items(), (None, "alone and without an id at all"), (None, joined[4]), (12, "something else that is here"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (neardup.MAX_DISTANCE, 60):
+        got = sorted(((r.doc_id or 0, r.component_id or 0) for r in neardup.near_duplicates(docs, words=4, max_distance=most).collect()))
+        assert got == [(0, 0), (0, 0), (0, 4), (0, 4), (4, 4), (9, 4), (12, 12)]
+
+
 def test_decontamination_equals_brute_force(spark):
     docs = documents(spark, ODD + ["one two three four five six seven eight nine ten eleven", "x ONE two, three four five six seven eight nine ten", "short item here", "no"])
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "short item"), (2, "short item"), (3, None), (None, "no")], "item_id long, text string")
