@@ -11,12 +11,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tessera.functions.text import anomaly
+from tessera.sources.tail import CHUNK, AppendedLines
 
 
-def tail_events(spark: SparkSession, path: str, schema: str | StructType, files_per_trigger: int = 100) -> DataFrame:
-    """Rows of JSON lines or Parquet files as they arrive; the checkpoint holds the place, half-written files don't show."""
-    kind = "parquet" if spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("path like '%.parquet'").limit(1).count() else "json"
-    return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
+def tail_lines(spark: SparkSession, path: str, match: str = "*", chunk_bytes: int = CHUNK) -> DataFrame:
+    """``(path, position, value)`` of whole lines as they are appended to the files below ``path``, over restarts too."""
+    spark.dataSource.register(AppendedLines)
+    return spark.readStream.format("appended_lines").option("match", match).option("chunkBytes", chunk_bytes).load(path)
+
+
+def tail_events(spark: SparkSession, path: str, schema: str | StructType, match: str = "*") -> DataFrame:
+    """Rows of JSON lines as they are appended; a line that is no such object gives nulls."""
+    return tail_lines(spark, path, match).select(F.from_json("value", schema).alias("e")).select("e.*")
 
 
 def progress(events: DataFrame, by: list[str]) -> DataFrame:
