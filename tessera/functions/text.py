@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 #: Words that carry no evidence.  Fixed values.
 STOP = ("a", "an", "the", "of", "to", "and", "in", "for", "is", "on", "with", "as", "from")
@@ -134,9 +137,37 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(out, TOKEN_PREFIX, REDACTED)
 
 
+#: What a text of code falls into: comments, strings, and what lies between; a mark that opens and never closes stands alone.
+LEXEME = r'(?s)/\*.*?\*/|//[^\n]*|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^/"]+|.'
+
+
+def _lexemes(text: Column) -> Column:
+    return F.regexp_extract_all(_text(text), F.lit(LEXEME), F.lit(0))
+
+
+def _comment(x: Column) -> Column:
+    return x.startswith("/*") | x.startswith("//")
+
+
 def without_comments(text: Column) -> Column:
-    """Block and line comments removed."""
-    return F.regexp_replace(F.regexp_replace(_text(text), r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
+    """Block and line comments removed; what looks like one within a string stays."""
+    return F.array_join(F.filter(_lexemes(text), lambda x: ~_comment(x)), "")
+
+
+def masked(text: Column) -> Column:
+    """Comments and strings as blanks of the same length; line breaks stay, so places and lines do."""
+    hidden = lambda x: _comment(x) | x.startswith('"') & (F.length(x) > 1)
+    return F.array_join(F.transform(_lexemes(text), lambda x: F.when(hidden(x), F.regexp_replace(x, r"[^\n]", " ")).otherwise(x)), "")
+
+
+def identity_fold(text: Column) -> Column:
+    """Case-folded text in compatibility decomposition without combining marks; Spark has no such function, so Arrow batches are folded."""
+
+    @arrow_udf("string")
+    def fold(texts: pa.Array) -> pa.Array:
+        return pa.array(["".join(c for c in unicodedata.normalize("NFKD", x.casefold()) if not unicodedata.combining(c)) for x in texts.to_pylist()], pa.string())
+
+    return fold(_text(text))
 
 
 def entry(text: Column, key: str) -> Column:

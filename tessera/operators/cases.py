@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bound
+from tessera.operators.choice import greedy_under_cap
+from tessera.operators.ranges import numbered
 from tessera.operators.structure import fenced
 from tessera.session import cut
 
@@ -128,25 +130,17 @@ def page(items: DataFrame, by: str, place: str, size: str, offset: Column, cap:
     return page_.withColumn("status", F.when(F.col("n_items") == 0, "budget_too_small_for_first_item").otherwise("ok"))
 
 
-def atomic_groups(groups: DataFrame, by: str, group: str, rank: str, size: str, cap: int, protected: Column | None = None, pool: int = 64) -> DataFrame:
+def atomic_groups(groups: DataFrame, by: str, group: str, rank: str, size: str, cap: int, protected: Column | None = None, seen: DataFrame | None = None) -> DataFrame:
     """``(by, group, chars)``: whole groups taken greedily, protected ones first, then by rank, while they fit ``cap``.
 
-    A group that doesn't fit is passed over.  The ``pool`` best groups of each request are tried, which is the operator's
-    definition, and bounds what one row holds.
+    A group that doesn't fit is passed over; what follows is still tried, however
+    many groups a request has.  Groups of ``seen (by, group)`` are left out.
     """
-    order = [F.asc(F.when(F.coalesce(protected, F.lit(False)), 0).otherwise(1))] if protected is not None else []
-    w = Window.partitionBy(by).orderBy(*order, rank, group)
-    ranked = groups.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= pool)
-    tried = ranked.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_k", F.col(group).alias("g"), F.col(size).cast("long").alias("c")))).alias("_all"))
-    kinds = dict(tried.dtypes)["_all"]
-
-    def step(s: Column, x: Column) -> Column:
-        fits = s["used"] + x["c"] <= cap
-        return F.struct(F.when(fits, s["used"] + x["c"]).otherwise(s["used"]).alias("used"), F.when(fits, F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"))
-
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kinds).alias("taken"))
-    taken = tried.select(by, F.explode(F.aggregate("_all", start, step, lambda s: s["taken"])).alias("_g"))
-    return taken.select(by, F.col("_g.g").alias(group), F.col("_g.c").alias("chars"))
+    fresh = groups if seen is None else groups.join(seen.select(by, group), [by, group], "left_anti")
+    first = F.lit(0) if protected is None else F.when(F.coalesce(protected, F.lit(False)), 0).otherwise(1)
+    rows = fresh.select(by, group, F.col(size).cast("long").alias("chars"), first.alias("_later"), F.col(rank).alias("_rank"))
+    placed = numbered(rows, ["_later", "_rank", group], [by], "_place")
+    return greedy_under_cap(placed, [by], "_place", "chars", cap).select(by, group, "chars")
 
 
 def selected_coefficients(entries: DataFrame, by: str, suffix: str = "Coeffs") -> DataFrame:

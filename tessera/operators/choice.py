@@ -120,10 +120,11 @@ def bundle(ranked: DataFrame, lines: DataFrame, by: str, budget: int) -> DataFra
         got = cut(owned.join(fits, [by, "place"]).select(by, "place", "path", "line"), "bundle")
         taken.append(got)
         spent = tried.where("_fits").groupBy(by).agg(F.max("_spent").alias("_used"))
-        left = tried.where("not _fits").join(spent, by, "left").withColumn("_rest", F.col("_left") - F.coalesce("_used", F.lit(0)))
-        open_ = left.where(F.col("_cost") <= F.col("_rest")).select(by, "place", F.col("_rest"))
-        waiting = waiting.join(open_, [by, "place"]).join(got.select(by, "path", "line"), [by, "path", "line"], "left_anti")
-        waiting = cut(waiting.select(by, "place", "path", "line", "_c", F.col("_rest").alias("_left")), "bundle")
+        told = tried.join(spent, by, "left").withColumn("_rest", F.col("_left") - F.coalesce("_used", F.lit(0)))
+        # a place whose lines all wait for earlier open places is not decided yet
+        decided = told.where(F.col("_fits") | (F.col("_cost") > F.col("_rest"))).select(by, "place")
+        waiting = waiting.join(decided, [by, "place"], "left_anti").join(got.select(by, "path", "line"), [by, "path", "line"], "left_anti").join(spent, by, "left")
+        waiting = cut(waiting.select(by, "place", "path", "line", "_c", (F.col("_left") - F.coalesce("_used", F.lit(0))).alias("_left")), "bundle")
     every = reduce(DataFrame.unionByName, taken)
     island = F.col("line") - F.row_number().over(Window.partitionBy(by, "place", "path").orderBy("line"))
     pieces = every.withColumn("_i", island).join(sized.select("path", "line", "text"), ["path", "line"])
@@ -131,6 +132,51 @@ def bundle(ranked: DataFrame, lines: DataFrame, by: str, budget: int) -> DataFra
     return pieces.groupBy(by, "place", "path", "_i").agg(F.min("line").alias("start"), F.max("line").alias("end"), text.alias("text")).drop("_i")
 
 
+def placed_units(units: DataFrame) -> DataFrame:
+    """``units (path, at, chars, ..)`` with ``_up``, the characters before each in its path."""
+    before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return units.withColumn("_up", F.coalesce(F.sum("chars").over(before), F.lit(0)))
+
+
+def _grown(began: DataFrame, placed: DataFrame, by: list[str], budget: int) -> DataFrame:
+    """``(*by, path, unit, at, nearness)``: what ``began (*by, path, _first, _last, _used, _right_first)`` grows by on both sides in turn.
+
+    Units are met by the bucket of the characters before them, so only those
+    that the budget can reach are, and what a row holds is bounded by it.
+    """
+    ends = placed.select("path", F.col("at").alias("_first"), F.col("_up").alias("_low")), placed.select("path", F.col("at").alias("_last"), (F.col("_up") + F.col("chars")).alias("_high"))
+    low, high = F.floor(F.col("_low") / budget), F.floor(F.col("_high") / budget)
+    near = began.join(ends[0], ["path", "_first"]).join(ends[1], ["path", "_last"])
+    near = near.withColumn("_k", F.explode(F.array_distinct(F.array(low - 1, low, high, high + 1))))
+    beside = near.join(placed.select("path", "at", "unit", "chars", "barrier", F.floor(F.col("_up") / budget).alias("_k")), ["path", "_k"]).where("at < _first or at > _last")
+    right = F.col("at") > F.col("_last")
+    steps = F.when(right, F.col("at") - F.col("_last")).otherwise(F.col("_first") - F.col("at"))
+    order = F.struct(steps.alias("step"), (right != F.col("_right_first")).alias("later"), right.alias("right"), "at", "unit", "chars", "barrier")
+    tried = beside.groupBy(*by, "path", "_used").agg(F.array_sort(F.collect_list(order)).alias("_c"))
+    kinds = dict(tried.dtypes)["_c"]
+
+    def grow(s: Column, x: Column) -> Column:
+        live = F.when(x["right"], s["right"]).otherwise(s["left"]) & ~x["barrier"] & (s["used"] + x["chars"] <= budget)
+        return F.struct(
+            F.when(live, s["used"] + x["chars"]).otherwise(s["used"]).alias("used"),
+            F.when(x["right"], s["left"]).otherwise(live).alias("left"),
+            F.when(x["right"], live).otherwise(s["right"]).alias("right"),
+            F.when(live, F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"),
+        )
+
+    start = F.struct(F.col("_used").cast("long").alias("used"), F.lit(True).alias("left"), F.lit(True).alias("right"), F.array().cast(kinds).alias("taken"))
+    grown = tried.select(*by, "path", F.explode(F.aggregate("_c", start, grow, lambda s: s["taken"])).alias("_t"))
+    return grown.select(*by, "path", F.col("_t.unit").alias("unit"), F.col("_t.at").alias("at"), F.col("_t.step").alias("nearness"))
+
+
+def grow_lines(anchors: DataFrame, lines: DataFrame, by: list[str], budget: int = 1_200) -> DataFrame:
+    """``anchors (*by, path, start, end)`` with ``left`` and ``right``: widened by a line on each side in turn while the added lines, each with its end, fit ``budget``."""
+    placed = cut(placed_units(lines.select("path", F.col("line").alias("at"), F.col("line").alias("unit"), (F.length("text") + 1).cast("long").alias("chars"), F.lit(False).alias("barrier"))), "lines")
+    began = anchors.select(*by, "path", F.col("start").alias("_first"), F.col("end").alias("_last"), F.lit(0).alias("_used"), F.lit(False).alias("_right_first"))
+    wide = _grown(began, placed, by, budget).groupBy(*by).agg(F.min("at").alias("_l"), F.max("at").alias("_r"))
+    return anchors.join(wide, by, "left").withColumns({"left": F.least("start", F.coalesce("_l", "start")), "right": F.greatest("end", F.coalesce("_r", "end"))}).drop("_l", "_r")
+
+
 def grow_context(seeds: DataFrame, units: DataFrame, containers: DataFrame, by: str, budget: int, ratio: float = 0.5, hit_limit: int = 64) -> DataFrame:
     """``(by, rank, seed, unit, path, at, nearness)``: the fragments that each ranked seed brings along, each once for a request.
 
@@ -142,12 +188,8 @@ def grow_context(seeds: DataFrame, units: DataFrame, containers: DataFrame, by:
     to the fragments next to what it has, one on each side in turn and as far as the
     budget goes; a side ends at a fragment that doesn't fit or is a barrier.  A
     fragment belongs to the first seed of its request that takes it.
-
-    Fragments are met by the bucket of the characters before them, so a seed sees
-    those within the budget only, and what a row holds is bounded by the budget.
     """
-    spans = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut(units.withColumn("_up", F.coalesce(F.sum("chars").over(spans), F.lit(0))), "units")
+    placed = cut(placed_units(units), "units")
     at = placed.select("unit", "path", "at", "chars", "_up")
     whole = containers.join(at.select("path", F.col("at").alias("first"), F.col("_up").alias("_from")), ["path", "first"])
     whole = whole.join(at.select("path", F.col("at").alias("last"), (F.col("_up") + F.col("chars")).alias("_to")), ["path", "last"])
@@ -159,30 +201,29 @@ def grow_context(seeds: DataFrame, units: DataFrame, containers: DataFrame, by:
     chosen = around.groupBy(by, "rank", "unit").agg(F.min(F.struct("_chars", "first", "last")).alias("_p"))
     began = seeds.join(chosen, [by, "rank", "unit"], "left").join(at, "unit")
     first, last = F.coalesce("_p.first", "at"), F.coalesce("_p.last", "at")
-    began = began.select(by, "rank", F.col("unit").alias("seed"), "path", F.col("at").alias("_own"), first.alias("_first"), last.alias("_last"), F.coalesce("_p._chars", "chars").alias("_used"), "_up")
-    # only what is within the budget of either end can be taken
-    near = began.withColumn("_k", F.floor(F.col("_up") / budget)).withColumn("_k", F.explode(F.sequence(F.col("_k") - 2, F.col("_k") + 2)))
-    beside = near.join(placed.select("path", F.col("at").alias("at"), "unit", "chars", "barrier", F.floor(F.col("_up") / budget).alias("_k")), ["path", "_k"]).where("at < _first or at > _last")
+    began = began.select(by, "rank", F.col("unit").alias("seed"), "path", F.col("at").alias("_own"), first.alias("_first"), last.alias("_last"), F.coalesce("_p._chars", "chars").alias("_used"))
     # the end at which the seed itself lies is tried first, else the left one
-    right = F.col("at") > F.col("_last")
     right_first = (F.col("_own") == F.col("_last")) & (F.col("_own") != F.col("_first"))
-    steps = F.when(right, F.col("at") - F.col("_last")).otherwise(F.col("_first") - F.col("at"))
-    order = F.struct(steps.alias("step"), (right != right_first).alias("later"), right.alias("right"), "at", "unit", "chars", "barrier")
-    tried = beside.groupBy(by, "rank", "seed", "path", "_used").agg(F.array_sort(F.collect_list(order)).alias("_c"))
-    kinds = dict(tried.dtypes)["_c"]
-
-    def grow(s: Column, x: Column) -> Column:
-        live = F.when(x["right"], s["right"]).otherwise(s["left"]) & ~x["barrier"] & (s["used"] + x["chars"] <= budget)
-        return F.struct(
-            F.when(live, s["used"] + x["chars"]).otherwise(s["used"]).alias("used"),
-            F.when(x["right"], s["left"]).otherwise(live).alias("left"),
-            F.when(x["right"], live).otherwise(s["right"]).alias("right"),
-            F.when(live, F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"),
-        )
-
-    start = F.struct(F.col("_used").cast("long").alias("used"), F.lit(True).alias("left"), F.lit(True).alias("right"), F.array().cast(kinds).alias("taken"))
-    grown = tried.select(by, "rank", "seed", "path", F.explode(F.aggregate("_c", start, grow, lambda s: s["taken"])).alias("_t"))
-    grown = grown.select(by, "rank", "seed", "path", F.col("_t.unit").alias("unit"), F.col("_t.at").alias("at"), F.col("_t.step").alias("nearness"))
+    grown = _grown(began.withColumn("_right_first", right_first), placed, [by, "rank", "seed"], budget)
     core = began.select(by, "rank", "seed", "path", F.explode(F.sequence("_first", "_last")).alias("at")).join(placed.select("path", "at", "unit"), ["path", "at"])
     every = core.withColumn("nearness", F.lit(0)).select(*grown.columns).unionByName(grown)
     return every.groupBy(by, "unit").agg(F.min(F.struct("rank", "seed", "path", "at", "nearness")).alias("_o")).select(by, "_o.rank", "_o.seed", "unit", "_o.path", "_o.at", "_o.nearness")
+
+
+def case_scopes(requests: DataFrame, cases: DataFrame, by: str, text: str = "text") -> DataFrame:
+    """``(by, mode, case)``: the cases that a request names, one row each, or mode ``all`` without a case.
+
+    A word with slashes that ends a case's path names that case
+    (``literal_path``).  Only where there is none do last names count:
+    ``unique_basename``, or ``ambiguous_basename`` where several cases have one.
+    """
+    words = requests.select(by, F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[A-Za-z0-9_.#/-]+"), F.lit(0)))).alias("word"))
+    parts = F.split("case", "/")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "/"))
+    ends = cases.select("case", F.posexplode(tails).alias("_k", "word"))
+    met = words.join(ends, "word").groupBy(by, "case").agg(F.max(F.col("_k") > 0).alias("literal"))
+    any_ = met.groupBy(by).agg(F.bool_or("literal").alias("_any"), F.count("*").alias("_n"))
+    kept = met.join(any_, by).where(F.col("literal") | ~F.col("_any"))
+    mode = F.when(F.col("_any"), "literal_path").when(F.col("_n") == 1, "unique_basename").otherwise("ambiguous_basename")
+    rest = requests.select(by).distinct().join(met, by, "left_anti").select(by, F.lit("all").alias("mode"), F.lit(None).cast("string").alias("case"))
+    return kept.select(by, mode.alias("mode"), "case").unionByName(rest)

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bound, lines, tokens
+from tessera.session import cut
 
 
 def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 1500, overlap: int = 4, inclusive: bool = False) -> DataFrame:
@@ -56,47 +57,53 @@ def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int
 BROADCAST_TERMS = 1_000_000
 
 
+def postings(units: DataFrame, terms: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, length, term, *keep, tf)``: how often each unit has each of ``terms``; each unit has the empty term once, and only its row holds ``keep``."""
+    each = units.select(key, *keep, tokens(F.col(text)).alias("t")).select(key, *keep, F.size("t").alias("length"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
+    held = [F.when(F.col("term") == "", F.col(c)).alias(c) for c in keep]
+    return each.join(terms, "term", "left_semi").groupBy(key, "length", "term", *held).agg(F.count("*").alias("tf"))
+
+
 def bm25(
-    units: DataFrame, queries: DataFrame, key: str, query: str, limit: int = 64, text: str = "text", query_text: str = "text", k1: float = 1.2, b: float = 0.75, keep: tuple[str, ...] = ()
+    units: DataFrame, queries: DataFrame, key: str, query: str, limit: int = 64, text: str = "text", query_text: str = "text", k1: float = 1.2, b: float = 0.75, keep: tuple[str, ...] = (), work: Observation | None = None
 ) -> DataFrame:
     """``(query, key, *keep, score, rank)``: the ``limit`` best units of each query.
 
     A query term counts twice at most; ties go to the least ``key``; ``keep``
-    names columns that ``key`` determines.  Each text is tokenised once.  The
-    queries' terms, if they are at most ``BROADCAST_TERMS``, are sent to all
-    tasks, so only their postings leave the scan, summed before the shuffle;
-    beyond that many they are shuffled.  An empty term, once for each unit,
-    carries the units' number and lengths; it takes part in no join.
+    names columns that ``key`` determines.  The queries' terms, if they are at
+    most ``BROADCAST_TERMS``, are sent to all tasks, so only their postings
+    leave the scan, summed before the shuffle; beyond that many they are
+    shuffled.  Postings are written once, so each text is tokenised once.  An
+    empty term, once for each unit, carries the units' number, lengths and
+    ``keep``; it takes part in no join.  ``work`` observes the postings visited.
     """
-    asked = (
+    asked = cut(
         queries.select(query, F.explode(tokens(F.col(query_text))).alias("term"))
         .groupBy(query, "term")
-        .agg(F.least(F.count("*"), F.lit(2)).alias("qf"))
+        .agg(F.least(F.count("*"), F.lit(2)).alias("qf")),
+        "asked",
     )
     sent = F.broadcast if asked.count() <= BROADCAST_TERMS else (lambda x: x)
-    wanted = asked.select("term").unionByName(units.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    coded = units.select(key, *keep, tokens(F.col(text)).alias("t"))
-    counted = (
-        coded.select(key, *keep, F.size("t").alias("length"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
-        .join(sent(wanted), "term", "left_semi")
-        .groupBy(key, *keep, "length", "term")
-        .agg(F.count("*").alias("tf"))
-    )
     unit = F.col("term") == ""
-    totals = counted.agg(F.count_if(unit).alias("n_units"), F.greatest(F.lit(1.0), F.avg(F.when(unit, F.col("length")))).alias("mean_length"))
+    terms = asked.select("term").unionByName(units.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    counted = cut(postings(units, sent(terms), key, text, keep), "postings")
+    totals = counted.where(unit).agg(F.count("*").alias("n_units"), F.greatest(F.lit(1.0), F.avg("length")).alias("mean_length"))
     df = counted.where(~unit).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length"))) * F.col("qf")
+    visited = counted.where(~unit).select(key, "length", "term", "tf").join(sent(df), "term").join(sent(asked), "term")
+    if work is not None:
+        visited = visited.observe(work, F.count(F.lit(1)).alias("bm25_posting_visits"))
     scored = (
-        counted.where(~unit)
-        .join(sent(df), "term")
-        .join(sent(asked), "term")
-        .join(F.broadcast(totals))  # one row
-        .groupBy(query, key, *keep)
+        visited.join(F.broadcast(totals))  # one row
+        .groupBy(query, key)
         .agg(F.round(F.sum(weight), 6).alias("score"))
         .where("score > 0")
     )
-    return top(scored, [query], [F.desc("score"), F.asc(key)], limit)
+    best = top(scored, [query], [F.desc("score"), F.asc(key)], limit)
+    if not keep:
+        return best
+    return best.join(counted.where(unit).select(key, *keep), key).select(query, key, *keep, "score", "rank")
 
 
 def literal_hits(units: DataFrame, queries: DataFrame, key: str, query: str, limit: int = 64, text: str = "text", query_text: str = "text", path: str | None = None) -> DataFrame:
@@ -129,13 +136,14 @@ def top(df: DataFrame, by: list[str], order: list[Column], limit: int, out: str
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(out) <= limit)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, key: str, query: str, limit: int = 64, vector: str = "embedding", max_queries: int = 10_000) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, key: str, query: str, limit: int = 64, vector: str = "embedding", max_queries: int = 10_000, work: Observation | None = None) -> DataFrame:
     """``(query, key, score, rank)`` by dot product, brute force: a stated set of queries against all rows.
 
     The queries' matrix, checked against ``max_queries``, is sent to all tasks;
     each batch of rows is one product of matrices and keeps its best ``limit``
     rows of each query, of which the best of all follow.  Null vectors and
-    those of another length than the queries' match nothing.
+    those of another length than the queries' match nothing.  ``work`` observes
+    the products of a row and a query.
     """
     held = queries.select(query, vector).where(F.col(vector).isNotNull() & F.col(query).isNotNull()).limit(max_queries + 1).collect()
     if len(held) > max_queries:
@@ -158,7 +166,10 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, query: str, limit: i
             best = order[np.argsort(-found[:, order], axis=1, kind="stable")[:, :limit]]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(keys[best.ravel()]), pa.array(np.take_along_axis(found, best, 1).ravel())], [query, key, "score"])
 
-    scored = vectors.select(key, vector).mapInArrow(score, f"`{query}` {kinds['_q']}, `{key}` {kinds[key]}, score double").where("score is not null")
+    rows = vectors.select(key, vector)
+    if work is not None:
+        rows = rows.observe(work, (F.count_if(F.size(vector) == width) * len(held)).alias("dense_dot_products"))
+    scored = rows.mapInArrow(score, f"`{query}` {kinds['_q']}, `{key}` {kinds[key]}, score double").where("score is not null")
     return top(scored, [query], [F.desc("score"), F.asc(key)], limit)
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tessera.functions.text import lines, masked, without_comments
+
 ENTRY = "array<struct<path:string,key:string,value:string,kind:string,status:string,line:int,end_line:int>>"
 _LEX = re.compile(r'\s+|//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*"|[{};]|[^\s{};"(/]+\((?:[^\s{};"()]|\([^\s{};"()]*\))*\)|(?:[^\s{};"(/]|/(?![/*]))+|[(]|/', re.S)
 
@@ -135,8 +137,33 @@ def markdown_headings(df: DataFrame, id: str, text: str = "text") -> DataFrame:
     return each.where(F.col("text").rlike(pattern)).select(id, "line", F.length(F.regexp_extract("text", pattern, 1)).alias("level"), F.regexp_extract("text", pattern, 2).alias("title"))
 
 
+def brace_ranges(df: DataFrame, id: str, text: str = "text") -> DataFrame:
+    """``(id, start, end)``: lines from each brace that opens to the one that closes it, outside comments and strings.
+
+    A range begins a line earlier where its first line holds nothing but
+    braces that open, as its name then stands above.  Braces that close nothing
+    are passed over; those that never close give no range.  At one depth opening
+    and closing braces alternate, so each closing one's partner is the brace
+    before it at its depth.
+    """
+    both = F.arrays_zip(lines(masked(F.col(text))).alias("m"), lines(F.col(text)).alias("t"))
+    each = df.select(id, F.posexplode(both).alias("line", "x")).where(F.contains("x.m", F.lit("{")) | F.contains("x.m", F.lit("}")))
+    bare = F.trim(F.regexp_replace("x.t", r"^\s+|\s+$", "")).rlike(r"^\{*$")
+    marks = each.select(id, F.col("line") + 1, bare.alias("bare"), F.posexplode(F.regexp_extract_all("x.m", F.lit(r"[{}]"), F.lit(0))).alias("k", "mark")).toDF(id, "line", "bare", "k", "mark")
+    upto = Window.partitionBy(id).orderBy("line", "k").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.col("mark") == "{"
+    summed = marks.withColumn("s", F.sum(F.when(opens, 1).otherwise(-1)).over(upto)).withColumn("low", F.least(F.lit(0), F.min("s").over(upto)))
+    before = F.least(F.lit(0), F.coalesce(F.min("s").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # a brace that closes nothing brings the sum to a new low
+    real = summed.withColumn("lost", ~opens & (F.col("s") < before)).where("not lost")
+    depth = F.col("s") - F.col("low") + F.when(opens, 0).otherwise(1)
+    same = Window.partitionBy(id, "depth").orderBy("line", "k")
+    paired = real.withColumn("depth", depth).withColumns({"start": F.lag("line").over(same), "above": F.lag("bare").over(same)}).where("mark = '}'")
+    return paired.select(id, F.when(F.col("above"), F.greatest(F.lit(1), F.col("start") - 1)).otherwise(F.col("start")).alias("start"), F.col("line").alias("end"))
+
+
 def include_edges(df: DataFrame, id: str, text: str = "text") -> DataFrame:
     """``(source, target)`` of literal ``#include "name"`` lines; comments and names with macros don't count."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
+    bare = without_comments(F.col(text))
     found = F.regexp_extract_all(bare, F.lit(r'(?m)^\s*#include\s+"([^"$\n]+)"'), F.lit(1))
     return df.select(F.col(id).alias("source"), F.explode(found).alias("target")).where(~F.col("target").rlike(r"(^/|(^|/)\.\.(/|$))")).distinct()

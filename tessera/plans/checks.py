@@ -196,7 +196,7 @@ def q76(spark: SparkSession, d: str) -> DataFrame:
     return texts(spark, d).select("doc_id", T.short_id(F.col("doc_id").cast("string"), F.col("source")).alias("short_id"), T.clean_end(t).alias("clean"), F.sha2(T.compacted(t, 200, 100).cast("binary"), 256).alias("compacted_sha256"))
 
 
-@query("q77_code_text", r"""SELECT page_id, sha256(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)/\*.*?\*/', '', 'g'), '//[^\n]*', '', 'g')) AS bare_sha256, CASE WHEN regexp_extract(coalesce(html, ''), '(?m)^\s*font\s+([^;]+);', 1) <> '' THEN trim(regexp_extract(coalesce(html, ''), '(?m)^\s*font\s+([^;]+);', 1)) END AS font FROM pages""")
+@query("q77_code_text", r"""SELECT page_id, sha256(array_to_string(list_filter(regexp_extract_all(coalesce(html, ''), '(?s)/\*.*?\*/|//[^\n]*|"(?:[^"\\]|\\.)*"|[^/"]+|.'), lambda x: NOT (starts_with(x, '/*') OR starts_with(x, '//'))), '')) AS bare_sha256, CASE WHEN regexp_extract(coalesce(html, ''), '(?m)^\s*font\s+([^;]+);', 1) <> '' THEN trim(regexp_extract(coalesce(html, ''), '(?m)^\s*font\s+([^;]+);', 1)) END AS font FROM pages""")
 def q77(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("html")
     return table(spark, d, "pages").select("page_id", F.sha2(T.without_comments(h).cast("binary"), 256).alias("bare_sha256"), T.entry(h, "font").alias("font"))

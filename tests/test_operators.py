@@ -111,11 +111,23 @@ def test_glob_sequences(spark):
 def test_bm25_shuffles_postings_of_asked_terms_only(spark):
     docs = spark.createDataFrame([(i, f"alpha beta{i} gamma") for i in range(50)], "key long, text string")
     asked = spark.createDataFrame([(1, "alpha beta3")], "item long, text string")
-    plan = ranking.bm25(docs, asked, "key", "item")._jdf.queryExecution().optimizedPlan().toString()
+    plan = ranking.postings(docs, F.broadcast(asked.select(F.explode(F.split("text", " ")).alias("term"))), "key")._jdf.queryExecution().optimizedPlan().toString()
     semi = next(x for x in plan.splitlines() if "LeftSemi" in x)
     assert "broadcast" in semi
 
 
+def test_bm25_tokenises_each_text_once(spark):
+    """What is left of the plan after the postings are written has no text and explodes nothing."""
+    docs = spark.createDataFrame([(i, f"alpha beta{i} gamma", i * 2) for i in range(50)], "key long, text string, place long")
+    asked = spark.createDataFrame([(1, "alpha beta3")], "item long, text string")
+    best = ranking.bm25(docs, asked, "key", "item", keep=("place",))
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "text" not in plan
+    assert best.columns == ["item", "key", "place", "score", "rank"] and all(r.place == 2 * r.key for r in best.collect())
+    written = ranking.postings(docs, asked.select(F.lit("alpha").alias("term")), "key")._jdf.queryExecution().optimizedPlan().toString()
+    assert written.count("Generate") == 1
+
+
 def test_walk_goes_by_decay(spark):
     edges = spark.createDataFrame([("a", "b", "x"), ("a", "c", "y"), ("d", "a", "one"), ("a", "e", "no")], "source string, target string, relation string")
     decay = spark.createDataFrame([("x", 0.6), ("y", 0.2), ("one", 0.5)], "relation string, factor double")
