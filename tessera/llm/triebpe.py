@@ -95,7 +95,9 @@ class TrieCodec:
         self.steps: dict[int, tuple[int, int]] = {}
         self.goes: dict[tuple[int, int], bool] = {}
         self.met = bytearray(MET // 8)
-        self.known: dict[str, bytes] = {}
+        #: ids of added tokens, which stand for themselves among a text's parts
+        self.marks: dict = {x: x.to_bytes(4, "little") for x in self.added.values()}
+        self.known: dict[str | int, bytes] = dict(self.marks)
         self.missed = 0
 
     def reached(self, token: int) -> bool:
@@ -211,34 +213,26 @@ class TrieCodec:
         """Ids of each whole text, as int32."""
         out: list = []
         fresh: dict[str, bytes] = {}
-        held_parts: list[tuple[int, list]] = []
+        waiting: list[tuple[int, list, list, list]] = []
 
         def resolve() -> None:
             new = list(fresh)
             fresh.update(zip(new, self.encode_words([x.encode("utf-8", "surrogatepass") for x in new])))
-            for at, parts in held_parts:
-                out[at] = b"".join(self.known.get(x) or fresh[x] if isinstance(x, str) else x.to_bytes(4, "little") for x in parts)
-            for x in new:
-                slot = hash(x) % MET
-                at, bit = slot >> 3, 1 << (slot & 7)
-                if not self.met[at] & bit:
-                    self.met[at] |= bit
-                elif len(x) <= LONGEST and len(self.known) < KNOWN:
-                    self.known[x] = fresh[x]
-                elif len(x) <= LONGEST:
-                    self.missed += 1
-            if self.missed > 8 * KNOWN:
-                self.known.clear()
-                self.missed = 0
+            for at, parts, got, holes in waiting:
+                for k in holes:
+                    got[k] = fresh[parts[k]]
+                out[at] = b"".join(got)
+            self._remember(fresh)
             fresh.clear()
-            held_parts.clear()
+            waiting.clear()
 
         for text in texts:
             parts = self.parts(text) if text else []
             got = list(map(self.known.get, parts))
             if None in got:
-                fresh.update((x, b"") for x, y in zip(parts, got) if y is None and isinstance(x, str))
-                held_parts.append((len(out), parts))
+                holes = [k for k, ids in enumerate(got) if ids is None]
+                fresh.update((parts[k], b"") for k in holes)
+                waiting.append((len(out), parts, got, holes))
                 out.append(b"")
                 if len(fresh) >= TRIE_WORDS:
                     resolve()
@@ -247,6 +241,22 @@ class TrieCodec:
         resolve()
         return out
 
+    def _remember(self, coded: dict[str, bytes]) -> None:
+        """Words from their second time on; a full table starts anew after eight times as many misses."""
+        for word, ids in coded.items():
+            slot = hash(word) % MET
+            at, bit = slot >> 3, 1 << (slot & 7)
+            if not self.met[at] & bit:
+                self.met[at] |= bit
+            elif len(word) <= LONGEST:
+                if len(self.known) < KNOWN:
+                    self.known[word] = ids
+                else:
+                    self.missed += 1
+        if self.missed > 8 * KNOWN:
+            self.known = dict(self.marks)
+            self.missed = 0
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
