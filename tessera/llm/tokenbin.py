@@ -47,8 +47,8 @@ MAGIC, END, VERSION = b"S8BT", b"S8BE", 1
 #: Runs that a worker's table holds, and bits that tell whether a run was met before.
 CACHE, MET = 400_000, 1 << 24
 SCHEMA = "part int, file int, n_docs long, n_ids long"
-#: A run that starts with one blank and has no white space at the places where others would join it.
-_APART = re.compile(r" \S(?:.*\S)?", re.DOTALL)
+#: A run that has no white space, but one blank before it, at the places where others would join it.
+_APART = re.compile(r" ?\S(?:.*\S)?", re.DOTALL)
 #: The id that stands for null in a file.
 NO_ID = -(2**63)
 
@@ -233,16 +233,18 @@ class LibraryEncoder:
         at = [k for k, r in enumerate(runs) if _APART.fullmatch(r)] if self.joins else []
         alone = sorted({*range(len(runs))}.difference(at))
         if at:
-            joined = [runs[k] for k in at]
+            # a line break before a run that begins with no blank is a match of its own
+            joined = [x for k in at for x in ((runs[k],) if runs[k][0] == " " else ("\n", runs[k]))]
             ids = self._library(["".join(joined)])[0]
             ends = np.cumsum([len(r) if r.isascii() else len(r.encode()) for r in joined])
             upto = np.cumsum(self.bytes_of[ids])
-            cuts = np.searchsorted(upto, ends)
-            if len(ids) and upto[-1] == ends[-1] and (upto[cuts] == ends).all():
-                data, before = ids.tobytes(), 0
-                for k, cut in zip(at, cuts.tolist()):
-                    out[k] = data[before : 4 * cut + 4]
-                    before = 4 * cut + 4
+            cuts = np.minimum(np.searchsorted(upto, ends), len(ids) - 1)
+            if (upto[cuts] == ends).all():
+                data, cuts, k = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], 0
+                for place in at:
+                    k += runs[place][0] != " "
+                    out[place] = data[cuts[k] : cuts[k + 1]]
+                    k += 1
             else:  # some token reaches over a run's end
                 alone = range(len(runs))
         for k, ids in zip(alone, self._library([runs[k] for k in alone])):
