@@ -61,8 +61,18 @@ def shared_file(spark: SparkSession, local: str, tag: str) -> str:
     return path.toString()
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
+#: Rows of a few numbers up to which a table is brought into few files, and how many of them a file holds.
+SMALL_TABLE, FILE_ROWS = 1_000_000, 200_000
+
+
+def written(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here.
+
+    ``rows`` is a bound of their number where one is known: a small table of a
+    few numbers is shuffled into few files, instead of one for each partition.
+    """
+    if rows is not None and rows <= SMALL_TABLE:
+        df = df.repartition(max(1, -(-rows // FILE_ROWS)))
     path = work_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -95,9 +105,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     round's edges are a written table.  Self links are allowed and keep lone
     ids in the result.
     """
-    nodes = written(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "cc-nodes")
+    n = edges.count()
+    nodes = written(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "cc-nodes", 2 * n)
     cur = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc"
+        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc", n
     )
     seen = None
     for _ in range(max_rounds):
@@ -115,10 +126,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        nxt = written(small, "cc")
+        nxt = written(small, "cc", n)
         state = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_written(cur)
-        cur = nxt
+        cur, n = nxt, max(n, state[0])
         if state == seen:
             break
         seen = state

@@ -243,7 +243,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
     )
     keyed = reps.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key", "low")
-    members = written(keyed.join(shared, "key"), "members")
+    members = written(keyed.join(shared, "key"), "members", SYMBOLS * reps.count())
+    met = members.count()
 
     lanes = reps.select("id", "n", "lanes")
 
@@ -255,9 +256,9 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
         return pairs.join(a, "a").join(b, "b").where(sizes & (distance("l_a", "l_b") <= max_distance)).select("a", "b")
 
     stars = members.where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    stars = written(close(stars), "stars")
+    stars = written(close(stars), "stars", met)
 
-    needed = few(written(members.select("id").distinct().join(reps.select("id", "doc", "t"), "id"), "needed"))
+    needed = few(written(members.select("id").distinct().join(reps.select("id", "doc", "t"), "id"), "needed", met))
     found_texts = docs.select(F.col("id").alias("own"), F.col("t").alias("own_t"), "text").join(needed, F.col("own").eqNullSafe(F.col("doc")) & (F.col("own_t") == F.col("t"))).select("id", "text")
     texts = written(found_texts.groupBy("id").agg(F.first("text").alias("text")), "texts")
 
@@ -266,19 +267,19 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
         right = texts.select(F.col("id").alias("b"), F.col("text").alias("t_b"))
         return pairs.join(left, "a").join(right, "b").where(linked(F.col("t_a"), F.col("t_b"), words, percent)).select("a", "b")
 
-    links = written(confirmed(stars), "links")
+    links = written(confirmed(stars), "links", stars.count())
     tried = stars
     found = components(links)
 
     def unsettled(found: DataFrame) -> DataFrame:
         """``(key, id, c, m)``: the nodes, and their number, of keys whose nodes lie in different components."""
         placed = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        placed = written(placed, "placed")
+        placed = written(placed, "placed", met)
         split = placed.groupBy("key").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high"), F.count("*").alias("m"))
         return placed.join(split.where("c_low <> c_high").select("key", "m"), "key")
 
     # some other node of each of a few keys, so that groups whose ends don't link come together
-    open_keys = written(unsettled(found), "open")
+    open_keys = written(unsettled(found), "open", met)
     leaders = open_keys.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", "key")).alias("top"))
     some_keys = Window.partitionBy("id").orderBy(F.xxhash64("key"))
     more = (
@@ -289,10 +290,10 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
         .select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b"))
         .distinct()
     )
-    more = written(close(more.join(tried, ["a", "b"], "left_anti")), "more")
+    more = written(close(more.join(tried, ["a", "b"], "left_anti")), "more", met)
     tried = tried.unionByName(more)
-    links = written(links.unionByName(confirmed(more)), "links")
-    open_keys = written(unsettled(components(links)), "open")
+    links = written(links.unionByName(confirmed(more)), "links", links.count() + more.count())
+    open_keys = written(unsettled(components(links)), "open", met)
 
     # all pairs across components that can still link
     fits = (F.col("c_a") < F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -304,18 +305,18 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
     sets = texts.join(large, "id").select("id", "c", hashes(F.col("text"), words).alias("s")).withColumn("n", F.size("s"))
     rest = rest.unionByName(close(prefix_pairs(written(sets, "sets"), fits, percent)))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    links = written(links.unionByName(confirmed(rest)), "links")
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest", met)
+    links = written(links.unionByName(confirmed(rest)), "links", links.count() + rest.count())
     # the sets of one id are linked too
     rows = some.where("id is not null").select(F.col("id").alias("doc"), "high", "low")
     several = rows.groupBy("doc").agg(F.min(F.struct("high", "low")).alias("x"), F.max(F.struct("high", "low")).alias("y")).where("x <> y").select("doc")
-    of = written(rows.join(several, "doc").distinct().join(reps.select("id", "high", "low"), ["high", "low"]).select("doc", "id"), "sets-of-id")
+    of = written(rows.join(several, "doc").distinct().join(reps.select("id", "high", "low"), ["high", "low"]).select("doc", "id"), "sets-of-id", sig.count())
     same = of.join(of.groupBy("doc").agg(F.min("id").alias("a")), "doc").where("a <> id").select("a", F.col("id").alias("b"))
-    joined = written(components(written(links.unionByName(same), "set-links")).join(reps.select("id", "doc"), "id"), "joined")
+    joined = written(components(written(links.unionByName(same), "set-links", links.count())).join(reps.select("id", "doc"), "id"), "joined", met)
     least = joined.groupBy("component").agg(F.min("doc").alias("least"))
     named = joined.join(least, "component").select("id", "least", F.lit(True).alias("linked"))
     known = reps.select("id", "high", "low", "rows", "doc").join(named, "id", "left")
-    known = written(known.select("high", "low", "rows", F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc")).alias("component")), "classes")
+    known = written(known.select("high", "low", "rows", F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc")).alias("component")), "classes", reps.count())
     # sets of over a 4,096th of the rows: at most 4,096, so they are sent to all tasks and their rows stay where they are
     large = F.broadcast(known.where(F.col("rows") > F.lit(sig.count() / LARGE_SETS)).select("high", "low", "component", F.lit(True).alias("sent")))
     marked = some.select("id", "n", "high", "low").join(large, ["high", "low"], "left")
