@@ -43,15 +43,14 @@ def diagnose(log: DataFrame, kinds: list[Kind], source: str, line: str = "line",
     near = Window.partitionBy(source).orderBy(line)
     stripped = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", "")
     number = F.coalesce(*[F.when(F.col(text).rlike(k.trigger), F.lit(i)) for i, k in enumerate(kinds)])
-    held = log.select(source, line, number.alias("_k"), stripped.alias("_s")).withColumns(
-        {
-            "_near": F.collect_list("_s").over(near.rowsBetween(-1, max(k.width for k in kinds))),
-            "_ahead": F.lag(F.lit(1), 1, 0).over(near),
-        }
-    )
+    # neighbours are single values of each line; only lines of a kind make a list of them
+    reach = max(k.width for k in kinds)
+    beside = {"_b": F.lag("_s").over(near)} | {f"_a{i}": F.lead("_s", i).over(near) for i in range(1, reach + 1)}
+    held = log.select(source, line, number.alias("_k"), stripped.alias("_s")).withColumns(beside)
     width = F.element_at(F.array(*[F.lit(k.width) for k in kinds]), F.col("_k") + 1)
     cut_first = F.element_at(F.array(*[F.lit(k.cut_first) for k in kinds]), F.col("_k") + 1)
-    whole = F.array_join(F.filter(F.slice("_near", F.lit(1), F.col("_ahead") + width + 1), lambda x: x != ""), "\n")
+    around = F.slice(F.array("_b", "_s", *[f"_a{i}" for i in range(1, reach + 1)]), F.lit(1), width + 2)
+    whole = F.array_join(F.filter(around, lambda x: x.isNotNull() & (x != "")), "\n")
     marked = held.where("_k is not null").withColumn("_whole", whole)
     marked = marked.withColumn("message", F.substring("_whole", 1, cut)).withColumn("_seen", F.lower(F.when(cut_first, F.col("message")).otherwise(F.col("_whole"))))
     verdict = F.coalesce(*[F.when((F.col("_k") == i) & _holds(k, r), F.struct(F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(k.blocking).alias("blocking"))) for i, k in enumerate(kinds) for r in k.rules])

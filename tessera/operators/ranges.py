@@ -40,19 +40,24 @@ def overlap_join(a: DataFrame, b: DataFrame, on: list[str], bucket: int = 64) ->
 
 
 def smallest_parent(inner: DataFrame, outer: DataFrame, key: str, path: str, max_chars: int = 1200) -> DataFrame:
-    """``inner`` with the shortest range of ``outer (p_start, p_end, p_chars)`` of its path that contains it."""
-    inside = (F.col("p_start") <= F.col("start")) & (F.col("end") <= F.col("p_end")) & (F.col("p_chars") <= max_chars)
-    best = F.min(F.when(inside, F.struct((F.col("p_end") - F.col("p_start")).alias("len"), "p_start", "p_end"))).alias("best")
-    joined = inner.join(outer, path, "left").groupBy(key).agg(best)
-    return inner.join(joined, key, "left").select(inner["*"], F.col("best.p_start").alias("p_start"), F.col("best.p_end").alias("p_end"))
+    """``inner`` with the shortest range of ``outer (p_start, p_end, p_chars)`` of its path that contains it.
+
+    Ranges meet by buckets of lines, so not all of a path's ranges are paired.
+    """
+    a = inner.select(key, path, F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+    b = outer.where(F.col("p_chars") <= max_chars).select(path, F.col("p_start").alias("b_start"), F.col("p_end").alias("b_end"))
+    inside = (F.col("b_start") <= F.col("a_start")) & (F.col("a_end") <= F.col("b_end"))
+    best = F.min(F.struct((F.col("b_end") - F.col("b_start")).alias("len"), "b_start", "b_end")).alias("best")
+    found = overlap_join(a, b, [path]).where(inside).groupBy(key).agg(best)
+    return inner.join(found, key, "left").select(inner["*"], F.col("best.b_start").alias("p_start"), F.col("best.b_end").alias("p_end"))
 
 
 def section_ends(headings: DataFrame, path: str, last_line: Column) -> DataFrame:
     """``headings (path, line, level)`` with ``section_end``: the line before the next heading of no deeper level, else the last.
 
-    For each level the nearest later line of it is a window minimum; the least of those that end the section wins.
+    For each level the nearest later line of it is a running minimum from the end; the least of those that end the section wins.
     """
-    after = Window.partitionBy(path).orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(path).orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
     nexts = F.array(*[F.min(F.when(F.col("level") <= k, F.col("line"))).over(after) for k in range(1, 7)])
     return headings.withColumn("section_end", F.coalesce(F.get(nexts, F.col("level") - 1) - 1, last_line))
 

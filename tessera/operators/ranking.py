@@ -112,8 +112,8 @@ def literal_hits(units: DataFrame, queries: DataFrame, key: str, query: str, lim
     Literals are names with the dots, slashes and hyphens in them, counted as
     often as the query has them; in a text they stand between characters of
     no word.  A literal's first word is a whole word of such a text, so texts
-    and literals are joined by it; paths are compared once each, with the
-    literals of all queries, which are a stated set.
+    and literals are joined by it; paths and literals are joined by the
+    literals' first three characters, which a path that holds one has somewhere.
     """
     found = F.regexp_extract_all(F.coalesce(F.col(query_text), F.lit("")), F.lit(r"[A-Za-z_][A-Za-z_0-9./-]*"), F.lit(0))
     asked = queries.select(query, F.explode(found).alias("literal")).groupBy(query, "literal").agg(F.count("*").alias("n"))
@@ -123,8 +123,11 @@ def literal_hits(units: DataFrame, queries: DataFrame, key: str, query: str, lim
     near = words.join(sent(wanted), "word").where((F.col("literal") == F.col("word")) | F.rlike("_t", F.concat(F.lit(r"(?U)(?<!\w)\Q"), "literal", F.lit(r"\E(?!\w)"))))
     hits = near.select(key, "literal", F.lit(1).alias("w"))
     if path is not None:
-        every = wanted.select("literal").distinct()
-        held = units.select(path).distinct().join(sent(every), F.contains(F.col(path), F.col("literal"))).select(path, "literal")
+        every = wanted.select("literal", F.substring("literal", 1, 3).alias("gram")).distinct()
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(path)))
+        grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.col(path), i, F.lit(n)) for n in (1, 2, 3)]))))
+        held = units.select(path).distinct().select(path, F.explode(grams).alias("gram")).join(sent(every), "gram")
+        held = held.where(F.contains(F.col(path), F.col("literal"))).select(path, "literal").distinct()
         hits = hits.unionByName(units.select(key, path).join(held, path).select(key, "literal", F.lit(4).alias("w")))
     best = hits.groupBy(key, "literal").agg(F.max("w").alias("w"))
     scored = best.join(sent(asked), "literal").groupBy(query, key).agg(F.sum(F.col("w") * F.col("n")).alias("score"))

@@ -126,10 +126,9 @@ def q26(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q24_unique_match", "WITH u AS (SELECT p_type, p_brand, p_size, min(p_partkey) AS p_partkey FROM part GROUP BY ALL HAVING count(*) = 1) SELECT s_suppkey, p_type, p_brand, p_size, p_partkey FROM (SELECT s_suppkey, 'Brand#' || (s_suppkey % 25 + 1) AS p_brand, CAST(s_nationkey + 1 AS INTEGER) AS p_size FROM supplier) JOIN u USING (p_brand, p_size)")
 def q24(spark: SparkSession, d: str) -> DataFrame:
-    kinds = table(spark, d, "part").select("p_type").distinct()
     left = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 25 + 1).cast("string")).alias("p_brand"), (F.col("s_nationkey") + 1).cast("int").alias("p_size"))
-    keyed = left.join(kinds.agg(F.collect_set("p_type").alias("ts"))).select("s_suppkey", F.explode("ts").alias("p_type"), "p_brand", "p_size")  # the few types of parts
     right = table(spark, d, "part").select("p_type", "p_brand", "p_size", "p_partkey")
+    keyed = left.join(right.select("p_type", "p_brand", "p_size").distinct(), ["p_brand", "p_size"])
     return evaluation.unique_match(keyed, right, ["p_type", "p_brand", "p_size"], "p_partkey").select("s_suppkey", "p_type", "p_brand", "p_size", "p_partkey")
 
 

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import lines
+from tessera.session import cut
+
+#: Case directories that are sent to all tasks.
+BROADCAST_CASES = 1_000_000
 
 
 def read_frozen(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
@@ -87,9 +91,15 @@ def first_readme(files: DataFrame, spellings: tuple[str, ...] = ("README.md", "R
 
 
 def longest_owner(paths: DataFrame, cases: DataFrame) -> DataFrame:
-    """``(path, owner)``: the longest case that is a directory above the path, else null; an equi-join on prefixes."""
+    """``(path, owner)``: the longest case that is a directory above the path, else null; an equi-join on prefixes.
+
+    Up to ``BROADCAST_CASES`` cases are sent to all tasks, so what stands above
+    paths is not shuffled, only what is a case.
+    """
+    known = cut(cases.select("case").distinct(), "cases")
+    sent = F.broadcast(known) if known.count() <= BROADCAST_CASES else known
     up = paths.select("path", F.explode(above(F.col("path"))).alias("case"))
-    best = up.join(cases.select("case"), "case").groupBy("path").agg(F.max_by("case", F.length("case")).alias("owner"))
+    best = up.join(sent, "case").groupBy("path").agg(F.max_by("case", F.length("case")).alias("owner"))
     return paths.select("path").join(best, "path", "left")
 
 
