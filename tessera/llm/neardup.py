@@ -205,12 +205,13 @@ def hashes(text: Column, words: int) -> Column:
     return compute(text)
 
 
-def prefix_pairs(sets: DataFrame, fits: Column, percent: int) -> DataFrame:
+def prefix_pairs(sets: DataFrame, lanes: DataFrame, fits: Column, percent: int, max_distance: int) -> DataFrame:
     """Pairs ``(a, b)`` of ``sets (id, c, n, s)`` that may reach the similarity; none that does is missing.
 
     With every set ordered by how few sets hold a shingle, two sets that reach
     it share one of their first ``n - ceil(percent n / 100) + 1``; and at the
-    first one that they share enough shingles must be left in both.
+    first one that they share enough shingles must be left in both.  Pairs that
+    the signatures' distance excludes go within the join, so few rows leave it.
     """
     each = sets.select("id", "c", "n", F.explode("s").alias("s"))
     held = each.groupBy("s").count().where("count > 1")
@@ -218,9 +219,14 @@ def prefix_pairs(sets: DataFrame, fits: Column, percent: int) -> DataFrame:
     several = Window.partitionBy("id")
     ranked = each.join(held, "s").withColumn("at", F.col("n") - F.count("*").over(several) + F.row_number().over(order))
     ranked = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1)
-    sides = [ranked.select("s", F.col("id").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}")) for x in "ab"]
+    ranked = ranked.join(lanes.select("id", "lanes"), "id")
+    sides = [
+        ranked.select("s", F.col("id").alias(x), F.col("c").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}"), F.col("lanes").alias(f"l_{x}"))
+        for x in "ab"
+    ]
+    near = distance("l_a", "l_b") <= max_distance
     enough = (100 + percent) * (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))) >= percent * (F.col("n_a") + F.col("n_b"))
-    return sides[0].join(sides[1], "s").where(fits & enough).select("a", "b").distinct()
+    return sides[0].join(sides[1], "s").where(fits & enough & near).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -303,7 +309,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
     rest = left.join(right, "key").where(fits & (distance("l_a", "l_b") <= max_distance)).select("a", "b")
     large = open_keys.where(F.col("m") > SMALL_KEY).select("id", "c").distinct()
     sets = texts.join(large, "id").select("id", "c", hashes(F.col("text"), words).alias("s")).withColumn("n", F.size("s"))
-    rest = rest.unionByName(close(prefix_pairs(written(sets, "sets"), fits, percent)))
+    rest = rest.unionByName(prefix_pairs(written(sets, "sets"), lanes, fits, percent, max_distance))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest", met)
     links = written(links.unionByName(confirmed(rest)), "links", links.count() + rest.count())
