@@ -14,7 +14,10 @@ to be alike are not compared where only pairs above a threshold count
 Everything is a DataFrame expression; no Python runs on the executors.
 
 Null and empty texts have no signatures and an empty fingerprint; two of these
-are wholly alike.  Equal texts have equal fingerprints.
+are wholly alike.  Equal texts, and so repeated rows, have equal fingerprints and
+classes; texts of any length are taken whole.  Empty tables give empty tables.
+``add_fingerprint`` keeps the other columns and replaces one named like its output;
+``spot_classes`` returns its own columns only, so others may have any name.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import components, written
 
 CHAIN = 2
+#: Sets that may count as large, of which rows are not shuffled in the end.
+LARGE_SETS = 4_096
 #: Anchors: common words of English, German, French and Spanish.  Fixed values.
 ANCHORS = (
     "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their "
@@ -132,7 +137,7 @@ def spot_classes(df: DataFrame, percent: int = 80, id: str = "doc_id", text: str
     """
     sets = df.select(F.col(id).alias("id"), spot_hashes(F.col(text)).alias("s"))
     every = written(sets.select("id", "s", F.size("s").alias("n"), F.sha2(fingerprint(F.col("s")).cast("binary"), 256).alias("key")), "spots")
-    alike = every.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("least"), F.first("s").alias("s"))
+    alike = every.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.first("s").alias("s"))
     numbered = alike.withColumn("node", F.monotonically_increasing_id())
     nodes = written(numbered.withColumn("p", F.floor(F.log(F.col("n") * 1.0) / math.log(100 / percent)).cast("int")), "spot-nodes")
     each = nodes.select("node", "n", "p", F.explode("s").alias("spot"))
@@ -150,8 +155,15 @@ def spot_classes(df: DataFrame, percent: int = 80, id: str = "doc_id", text: str
     links = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
     # written, as components reads them twice
     found = components(written(links, "spot-links")).select(F.col("id").alias("node"), "component")
-    known = nodes.select("key", "node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classes = known.select("key", F.min("least").over(Window.partitionBy("component")).alias("class_id"))
-    return every.select("id", "n", "key").join(classes, "key", "left").select(
-        F.col("id").alias(id), F.col("n").cast("long").alias("n_spots"), F.coalesce("class_id", "id").alias("class_id")
-    )
+    joined = written(found.join(nodes.select("node", "least"), "node"), "spot-joined")
+    least = joined.groupBy("component").agg(F.min("least").alias("class_id"))
+    named = joined.join(least, "component").select("node", "class_id", F.lit(True).alias("linked"))
+    known = nodes.select("key", "node", "rows", "least").join(named, "node", "left")
+    classes = written(known.select("key", "rows", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("least")).alias("class_id")), "spot-classes")
+    # sets of over a 4,096th of the rows are sent to all tasks, so that copies are not shuffled; rows without signatures are classes of their own
+    some = every.where("n > 0").select("id", "n", "key")
+    large = F.broadcast(classes.where(F.col("rows") > F.lit(every.count() / LARGE_SETS)).select("key", "class_id", F.lit(True).alias("sent")))
+    marked = some.join(large, "key", "left")
+    rest = marked.where("sent is null").select("id", "n", "key").join(classes.select("key", "class_id"), "key")
+    placed = marked.where("sent").select("id", "n", "class_id").unionByName(rest.select("id", "n", "class_id")).unionByName(every.where("n = 0").select("id", "n", F.col("id").alias("class_id")))
+    return placed.select(F.col("id").alias(id), F.col("n").cast("long").alias("n_spots"), F.coalesce("class_id", "id").alias("class_id"))
