@@ -426,13 +426,23 @@ def test_sharding_keeps_any_column(spark):
     assert {r.lane for r in got.collect()} == {2} and sharding.shard_groups(docs.limit(0), "text", "bytes", 4, "id").count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_byte_bpe", "op4_minhash", "op5_token_files", "op6_decontaminate", "op7_quality", "op8_toxicity", "op9_spotsigs", "op10_sharding"])
+@pytest.mark.parametrize("name", ["op1_byte_bpe", "op2_language_id", "op3_url_filter", "op4_minhash", "op5_token_files", "op6_decontaminate", "op7_quality", "op8_toxicity", "op9_spotsigs", "op9_spot_classes", "op10_sharding", "op11_vector_codes", "op12_merkle", "op13_trie_bpe"])
 def test_empty_tables_and_other_columns(spark, tmp_path, name):
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).selectExpr("*", "1 as n", "2 as score", "3 as slot").write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
+@pytest.mark.parametrize("labels", [[], [(0, None, None), (None, 1, 1)], [(0, 1, 1)]])
+def test_toxicity_without_useful_labels(spark, tmp_path, labels):
+    """Null, missing or one-sided labels give each document a score and no crash."""
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(ODD[:6])], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op8_toxicity(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(6)) and all(0 <= r.toxic_score <= 1 and r.flagged is not None for r in got)
+
+
 def test_one_link_of_the_chain_by_hand():
     chain = toxicity.ToxicityChain(["first", "last"], ["bad", "word"])
     rows = [np.array([k]) for k in (0, 1)] * 20
