@@ -106,6 +106,11 @@ def bm25(
     return best.join(counted.where(unit).select(key, *keep), key).select(query, key, *keep, "score", "rank")
 
 
+def plan_text(question: Column, translation: Column, needs: Column) -> Column:
+    """What is searched for a question with a plan: it, its translation, and the plan's needs, a line each."""
+    return F.concat_ws("\n", question, F.coalesce(translation, F.lit("")), F.coalesce(needs, F.array().cast("array<string>")))
+
+
 def literal_hits(units: DataFrame, queries: DataFrame, key: str, query: str, limit: int = 64, text: str = "text", query_text: str = "text", path: str | None = None) -> DataFrame:
     """``(query, key, score, rank)``: 4 for each literal of a query that the unit's ``path`` holds, 1 for each other that its text does.
 

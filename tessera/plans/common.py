@@ -97,13 +97,18 @@ def tokens_sql(text: str) -> str:
     return f"list_filter(list_transform(list_concat({words}, {pieces}), lambda x: lower(x)), lambda x: NOT list_contains({stop}, x))"
 
 
-HITS_SQL = f"""
-coded AS (SELECT passage_id, {tokens_sql('text')} AS t FROM passages),
+def hits_sql(unit_text: str = "text", asked_text: str = "text") -> str:
+    """The best passages of each benchmark item; expressions give the texts of both."""
+    return f"""
+coded AS (SELECT passage_id, {tokens_sql(unit_text)} AS t FROM passages),
 totals AS (SELECT count(*) AS n_units, greatest(1.0, avg(len(t))) AS mean_length FROM coded),
-asked AS (SELECT item_id, term, least(count(*), 2) AS qf FROM (SELECT item_id, unnest({tokens_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
+asked AS (SELECT item_id, term, least(count(*), 2) AS qf FROM (SELECT item_id, unnest({tokens_sql(asked_text)}) AS term FROM benchmark) GROUP BY ALL),
 tf AS (SELECT passage_id, len(t) AS length, term, count(*) AS tf FROM (SELECT passage_id, t, unnest(t) AS term FROM coded) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 scored AS (SELECT item_id, passage_id, round(sum(ln(1 + (n_units - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length)) * qf), 6) AS score
     FROM tf JOIN df USING (term) JOIN asked USING (term) CROSS JOIN totals GROUP BY ALL),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, passage_id) AS rank FROM scored WHERE score > 0) JOIN (SELECT passage_id, doc_id, "start", "end" FROM passages) USING (passage_id) WHERE rank <= 64)
 """
+
+
+HITS_SQL = hits_sql()

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import REPORT_EMPTY, REPORT_ERRORS, REPORT_SHORT
-from tessera.operators import runs
-from tessera.plans.common import table
+from tessera.operators import budgets, ranking, runs
+from tessera.plans.common import PASSAGES_SQL, hits_sql, table, texts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -146,3 +146,50 @@ def q144(spark: SparkSession, d: str) -> DataFrame:
     made = table(spark, d, "customer").select("c_custkey", errors.alias("errors"), (k % 4 != 1).alias("resources_known"), guard.alias("guard"), F.when(k % 8 == 0, 2).otherwise(3).alias("series"))
     found = runs.delivery(made, files.select("c_custkey", "path"), files.where("path = 'log.solver'").select("c_custkey", "text"), "c_custkey", 0.0002, ["run.sh"], ["p", "rho"], 3)
     return found.withColumn("missing", F.array_join("missing", ","))
+
+
+@query("q145_planned_bm25", f"""WITH RECURSIVE {PASSAGES_SQL}, {hits_sql("concat('docs/', doc_id, chr(10), text)", "concat(coalesce(text, ''), chr(10), CASE WHEN item_id % 2 = 0 THEN concat('docs ', item_id) ELSE '' END, CASE WHEN item_id % 3 = 0 THEN concat(chr(10), 'need', item_id, chr(10), 'other') ELSE '' END)")}
+SELECT item_id, passage_id, score, rank FROM hits WHERE rank <= 10""")
+def q145(spark: SparkSession, d: str) -> DataFrame:
+    """Passages with their paths, for items with a translation and needs of a plan."""
+    k = F.col("item_id")
+    needs = F.when(k % 3 == 0, F.array(F.concat(F.lit("need"), k.cast("string")), F.lit("other")))
+    asked = table(spark, d, "benchmark").select("item_id", ranking.plan_text(F.coalesce("text", F.lit("")), F.when(k % 2 == 0, F.concat(F.lit("docs "), k.cast("string"))), needs).alias("text"))
+    units = ranking.passages(texts(spark, d)).withColumn("text", F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit("\n"), "text"))
+    return ranking.bm25(units, asked, "passage_id", "item_id", 10).select("item_id", "passage_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+_TURNS = "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS turn, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem"
+
+
+@query("q146_turn_accounts", f"""WITH t AS ({_TURNS}),
+v AS (SELECT *, 100 * q AS counted, 100 * q + CASE WHEN l_suppkey % 29 = 0 THEN 1 ELSE 0 END AS prompt, CASE WHEN l_partkey % 31 = 0 THEN NULL ELSE q * 3 END AS completion FROM t),
+r AS (SELECT *, CASE WHEN counted + 148 > 4900 THEN 'input_budget_exhausted' WHEN l_partkey % 37 = 0 THEN 'timeout' WHEN l_partkey % 41 = 0 THEN 'model_identity_mismatch' WHEN completion IS NULL THEN 'usage_unknown' WHEN prompt <> counted THEN 'tokenizer_mismatch' WHEN completion > 148 THEN 'output_budget_violation' WHEN l_suppkey % 23 = 0 THEN 'completion_truncated' WHEN l_suppkey % 19 = 0 THEN 'invalid_action' WHEN l_partkey % 7 = 0 THEN 'answered' END AS why FROM v),
+e AS (SELECT l_orderkey, min(turn) AS last, arg_min(why, turn) AS why FROM r WHERE why IS NOT NULL GROUP BY ALL),
+k AS (SELECT r.l_orderkey, r.turn, r.counted, r.completion, r.why, e.why AS ended FROM r LEFT JOIN e USING (l_orderkey) WHERE last IS NULL OR turn <= last)
+SELECT l_orderkey, coalesce(max(ended), CASE WHEN count(*) >= 5 THEN 'turn_budget_exhausted' ELSE 'open' END) AS status, count(*) FILTER (why IS DISTINCT FROM 'input_budget_exhausted') AS n_turns, CAST(coalesce(sum(counted) FILTER (why IS DISTINCT FROM 'input_budget_exhausted'), 0) AS BIGINT) AS counted_input,
+ CAST(coalesce(sum(completion) FILTER (coalesce(why, '') NOT IN ('input_budget_exhausted', 'timeout', 'model_identity_mismatch', 'usage_unknown', 'tokenizer_mismatch')), 0) AS BIGINT) AS completion FROM k GROUP BY l_orderkey""")
+def q146(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as recorded turns."""
+    from tessera.plans.evidence import _placed
+
+    p, s, q = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("long")
+    turns = _placed(spark, d).select(
+        "l_orderkey", (F.col("place") - 1).alias("turn"), (100 * q).alias("counted"), F.lit(148).alias("max_tokens"), F.when(p % 37 == 0, "timeout").otherwise("response").alias("status"), (p % 41 != 0).alias("same_model"),
+        (100 * q + F.when(s % 29 == 0, 1).otherwise(0)).alias("prompt"), F.when(p % 31 != 0, q * 3).alias("completion"), F.when(s % 23 == 0, "length").otherwise("stop").alias("finish"), F.when(s % 19 == 0, None).when(p % 7 == 0, "final").otherwise("search").alias("action"),
+    )
+    return budgets.turn_accounts(turns, "l_orderkey", 4_900, 5)
+
+
+@query("q147_shrunk_excerpts")
+def q147(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of each conversation as excerpts of a packet of 600 characters; a brute-force test stands in for SQL."""
+    turns = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("place"), "text")
+    fixed = turns.groupBy("conv_id").agg((40 + 30 * F.count("*")).alias("chars"))
+    return budgets.shrunk_excerpts(turns, fixed, "conv_id", 600)
+
+
+@query("q148_rewrites", """SELECT event_type, user_id, count(*) AS n, CASE WHEN min(CASE WHEN coalesce(value, 0) > 20 THEN 1 ELSE 0 END) = 1 THEN 'all_success' WHEN max(CASE WHEN coalesce(value, 0) > 20 THEN 1 ELSE 0 END) = 0 THEN 'all_failure' ELSE 'mixed_success' END AS outcome FROM events GROUP BY ALL""")
+def q148(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of events as arms and users as items."""
+    return budgets.rewrite_consistency(table(spark, d, "events").withColumn("ok", F.col("value") > 20), "event_type", "user_id", "ok")
