@@ -58,49 +58,48 @@ def with_entry(text: Column, key: str, value: Column) -> Column:
     )
 
 
-def block(text: Column, name: str, cap: int | None = None, marker: str = "\n... [excerpt truncated]") -> Column:
-    """What stands between the braces of the first block ``name``; to the end where they don't close, null without one.
+def block(text: Column, name: str, cap: int = 1_800, marker: str = "\n... [block truncated]\n") -> Column:
+    """The first block whose ``name`` begins a line, with its name and braces; empty without one.
 
-    More than ``cap`` characters end in ``marker``.
+    Blank lines before the name belong to it.  Where the braces don't close it is what stands
+    before them.  More than ``cap`` characters end in ``marker``.
     """
-    begins = rf"(?s)(?<![\w.-]){re.escape(name)}\s*\{{(.*)\z"
-    parts = F.split(F.regexp_extract(text, begins, 1), r"\}", -1)
+    begins = rf"(?m)^\s*{re.escape(name)}\s*\{{"
+    text = F.coalesce(text, F.lit(""))
+    head = F.regexp_extract(text, begins, 0)
+    parts = F.split(F.substring(text, F.regexp_instr(text, F.lit(begins)) + F.length(head), F.length(text)), r"\}", -1)
     opened = lambda p: F.length(p) - F.length(F.replace(p, F.lit("{"), F.lit("")))
 
     def step(s: Column, p: Column) -> Column:
         depth = s["depth"] + opened(p) - 1
         return F.when(s["done"], s).otherwise(F.struct(depth.alias("depth"), (s["n"] + 1).alias("n"), (depth == 0).alias("done")))
 
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
-    body = bound(parts, lambda p: F.array_join(F.slice(p, F.lit(1), F.aggregate(p, start, step, lambda s: s["n"])), "}"))
-    whole = F.when(text.rlike(begins), body)
-    return whole if cap is None else F.when(F.length(whole) > cap, F.concat(F.substring(whole, 1, cap), F.lit(marker))).otherwise(whole)
+    # what stands after the last closing brace closes nothing
+    def body(p: Column) -> Column:
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+        closed = F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), start, step)
+        return F.when(closed["done"], F.concat(head, F.array_join(F.slice(p, F.lit(1), closed["n"]), "}"), F.lit("}"))).otherwise(F.left(head, F.length(head) - 1))
 
-
-def children(body: Column) -> Column:
-    """Blocks directly within ``body``, in order: ``array<struct<name,head>>``; ``head`` is what comes before any block or end in them."""
-    first = r"(?s)([A-Za-z_][A-Za-z0-9_.-]*)\s*\{(.*)\z"
-
-    def step(s: Column, p: Column) -> Column:
-        depth = s["depth"] + F.length(p) - F.length(F.replace(p, F.lit("{"), F.lit("")))
-        child = F.struct(F.regexp_extract(p, first, 1).alias("name"), F.substring_index(F.regexp_extract(p, first, 2), "{", 1).alias("head"))
-        found = F.when((s["depth"] == 0) & p.rlike(first), F.concat(s["found"], F.array(child))).otherwise(s["found"])
-        return F.struct(F.greatest(depth - 1, F.lit(0)).alias("depth"), found.alias("found"))
-
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<struct<name:string,head:string>>").alias("found"))
-    return F.aggregate(F.split(F.coalesce(body, F.lit("")), r"\}", -1), start, step, lambda s: s["found"])
+    whole = F.when(head == "", F.lit("")).otherwise(bound(parts, body))
+    return bound(whole, lambda w: F.when(F.length(w) > cap, F.concat(F.substring(w, F.lit(1), F.lit(cap)), F.lit(marker))).otherwise(w))
 
 
 def function_names(control: Column) -> Column:
-    """Distinct names of the blocks of ``functions``, in order."""
-    return F.array_distinct(F.transform(children(block(control, "functions")), lambda c: c["name"]))
+    """Distinct names in the block ``functions``, in order: indented, alone on a line, with an indented brace on the next."""
+    held = block(control, "functions", 5_000)
+    return F.array_distinct(F.regexp_extract_all(held, F.lit(r"(?m)^\s{4,}([A-Za-z_][A-Za-z0-9_.-]*)\s*$\n\s{4,}\{"), F.lit(1)))
 
 
 def boundary_types(field: Column, most: int = 16) -> Column:
-    """``patch: type`` for each patch of a field's or a mesh's boundary, or the patch alone where it states no type."""
-    kind = lambda c: F.trim(F.regexp_extract(c["head"], r"(?m)^\s*type\s+([^;]+);", 1))
-    found = children(F.coalesce(block(field, "boundaryField"), block(field, "boundary")))
-    return F.slice(F.transform(found, lambda c: F.when(kind(c) == "", c["name"]).otherwise(F.concat(c["name"], F.lit(": "), kind(c)))), 1, most)
+    """``patch: type`` for each indented patch of a field's or a mesh's boundary: the first type within 500 characters, or the patch alone."""
+    own = block(field, "boundaryField", 6_000)
+    found = F.when(own == "", block(field, "boundary", 6_000)).otherwise(own)
+    pattern = r"(?m)^\s{4,}([A-Za-z_][A-Za-z0-9_.-]*)\s*\{(?=([\s\S]{0,500}))"
+    both = bound(found, lambda b: F.arrays_zip(F.regexp_extract_all(b, F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all(b, F.lit(pattern), F.lit(2)).alias("tail")))
+    kind = lambda c: F.regexp_extract(c["tail"], r"(?m)^\s*type\s+([^;]+);", 1)
+    stripped = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    named = F.transform(both, lambda c: F.when(kind(c) == "", c["name"]).otherwise(F.concat(c["name"], F.lit(": "), stripped(kind(c)))))
+    return F.slice(named, 1, most)
 
 
 def probe_locations(text: Column, most: int = 8) -> Column:

@@ -163,10 +163,25 @@ def q122(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", C.application(F.expr(_CONTROL), F.regexp_replace(F.expr(_SCRIPT), "(?m)^#.*$", "")).alias("application"))
 
 
-_BLOCKS = "concat('x { functions2 { no {} } }\\nfunctions\\n{\\n    ', p_type, '\\n    {\\n        type probes;\\n        inner { type a; }\\n        probeLocations ( (1  ', p_size, ' 0) (0 0 0)\\n (0 0 0) );\\n    }\\n    b', p_partkey, ' { on true; }\\n    b', p_partkey, ' {}\\n}\\nrest { c {} }\\nboundaryField { inlet { value 1;\ntype ', p_brand, '; } wall { } }')"
+_BLOCKS = "concat('x { functions { no {} } }\n\nfunctions\n{\n    ', p_type, '\n    {\n        type probes;\n        inner { type a; }\n        probeLocations ( (1  ', p_size, ' 0) (0 0 0)\n (0 0 0) );\n    }\n  two\n    {\n    }\n    b', p_partkey, '\n    {}\n    c { on true; }\n}\nrest\n    {}\n boundaryField {\n    inlet {\n value 1;\n type ', p_brand, ' ; }\n    wall { }', CASE WHEN p_partkey % 3 = 0 THEN '\n    last { }\n}' WHEN p_partkey % 3 = 1 THEN '\n    more\n    {\n type x;}\n}}' ELSE '' END)"
 
 
-@query("q123_blocks", "SELECT p_partkey, p_type || ',b' || p_partkey AS functions, 'inlet: ' || p_brand || ',wall' AS boundaries, '(1 ' || p_size || ' 0),(0 0 0)' AS points, CAST(length(' inlet { value 1; type ' || p_brand || '; } wall { } ') AS BIGINT) AS chars FROM part")
+def _block_sql(name: str) -> str:
+    head = rf"regexp_extract(text, '(?m)^\s*{name}\s*\{{')"
+    return f"SELECT p_partkey, '{name}' AS n, text, instr(text, {head}) AS s, instr(text, {head}) + length({head}) - 1 AS o FROM t"
+
+
+@query("q123_blocks", rf"""WITH t AS (SELECT p_partkey, {_BLOCKS} AS text FROM part),
+m AS ({_block_sql('functions')} UNION ALL {_block_sql('boundaryField')}),
+c AS (SELECT p_partkey, n, unnest(range(o, length(text) + 1)) AS i, text, s FROM m),
+d AS (SELECT *, sum(CASE WHEN text[i] = '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY p_partkey, n ORDER BY i) AS depth FROM c WHERE text[i] IN ('{{', '}}')),
+e AS (SELECT p_partkey, n, min(i) AS e FROM d WHERE depth = 0 GROUP BY ALL),
+b AS (SELECT p_partkey, n, text[s:coalesce(e, o - 1)] AS b FROM m LEFT JOIN e USING (p_partkey, n)),
+p AS (SELECT p_partkey, max(b) FILTER (n = 'functions') AS f, max(b) FILTER (n = 'boundaryField') AS b FROM b GROUP BY ALL),
+k AS (SELECT p_partkey, f, b, regexp_extract_all(b, '(?m)^\s{{4,}}([A-Za-z_][A-Za-z0-9_.-]*)\s*\{{', 1) AS names FROM p)
+SELECT p_partkey, array_to_string(regexp_extract_all(f, '(?m)^\s{{4,}}([A-Za-z_][A-Za-z0-9_.-]*)\s*$\n\s{{4,}}\{{', 1), ',') AS functions,
+ array_to_string(list_transform(names, lambda x: x || CASE WHEN regexp_extract(b[instr(b, '    ' || x):], '(?m)^\s*type\s+([^;]+);', 1) <> '' THEN ': ' || trim(regexp_extract(b[instr(b, '    ' || x):], '(?m)^\s*type\s+([^;]+);', 1)) ELSE '' END), ',') AS boundaries,
+ '(1 ' || p_size || ' 0),(0 0 0)' AS points, CAST(length(b) AS BIGINT) AS chars FROM k JOIN part USING (p_partkey)""")
 def q123(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     lists = {"functions": C.function_names(t), "boundaries": C.boundary_types(t), "points": C.probe_locations(t)}

@@ -19,11 +19,42 @@ def test_ten_digits(spark):
     assert [r.t for r in odd.collect()] == ["nan", "inf", "-inf", None]
 
 
-def test_blocks_that_do_not_close_and_nulls(spark):
-    df = spark.createDataFrame([("a { b { c } d",), ("ab { x }",), ("a {}",), (None,), ("a { " + "x" * 50 + "}",)], "t string")
-    got = df.select(C.block(F.col("t"), "a", 20, "...").alias("b"), C.children(C.block(F.col("t"), "a")).alias("c")).collect()
-    assert [r.b for r in got] == [" b { c } d", None, "", None, " " + "x" * 19 + "..."]
-    assert [[(c.name, c["head"]) for c in r.c] for r in got] == [[("b", " c ")], [], [], [], []]
+def python_block(text, name, cap):
+    import re
+
+    m = re.search(rf"(?m)^\s*{re.escape(name)}\s*\{{", text)
+    if not m:
+        return ""
+    at = text.find("{", m.start())
+    depth, end = 0, at
+    for k in range(at, len(text)):
+        depth += {"{": 1, "}": -1}.get(text[k], 0)
+        if depth == 0:
+            end = k + 1
+            break
+    found = text[m.start() : end]
+    return found[:cap] + "..." if len(found) > cap else found
+
+
+def test_blocks_equal_a_walk_over_characters(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    parts = ["functions", "boundaryField", "boundary", "{", "}", "\n", "\n    ", "    ", " ", "a", "b.c", "{}", "\ntype x;", "type y ;", "functions\n{\n", "boundaryField {\n    in {"]
+    texts = ["a { b }", None, "\n\n  functions\n{ a\n    {}\n}", "functions { x", *("".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(500))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    rows = df.select("k", C.block(F.col("t"), "functions", 30, "...").alias("b"), C.function_names(F.col("t")).alias("f"), C.boundary_types(F.col("t"), 3).alias("y")).collect()
+    for r in rows:
+        text = texts[r.k] or ""
+        assert r.b == python_block(text, "functions", 30), repr(text)
+        names = re.findall(r"(?m)^\s{4,}([A-Za-z_][A-Za-z0-9_.-]*)\s*$\n\s{4,}\{", python_block(text, "functions", 5000))
+        assert r.f == list(dict.fromkeys(names))
+        held, kinds = python_block(text, "boundaryField", 6000) or python_block(text, "boundary", 6000), []
+        for m in re.finditer(r"(?m)^\s{4,}([A-Za-z_][A-Za-z0-9_.-]*)\s*\{", held):
+            kind = re.search(r"(?m)^\s*type\s+([^;]+);", held[m.end() : m.end() + 500])
+            kinds.append(f"{m[1]}: {kind[1].strip()}" if kind else m[1])
+        assert r.y == kinds[:3], repr(text)
 
 
 TARGETS = [
