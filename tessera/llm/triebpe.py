@@ -1,6 +1,6 @@
 """Byte-level BPE of whole texts by a trie of distinct words.
 
-A text is split into words by the tokenizer's pattern.  The distinct words of a
+A text is split into words as the tokenizer's pattern does.  The distinct words of a
 batch that a worker does not know yet are inserted into a trie of bytes, which
 is walked depth first, each word once.  The state of a node is the last token of the encoding
 of its prefix.  A prefix p ends in token t exactly if t is a suffix of p and
@@ -23,12 +23,12 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -41,10 +41,26 @@ KNOWN, LONGEST, PAIRS = 400_000, 48, 2_000_000
 MET = 1 << 23
 #: New words for which a trie is built within a batch at the latest.
 TRIE_WORDS = 50_000
-#: The split of byte-level tokenizers; a fixed value.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters beyond which two libraries may know different versions of Unicode.
-_NEWER = re.compile("[^\0-ԯ]")
+#: Characters up to which the split is made here; a text with others is split by the tokenizer's own splitter,
+#: as libraries may know different versions of Unicode.
+PLAIN = 0x530
+_OTHER = re.compile(f"[^\0-{chr(PLAIN - 1)}]")
+#: White space among these characters.  A fixed value.
+SPACE = r"\t-\r \x85\xa0"
+
+
+def _of_kind(kind: str) -> str:
+    """The characters below ``PLAIN`` of a general category, as ranges of a pattern's class."""
+    codes = [c for c in range(PLAIN) if unicodedata.category(chr(c)).startswith(kind)]
+    starts = [c for c in codes if c - 1 not in set(codes)]
+    ends = [c for c in codes if c + 1 not in set(codes)]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends))
+
+
+def splitter() -> re.Pattern:
+    """The pattern of byte-level tokenizers, for texts of characters below ``PLAIN``."""
+    letters, digits = _of_kind("L"), _of_kind("N")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{SPACE}{letters}{digits}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 def byte_characters() -> dict[str, int]:
@@ -69,7 +85,7 @@ class TrieCodec:
             raise ValueError("the tokenizer changes texts or words before merging")
         of = byte_characters()
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.pieces = regex.compile(PATTERN).findall
+        self.pieces = splitter().findall
         vocab = {bytes(map(of.__getitem__, k)): v for k, v in model["vocab"].items() if all(c in of for c in k)}
         pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
         self.bytes_of = {v: k for k, v in vocab.items()}
@@ -194,7 +210,7 @@ class TrieCodec:
         return out
 
     def words(self, text: str) -> list[str]:
-        if _NEWER.search(text):
+        if _OTHER.search(text):
             return [text[a:b] for _, (a, b) in self.split(text)]
         return self.pieces(text)
 

@@ -200,6 +200,13 @@ def test_trie_bpe_equals_library(spark, tmp_path):
         assert got[k] == (len(ids), sha(",".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))), repr(t)[:200]
 
 
+def test_split_of_each_plain_character():
+    own = triebpe.TrieCodec(PATH)
+    for c in map(chr, range(1, triebpe.PLAIN)):
+        text = f"a{c}1{c} {c}!{c}  {c}{c} \n{c}"
+        assert own.words(text) == [text[a:b] for _, (a, b) in own.split(text)], repr(c)
+
+
 def test_trie_bpe_with_small_tables(monkeypatch):
     """Tables that fill up and start anew change nothing."""
     from tokenizers import Tokenizer
