@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import lines
+from tessera.functions.text import glob_regex, lines
 from tessera.session import cut
 
 #: Case directories that are sent to all tasks.
@@ -175,6 +175,54 @@ def read_vectors(spark: SparkSession, path: str, manifest: DataFrame, key: str,
     return vectors
 
 
+def read_npy(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """``(file, row, embedding)`` of the ``.npy`` matrices below ``path``, each with the digest and shape that ``manifest (file, sha256, rows, dim)`` says.
+
+    A file that is missing, changed or of another shape is an error; the files
+    of an index are parts of one matrix, ``row`` counts within a file.
+    """
+    import numpy as np
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name_, content, rows, dim in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                matrix = np.load(io.BytesIO(content.as_buffer()), allow_pickle=False)
+                if matrix.shape != (rows, dim):
+                    raise ValueError(f"{name_} is {matrix.shape}, its manifest says {(rows, dim)}")
+                for lo in range(0, rows, 4096):
+                    part = matrix[lo : lo + 4096].astype(np.float64)
+                    ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * dim)
+                    yield pa.RecordBatch.from_arrays([pa.array([name_] * len(part)), pa.array(np.arange(lo, lo + len(part))), pa.ListArray.from_arrays(ends, pa.array(part.reshape(-1)))], ["file", "row", "embedding"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select(name(F.col("path")).alias("file"), "content")
+    held = manifest.join(files, "file", "left")
+    right = F.coalesce(F.sha2("content", 256) == F.col("sha256"), F.lit(False))
+    content = F.when(right, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("missing or changed: "), "file")).cast("binary"))
+    return held.select("file", content.alias("content"), F.col("rows").cast("long"), F.col("dim").cast("long")).mapInArrow(load, "file string, row long, embedding array<double>")
+
+
+def read_graph(spark: SparkSession, path: str, node: str, edge: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of JSON files ``{"nodes": [..], "edges": [..]}`` by their schemas, which have ``id`` and ``source, target``.
+
+    An id that is null or repeats, or an edge whose end is no node, is an error.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<nodes:array<struct<{node}>>,edges:array<struct<{edge}>>>", {"mode": "FAILFAST"}).alias("g"))
+    nodes, edges = raw.select(F.explode("g.nodes").alias("n")).select("n.*"), raw.select(F.explode("g.edges").alias("e")).select("e.*")
+    once = F.col("id").isNotNull() & (F.count("*").over(Window.partitionBy("id")) == 1)
+    nodes = nodes.withColumn("id", F.when(once, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("node id is missing or repeats: "), F.coalesce(F.col("id").cast("string"), F.lit("null"))))))
+    known = nodes.select(F.col("id").alias("_id"), F.lit(True).alias("_known"))
+    for end in ("source", "target"):
+        checked = edges.join(known, F.col(end) == F.col("_id"), "left")
+        edges = checked.withColumn(end, F.when(F.col("_known"), F.col(end)).otherwise(F.raise_error(F.concat(F.lit(f"edge {end} is no node: "), F.coalesce(F.col(end).cast("string"), F.lit("null")))))).drop("_id", "_known")
+    return nodes, edges
+
+
+def grep(docs: DataFrame, pattern: str, include: str | None = None, id: str = "doc_id", path: str = "path", text: str = "text") -> DataFrame:
+    """``(id, line, text)`` of lines that match ``pattern``, of texts whose ``path`` the glob ``include`` matches, all without one."""
+    some = docs if include is None else docs.where(F.col(path).rlike(glob_regex(include)))
+    return numbered_lines(some, id, text).where(F.col("text").rlike(pattern))
+
+
 def manifest_of(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """``(path, sha256, bytes)`` of each row."""
     return df.select(F.col(path).alias("path"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"), F.octet_length(content).cast("long").alias("bytes"))

@@ -85,3 +85,37 @@ def test_tables_are_published_together(spark, tmp_path):
     sinks.publish({a: one(7), b: one(8)})
     assert [spark.read.parquet(p).first().v for p in (a, b)] == [7, 8]
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b", "held"]
+
+
+def test_matrices_and_graphs(spark, tmp_path):
+    import numpy as np
+
+    root = tmp_path / "index"
+    root.mkdir()
+    parts = {"a.npy": np.arange(12, dtype=np.float32).reshape(4, 3), "b.npy": np.ones((5000, 3), np.float32)}
+    rows = []
+    for n, m in parts.items():
+        np.save(root / n, m)
+        rows.append((n, hashlib.sha256((root / n).read_bytes()).hexdigest(), *m.shape))
+    said = lambda rows: spark.createDataFrame(rows, "file string, sha256 string, rows int, dim int")
+    got = corpus.read_npy(spark, f"file://{root}", said(rows)).collect()
+    assert len(got) == 5004 and {r.row: r.embedding for r in got if r.file == "a.npy"} == {k: parts["a.npy"][k].tolist() for k in range(4)}
+    for wrong in ([("a.npy", "0", 4, 3)], [("c.npy", "0", 4, 3)], [(*rows[0][:2], 3, 4)]):
+        with pytest.raises(Exception, match="missing or changed|its manifest says"):
+            corpus.read_npy(spark, f"file://{root}", said(wrong)).collect()
+
+    def graph(nodes, edges):
+        (tmp_path / "g.json").write_text(json.dumps({"nodes": [{"id": n} for n in nodes], "edges": [{"source": a, "target": b, "relation": "r"} for a, b in edges]}))
+        n, e = corpus.read_graph(spark, f"file://{tmp_path}/g.json", "id string", "source string, target string, relation string")
+        return sorted(r.id for r in n.collect()), sorted((r.source, r.target) for r in e.collect())
+
+    assert graph("ab", ["ab", "ba"]) == (["a", "b"], [("a", "b"), ("b", "a")])
+    for nodes, edges in (("aa", []), ("ab", ["ac"]), ("ab", ["cb"])):
+        with pytest.raises(Exception, match="repeats|is no node"):
+            graph(nodes, edges)
+
+
+def test_grep_with_a_glob(spark):
+    docs = spark.createDataFrame([(1, "a/x.c", "one\ntwo"), (2, "a/x.h", "two"), (3, "b/y.c", None)], "doc_id int, path string, text string")
+    assert [(r.doc_id, r.line) for r in corpus.grep(docs, "tw.", "*.c").collect()] == [(1, 2)]
+    assert sorted(r.doc_id for r in corpus.grep(docs, "tw.").collect()) == [1, 2]
