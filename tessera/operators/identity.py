@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import identity_fold
@@ -61,3 +64,11 @@ def identity_scores(seeds: DataFrame, requests: DataFrame, units: DataFrame, dec
     joint = F.when(zero(F.col("_keys")) >= 2, 12 * F.col("_keys") / n).otherwise(0.0)
     score = 0.45 * zero(F.col("_seed")) + 24 * zero(F.col("_exact")) / n + flag("_file", 24) + flag("_case", 12) + joint + 8 * zero(F.col("_head")) + F.when(F.col("_default") & F.col("_has"), 6).otherwise(0)
     return rows.select(by, "unit", F.round(score, 6).alias("score"))
+
+
+def source_allowed(question: Column, path: Column, named: Column) -> Column:
+    """Whether a question leaves room for a path: one that speaks of manuals and not of tutorials, and names no case, has no tutorials; one for tutorials only has no manuals."""
+    text = F.coalesce(question, F.lit(""))
+    says = lambda *words: reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+    manuals = says("手册") & ~says("教程") & ~F.coalesce(named, F.lit(False))
+    return ~(manuals & path.startswith("tutorials/")) & ~(says("只查教程", "仅查教程") & path.startswith("manual/"))

@@ -17,7 +17,7 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
 
 
-def facet_scores(nodes: DataFrame, questions: DataFrame, query: str = "q", node: str = "node", without: tuple[str, ...] = T.STOP) -> DataFrame:
+def facet_scores(nodes: DataFrame, questions: DataFrame, query: str = "q", node: str = "node", without: tuple[str, ...] = T.STOP, conditions: str | None = None) -> DataFrame:
     """``(query, node, score)`` of the nodes that share a term with a question's facets.
 
     ``questions`` is ``(query, question, cases array<string>)``, ``nodes`` is ``(node,
@@ -26,6 +26,8 @@ def facet_scores(nodes: DataFrame, questions: DataFrame, query: str = "q", node:
     that of the headings 8, the share of CJK terms 8.  An identity or a key that is
     an identifier adds 4 each, a path that has one 2, one of the named cases 4.
     Where cases are named, nodes of others are left out.  Nulls match nothing.
+    ``conditions`` names a column of texts of which up to two of the question's
+    terms add 1 each; a node is not found by them alone.
     """
     stops = F.array(*map(F.lit, without)).cast("array<string>")
     ids = T.identifiers(F.col("question"), list(without))
@@ -39,6 +41,8 @@ def facet_scores(nodes: DataFrame, questions: DataFrame, query: str = "q", node:
 
     one = lambda c: F.array(F.lower(F.coalesce(c, F.lit(""))))
     channels = {"body": F.array_distinct(T.tokens(F.col("text"))), "head": F.array_distinct(T.tokens(F.col("headings"))), "path": F.array_distinct(T.tokens(F.col("path"))), "identity": one(F.col("identity")), "key": one(F.col("key"))}
+    if conditions is not None:
+        channels["condition"] = F.array_distinct(T.tokens(F.col(conditions)))
     tag = lambda n, a: F.transform(a, lambda x: F.struct(F.lit(n).alias("channel"), x.alias("term")))
     tagged = F.flatten(F.array(*[tag(n, a) for n, a in channels.items()]))
     held = nodes.select(node, "case", F.inline(tagged)).join(_sent(asked), "term")
@@ -46,34 +50,58 @@ def facet_scores(nodes: DataFrame, questions: DataFrame, query: str = "q", node:
     at = lambda n, more: (F.col("channel") == n) & more
     weight = lambda n: F.sum(F.when(at(n, F.col("latin")), F.col("weight")).otherwise(0))
     named = lambda n: F.max(at(n, F.col("weight") == 2).cast("int"))
-    met = held.groupBy(query, node, "case").agg(weight("body").alias("_b"), weight("head").alias("_h"), F.count_if(at("body", ~F.col("latin"))).alias("_c"), *[named(n).alias(f"_{n}") for n in ("path", "identity", "key")])
+    met = held.groupBy(query, node, "case").agg(weight("body").alias("_b"), weight("head").alias("_h"), F.count_if(at("body", ~F.col("latin"))).alias("_c"), F.count_if(F.col("channel") == "condition").alias("_condition"), *[named(n).alias(f"_{n}") for n in ("path", "identity", "key")])
     inside = F.coalesce(F.array_contains("cases", F.col("case")), F.lit(False))
     open_ = (F.size("cases") == 0) | F.col("case").isNull() | inside
     score = (30.0 * F.col("_b") + 8.0 * F.col("_h")) / F.greatest(F.lit(1), "_all") + 8.0 * F.col("_c") / F.greatest(F.lit(1), "_cjk")
-    score = score + 4 * F.col("_identity") + 4 * F.col("_key") + 2 * F.col("_path") + F.when(inside, 4).otherwise(0)
+    score = score + 4 * F.col("_identity") + 4 * F.col("_key") + 2 * F.col("_path") + F.when(inside, 4).otherwise(0) + F.least(F.lit(2), "_condition")
     found = met.where(F.col("_b") + F.col("_h") + F.col("_c") + F.col("_path") > 0).join(_sent(facts), query).where(open_)
     return found.select(query, node, F.round(score, 6).alias("score"))
 
 
-def routes(seeds: DataFrame, edges: DataFrame, rules: DataFrame, query: str, depth: int = 3, beam: int = 32) -> DataFrame:
+def condition_bonus(questions: DataFrame, edges: DataFrame, query: str, conditions: str = "conditions", most: int = 3) -> DataFrame:
+    """``(query, source, target, relation, plus)``: how many of a question's terms an edge's conditions have, ``most`` at most; edges with none are left out."""
+    asked = questions.select(query, F.explode(T.terms(F.col("question"))).alias("term"))
+    held = edges.select("source", "target", "relation", F.explode(T.terms(F.col(conditions))).alias("term"))
+    met = held.join(_sent(asked), "term").groupBy(query, "source", "target", "relation").agg(F.count_distinct("term").alias("plus"))
+    return met.select(query, "source", "target", "relation", F.least(F.lit(most), "plus").alias("plus"))
+
+
+def ablated(nodes: DataFrame, edges: DataFrame, variant: str, conditions: str = "conditions") -> tuple[DataFrame, DataFrame, int | None]:
+    """Nodes, edges and depth (None: as given) of a variant: ``full``, ``no_cross``, ``no_conditions`` or ``no_extension``."""
+    if variant not in ("full", "no_cross", "no_conditions", "no_extension"):
+        raise ValueError(f"no such variant: {variant}")
+    none = F.lit(None).cast("string")
+    if variant == "no_conditions":
+        nodes, edges = (df.withColumn(conditions, none) if conditions in df.columns else df for df in (nodes, edges))
+    return nodes, edges.where(~F.coalesce("cross", F.lit(False))) if variant == "no_cross" else edges, 0 if variant == "no_extension" else None
+
+
+def routes(seeds: DataFrame, edges: DataFrame, rules: DataFrame, query: str, depth: int = 3, beam: int = 32, bonus: DataFrame | None = None) -> DataFrame:
     """Best route to each node: ``(query, node, score, hop, origin, route)``; no route meets a node twice.
 
     ``rules`` is ``(relation, factor, bonus, cross_bonus, backward)``: a step's score is
     ``score * factor`` and the bonus, ``cross_bonus`` where the edge is ``cross``; edges of
     relations that aren't ``backward`` are taken forward only, others are no
     steps.  Of equal scores the least route stays.  At each hop the ``beam`` best go on,
-    and a node counts again only with a strictly greater score.
+    and a node counts again only with a strictly greater score.  ``bonus (query, source,
+    target, relation, plus)`` adds to a step for one query.
     """
     typed = edges.join(F.broadcast(rules), "relation").withColumn("_plus", F.when(F.col("cross"), F.col("cross_bonus")).otherwise(F.col("bonus")))  # one row a relation
-    ahead = typed.select(F.col("source").alias("node"), "target", "factor", "_plus")
-    back = typed.where("backward").select(F.col("target").alias("node"), F.col("source").alias("target"), "factor", "_plus")
+    named = ["relation", F.col("source").alias("_s"), F.col("target").alias("_t")]
+    ahead = typed.select(F.col("source").alias("node"), "target", "factor", "_plus", *named)
+    back = typed.where("backward").select(F.col("target").alias("node"), F.col("source").alias("target"), "factor", "_plus", *named)
     steps = cut(ahead.unionByName(back))
+    more = None if bonus is None else cut(bonus.select(query, "relation", F.col("source").alias("_s"), F.col("target").alias("_t"), "plus"))
     best = seeds.select(query, "node", "score", F.lit(0).alias("hop"), F.array("node").alias("visited"))
     frontier = best
     for hop in range(1, depth + 1):
         wide = Window.partitionBy(query).orderBy(F.desc("score"), "node")
         going = frontier.withColumn("_r", F.row_number().over(wide)).where(F.col("_r") <= beam)
-        met = going.join(steps, "node").where(~F.array_contains("visited", F.col("target"))).select(
+        met = going.join(steps, "node").where(~F.array_contains("visited", F.col("target")))
+        if more is not None:
+            met = met.join(more, [query, "relation", "_s", "_t"], "left").withColumn("_plus", F.col("_plus") + F.coalesce("plus", F.lit(0)))
+        met = met.select(
             query, F.col("target").alias("node"), F.round(F.col("score") * F.col("factor") + F.col("_plus"), 9).alias("score"), F.concat("visited", F.array("target")).alias("visited")
         )
         first = met.groupBy(query, "node").agg(F.min(F.struct((-F.col("score")).alias("s"), F.array_join("visited", ">").alias("t"), "visited")).alias("_m"))
