@@ -43,7 +43,9 @@ def q109(spark: SparkSession, d: str) -> DataFrame:
     return cases.parameter_rows(manuals, "p_partkey").select("p_partkey", "section", *_whole("line"), *_joined("identifiers", "defaults", "requirements"))
 
 
-@query("q110_constant_state", """SELECT o_custkey, count(*) AS n, CASE WHEN max(CASE WHEN o_orderkey % 29 = 0 OR o_orderkey % 31 = 0 THEN 1 ELSE 0 END) = 1 THEN 'unknown' WHEN max(CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) = 1 THEN 'positive_const_input' WHEN max(CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END) = 1 THEN 'negative_const_input' ELSE 'all_const_zero' END AS state FROM orders GROUP BY o_custkey""")
+@query("q110_constant_state", """WITH r AS (SELECT o_custkey, CASE WHEN o_orderkey % 31 = 0 THEN 'sutherland' ELSE 'const' END AS kind, CASE WHEN o_orderkey % 29 = 0 THEN '$mu' WHEN o_orderkey % 7 = 0 THEN '1.8e-5' WHEN o_orderkey % 11 = 0 THEN '-2' ELSE '0.0' END AS value FROM orders),
+v AS (SELECT o_custkey, CASE WHEN kind = 'const' THEN TRY_CAST(value AS DOUBLE) END AS v FROM r)
+SELECT o_custkey, count(*) AS n, CASE WHEN bool_or(v IS NULL OR NOT isfinite(v)) THEN 'unknown' WHEN bool_or(v > 0) THEN 'positive_const_input' WHEN bool_or(v < 0) THEN 'negative_const_input' ELSE 'all_const_zero' END AS state FROM v GROUP BY o_custkey""")
 def q110(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     value = F.when(k % 29 == 0, "$mu").when(k % 7 == 0, "1.8e-5").when(k % 11 == 0, "-2").otherwise("0.0")
@@ -108,7 +110,9 @@ def q115(spark: SparkSession, d: str) -> DataFrame:
     return cases.atomic_groups(_lines(spark, d), "l_orderkey", "place", "place", "size", 70, F.col("flag") == "R")
 
 
-@query("q116_coefficients", "SELECT p_partkey, 'gas/model' AS selector, 'gas/' || p_brand || 'Coeffs/size' AS coefficient FROM part WHERE p_partkey % 2 = 0")
+@query("q116_coefficients", """WITH e AS (SELECT p_partkey, unnest([{'path': 'gas/model', 'value': p_brand}, {'path': CASE WHEN p_partkey % 2 = 0 THEN 'gas/' ELSE 'other/' END || p_brand || 'Coeffs/size', 'value': CAST(p_size AS VARCHAR)}, {'path': 'gas/noneCoeffs/size', 'value': '1'}], recursive := true) FROM part),
+s AS (SELECT *, regexp_extract(path, '^(.*/)?[^/]*$', 1) AS scope FROM e)
+SELECT a.p_partkey, a.path AS selector, b.path AS coefficient FROM s a JOIN s b ON a.p_partkey = b.p_partkey AND b.scope = a.scope || a.value || 'Coeffs/'""")
 def q116(spark: SparkSession, d: str) -> DataFrame:
     one = lambda path, value: F.struct(path.alias("path"), value.alias("value"))
     own, k = F.concat("p_brand", F.lit("Coeffs/size")), F.col("p_partkey")
@@ -122,7 +126,9 @@ def q117(spark: SparkSession, d: str) -> DataFrame:
     return cases.closed(edges, table(spark, d, "part").where("p_size > 20"), "p_partkey")
 
 
-@query("q118_binding", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'missing' WHEN c_custkey % 11 = 0 THEN 'unbound' ELSE 'changed' END AS issue FROM customer WHERE (c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 5 = 0) AND NOT (c_custkey % 7 = 0 AND c_custkey % 11 = 0)")
+@query("q118_binding", """WITH r AS (SELECT c_custkey, sha256(c_name || '|' || c_mktsegment) AS a, sha256(c_name || '|' || c_mktsegment || CASE WHEN c_custkey % 5 = 0 THEN '!' ELSE '' END) AS b FROM customer),
+l AS (SELECT c_custkey, a FROM r WHERE c_custkey % 11 <> 0), f AS (SELECT c_custkey, b FROM r WHERE c_custkey % 7 <> 0)
+SELECT c_custkey, CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'unbound' ELSE 'changed' END AS issue FROM l FULL JOIN f USING (c_custkey) WHERE a IS DISTINCT FROM b""")
 def q118(spark: SparkSession, d: str) -> DataFrame:
     k, text = F.col("c_custkey"), F.concat_ws("|", "c_name", "c_mktsegment")
     rows = table(spark, d, "customer").select("c_custkey", F.sha2(text.cast("binary"), 256).alias("sha256"), F.sha2(F.when(k % 5 == 0, F.concat(text, F.lit("!"))).otherwise(text).cast("binary"), 256).alias("now"))
@@ -143,22 +149,25 @@ def q120(spark: SparkSession, d: str) -> DataFrame:
     return cases.usage_totals(table(spark, d, "events").select("event_type", usage.alias("usage")), "usage", "event_type").withColumns({"total": F.round("total", 4)})
 
 
-_CONTROL = "concat('application  ', p_brand, ';\\n', CASE WHEN p_partkey % 3 = 0 THEN 'writeInterval  0.1;\\nwriteInterval 2;\\n' WHEN p_partkey % 3 = 1 THEN '// ************************************************************************* //\\n' ELSE '  \\n' END)"
+_CONTROL = "concat('application  ', p_brand, ';\n', CASE WHEN p_partkey % 3 = 0 THEN 'writeInterval  0.1;\nwriteInterval 2;\n' WHEN p_partkey % 3 = 1 THEN '// ************************************************************************* //\n' ELSE '  \n' END)"
 
 
-@query("q121_entries", """WITH p AS (SELECT *, 'application  ' || p_brand || ';' || chr(10) AS h, printf('%.10g', p_retailprice * pow(10.0, p_partkey % 23 - 9)) AS v FROM part)
-SELECT p_partkey, v AS value, sha256(h || CASE p_partkey % 3 WHEN 0 THEN 'writeInterval  ' || v || ';' || chr(10) || 'writeInterval 2;' || chr(10) WHEN 1 THEN 'writeInterval   ' || v || ';' || chr(10) || chr(10) || '// ************************************************************************* //' || chr(10)
- ELSE chr(10) || 'writeInterval   ' || v || ';' || chr(10) END) AS text_sha256 FROM p""")
+@query("q121_entries", rf"""WITH t AS (SELECT p_partkey, printf('%.10g', p_retailprice * pow(10.0, p_partkey % 23 - 9)) AS v, {_CONTROL} AS text FROM part),
+u AS (SELECT *, rpad('writeInterval', 16, ' ') || v || ';' || chr(10) AS added, instr(text, '{C.CLOSING}') AS k FROM t)
+SELECT p_partkey, v AS value, sha256(CASE WHEN regexp_matches(text, '(?m)^\s*writeInterval\s+[^;]+;') THEN regexp_replace(text, '(?m)(^\s*writeInterval\s+)[^;]+;', '\1' || v || ';') WHEN k > 0 THEN text[:k - 1] || added || chr(10) || text[k:] ELSE regexp_replace(text, '\s+$', '') || chr(10) || chr(10) || added END) AS text_sha256 FROM u""")
 def q121(spark: SparkSession, d: str) -> DataFrame:
     value = C.ten_digits(F.col("p_retailprice") * F.pow(F.lit(10.0), F.col("p_partkey") % 23 - 9))
     rows = table(spark, d, "part").select("p_partkey", value.alias("value"), F.expr(_CONTROL).alias("text"))
     return rows.select("p_partkey", "value", F.sha2(C.with_entry(F.col("text"), "writeInterval", F.col("value")).cast("binary"), 256).alias("text_sha256"))
 
 
-_SCRIPT = "concat('runApplication blockMesh\\n# runApplication -s x commented\\n', CASE p_partkey % 4 WHEN 0 THEN 'runApplication -s one setFields -case a\\nrunParallel -parallel $(getApplication)\\n' WHEN 1 THEN 'runApplication bin/solver -x\\nrunApplication reconstructPar\\n' WHEN 2 THEN 'runApplication $APP\\n' ELSE '' END)"
+_SCRIPT = "concat('runApplication blockMesh\n# runApplication -s x commented\n', CASE p_partkey % 4 WHEN 0 THEN 'runApplication -s one setFields -case a\nrunParallel -parallel $(getApplication)\n' WHEN 1 THEN 'runApplication bin/solver -x\nrunApplication reconstructPar\n' WHEN 2 THEN 'runApplication $APP\n' ELSE '' END)"
 
 
-@query("q122_applications", "SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'solver' ELSE p_brand END AS application FROM part")
+@query("q122_applications", rf"""WITH t AS (SELECT p_partkey, trim(regexp_extract({_CONTROL}, '(?m)^\s*application\s+([^;]+);', 1)) AS named, regexp_replace({_SCRIPT}, '(?m)^#.*$', '', 'g') AS s FROM part),
+w AS (SELECT *, list_transform(list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '\brun(?:Application|Parallel)\s')), lambda x: regexp_extract(x, '\brun(?:Application|Parallel)\s+(?:-s\s+\S+\s+|-\S+\s+)*(\S+)', 1)) AS ws FROM t),
+p AS (SELECT p_partkey, named, list_filter(list_transform(ws, lambda x: CASE WHEN x = '$(getApplication)' THEN named WHEN contains(x, '$') THEN NULL ELSE regexp_extract(x, '([^/]+)$', 1) END), lambda x: x IS NOT NULL AND NOT list_contains({C.UTILITIES}, x)) AS solvers FROM w)
+SELECT p_partkey, coalesce(solvers[-1], named) AS application FROM p""")
 def q122(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", C.application(F.expr(_CONTROL), F.regexp_replace(F.expr(_SCRIPT), "(?m)^#.*$", "")).alias("application"))
 
