@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tessera.operators.ranges import numbered
+
 #: Outcomes that say nothing about the answer.  Fixed values.
 NOT_RUN = ("not_run", "started", "in_flight", "outcome_unknown", "http_result_unknown", "usage_unknown", "runner_error", "deployment_halted", "not_dispatched_model_halted")
 
@@ -128,8 +130,8 @@ def cluster_bootstrap(values: DataFrame, by: str, value: str, draws: DataFrame)
     the interval's ends are the values at floor(p (n - 1)) in order.
     """
     sums = values.groupBy(by).agg(F.sum(F.abs(value)).alias("a"), F.sum(value).alias("s"), F.count(value).alias("n"))
-    numbered = sums.withColumn("cluster", F.row_number().over(Window.orderBy(by)) - 1)  # one row a cluster
-    each = draws.join(numbered, "cluster").groupBy("resample").agg(
+    placed = numbered(sums, [by], out="cluster").withColumn("cluster", F.col("cluster") - 1)
+    each = draws.join(placed, "cluster").groupBy("resample").agg(
         F.round(F.sum(F.col("times") * F.col("a")) / F.sum(F.col("times") * F.col("n")), 9).alias("mae"), F.round(F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n")), 9).alias("bias")
     )
     at = lambda c, p: F.get(F.sort_array(F.collect_list(c)), F.floor(p * (F.count("*") - 1)).cast("int"))

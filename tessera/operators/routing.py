@@ -166,6 +166,31 @@ def rule_scores(requests: DataFrame, candidates: DataFrame, rules: list[dict], r
     return fired.join(best, "fired").select(request, candidate, "score", "place")
 
 
+#: Names that have a term up to which requests meet names by it at once.
+RARE = 1_000
+
+
+def _most_terms(requests: DataFrame, names: DataFrame, request: str, name: str) -> DataFrame:
+    """``(request, name)``: of each request's ``text`` the name that shares most terms with it, the least of several.
+
+    Requests meet names by rare terms first.  Frequent terms alone can't do better
+    than as many as they are, so only requests that have at least as many of them
+    as the best found shares meet names by these too.
+    """
+    words = cut(names.select(name).distinct().select(name, F.explode(T.terms(F.col(name))).alias("_t")), "name-terms")
+    held = words.groupBy("_t").agg(F.count("*").alias("_d"))
+    asked = cut(requests.select(request, F.explode(T.terms(F.col("text"))).alias("_t")).join(held, "_t"), "request-terms")
+    best = lambda pairs: pairs.groupBy(request).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(name).alias("name"))).alias("_m"))
+    met = asked.where(F.col("_d") <= RARE).join(words, "_t").select(request, name).distinct()
+    counted = met.join(asked.select(request, "_t"), request).join(words, [name, "_t"]).groupBy(request, name).agg(F.count("*").alias("_n"))
+    first = cut(best(counted), "resolved")
+    often = asked.where(F.col("_d") > RARE).groupBy(request).agg(F.count("*").alias("_f"))
+    again = often.join(first, request, "left").where(F.col("_f") >= F.coalesce(-F.col("_m.n"), F.lit(1))).select(request)
+    rest = asked.join(again, request, "left_semi").join(words, "_t").groupBy(request, name).agg(F.count("*").alias("_n"))
+    every = first.join(again, request, "left_anti").unionByName(best(rest))
+    return every.select(request, F.col("_m.name").alias(name))
+
+
 def resolved(requests: DataFrame, names: DataFrame, aliases: DataFrame, request: str, name: str = "name") -> DataFrame:
     """``(request, name, how)``: the name that a request's ``text`` is (``exact``), is an alias of (``alias``), or shares most terms with (``terms``).
 
@@ -173,11 +198,10 @@ def resolved(requests: DataFrame, names: DataFrame, aliases: DataFrame, request:
     """
     exact = requests.join(names.select(name).distinct(), requests["text"] == F.col(name)).select(request, name)
     alias = requests.join(aliases, requests["text"] == F.col("alias")).groupBy(request).agg(F.min(name).alias(name))
-    words = names.select(name).distinct().select(name, F.explode(T.terms(F.col(name))).alias("_t"))
-    shared = requests.select(request, F.explode(T.terms(F.col("text"))).alias("_t")).join(words, "_t").groupBy(request, name).agg(F.count("*").alias("_n"))
-    near = shared.groupBy(request).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(name).alias("name"))).alias("_m")).select(request, F.col("_m.name").alias(name))
-    ways = [df.select(request, F.struct(F.lit(k).alias("k"), F.col(name).alias("name"), F.lit(how).alias("how")).alias("_w")) for k, (how, df) in enumerate((("exact", exact), ("alias", alias), ("terms", near)))]
-    best = ways[0].unionByName(ways[1]).unionByName(ways[2]).groupBy(request).agg(F.min("_w").alias("_w"))
+    ways = [df.select(request, F.struct(F.lit(k).alias("k"), F.col(name).alias("name"), F.lit(how).alias("how")).alias("_w")) for k, (how, df) in enumerate((("exact", exact), ("alias", alias)))]
+    told = cut(ways[0].unionByName(ways[1]).groupBy(request).agg(F.min("_w").alias("_w")), "told")
+    near = _most_terms(requests.join(told, request, "left_anti"), names, request, name)
+    best = told.unionByName(near.select(request, F.struct(F.lit(2).alias("k"), F.col(name).alias("name"), F.lit("terms").alias("how")).alias("_w")))
     return requests.select(request).join(best, request, "left").select(request, F.col("_w.name").alias(name), F.col("_w.how").alias("how"))
 
 

@@ -39,3 +39,25 @@ def test_sources_that_a_question_leaves(spark):
     df = spark.createDataFrame(rows, "q string, path string, named boolean, ok boolean")
     got = df.select(identity.source_allowed(F.col("q"), F.col("path"), F.col("named")).alias("got"), "ok").collect()
     assert all(r.got == r.ok for r in got)
+
+
+@pytest.mark.parametrize("rare", [0, 2, 1_000])
+def test_most_shared_terms_by_rare_terms_first(spark, monkeypatch, rare):
+    import random
+
+    monkeypatch.setattr(routing, "RARE", rare)
+    rng = random.Random(rare)
+    words = [f"w{k}" for k in range(12)]
+    names = sorted({" ".join(rng.choice(words[: rng.choice([3, 12])]) for _ in range(rng.randrange(1, 6))) for _ in range(60)})
+    asked = {q: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for q in range(80)} | {80: "unknown", 81: None, 82: names[3]}
+    got = routing.resolved(spark.createDataFrame(list(asked.items()), "q int, text string"), spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([("w1", names[5])], "alias string, name string"), "q")
+    for r in got.collect():
+        text = asked[r.q]
+        if text in names:
+            assert (r.name, r.how) == (text, "exact")
+        elif text == "w1":
+            assert (r.name, r.how) == (names[5], "alias")
+        else:
+            shared = {n: len(set(n.split()) & set((text or "").split())) for n in names}
+            best = min((n for n in names if shared[n]), key=lambda n: (-shared[n], n), default=None)
+            assert r.name == best and (r.how == "terms") == (best is not None)
