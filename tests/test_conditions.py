@@ -61,3 +61,44 @@ def test_most_shared_terms_by_rare_terms_first(spark, monkeypatch, rare):
             shared = {n: len(set(n.split()) & set((text or "").split())) for n in names}
             best = min((n for n in names if shared[n]), key=lambda n: (-shared[n], n), default=None)
             assert r.name == best and (r.how == "terms") == (best is not None)
+
+
+def test_lexical_seeds_by_hand(spark):
+    """Each channel of the score against a walk over all questions and nodes."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    words = ["alpha", "beta", "p.rgh", "gas/mu", "tutorials/a/x", "a/x", "mu", "Model1", "手册", "教程", "压力", "1.5", "压", "control"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    nodes = [(k, text(8), rng.choice(["gas/mu", "FoamFile/x", "", None]), rng.choice(["mu", "alpha", None]), rng.choice(["tutorials/a/x", "tutorials/b/control", "manual/a/x"]), rng.choice(["Model1", None]), text(5), rng.choice(["a", "b", None]), rng.random() < 0.3) for k in range(60)]
+    asked = [(q, text(7), rng.choice([[], ["a"], None])) for q in range(25)]
+    df = spark.createDataFrame(nodes, "node int, text string, dictionary string, key string, path string, model string, conditions string, case string, fact boolean")
+    questions = spark.createDataFrame(asked, "q int, question string, cases array<string>")
+    lits = {r.q: [x.lower() for x in r.l] for r in questions.select("q", identity.literals(F.col("question")).alias("l")).collect()}
+
+    def terms(t):
+        t = (t or "").lower()
+        found = set(re.findall(r"[a-z_][a-z0-9_]*|\d+(?:\.\d+)*", t))
+        for run in re.findall(r"[㐀-鿿]+", t):
+            found |= {run[i : i + 2] for i in range(len(run) - 1)} or {run}
+        return found
+
+    expected = {}
+    for q, question, cases in asked:
+        qt, cases = terms(question), cases or []
+        pieces, slashed = {p for v in lits[q] for p in v.split("/")} - {""}, [v for v in lits[q] if "/" in v]
+        for k, body, dictionary, key, path, model, conditions, case, fact in nodes:
+            manual_only = "手册" in question and "教程" not in question and not cases
+            if (dictionary or "").startswith("FoamFile") or cases and case and case not in cases or manual_only and path.startswith("tutorials/"):
+                continue
+            nt = terms(body)
+            n = len(qt & nt)
+            full = bool(dictionary) and dictionary.lower() in [v for v in slashed if not v.startswith(("manual/", "tutorials/"))]
+            file = path.split("/")[-1].lower() in pieces or any(path.lower() == v or path.lower().endswith("/" + v) for v in slashed)
+            flags = (full, 30), (bool(key) and key.lower() in pieces, 16), (file, 24), (bool(model) and model.lower() in pieces, 20)
+            if n or any(f for f, _ in flags):
+                score = 12 * n / max(1, len(qt)) + 4 * n / max(1, len(nt)) + sum(w for f, w in flags if f)
+                expected[q, k] = pytest.approx(score + min(4, len(qt & terms(conditions))) + 8 * (case in cases) + fact, abs=1e-5)
+    got = {(r.q, r.node): r.score for r in identity.lexical_seeds(df, questions, "q").collect()}
+    assert got == expected
