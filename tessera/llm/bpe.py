@@ -28,7 +28,7 @@ import base64
 import heapq
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -233,13 +233,27 @@ def codec(path: str, pattern: str) -> TreeCodec:
     return held(("bpe", path, pattern), lambda: TreeCodec(read_ranks(path), pattern))
 
 
+def gathered(parts: Iterable[bytes]) -> tuple[np.ndarray, pa.Buffer]:
+    """Ends and bytes of parts one after another, without a second copy of them."""
+    held, ends = bytearray(), [0]
+    for part in parts:
+        held += part
+        ends.append(len(held))
+    return np.array(ends, np.int64), pa.py_buffer(held)
+
+
+def lists_of_ids(parts: Iterable[bytes]) -> pa.Array:
+    """``array<int>`` of ids as little-endian int32."""
+    ends, held = gathered(parts)
+    values = pa.Array.from_buffers(pa.int32(), len(held) // 4, [None, held])
+    return pa.ListArray.from_arrays(pa.array((ends // 4).astype(np.int32)), values)
+
+
 def encode_column(text: Column, path: str, pattern: str) -> Column:
     @arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         own = codec(path, pattern)
-        ids = [own.encode(x.as_py()) for x in texts]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+        return lists_of_ids(own.encode(x.as_py()).tobytes() for x in texts)
 
     return encode(text)
 
@@ -248,7 +262,9 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
     @arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
         own = codec(path, pattern)
-        return pa.array([own.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists], pa.binary())
+        ends, held = gathered(own.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in lists)
+        known = np.packbits(np.array(lists.is_valid()), bitorder="little")
+        return pa.Array.from_buffers(pa.binary(), len(lists), [pa.py_buffer(known), pa.py_buffer(ends.astype(np.int32)), held])
 
     return decode(ids)
 

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from tessera.llm.bpe import gathered, lists_of_ids
 from tessera.llm.common import held
 
 #: Words that a worker keeps the ids of, longest such word, and pairs of tokens that it keeps verdicts on.
@@ -286,11 +287,8 @@ def codec(path: str) -> TrieCodec:
 def encode_column(text: Column, path: str) -> Column:
     @arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        own, ids = codec(path), []
-        for lo in range(0, len(texts), 512):
-            ids += own.encode(texts.slice(lo, 512).to_pylist())
-        ends = np.fromiter(chain([0], map(len, ids)), np.int64, len(ids) + 1).cumsum() // 4
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        own = codec(path)
+        return lists_of_ids(chain.from_iterable(own.encode(texts.slice(lo, 512).to_pylist()) for lo in range(0, len(texts), 512)))
 
     return encode(text)
 
@@ -299,7 +297,9 @@ def decode_column(ids: Column, path: str) -> Column:
     @arrow_udf("string")
     def decode(lists: pa.Array) -> pa.Array:
         own = codec(path)
-        return pa.array([own.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists], pa.string())
+        ends, held = gathered(own.decode(x.values.to_numpy().tolist()).encode() if x.is_valid else b"" for x in lists)
+        known = np.packbits(np.array(lists.is_valid()), bitorder="little")
+        return pa.Array.from_buffers(pa.string(), len(lists), [pa.py_buffer(known), pa.py_buffer(ends.astype(np.int32)), held])
 
     return decode(ids)
 
