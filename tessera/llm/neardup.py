@@ -208,13 +208,14 @@ def hashes(text: Column, words: int) -> Column:
 def prefix_pairs(sets: DataFrame, lanes: DataFrame, fits: Column, percent: int, max_distance: int) -> DataFrame:
     """Pairs ``(a, b)`` of ``sets (id, c, n, s)`` that may reach the similarity; none that does is missing.
 
-    With every set ordered by how few sets hold a shingle, two sets that reach
-    it share one of their first ``n - ceil(percent n / 100) + 1``; and at the
+    Only pairs of different components ``c`` count.  With every set ordered by how
+    few sets hold a shingle, two sets that reach it share one of their first ``n - ceil(percent n / 100) + 1``; and at the
     first one that they share enough shingles must be left in both.  Pairs that
     the signatures' distance excludes go within the join, so few rows leave it.
     """
     each = sets.select("id", "c", "n", F.explode("s").alias("s"))
-    held = each.groupBy("s").count().where("count > 1")
+    # shingles of one component only come first in the order: no pair across components has them
+    held = each.groupBy("s").agg(F.count("*").alias("count"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s", "count")
     order = Window.partitionBy("id").orderBy("count", "s")
     several = Window.partitionBy("id")
     ranked = each.join(held, "s").withColumn("at", F.col("n") - F.count("*").over(several) + F.row_number().over(order))
