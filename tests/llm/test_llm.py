@@ -473,6 +473,9 @@ def test_stages_hold_against_their_operators(spark):
     for stage, name in ((pipeline.quality_stage, "op7_quality"), (pipeline.near_duplicate_stage, None)):
         got = stage(spark, extra, SF)
         assert got.columns == pipeline.COLUMNS and (name is None or {r.doc_id for r in got.collect()} == {r.doc_id for r in queries.QUERIES[name](spark, SF).where("accepted").collect()})
+    spoken = pipeline.language_stage(spark, extra, SF)
+    own = langid.identify_language(docs, langid.learn_languages(docs)).where("accepted")
+    assert spoken.columns == pipeline.COLUMNS and sorted(r.doc_id for r in spoken.collect()) == sorted(r.doc_id for r in own.collect()) and spoken.count() > 0
     coded = pipeline.encoding_stage(spark, extra, SF).collect()
     assert {r.doc_id: r.decoded_sha256 for r in coded} == {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect()}
     twice = spark.createDataFrame([(1, "b c d e f g", "en", "s", 1), (1, "a x y z", "en", "s", 1), (None, "q", None, None, None), (None, "q", None, None, None)], docs.select(pipeline.COLUMNS).schema)
