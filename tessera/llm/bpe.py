@@ -249,11 +249,20 @@ def lists_of_ids(parts: Iterable[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array((ends // 4).astype(np.int32)), values)
 
 
+def _encoded(own: TreeCodec, texts: pa.Array) -> pa.Array:
+    return lists_of_ids(own.encode(x.as_py()).tobytes() for x in texts)
+
+
+def _decoded(own: TreeCodec, lists: pa.Array) -> pa.Array:
+    ends, held = gathered(own.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in lists)
+    known = np.packbits(np.array(lists.is_valid()), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(lists), [pa.py_buffer(known), pa.py_buffer(ends.astype(np.int32)), held])
+
+
 def encode_column(text: Column, path: str, pattern: str) -> Column:
     @arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        own = codec(path, pattern)
-        return lists_of_ids(own.encode(x.as_py()).tobytes() for x in texts)
+        return _encoded(codec(path, pattern), texts)
 
     return encode(text)
 
@@ -261,14 +270,23 @@ def encode_column(text: Column, path: str, pattern: str) -> Column:
 def decode_column(ids: Column, path: str, pattern: str) -> Column:
     @arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
-        own = codec(path, pattern)
-        ends, held = gathered(own.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in lists)
-        known = np.packbits(np.array(lists.is_valid()), bitorder="little")
-        return pa.Array.from_buffers(pa.binary(), len(lists), [pa.py_buffer(known), pa.py_buffer(ends.astype(np.int32)), held])
+        return _decoded(codec(path, pattern), lists)
 
     return decode(ids)
 
 
+def both_column(text: Column, path: str, pattern: str) -> Column:
+    """``struct(ids, decoded)`` in one pass; where ``decode`` is applied to a column of ``encode``, Spark encodes twice."""
+
+    @arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        own = codec(path, pattern)
+        ids = _encoded(own, texts)
+        return pa.StructArray.from_arrays([ids, _decoded(own, ids)], ["ids", "decoded"])
+
+    return both(text)
+
+
 def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with the ids of each whole text as ``array<int>``; null text gives an empty array."""
     return df.withColumn(out, encode_column(F.col(text), path, pattern))
@@ -277,3 +295,9 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", out:
 def bpe_decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the bytes of each id list as ``binary``; a null list gives null, an unknown id fails."""
     return df.withColumn(out, decode_column(F.col(ids), path, pattern))
+
+
+def bpe_both(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``bpe_encode``, then ``bpe_decode`` of its ids, in one pass; null text gives an empty array and no bytes."""
+    both = both_column(F.col(text), path, pattern)
+    return df.withColumns({ids: both["ids"], decoded: both["decoded"]})
