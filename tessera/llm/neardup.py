@@ -15,8 +15,8 @@ Steps, each of them distributed:
 1. signatures; sets that are wholly alike are one node from here on;
 2. keys with more than one node; each node is paired with the least node of each
    of its keys, so a group of n copies gives O(n) pairs;
-3. pairs that sizes and signature distance don't exclude are confirmed on the
-   full sets, and components found;
+3. pairs that sizes, parities of the sets' parts and signature distance don't
+   exclude are confirmed on the full sets, and components found;
 4. nodes of keys that still hold different components are paired with one more
    node of each of up to ``LEADERS`` of their keys, and confirmed pairs join components;
 5. of keys that hold different components even then, all pairs across them are
@@ -52,11 +52,13 @@ CHUNKS, WIDTH = 12, 5
 SYMBOLS = CHUNKS * WIDTH
 BITS = 14
 LANES = SYMBOLS // 4
+#: Longs after a signature's lanes that hold, for each of 512 parts of the hashes, whether a set has an odd number in it.
+ODDS = 8
 #: Symbols in which two signatures may differ for the pair to be confirmed on full
 #: sets.  At a similarity of 0.8 the mean is 12 and the standard deviation 3.1.
 MAX_DISTANCE = 33
 #: Keys by which a node of unsettled keys is paired with one more node in the second round.
-LEADERS = 24
+LEADERS = 8
 #: Nodes up to which all pairs of a key across components are formed; beyond, the
 #: prefixes of the full sets give the pairs.
 SMALL_KEY = 32
@@ -122,6 +124,12 @@ def lanes_and_keys(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lanes.view(np.int64), keys.reshape(len(sig), SYMBOLS).view(np.int64)
 
 
+def odds(shingles: np.ndarray) -> np.ndarray:
+    """Bits that tell in which parts of the hashes a set has an odd number."""
+    counts = np.bincount((shingles & np.uint64(64 * ODDS - 1)).astype(np.int64), minlength=64 * ODDS)
+    return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
+
+
 def _longs(rows: np.ndarray, has: np.ndarray, width: int) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum(has * width)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.reshape(-1)))
@@ -133,7 +141,7 @@ def signature(text: Column, words: int) -> Column:
     @arrow_udf("struct<n:long,high:long,low:long,lanes:array<long>,keys:array<long>>")
     def compute(texts: pa.Array) -> pa.Array:
         held("minhash", object)  # frees what an earlier step has left
-        n, high, low, sigs = [], [], [], []
+        n, high, low, sigs, bits = [], [], [], [], []
         for x in texts:
             s = shingle_set(x.as_py(), words)
             whole = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -142,10 +150,12 @@ def signature(text: Column, words: int) -> Column:
             low.append((whole & (2**64 - 1)) - (1 << 63))
             if len(s):
                 sigs.append(symbols(s))
+                bits.append(odds(s))
         lanes, keys = lanes_and_keys(np.array(sigs, np.uint64).reshape(-1, SYMBOLS))
+        lanes = np.hstack([lanes, np.array(bits, np.int64).reshape(-1, ODDS)])
         has = np.array(n, np.int64) > 0
         return pa.StructArray.from_arrays(
-            [pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), _longs(lanes, has, LANES), _longs(keys, has, SYMBOLS)],
+            [pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), _longs(lanes, has, LANES + ODDS), _longs(keys, has, SYMBOLS)],
             ["n", "high", "low", "lanes", "keys"],
         )
 
@@ -160,6 +170,17 @@ def distance(a: str, b: str) -> Column:
     )
 
 
+def may_link(a: str, b: str, n_a: str, n_b: str, percent: int) -> Column:
+    """False only for pairs of sets that cannot reach the similarity, by sizes and bits of the lanes ``a`` and ``b``.
+
+    Each bit in which they differ needs an element that only one of them has,
+    and linked sets have at most ``(100 - percent) / (100 + percent)`` of their elements' number of those.
+    """
+    bits = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(LANES, LANES + ODDS)), F.lit(0))
+    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    return sizes & ((100 + percent) * bits <= (100 - percent) * (F.col(n_a) + F.col(n_b)))
+
+
 def linked(a: Column, b: Column, words: int, percent: int) -> Column:
     """Whether ``100 * intersection >= percent * union`` holds for the full sets of two texts."""
 
@@ -259,8 +280,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
         """Pairs that sizes and signatures don't exclude."""
         a = lanes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("lanes").alias("l_a"))
         b = lanes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("lanes").alias("l_b"))
-        sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        return pairs.join(a, "a").join(b, "b").where(sizes & (distance("l_a", "l_b") <= max_distance)).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(may_link("l_a", "l_b", "n_a", "n_b", percent) & (distance("l_a", "l_b") <= max_distance)).select("a", "b")
 
     stars = members.where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     stars = written(close(stars), "stars", met)
@@ -303,7 +323,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id: str =
     open_keys = written(unsettled(components(links)), "open", met)
 
     # all pairs across components that can still link
-    fits = (F.col("c_a") < F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    fits = (F.col("c_a") < F.col("c_b")) & may_link("l_a", "l_b", "n_a", "n_b", percent)
     small = open_keys.where(F.col("m") <= SMALL_KEY).join(lanes, "id")
     left = small.select("key", F.col("id").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"), F.col("lanes").alias("l_a"))
     right = small.select("key", F.col("id").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("lanes").alias("l_b"))

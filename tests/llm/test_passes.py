@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 import pytest
 
-from tessera.llm import bpe, queries
+from tessera.llm import bpe, neardup, queries
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 TEXTS = [None, "", "it's  a \n test", "naïve 日本語 \0 12345", " x" * 3000, "it's  a \n test"]
@@ -29,3 +30,18 @@ def test_texts_are_encoded_once(spark, of):
     plan = _plan(of(spark))
     line = next(x for x in plan.split("\n") if "ArrowEvalPython" in x)
     assert plan.count("ArrowEvalPython") == 1 and "pythonUDF1" not in line and line.count("(text") == 1
+
+
+def test_no_linked_pair_is_ruled_out_and_common_passages_are(spark):
+    """Sets with parts in common, small and large, of which some reach the similarity."""
+    rng, rows = np.random.default_rng(4), []
+    for n in (1, 2, 5, 40, 300, 3000):
+        for kept in (1.0, 0.9, 0.8, 0.5, 0.2):
+            common = rng.integers(0, 2**63, max(1, int(n * kept)), dtype=np.uint64)
+            rows += [[np.unique(np.concatenate([common, rng.integers(0, 2**63, n - len(common), dtype=np.uint64)])) for _ in "ab"]]
+    lanes = lambda s: [0] * neardup.LANES + neardup.odds(s).tolist()
+    both = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    table = spark.createDataFrame([(k, lanes(a), lanes(b), len(a), len(b)) for k, (a, b) in enumerate(rows)], "k int, a array<long>, b array<long>, n long, m long")
+    kept = {r.k for r in table.where(neardup.may_link("a", "b", "n", "m", 80)).collect()}
+    assert {k for k, (a, b) in enumerate(rows) if both(a, b) >= 0.8} <= kept
+    assert not {k for k, (a, b) in enumerate(rows) if both(a, b) < 0.5 and 40 <= len(a) <= 300} & kept
