@@ -16,6 +16,8 @@ from tessera.llm import bpe, decontam, langid, neardup, quality
 from tessera.llm.common import written
 from tessera.llm.queries import table
 
+#: Rows of whole texts that lie in a worker's memory at a time, several times over, while they are encoded.
+BATCH_ROWS, _BATCH = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 #: No SQL expresses the trained classifiers; tests hold the stages against brute force.
@@ -58,10 +60,15 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each whole text, and digests of the ids and of what they decode to; null counts as empty."""
+    """Token ids of each whole text, and digests of the ids and of what they decode to; null counts as empty.
+
+    Texts, ids and decoded bytes go between Spark and its workers in batches of at most ``BATCH_ROWS`` rows,
+    for which the session is set from here on.
+    """
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.bpe_encode(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids")
-    return bpe.bpe_decode(coded, path, pattern).select(
+    return bpe.bpe_both(docs.select("doc_id", "text"), path, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

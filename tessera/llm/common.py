@@ -7,6 +7,7 @@ import gc
 import uuid
 from collections.abc import Callable, Hashable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ def held(key: Hashable, make: Callable[[], object]):
 
 def give_back() -> None:
     """Freed memory goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+import corpus_pipeline
 from tessera.llm import bpe, neardup, queries
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -25,7 +26,7 @@ def test_both_is_encode_then_decode(spark):
     assert [bytes(r.decoded) for r in got] == [(t or "").encode() for t in TEXTS]
 
 
-@pytest.mark.parametrize("of", [lambda s: queries.op1_byte_bpe(s, "/root/testdata/sf0.001")])
+@pytest.mark.parametrize("of", [lambda s: queries.op1_byte_bpe(s, "/root/testdata/sf0.001"), lambda s: corpus_pipeline.encoding_stage(s, queries.table(s, "/root/testdata/sf0.001", "documents"), "")])
 def test_texts_are_encoded_once(spark, of):
     plan = _plan(of(spark))
     line = next(x for x in plan.split("\n") if "ArrowEvalPython" in x)
@@ -45,3 +46,14 @@ def test_no_linked_pair_is_ruled_out_and_common_passages_are(spark):
     kept = {r.k for r in table.where(neardup.may_link("a", "b", "n", "m", 80)).collect()}
     assert {k for k, (a, b) in enumerate(rows) if both(a, b) >= 0.8} <= kept
     assert not {k for k, (a, b) in enumerate(rows) if both(a, b) < 0.5 and 40 <= len(a) <= 300} & kept
+
+
+def test_encoding_holds_few_texts_at_a_time(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        docs = spark.range(2_500).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+        got = corpus_pipeline.encoding_stage(spark, docs, "")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1_000
+        assert got.select("doc_id").distinct().count() == 2_500 and got.where("n_tokens = 0").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
