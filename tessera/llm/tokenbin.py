@@ -35,7 +35,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import _GLUED
 from tessera.llm.common import held
 
 #: Ids in a word and bits of each, by selector 0 to 14; fixed values of the format.
@@ -47,8 +46,13 @@ MAGIC, END, VERSION = b"S8BT", b"S8BE", 1
 #: Runs that a worker's table holds, and bits that tell whether a run was met before.
 CACHE, MET = 400_000, 1 << 24
 SCHEMA = "part int, file int, n_docs long, n_ids long"
-#: A run that has no white space, but one blank before it, at the places where others would join it.
-_APART = re.compile(r" ?\S(?:.*\S)?", re.DOTALL)
+#: Bytes of runs that go to the library as one text; longer ones outgrow the processor's caches.
+JOINED = 16_384
+#: Rows and bytes of text that are encoded at once.
+ROWS, TEXT = 10_000, 8_000_000
+#: White space, and a blank inside of it, at which runs are not cut; for Arrow, whose ``\s`` is that of ASCII.
+_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_GLUED = rf"[{_SPACE}] (?:[{_SPACE}]|\z)"
 #: The id that stands for null in a file.
 NO_ID = -(2**63)
 
@@ -202,7 +206,8 @@ class LibraryEncoder:
     """Whole texts to ids by the tokenizers library, frequent runs of characters once.
 
     Runs are cut before blanks that don't stand inside white space; the
-    pattern of a byte-level tokenizer never joins across such a cut.  Runs that
+    pattern of a byte-level tokenizer never joins across such a cut.  Arrow cuts
+    the texts and finds the distinct runs.  Those that
     are not in the table go to the library joined, many at once, and their ids
     are told apart by the bytes that each id stands for; runs with white space
     at their ends go there each on its own.  Texts with other
@@ -219,37 +224,50 @@ class LibraryEncoder:
         # a byte-level entry has a character for each byte
         self.bytes_of = np.zeros(max([*names.values(), 0]) + 1, np.int64)
         self.bytes_of[list(names.values())] = list(map(len, names))
-        # an added token with a blank could arise where runs meet
-        self.joins = not any(" " in x for x in self.added)
+        # an added token with white space could arise where runs meet
+        self.joins = not any(c.isspace() for x in self.added for c in x)
+        #: ids of runs by what follows their blank
         self.known: dict[str, bytes] = {}
         self.met = bytearray(MET // 8)
 
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _runs(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs; those that no white space can join to a neighbour are encoded as one text."""
-        out: list[bytes] = [b""] * len(runs)
-        at = [k for k, r in enumerate(runs) if _APART.fullmatch(r)] if self.joins else []
-        alone = sorted({*range(len(runs))}.difference(at))
-        if at:
-            # a line break before a run that begins with no blank is a match of its own
-            joined = [x for k in at for x in ((runs[k],) if runs[k][0] == " " else ("\n", runs[k]))]
-            ids = self._library(["".join(joined)])[0]
-            ends = np.cumsum([len(r) if r.isascii() else len(r.encode()) for r in joined])
-            upto = np.cumsum(self.bytes_of[ids])
-            cuts = np.minimum(np.searchsorted(upto, ends), len(ids) - 1)
-            if (upto[cuts] == ends).all():
-                data, cuts, k = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], 0
-                for place in at:
-                    k += runs[place][0] != " "
-                    out[place] = data[cuts[k] : cuts[k + 1]]
-                    k += 1
-            else:  # some token reaches over a run's end
-                alone = range(len(runs))
-        for k, ids in zip(alone, self._library([runs[k] for k in alone])):
-            out[k] = ids.tobytes()
-        return out
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _apart(self, text: str, ends: np.ndarray) -> list[bytes] | None:
+        """Ids of the parts of a text that end at these bytes; None if some token reaches over an end."""
+        ids = self._library(text)
+        if ids.max() >= len(self.bytes_of):  # an added token
+            return None
+        upto = np.cumsum(self.bytes_of[ids])
+        cuts = np.searchsorted(upto, ends)
+        if cuts[-1] >= len(ids) or (upto[cuts] != ends).any():
+            return None
+        data, cuts = ids.tobytes(), (4 * cuts + 4).tolist()
+        return [data[i:j] for i, j in zip([0, *cuts], cuts)]
+
+    def _runs(self, runs: list[str], mark: str) -> list[bytes]:
+        """Ids of runs that each follow a blank, which counts as theirs, or a line break, which doesn't.
+
+        Where no white space can join a run to its neighbours, many are
+        encoded as one text; a line break before a run that begins with no
+        white space is a match of its own.
+        """
+        out: list[bytes | None] = [None] * len(runs)
+        at = [k for k, r in enumerate(runs) if r and r.strip() == r] if self.joins else []
+        sizes = np.array([1 + (len(r) if r.isascii() else len(r.encode())) for r in map(runs.__getitem__, at)], np.int64)
+        groups = np.flatnonzero(np.diff(np.cumsum(sizes) // JOINED)) + 1
+        for lo, hi in zip([0, *groups.tolist()], [*groups.tolist(), len(at)]):
+            if lo == hi:
+                continue
+            ends = np.cumsum(sizes[lo:hi])
+            if mark != " ":
+                ends = np.stack([ends - sizes[lo:hi] + 1, ends], 1).ravel()
+            coded = self._apart(mark + mark.join([runs[k] for k in at[lo:hi]]), ends)
+            if coded is not None:
+                for k, ids in zip(at[lo:hi], coded if mark == " " else coded[1::2]):
+                    out[k] = ids
+        before = " " if mark == " " else ""
+        return [self._library(before + r).tobytes() if ids is None else ids for r, ids in zip(runs, out)]
 
     def _remember(self, runs: list[str], coded: list[bytes]) -> None:
         """From the second time on that a run is met; a full table keeps what it has."""
@@ -257,41 +275,54 @@ class LibraryEncoder:
         for run, ids in zip(runs, coded):
             slot = hash(run) % MET
             if met[slot >> 3] & 1 << (slot & 7):
-                if len(known) < CACHE and len(run) <= 48:
+                if len(known) < CACHE and len(run) < 48:
                     known[run] = ids
             else:
                 met[slot >> 3] |= 1 << (slot & 7)
 
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and the ids of all, one text after another."""
+        if not len(texts):
+            return np.empty(0, np.int64), np.empty(0, np.uint32)
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, _GLUED)
+        for x in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, x))
+        cells = pc.split_pattern(pc.if_else(whole, pa.scalar("", texts.type), texts), " ")
+        at, flat = cells.offsets.to_numpy(), cells.values
+        later = np.ones(len(flat), bool)
+        later[at[:-1]] = False
+        # runs after a blank, each distinct one once
+        rest = flat.filter(pa.array(later)).dictionary_encode()
+        runs = rest.dictionary.to_numpy(zero_copy_only=False).tolist()
+        coded = list(map(self.known.get, runs))
+        if None in coded:
+            holes = [k for k, ids in enumerate(coded) if ids is None]
+            missed = [runs[k] for k in holes]
+            new = self._runs(missed, " ")
+            for k, ids in zip(holes, new):
+                coded[k] = ids
+            self._remember(missed, new)
+        # the beginning of each text up to its first blank, or the text itself
+        first = flat.take(pa.array(at[:-1])).dictionary_encode()
+        heads, begins = self._runs(first.dictionary.to_pylist(), "\n"), first.indices.to_numpy().copy()
+        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            begins[k] = len(heads)
+            heads.append(self._library(texts[k].as_py()).tobytes())
+        order = np.empty(len(flat), np.int64)
+        order[later] = rest.indices.to_numpy()
+        order[at[:-1]] = len(coded) + begins
+        joined = pa.array(coded + heads, pa.large_binary()).take(pa.array(order))
+        _, ends, data = joined.buffers()
+        ends = np.frombuffer(ends, np.int64, len(flat) + 1, 8 * joined.offset)
+        ids = np.frombuffer(data, "<u4", int(ends[-1] - ends[0]) // 4, int(ends[0])) if ends[-1] > ends[0] else np.empty(0, np.uint32)
+        return np.diff(ends[at]) // 4, ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit."""
-        get = self.known.get
-        out: list[bytes] = []
-        open_texts, missed = [], {}
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif "\0" in text or _GLUED.search(text) or any(x in text for x in self.added):
-                out.append(self._library([text])[0].tobytes())
-            else:
-                runs = text.replace(" ", "\0 ").split("\0")
-                parts = list(map(get, runs))
-                if None in parts:
-                    holes = [k for k, p in enumerate(parts) if p is None]
-                    missed.update((runs[k], b"") for k in holes)
-                    open_texts.append((len(out), runs, parts, holes))
-                    out.append(b"")
-                else:
-                    out.append(b"".join(parts))
-        if missed:
-            keys = [k for k in missed if k]
-            coded = self._runs(keys)
-            missed.update(zip(keys, coded))
-            self._remember(keys, coded)
-            for at, runs, parts, holes in open_texts:
-                for k in holes:
-                    parts[k] = missed[runs[k]]
-                out[at] = b"".join(parts)
-        return out
+        sizes, ids = self.encode_array(pa.array(texts, pa.string()))
+        ends = np.cumsum(sizes)
+        return [ids[i:j].tobytes() for i, j in zip(ends - sizes, ends)]
 
 
 def _place(folder: str):
@@ -303,11 +334,11 @@ def _place(folder: str):
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of at most 512 rows and about 4 MB of text, or one row."""
+    """Slices of at most ``ROWS`` rows and about ``TEXT`` bytes of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     lo, held = 0, 0
     for k, n in enumerate(sizes.tolist()):
-        if k > lo and (held + n > 4_000_000 or k - lo == 512):
+        if k > lo and (held + n > TEXT or k - lo == ROWS):
             yield batch.slice(lo, k - lo)
             lo, held = k, 0
         held += n
@@ -331,7 +362,6 @@ def write_token_files(
         part = TaskContext.get().partitionId()
         own = held(("tokens", tokenizer), lambda: LibraryEncoder(tokenizer))
         fs, base = _place(folder)
-        end = np.array([end_id], "<u4").tobytes()
         writer = sink = temp = None
         made = 0
 
@@ -349,16 +379,17 @@ def write_token_files(
         for batch in batches:
             for rows in _parts(batch):
                 docs = pc.fill_null(rows.column(0), NO_ID).to_numpy(zero_copy_only=False)
-                coded = own.encode(rows.column(1).to_pylist())
-                sizes = np.array([len(x) // 4 + 1 for x in coded])
+                sizes, ids = own.encode_array(rows.column(1))
+                ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+                ends = np.cumsum(sizes)
                 lo = 0
-                while lo < len(coded):
+                while lo < len(sizes):
                     if writer is None:
                         temp = f"{base}/.part-{part:06d}-{uuid.uuid4().hex}"
                         sink = fs.open_output_stream(temp)
                         writer = FileWriter(sink)
-                    hi = lo + int(np.searchsorted(np.cumsum(sizes[lo:]), file_ids - writer.n_ids)) + 1
-                    writer.add(docs[lo:hi], sizes[lo:hi], np.frombuffer(b"".join(y for x in coded[lo:hi] for y in (x, end)), "<u4"))
+                    hi = min(len(sizes), int(np.searchsorted(ends, ends[lo] - sizes[lo] + file_ids - writer.n_ids)) + 1)
+                    writer.add(docs[lo:hi], sizes[lo:hi], ids[ends[lo] - sizes[lo] : ends[hi - 1]])
                     lo = hi
                     if writer.n_ids >= file_ids:
                         yield closed()

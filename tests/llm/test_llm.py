@@ -66,6 +66,27 @@ def test_token_runs_equal_library():
             assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_token_runs_are_looked_up_once_a_batch():
+    """Repeated runs of a batch are found before the table is asked, nulls, empty and glued texts among them."""
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return dict.get(self, key)
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, own = Tokenizer.from_file(path), tokenbin.LibraryEncoder(path)
+    own.known = Counted()
+    texts = [*ODD, "alpha beta, gamma*** " * 2000, "x<|endoftext|> y", "a \t b", " alpha", "beta", "\n's \u2003 z", "漢字かな"] * 3
+    for _ in range(3):
+        for t, ids in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids
+    assert 0 < own.known.asked <= 3 * len({run for t in texts if t for run in t.split(" ")})
+
+
 def shingles(text, k):
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
