@@ -48,6 +48,9 @@ CACHE, MET = 400_000, 1 << 24
 SCHEMA = "part int, file int, n_docs long, n_ids long"
 #: Bytes of runs that go to the library as one text; longer ones outgrow the processor's caches.
 JOINED = 16_384
+#: ASCII marks that the pattern never joins to a letter or digit before them, and which bytes are ASCII letters and digits.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 #: Rows and bytes of text that are encoded at once.
 ROWS, TEXT = 10_000, 8_000_000
 #: White space, and a blank inside of it, at which runs are not cut; for Arrow, whose ``\s`` is that of ASCII.
@@ -202,12 +205,30 @@ def read_documents(source) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.nda
             held_at, d = int(ends[upto - 1]), upto
 
 
+def _words_and_marks(runs: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+    """Each run as a word and the marks behind its last letter or digit; runs that don't end so are words whole."""
+    runs = runs.cast(pa.large_string())
+    _, ends, data = runs.buffers()
+    ends = np.frombuffer(ends, np.int64, len(runs) + 1, 8 * runs.offset)
+    cuts = ends[:-1] + pc.binary_length(pc.ascii_rtrim(runs, MARKS)).to_numpy()
+    some = np.flatnonzero((cuts > ends[:-1]) & (cuts < ends[1:]))
+    some = some[_ALNUM[np.frombuffer(data, np.uint8)[cuts[some] - 1]]] if len(some) else some
+    # a word and its marks lie side by side in the bytes as they are
+    bounds = np.empty(2 * len(runs) + 1, np.int64)
+    bounds[::2], bounds[1::2] = ends, ends[1:]
+    bounds[2 * some + 1] = cuts[some]
+    parts = pa.Array.from_buffers(pa.large_string(), 2 * len(runs), [None, pa.py_buffer(bounds), data])
+    at = np.arange(0, 2 * len(runs), 2)
+    return parts.take(pa.array(at)).dictionary_encode(), parts.take(pa.array(at + 1)).dictionary_encode()
+
+
 class LibraryEncoder:
     """Whole texts to ids by the tokenizers library, frequent runs of characters once.
 
     Runs are cut before blanks that don't stand inside white space; the
-    pattern of a byte-level tokenizer never joins across such a cut.  Arrow cuts
-    the texts and finds the distinct runs.  Those that
+    pattern of a byte-level tokenizer never joins across such a cut, nor a letter
+    or digit to marks behind it.  Arrow cuts the texts, then the distinct runs
+    into words and marks, and finds the distinct words.  Those that
     are not in the table go to the library joined, many at once, and their ids
     are told apart by the bytes that each id stands for; runs with white space
     at their ends go there each on its own.  Texts with other
@@ -294,29 +315,34 @@ class LibraryEncoder:
         later[at[:-1]] = False
         # runs after a blank, each distinct one once
         rest = flat.filter(pa.array(later)).dictionary_encode()
-        runs = rest.dictionary.to_numpy(zero_copy_only=False).tolist()
-        coded = list(map(self.known.get, runs))
+        words, marks = _words_and_marks(rest.dictionary)
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        coded = list(map(self.known.get, names))
         if None in coded:
             holes = [k for k, ids in enumerate(coded) if ids is None]
-            missed = [runs[k] for k in holes]
+            missed = [names[k] for k in holes]
             new = self._runs(missed, " ")
             for k, ids in zip(holes, new):
                 coded[k] = ids
             self._remember(missed, new)
+        after = [self._library(x).tobytes() for x in marks.dictionary.to_pylist()]
         # the beginning of each text up to its first blank, or the text itself
         first = flat.take(pa.array(at[:-1])).dictionary_encode()
         heads, begins = self._runs(first.dictionary.to_pylist(), "\n"), first.indices.to_numpy().copy()
         for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
             begins[k] = len(heads)
             heads.append(self._library(texts[k].as_py()).tobytes())
-        order = np.empty(len(flat), np.int64)
-        order[later] = rest.indices.to_numpy()
-        order[at[:-1]] = len(coded) + begins
-        joined = pa.array(coded + heads, pa.large_binary()).take(pa.array(order))
+        # two places for each run; the second one is empty where no marks are
+        values = [b"", *coded, *after, *heads]
+        order, place = np.zeros((len(flat), 2), np.int32), rest.indices.to_numpy()
+        order[later, 0] = 1 + words.indices.to_numpy()[place]
+        order[later, 1] = 1 + len(coded) + marks.indices.to_numpy()[place]
+        order[at[:-1], 0] = 1 + len(coded) + len(after) + begins
+        joined = pa.array(values, pa.large_binary()).take(pa.array(order.ravel()))
         _, ends, data = joined.buffers()
-        ends = np.frombuffer(ends, np.int64, len(flat) + 1, 8 * joined.offset)
+        ends = np.frombuffer(ends, np.int64, len(joined) + 1, 8 * joined.offset)
         ids = np.frombuffer(data, "<u4", int(ends[-1] - ends[0]) // 4, int(ends[0])) if ends[-1] > ends[0] else np.empty(0, np.uint32)
-        return np.diff(ends[at]) // 4, ids
+        return np.diff(ends[2 * at]) // 4, ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit."""

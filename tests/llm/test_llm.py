@@ -87,6 +87,28 @@ def test_token_runs_are_looked_up_once_a_batch():
     assert 0 < own.known.asked <= 3 * len({run for t in texts if t for run in t.split(" ")})
 
 
+def test_words_go_to_library_once_with_any_marks_behind():
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, tok):
+            self.tok, self.sent = tok, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.sent += sum(map(len, texts))
+            return self.tok.encode_batch_fast(texts, **how)
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, own = Tokenizer.from_file(path), tokenbin.LibraryEncoder(path)
+    own.tok = Counted(tok)
+    words = [f"wo{a}rd{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    text = " ".join(w + m for m in ["", ".", ",***", "!?", "_", "'\"", ")."] for w in words)
+    odd = ["it's, 's. x'*** y***' é*** 漢.. ½. \ua7cb*** \u0301! a_b_ 1.5, - ... _ a\n. b.\n! ,c, z\u200b.", "... a", "a.", ".", " .", "\t. x", "é. é."]
+    for t, ids in zip([text, *odd], own.encode([text]) + own.encode(odd), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    assert own.tok.sent < len(text) / 2
+
+
 def shingles(text, k):
     words = (text or "").encode().lower().split()
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
