@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bound, lines, tokens
+from tessera.operators import lexical
 from tessera.session import cut
 
 
@@ -71,18 +72,44 @@ def bm25(
 
     A query term counts twice at most; ties go to the least ``key``; ``keep``
     names columns that ``key`` determines.  The queries' terms, if they are at
-    most ``BROADCAST_TERMS``, are sent to all tasks, so only their postings
-    leave the scan, summed before the shuffle; beyond that many they are
-    shuffled.  Postings are written once, so each text is tokenised once.  An
-    empty term, once for each unit, carries the units' number, lengths and
-    ``keep``; it takes part in no join.  ``work`` observes the postings visited.
+    most ``BROADCAST_TERMS``, are sent to all tasks; a unit's postings of them
+    are one row, written once, so each text is tokenised once, and each task
+    passes on its own best units of each query, so neither postings nor pairs
+    of query and unit are shuffled.  Beyond that many terms, or if a ``key``
+    occurs twice, both are.  ``work`` observes the postings visited.
     """
-    asked = cut(
-        queries.select(query, F.explode(tokens(F.col(query_text))).alias("term"))
-        .groupBy(query, "term")
-        .agg(F.least(F.count("*"), F.lit(2)).alias("qf")),
-        "asked",
-    )
+    asked = queries.select(query, F.explode(tokens(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.least(F.count("*"), F.lit(2)).alias("qf"))
+    held = asked.limit(BROADCAST_TERMS + 1).toArrow()
+    if held.num_rows > BROADCAST_TERMS:
+        return _shuffled_bm25(units, asked, key, query, limit, text, k1, b, keep, work)
+    terms, asking = lexical.by_term(held, query, "term", "qf")
+    counted = cut(lexical.postings(units, terms, np.diff(asking[1]), key, text, keep), "postings")
+    if counted.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return _shuffled_bm25(units, asked, key, query, limit, text, k1, b, keep, work)
+    n_units, mean_length = counted.agg(F.count("*"), F.greatest(F.lit(1.0), F.avg("length"))).first()
+    each = counted.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("df")).toArrow()
+    df = np.zeros(len(terms))
+    df[each.column("id").to_numpy()] = each.column("df").to_numpy()
+    idf = units.sparkSession.sparkContext.broadcast(np.log(1 + (n_units - df + 0.5) / (df + 0.5)))
+
+    def weigh(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        (row, term), tf, length = lexical.lists(batch, "ids"), lexical.lists(batch, "tfs")[1], batch.column(batch.schema.get_field_index("length")).to_numpy()
+        return row, term, idf.value[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean_length))
+
+    if work is not None:
+        counted = counted.observe(work, F.coalesce(F.sum("visits"), F.lit(0)).alias("bm25_posting_visits"))
+    fields = {f.name: f for f in counted.schema.fields} | {query: queries.schema[query]}
+    scored = lexical.ranked(counted.drop("visits"), weigh, asking, fields[key], fields[query], [fields[c] for c in keep], limit)
+    return top(scored, [query], [F.desc("score"), F.asc(key)], limit)
+
+
+def _shuffled_bm25(units: DataFrame, asked: DataFrame, key: str, query: str, limit: int, text: str, k1: float, b: float, keep: tuple[str, ...], work: Observation | None) -> DataFrame:
+    """As ``bm25`` for any number of ``(query, term, qf)``: postings are shuffled by unit and term, and scores by query and unit.
+
+    An empty term, once for each unit, carries the units' number, lengths and
+    ``keep``; it takes part in no join.
+    """
+    asked = cut(asked, "asked")
     sent = F.broadcast if asked.count() <= BROADCAST_TERMS else (lambda x: x)
     unit = F.col("term") == ""
     terms = asked.select("term").unionByName(units.sparkSession.createDataFrame([("",)], "term string")).distinct()
