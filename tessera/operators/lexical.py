@@ -57,6 +57,26 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def runs(texts: pa.StringArray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Bytes of all texts, where each text ends, and of each run of bytes of ``kinds`` its text and its place among the distinct runs, which come last."""
+    n = len(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    inside = kinds[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    firsts = ends[:-1][ends[:-1] < len(data)]
+    begins[firsts] = inside[firsts]
+    where = np.flatnonzero(begins)
+    if not len(where):
+        return data, ends, where, where, []
+    kept = data[inside]
+    bounds = np.append((np.cumsum(inside) - 1)[where], len(kept)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(where), pa.py_buffer(bounds), pa.py_buffer(kept)).dictionary_encode()
+    return data, ends, np.searchsorted(ends, where, "right") - 1, words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+
+
 class Counter:
     """Counts the terms that are asked for in texts, as ``tokens()`` finds them."""
 
@@ -76,26 +96,13 @@ class Counter:
 
     def count(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The number of tokens of each text; and text, term and count of each posting, in order."""
-        n = len(texts)
-        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-        ends -= ends[0]
-        lengths, at, ids = np.zeros(n, np.int64), [], []
-        inside = _WORD[data]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        firsts = ends[:-1][ends[:-1] < len(data)]
-        begins[firsts] = inside[firsts]
-        where = np.flatnonzero(begins)
-        if len(where):
-            kept = data[inside]
-            bounds = np.append((np.cumsum(inside) - 1)[where], len(kept)).astype(np.int32)
-            words = pa.StringArray.from_buffers(len(where), pa.py_buffer(bounds), pa.py_buffer(kept)).dictionary_encode()
-            word, text = words.indices.to_numpy(), np.searchsorted(ends, where, "right") - 1
-            distinct = words.dictionary.to_pylist()
+        data, ends, text, word, distinct = runs(texts, _WORD)
+        n, at, ids = len(texts), [], []
+        lengths = np.zeros(n, np.int64)
+        if distinct:
             found = [self.of(x, False) for x in distinct]
             named = np.array([not x.isdigit() for x in distinct])[word]  # digits alone are no identifier
-            word, text = word[named].astype(np.int64), text[named]
+            word, text = word[named], text[named]
             capital = np.array(["A" <= x[-1] <= "Z" for x in distinct])
             last = np.flatnonzero(np.append(text[1:] != text[:-1], True)) if len(text) else np.zeros(0, np.int64)
             for k in last[capital[word[last]]]:
@@ -141,6 +148,83 @@ def postings(units: DataFrame, terms: dict[str, int], asked_by: np.ndarray, key:
     return units.select(key, *keep, text).mapInArrow(count, schema)
 
 
+#: As words of literals go: all other characters of words are written as this one, and the rest that isn't ASCII as blanks.
+LETTER = "é"
+_LETTERED = _WORD.copy()
+_LETTERED[list(LETTER.encode())] = True
+_INSIDE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_" + LETTER)
+
+
+def stands(literal: str, text: str) -> bool:
+    """Whether a text has ``literal`` between characters of no word."""
+    k = text.find(literal)
+    while k >= 0:
+        if (k == 0 or text[k - 1] not in _INSIDE) and text[k + len(literal) : k + len(literal) + 1] not in _INSIDE:
+            return True
+        k = text.find(literal, k + 1)
+    return False
+
+
+class Literals:
+    """Finds the literals that are asked for in texts and paths."""
+
+    def __init__(self, literals: dict[str, int]):
+        self.size, self.alone, self.longer, self.starts, self.known = max(1, len(literals)), {}, {}, {}, {}
+        for x, i in literals.items():
+            word = re.match(r"[A-Za-z_0-9]+", x)[0]
+            if word == x:
+                self.alone[x] = i
+            else:
+                self.longer.setdefault(word, []).append((x, i))
+            self.starts.setdefault(x[:3], []).append((x, i))
+
+    def below(self, path: str | None) -> list[int]:
+        """Those that a path holds."""
+        if path not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            p = path or ""
+            grams = {p[k : k + n] for k in range(len(p)) for n in (1, 2, 3)}
+            self.known[path] = [i for g in grams for x, i in self.starts.get(g, ()) if x in p]
+        return self.known[path]
+
+    def find(self, texts: pa.StringArray, paths: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, literal and weight of each find, in order: 4 in a path, else 1."""
+        _, _, text, word, distinct = runs(texts, _LETTERED)
+        alone, longer = np.array([self.alone.get(x, -1) for x in distinct], np.int64), [self.longer.get(x) for x in distinct]
+        ids = alone[word] if distinct else word
+        found = [(text * self.size + ids)[ids >= 0]]
+        some = np.flatnonzero(np.array([x is not None for x in longer], bool)[word]) if distinct else word
+        more, held, whole = [], -1, ""
+        for key in np.unique(text[some] * max(1, len(distinct)) + word[some]):
+            k, w = divmod(int(key), len(distinct))
+            if k != held:
+                held, whole = k, texts[k].as_py()
+            more += [k * self.size + i for x, i in longer[w] if stands(x, whole)]
+        found.append(np.array(more, np.int64))
+        above = np.array([k * self.size + i for k, p in enumerate(paths) for i in self.below(p)], np.int64)
+        key = np.unique(np.concatenate([*found, above]))
+        return key // self.size, key % self.size, np.where(np.isin(key, above), 4, 1)
+
+
+def literal_postings(units: DataFrame, literals: dict[str, int], key: str, text: str, path: str | None) -> DataFrame:
+    """``(key, ids, weights)``: a row for each unit; of ``text`` each character of a word that isn't ASCII is ``LETTER``."""
+    shared = units.sparkSession.sparkContext.broadcast(literals)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Literals(shared.value)
+        for batch in batches:
+            whole, paths = pc.fill_null(batch.column(1), "").cast(pa.string()), batch.column(2).to_pylist() if path else []
+            for a, b in slices(pc.binary_length(whole).to_numpy(zero_copy_only=False), TEXT_BYTES):
+                at, ids, weights = known.find(whole.slice(a, b - a), paths[a:b])
+                bounds = pa.array(np.searchsorted(at, np.arange(b - a + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (ids, weights))], names)
+
+    schema = StructType([units.schema[key], StructField("ids", ArrayType(IntegerType())), StructField("weights", ArrayType(IntegerType()))])
+    names = schema.names
+    return units.select(key, text, *[path] * bool(path)).mapInArrow(find, schema)
+
+
 class Best:
     """The best ``limit`` rows of each query so far, by score and then by key; rows that can't be among them go at once."""
 

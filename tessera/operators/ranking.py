@@ -15,8 +15,8 @@ from tessera.operators import lexical
 from tessera.session import cut
 
 
-def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 1500, overlap: int = 4, inclusive: bool = False) -> DataFrame:
-    """``(id, start, end, passage_id, text)``: whole lines packed greedily up to ``size`` characters.
+def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 1500, overlap: int = 4, inclusive: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, *keep, start, end, passage_id, text)``: whole lines packed greedily up to ``size`` characters.
 
     A longer line is a passage of its own.  Each passage begins ``overlap``
     lines early.  ``inclusive`` leaves the line break out of the length of the
@@ -37,7 +37,7 @@ def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int
     start = F.struct(F.lit(0).alias("size"), F.lit(1).alias("first"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends"))
     packed = (
         docs.where(F.length(text) > 0)
-        .select(F.col(id), lines(F.col(text)).alias("l"))
+        .select(F.col(id), *keep, lines(F.col(text)).alias("l"))
         .withColumn("ends", F.aggregate("l", start, step, lambda s: F.concat(s["ends"], F.array(s["n"]))))
     )
 
@@ -49,9 +49,9 @@ def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int
         )
 
     # the lines stay out of the exploded rows, which hold one passage each
-    each = packed.select(id, F.explode(F.transform("ends", unit)).alias("p"))
+    each = packed.select(id, *keep, F.explode(F.transform("ends", unit)).alias("p"))
     named = F.substring(F.sha2(F.concat_ws(":", F.col(id).cast("string"), "p.start", "p.end"), 256), 1, 24)
-    return each.select(id, "p.start", "p.end", named.alias("passage_id"), "p.text")
+    return each.select(id, *keep, "p.start", "p.end", named.alias("passage_id"), "p.text")
 
 
 #: Terms of queries that are sent to all tasks.
@@ -143,12 +143,36 @@ def literal_hits(units: DataFrame, queries: DataFrame, key: str, query: str, lim
 
     Literals are names with the dots, slashes and hyphens in them, counted as
     often as the query has them; in a text they stand between characters of
-    no word.  A literal's first word is a whole word of such a text, so texts
-    and literals are joined by it; paths and literals are joined by the
-    literals' first three characters, which a path that holds one has somewhere.
+    no word.  As in ``bm25``, at most ``BROADCAST_TERMS`` of them are sent to
+    all tasks, and tasks pass on their own best units of each query; beyond
+    that many, or if a ``key`` occurs twice, finds and pairs are shuffled.
     """
     found = F.regexp_extract_all(F.coalesce(F.col(query_text), F.lit("")), F.lit(r"[A-Za-z_][A-Za-z_0-9./-]*"), F.lit(0))
     asked = queries.select(query, F.explode(found).alias("literal")).groupBy(query, "literal").agg(F.count("*").alias("n"))
+    held = asked.limit(BROADCAST_TERMS + 1).toArrow()
+    if held.num_rows > BROADCAST_TERMS:
+        return _shuffled_literals(units, asked, key, query, limit, text, path)
+    literals, asking = lexical.by_term(held, query, "literal", "n")
+    letters = F.regexp_replace(F.regexp_replace(text, r"(?U)[\w&&[^\x00-\x7f]]", lexical.LETTER), rf"[^\x00-\x7f{lexical.LETTER}]", " ")
+    plain = units.withColumn("_t", F.when(F.octet_length(text) == F.length(text), F.col(text)).otherwise(letters))
+    found = cut(lexical.literal_postings(plain, literals, key, "_t", path), "finds")
+    if found.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return _shuffled_literals(units, asked, key, query, limit, text, path)
+
+    def weigh(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return *lexical.lists(batch, "ids"), lexical.lists(batch, "weights")[1].astype(float)
+
+    scored = lexical.ranked(found, weigh, asking, found.schema[key], queries.schema[query], [], limit).withColumn("score", F.col("score").cast("long"))
+    return top(scored, [query], [F.desc("score"), F.asc(key)], limit)
+
+
+def _shuffled_literals(units: DataFrame, asked: DataFrame, key: str, query: str, limit: int, text: str, path: str | None) -> DataFrame:
+    """As ``literal_hits`` for any number of ``(query, literal, n)``.
+
+    A literal's first word is a whole word of such a text, so texts
+    and literals are joined by it; paths and literals are joined by the
+    literals' first three characters, which a path that holds one has somewhere.
+    """
     sent = F.broadcast if asked.count() <= BROADCAST_TERMS else (lambda x: x)
     wanted = asked.select("literal", F.regexp_extract("literal", r"^[A-Za-z_0-9]+", 0).alias("word")).distinct()
     words = units.select(key, F.col(text).alias("_t"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))

@@ -178,7 +178,7 @@ def hybrid_lists(spark: SparkSession, d: str) -> DataFrame:
     passages of items with even ids count as seen; items with an id divisible
     by 3 are confined to two sources.
     """
-    units = ranking.passages(texts(spark, d)).join(texts(spark, d).select("doc_id", "source"), "doc_id").withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    units = ranking.passages(texts(spark, d), keep=("source",)).withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
     items = table(spark, d, "benchmark").select("item_id", "text")
     lexical = item_hits(spark, d).select("item_id", "passage_id", "rank")
     firsts = units.where("start = 1").groupBy("doc_id").agg(F.min("passage_id").alias("passage_id"))

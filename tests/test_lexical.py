@@ -72,3 +72,23 @@ def test_rows_passed_on_early_lose_nothing():
         for q in (0, 1):
             expected = sorted(((-score[i], f"k{i:03}") for i in range(200) if i % 2 == q))[:3]
             assert sorted((-r["score"], r["key"]) for r in found if r["_q"] == q)[:3] == expected
+
+
+def test_literals_shuffle_no_pairs_and_equal_the_plan_that_does(spark, monkeypatch):
+    """q15_hybrid: finds of literals and pairs of query and unit were shuffled."""
+    r = random.Random(3)
+    parts = [*PARTS, "foo.b", "a/", "x-1", "src1", "c.", "́", "‍", "½", "²", "‿"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(600)]
+    rows = [(f"k{i}", t, r.choice(["src1/foo.b", "x", "a/", "", None])) for i, t in enumerate([None, *texts])]
+    units = spark.createDataFrame(rows, "key string, text string, place string")
+    asked = spark.createDataFrame([(i, texts[i * 7]) for i in range(40)] + [(None, "foo BC."), (3, "foo foo src1")], "item long, text string")
+    for name, few in (("TEXT_BYTES", 300), ("PRODUCTS", 50), ("HELD", 40)):
+        monkeypatch.setattr(lexical, name, few)
+    for path in (None, "place"):
+        best = ranking.literal_hits(units, asked, "key", "item", 5, path=path)
+        plan = best._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+        with monkeypatch.context() as m:
+            m.setattr(ranking, "BROADCAST_TERMS", 10)
+            other = ranking.literal_hits(units, asked, "key", "item", 5, path=path)
+            assert sorted(map(tuple, best.collect()), key=str) == sorted(map(tuple, other.collect()), key=str) and best.count() > 100 and best.schema == other.schema
