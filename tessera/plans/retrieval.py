@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import ranges, ranking, selection
 from tessera.plans.common import CASE_FILES_SQL, CASES_SQL, HITS_SQL, PASSAGES_SQL, case_dirs, case_files, item_hits, table, texts, tokens_sql
+from tessera.session import cut
 from tessera.sources import corpus
 
 QUERIES: dict = {}
@@ -258,8 +259,11 @@ def q29(spark: SparkSession, d: str) -> DataFrame:
 @query("q27_facet_greedy")
 def q27(spark: SparkSession, d: str) -> DataFrame:
     """Passages chosen for score, new query terms and other documents: sequential, so it has no SQL."""
-    hits = item_hits(spark, d)
-    units = ranking.passages(texts(spark, d)).select("passage_id", T.terms(F.col("text")).alias("facets"))
+    hits = cut(item_hits(spark, d), "hits")
+    # only what was hit is read for its terms, so no other text is shuffled
+    sent = F.broadcast if hits.count() <= ranking.BROADCAST_TERMS else (lambda x: x)
+    docs = texts(spark, d).join(sent(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    units = ranking.passages(docs).join(sent(hits.select("passage_id").distinct()), "passage_id", "left_semi").select("passage_id", T.terms(F.col("text")).alias("facets"))
     asked = table(spark, d, "benchmark").select("item_id", T.terms(F.col("text")).alias("asked"))
     pool = hits.join(units, "passage_id").join(asked, "item_id").withColumn("facets", F.array_intersect("facets", "asked")).select("item_id", "passage_id", "doc_id", "score", "facets")
     return ranking.facet_greedy(pool, "item_id", "passage_id", "doc_id").select("item_id", "passage_id", "doc_id", "score", "place")

@@ -92,3 +92,29 @@ def test_literals_shuffle_no_pairs_and_equal_the_plan_that_does(spark, monkeypat
             m.setattr(ranking, "BROADCAST_TERMS", 10)
             other = ranking.literal_hits(units, asked, "key", "item", 5, path=path)
             assert sorted(map(tuple, best.collect()), key=str) == sorted(map(tuple, other.collect()), key=str) and best.count() > 100 and best.schema == other.schema
+
+
+def test_facets_are_read_of_hits_only(spark):
+    """q27_facet_greedy: the terms of all passages were shuffled, 3.5 times the input's bytes."""
+    from tessera.functions.text import terms
+    from tessera.plans import catalog, common
+
+    folder = "/root/testdata/sf0.001"
+    found = catalog.QUERIES["q27_facet_greedy"](spark, folder)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 2
+    words = {r.passage_id: set(r.t) for r in ranking.passages(common.texts(spark, folder)).select("passage_id", terms(F.col("text")).alias("t")).collect()}
+    asked = {r.item_id: set(r.t) for r in common.table(spark, folder, "benchmark").select("item_id", terms(F.col("text")).alias("t")).collect()}
+    pools, expected = {}, set()
+    for r in common.item_hits(spark, folder).collect():
+        pools.setdefault(r.item_id, []).append((-r.score, r.passage_id, r.doc_id))
+    for item, pool in pools.items():
+        rest, seen, paths = sorted(pool), set(), Counter()
+        for place in range(1, 11):
+            if rest:
+                new = [len(words[p] & asked[item] - seen) for _, p, _ in rest]
+                k = max(range(len(rest)), key=lambda k: (-rest[k][0] * (1 + new[k]) / (1 + 0.25 * paths[rest[k][2]]), -k))
+                _, p, doc = rest.pop(k)
+                seen |= words[p] & asked[item]
+                paths[doc] += 1
+                expected.add((item, p, place))
+    assert {(r.item_id, r.passage_id, r.place) for r in found.collect()} == expected
