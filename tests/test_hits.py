@@ -7,6 +7,7 @@ from tessera.plans import catalog
 
 NAMES = [
     "q101_span_quality",
+    "q145_planned_bm25",
 ]
 
 
