@@ -8,6 +8,7 @@ from tessera.plans import catalog
 NAMES = [
     "q101_span_quality",
     "q145_planned_bm25",
+    "q79_undelivered",
 ]
 
 
