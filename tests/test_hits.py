@@ -9,6 +9,7 @@ NAMES = [
     "q101_span_quality",
     "q145_planned_bm25",
     "q79_undelivered",
+    "q132_work",
 ]
 
 
