@@ -10,6 +10,7 @@ NAMES = [
     "q145_planned_bm25",
     "q79_undelivered",
     "q132_work",
+    "q16_fusion",
 ]
 
 
