@@ -11,6 +11,7 @@ NAMES = [
     "q79_undelivered",
     "q132_work",
     "q16_fusion",
+    "q17_diversity",
 ]
 
 
