@@ -12,6 +12,7 @@ NAMES = [
     "q132_work",
     "q16_fusion",
     "q17_diversity",
+    "q18_delivery",
 ]
 
 
