@@ -13,6 +13,7 @@ NAMES = [
     "q16_fusion",
     "q17_diversity",
     "q18_delivery",
+    "q19_merged_ranges",
 ]
 
 
