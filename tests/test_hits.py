@@ -14,6 +14,7 @@ NAMES = [
     "q17_diversity",
     "q18_delivery",
     "q19_merged_ranges",
+    "q65_higher_score",
 ]
 
 
