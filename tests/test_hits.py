@@ -15,6 +15,7 @@ NAMES = [
     "q18_delivery",
     "q19_merged_ranges",
     "q65_higher_score",
+    "q69_retrieval_quality",
 ]
 
 
