@@ -16,6 +16,7 @@ NAMES = [
     "q19_merged_ranges",
     "q65_higher_score",
     "q69_retrieval_quality",
+    "q89_references",
 ]
 
 
