@@ -17,6 +17,7 @@ NAMES = [
     "q65_higher_score",
     "q69_retrieval_quality",
     "q89_references",
+    "q97_json_delivery",
 ]
 
 
